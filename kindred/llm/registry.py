@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import bpe, exact_dedup, packing
+from kindred.llm import bpe, exact_dedup, packing, toxicity
 from kindred.llm.shared import ship
 
 
@@ -24,12 +24,16 @@ def op4_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, d), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.toxicity(_docs(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
+
+
 def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_dedup(_docs(spark, d))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op4_packing, op5_toxicity, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
