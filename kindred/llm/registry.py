@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kindred.llm import bpe, exact_dedup, packing, toxicity
+from kindred.llm import bpe, exact_dedup, packing, substring_dedup, toxicity
 from kindred.llm.shared import ship
 
 
@@ -28,12 +29,17 @@ def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.toxicity(_docs(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
 
 
+def op6_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(_docs(spark, d).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_dedup(_docs(spark, d))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_packing, op5_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op4_packing, op5_toxicity, op6_substring_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

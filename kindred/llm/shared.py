@@ -9,6 +9,7 @@ from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -43,3 +44,30 @@ def ship(spark: SparkSession) -> None:
     # the driver serves the file from where it lies, so it stays until the process ends
     spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='kindred-')}/kindred", "zip", root, "kindred"))
     _shipped.add(app)
+
+
+#: 64-bit words of the bit table in flagged(): its rows never exceed this, so it may be broadcast whatever the tables' size.
+FLAG_WORDS = 1 << 17
+
+
+def flagged(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """df with `_flag`: false only where `key` surely isn't among keys[key].
+
+    A bit table of fixed size, broadcast. It spares most rows a shuffle when few keys match, and lets all
+    through when very many do; whoever joins afterwards settles it.
+    """
+    at = F.xxhash64(F.col(key))
+    word, bit = F.pmod(F.shiftright(at, 6), F.lit(FLAG_WORDS)), F.expr(f"shiftleft(1L, cast(xxhash64(`{key}`) & 63 AS int))")
+    table = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    out = df.withColumn("_word", word).join(F.broadcast(table), "_word", "left")
+    return out.withColumn("_flag", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
+
+
+def left_join_few(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """df left-joined with table on a key that is unique in table; rows that can't match aren't shuffled."""
+    marked = flagged(df, table, key)
+    rest = [c for c in table.columns if c != key]
+    types = dict(table.dtypes)
+    hit = marked.where("_flag").drop("_flag").join(table, key, "left")
+    miss = marked.where("NOT _flag").drop("_flag").withColumns({c: F.lit(None).cast(types[c]) for c in rest})
+    return hit.select(*df.columns, *rest).unionByName(miss.select(*df.columns, *rest))
