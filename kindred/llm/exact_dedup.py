@@ -21,6 +21,7 @@ FILTER_WORDS = 1 << 17
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each store preallocates megabytes
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "192",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
