@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.shared import Recent
+
 #: Splits a text before any merge (fixed value: the published pattern of byte-level BPE).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept in a worker's table before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 350_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -56,7 +58,7 @@ class SpeculativeBPE:
         for b in self.id_of:
             self.reach[b[:2]] = max(self.reach.get(b[:2], 0), len(b))
         self.verdict: dict[int, bool] = {}
-        self.known: dict[str | int, bytes] = {}
+        self.known = Recent(CACHE_WORDS)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Exact merging: the lowest rule first, leftmost first, over a linked list with a heap."""
@@ -146,13 +148,12 @@ class SpeculativeBPE:
                 parts.append(got)
             else:
                 parts.append(self.words(text))
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        self.known.turn()
+        new = self.known.missing(set().union(*parts))
         self.known |= {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
-        new = {w for p in parts for w in p if w not in self.known}
-        if new:
-            self.learn(list(new))
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        if new := [w for w in new if isinstance(w, str)]:
+            self.learn(new)
+        return list(map(self.known.joined, parts))
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")

@@ -8,7 +8,8 @@ corpus; the pieces then take their places from their rank within their length.
 
 from __future__ import annotations
 
-import zlib
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import shared_dir, stored
+from kindred.llm.shared import Recent, shared_dir, stored
 
 CAPACITY = 4096
 END_ID = 1
 #: Chunks of text whose ids a worker keeps before it starts afresh.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 350_000
+#: A single comma or stop after a letter or digit (ASCII, or of two bytes from C3).
+_STOP = re.compile(rb"(?s).*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[,.]").fullmatch
 #: Parts that share out the ranks of each length.
 SALTS = 64
 
@@ -39,19 +42,27 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.known = Recent(CACHE_CHUNKS)
 
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = [t.split() for t in texts]  # ASCII white space only
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        new = list(set().union(*parts).difference(self.known))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
+        # cut at ASCII white space only; capitals fold early unless a special token or a combining mark may hang on them
+        parts = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
+        self.known.turn()
+        new = self.known.missing(set().union(*parts))
+        if ended := [w for w in new if _STOP(w)]:  # the mark is a piece of its own, so what stands before it is looked up
+            self._learn(list(set(new).difference(ended)))
+            self._learn(self.known.missing({w[:-1] for w in ended} | {b",", b"."}))
+            self.known.update((w, self.known[w[:-1]] + self.known[w[-1:]]) for w in ended)
+        else:
+            self._learn(new)
+        return list(map(self.known.joined, parts))
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        for i in range(0, len(chunks), 20_000):
+            some = chunks[i : i + 20_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+                self.known[w] = array("I", e.ids).tobytes()
 
 
 @lru_cache(maxsize=4)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from operator import itemgetter
 from pathlib import Path
 from uuid import uuid4
 
@@ -71,3 +72,28 @@ def left_join_few(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
     hit = marked.where("_flag").drop("_flag").join(table, key, "left")
     miss = marked.where("NOT _flag").drop("_flag").withColumns({c: F.lit(None).cast(types[c]) for c in rest})
     return hit.select(*df.columns, *rest).unionByName(miss.select(*df.columns, *rest))
+
+
+class Recent(dict):
+    """A table of bounded size: when full it becomes the older half, from which what is asked for again moves back."""
+
+    def __init__(self, limit: int) -> None:
+        super().__init__()
+        self.limit, self.older = limit, {}
+
+    def turn(self) -> None:
+        """Makes room if the table is full."""
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+
+    def missing(self, keys: set) -> list:
+        """The keys that are in neither half; the others are at hand until the next turn."""
+        new = keys.difference(self)
+        back = new.intersection(self.older)
+        self.update(zip(back, map(self.older.__getitem__, back)))
+        return list(new.difference(back))
+
+    def joined(self, keys: list) -> bytes:
+        """The values of the keys, one after another."""
+        return b"".join(itemgetter(*keys)(self)) if len(keys) > 1 else b"".join(map(self.__getitem__, keys))
