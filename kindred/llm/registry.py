@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, exact_dedup, packing, substring_dedup, toxicity
+from kindred.llm import bpe, exact_dedup, ngram_join, packing, substring_dedup, toxicity
 from kindred.llm.shared import ship
 
 
@@ -21,6 +21,10 @@ def op1_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encoded_digests(_docs(spark, d), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_join.ngram_join(_docs(spark, d))
+
+
 def op4_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, d), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -39,7 +43,7 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_packing, op5_toxicity, op6_substring_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op3_ngram_join, op4_packing, op5_toxicity, op6_substring_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
