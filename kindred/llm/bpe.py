@@ -133,7 +133,7 @@ class SpeculativeBPE:
         good = np.logical_and.reduceat(ok[at], first)
         ids = flat.astype("<u4").tobytes()
         for w, r, g, s, n in zip(words, raw, good.tolist(), first.tolist(), size.tolist()):
-            self.known[w] = ids[4 * s : 4 * (s + n)] if g else np.array(self.exact(r), "<u4").tobytes()
+            self.known.now[w] = ids[4 * s : 4 * (s + n)] if g else np.array(self.exact(r), "<u4").tobytes()
         if len(self.verdict) > 2_000_000:
             self.verdict.clear()
 
@@ -150,7 +150,7 @@ class SpeculativeBPE:
                 parts.append(self.words(text))
         self.known.turn()
         new = self.known.missing(set().union(*parts))
-        self.known |= {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
+        self.known.now |= {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
         if new := [w for w in new if isinstance(w, str)]:
             self.learn(new)
         return list(map(self.known.joined, parts))

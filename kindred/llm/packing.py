@@ -53,7 +53,7 @@ class WordEncoder:
         if ended := [w for w in new if _STOP(w)]:  # the mark is a piece of its own, so what stands before it is looked up
             self._learn(list(set(new).difference(ended)))
             self._learn(self.known.missing({w[:-1] for w in ended} | {b",", b"."}))
-            self.known.update((w, self.known[w[:-1]] + self.known[w[-1:]]) for w in ended)
+            self.known.now.update((w, self.known.now[w[:-1]] + self.known.now[w[-1:]]) for w in ended)
         else:
             self._learn(new)
         return list(map(self.known.joined, parts))
@@ -62,7 +62,7 @@ class WordEncoder:
         for i in range(0, len(chunks), 20_000):
             some = chunks[i : i + 20_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self.known[w] = array("I", e.ids).tobytes()
+                self.known.now[w] = array("I", e.ids).tobytes()
 
 
 @lru_cache(maxsize=4)

@@ -74,26 +74,27 @@ def left_join_few(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return hit.select(*df.columns, *rest).unionByName(miss.select(*df.columns, *rest))
 
 
-class Recent(dict):
+class Recent:
     """A table of bounded size: when full it becomes the older half, from which what is asked for again moves back."""
 
     def __init__(self, limit: int) -> None:
-        super().__init__()
-        self.limit, self.older = limit, {}
+        self.limit, self.now, self.older = limit, {}, {}
 
     def turn(self) -> None:
         """Makes room if the table is full."""
-        if len(self) > self.limit:
-            self.older = dict(self)
-            self.clear()
+        if len(self.now) > self.limit:
+            self.older, self.now = self.now, {}
 
     def missing(self, keys: set) -> list:
-        """The keys that are in neither half; the others are at hand until the next turn."""
-        new = keys.difference(self)
-        back = new.intersection(self.older)
-        self.update(zip(back, map(self.older.__getitem__, back)))
-        return list(new.difference(back))
+        """The keys that are in neither half; the others are in `now` until the next turn."""
+        now, older, out = self.now, self.older, []
+        for k in keys.difference(now):
+            if k in older:
+                now[k] = older[k]
+            else:
+                out.append(k)
+        return out
 
     def joined(self, keys: list) -> bytes:
         """The values of the keys, one after another."""
-        return b"".join(itemgetter(*keys)(self)) if len(keys) > 1 else b"".join(map(self.__getitem__, keys))
+        return b"".join(itemgetter(*keys)(self.now)) if len(keys) > 1 else b"".join(map(self.now.__getitem__, keys))
