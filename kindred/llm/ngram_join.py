@@ -188,6 +188,21 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
     and link with nothing; rows with equal sets are looked at once and share their class; a null id is in a class like
     any other but never its smallest; an empty table gives no rows. Other columns are ignored.
     """
+    return _classified(docs, n, num, den, id_col, text_col).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def keep_one(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with the smallest id of their class (a null id last, then the least hash of the text), with all
+    their columns; rows without shingles all stay, and rows repeated with one id and text stay or go together."""
+    seen = stored(_classified(docs, n, num, den, id_col, text_col), shared_dir(docs.sparkSession, "ngram-rows"))
+    best = seen.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "t")).alias("m")).select("m.doc_id", "m.t")
+    stay = best.union(seen.where("class IS NULL").select("doc_id", "t")).select(F.col("doc_id").alias("_keep"), F.col("t").alias("_t"))
+    same = docs[id_col].cast("bigint").eqNullSafe(stay["_keep"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == stay["_t"])
+    return docs.join(stay, same, "left_semi")
+
+
+def _classified(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """What ngram_join returns, with the hash t of the text and the number of the class (null without shingles)."""
     spark, home, t = docs.sparkSession, shared_dir(docs.sparkSession, "ngrams"), Threshold(num, den)
     named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
 
@@ -215,9 +230,9 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
     counts = found.where("v IS NULL").groupBy("u").agg(F.sum("w").alias("w"))
     low = reps.join(links, reps["key"] == links["node"], "left").select("key", "low", "copies", F.coalesce("component", "key").alias("c"))
     least = low.groupBy("c").agg(F.min("low").alias("component_id"))
-    klass = low.join(least, "c").join(counts, low["key"] == counts["u"], "left").select("key", "component_id", (F.col("copies") - 1 + F.coalesce("w", F.lit(0))).alias("links"))
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(klass, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    klass = low.join(least, "c").join(counts, low["key"] == counts["u"], "left").select("key", "c", "component_id", (F.col("copies") - 1 + F.coalesce("w", F.lit(0))).alias("links"))
+    out = rows.select("doc_id", "t", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(klass, "key", "left")
+    return out.select("doc_id", "t", F.col("c").alias("class"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
 def _meetings(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +49,8 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_ngram_join, op4_packing, op5_toxicity, op6_substring_dedup, op7_embedding_dedup, op10_exact_dedup)}
+    ops = (op1_bpe, op3_ngram_join, op4_packing, op5_toxicity, op6_substring_dedup, op7_embedding_dedup, op10_exact_dedup)
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
