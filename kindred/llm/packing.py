@@ -23,7 +23,7 @@ from kindred.llm.shared import Recent, shared_dir, stored
 CAPACITY = 4096
 END_ID = 1
 #: Chunks of text whose ids a worker keeps before it starts afresh.
-CACHE_CHUNKS = 350_000
+CACHE_CHUNKS = 200_000
 #: A single comma or stop after a letter or digit (ASCII, or of two bytes from C3).
 _STOP = re.compile(rb"(?s).*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[,.]").fullmatch
 #: Parts that share out the ranks of each length.
