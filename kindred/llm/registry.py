@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, embedding_dedup, exact_dedup, ngram_join, packing, substring_dedup, toxicity
+from kindred.llm import bpe, embedding_dedup, exact_dedup, line_dedup, ngram_join, packing, substring_dedup, toxicity
 from kindred.llm.shared import ship
 
 
@@ -44,12 +44,17 @@ def op7_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(spark.read.parquet(f"{d}/embeddings.parquet"))
 
 
+def op9_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    out = line_dedup.line_dedup(_docs(spark, d))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_dedup(_docs(spark, d))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_bpe, op3_ngram_join, op4_packing, op5_toxicity, op6_substring_dedup, op7_embedding_dedup, op10_exact_dedup)
+    ops = (op1_bpe, op3_ngram_join, op4_packing, op5_toxicity, op6_substring_dedup, op7_embedding_dedup, op9_line_dedup, op10_exact_dedup)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
