@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, embedding_dedup, exact_dedup, line_dedup, ngram_join, packing, substring_dedup, toxicity
+from kindred.llm import bpe, chat, embedding_dedup, exact_dedup, line_dedup, ngram_join, packing, quality, substring_dedup, toxicity
 from kindred.llm.shared import ship
 
 
@@ -22,6 +22,12 @@ def op1_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encoded_digests(_docs(spark, d), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_chat(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    out = chat.format_chats(spark.read.parquet(f"{d}/conversations.parquet"))
+    return out.withColumn("rendered_sha256", F.sha2("rendered", 256))
+
+
 def op3_ngram_join(spark: SparkSession, d: str) -> DataFrame:
     return ngram_join.ngram_join(_docs(spark, d))
 
@@ -44,6 +50,11 @@ def op7_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(spark.read.parquet(f"{d}/embeddings.parquet"))
 
 
+def op8_quality(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang")
+    return quality.quality(_docs(spark, d), spark.read.parquet(f"{d}/labels.parquet"), F.col("source"), path)
+
+
 def op9_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = line_dedup.line_dedup(_docs(spark, d))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -54,7 +65,7 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_bpe, op3_ngram_join, op4_packing, op5_toxicity, op6_substring_dedup, op7_embedding_dedup, op9_line_dedup, op10_exact_dedup)
+    ops = (op1_bpe, op2_chat, op3_ngram_join, op4_packing, op5_toxicity, op6_substring_dedup, op7_embedding_dedup, op8_quality, op9_line_dedup, op10_exact_dedup)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 

@@ -155,15 +155,20 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """A model of labels joined by id. Null labels are left out; a document with several labels takes the highest.
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(id, text, y) of training rows: labelled 0 or 1 and not held out; of several labels of an id the highest counts.
 
-    At most `rows` documents are used, the lowest by a hash of their id, so their ids may be broadcast.
+    At most `rows` of them, the lowest by a hash of their id, so their ids may be broadcast.
     """
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     known = docs.select(F.col(id_col).alias("id")).where(~held_out("id")).join(y, "id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
     text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = stored(text.join(F.broadcast(known), "id").repartition(8), shared_dir(docs.sparkSession, "toxicity"))
+    return stored(text.join(F.broadcast(known), "id").repartition(8), shared_dir(docs.sparkSession, "labelled"))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
+    """A model of the labels, fitted on a bounded sample."""
+    sample = labelled(docs, labels, id_col, text_col, label_col, rows)
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     total = sum(n.values())
     if not n.get(1) or not n.get(0):
