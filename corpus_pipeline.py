@@ -2,42 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import exact_dedup, ngram_join, packing, substring_dedup, toxicity
-from kindred.llm.shared import shared_dir, ship, stored
+from kindred.llm.shared import drop, made, shared_dir, ship, stored
+
+_left: list[str] = []  # what the stage before has in the shared folder
+
+
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose working tables go when the next one starts: by then its result has been stored."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        if _left:
+            read = docs.inputFiles()
+            for path in [p for p in _left if not any(p.split("/")[-1] in x for x in read)]:
+                drop(spark, path)
+                _left.remove(path)
+        n = len(made)
+        out = f(spark, docs, sf_dir)
+        _left.extend(made[n:])
+        return out
+
+    return run_stage
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the labelled ones among them, doesn't reject."""
-    ship(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is equal but for white space."""
     return exact_dedup.keep_one(docs)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a Jaccard similarity of 0.8 or more on shingles of five words."""
-    ship(spark)
     return ngram_join.keep_one(docs, n=5, num=80, den=100)
 
 
+@stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of 35 words and more that come more than once."""
-    ship(spark)
     cut = substring_dedup.substring_dedup(docs, kept_col="_kept_text")
     text = F.when(F.col("n_removed") > 0, F.col("_kept_text")).otherwise(F.col("text"))
     return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 4096 tokens."""
-    ship(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -50,6 +75,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; every stage is stored in the shared folder and read again."""
     docs, home = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark, "pipeline")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"{home}/{name}")
+    for name, f in STAGES:
+        docs = stored(f(spark, docs, sf_dir), f"{home}/{name}")
     return docs

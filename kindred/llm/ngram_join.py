@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.components import Forest, components
@@ -206,26 +206,26 @@ def _classified(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_c
     spark, home, t = docs.sparkSession, shared_dir(docs.sparkSession, "ngrams"), Threshold(num, den)
     named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
 
+    share = min(1.0, 2 * (1 - num / den))  # of the hash range, in the first look for sets that may link
+    low = _top(share)
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(3, lower=True)
         for b in parts(batches, 2):
             h, off = ngram_sets(b.column(2), n, hasher)
-            size = np.diff(off)
-            key = np.zeros(len(size), np.uint64)
-            if len(h):
-                key[size > 0] = np.add.reduceat(mix(h ^ np.uint64(0x5DEECE66D)), off[:-1][size > 0])
-            of, sig = (np.concatenate(x) for x in zip(*(_segments(h, off, size, t, up) for up in (0, 1))))
-            order = np.argsort(of, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(size)))])
-            sigs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sig[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(mix(key + size.astype(np.uint64)).view(np.int64)), pa.array(size), sigs], ["doc_id", "t", "key", "n", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_keys(h, off).view(np.int64)), pa.array(np.diff(off)), pa.array(np.diff(np.searchsorted(np.flatnonzero(h <= low), off)))], ["doc_id", "t", "key", "n", "n_low"])
 
-    rows = stored(named.select("doc_id", "t", "text").mapInArrow(describe, "doc_id bigint, t bigint, key bigint, n bigint, sigs array<bigint>"), f"{home}/rows")
-    reps = rows.where("n > 0").groupBy("key").agg(F.min("t").alias("t"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
+    rows = stored(named.select("doc_id", "t", "text").mapInArrow(describe, "doc_id bigint, t bigint, key bigint, n bigint, n_low bigint"), f"{home}/rows")
+    reps = rows.where("n > 0").groupBy("key").agg(F.min("t").alias("t"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("n_low").alias("n_low"))
     reps = stored(reps, f"{home}/reps")
-    family = components(_meetings(rows))
-    families = _families(reps, family, home)
-    found = stored(_linked(named, families, n, t), f"{home}/links")
+    total = lambda df: df.agg(F.sum("n")).first()[0] or 0
+    first = _possible(reps, _credits(named, n, share, total(reps)), F.col("n_low"), t)
+    few = flagged(named, first, "t").where("_flag").select("t", "text").dropDuplicates(["t"])
+    some = stored(few.join(first, "t"), f"{home}/some")
+    near = stored(some.join(_possible(some, _credits(some, n, 1.0, total(some)), F.col("n"), t).select("t"), "t", "left_semi"), f"{home}/near")
+    family = components(_meetings(near, n, t, total(near)))
+    families = _families(near, family)
+    found = stored(_linked(families, n, t), f"{home}/links")
     links = components(found.where("v IS NOT NULL").select("u", "v"))
     counts = found.where("v IS NULL").groupBy("u").agg(F.sum("w").alias("w"))
     low = reps.join(links, reps["key"] == links["node"], "left").select("key", "low", "copies", F.coalesce("component", "key").alias("c"))
@@ -235,23 +235,177 @@ def _classified(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_c
     return out.select("doc_id", "t", F.col("c").alias("class"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
-def _meetings(rows: DataFrame) -> DataFrame:
-    """(u, v): each set with the least set of every segment that it shares; linear in the segments."""
-    at = rows.select("key", F.explode("sigs").alias("sig"))
-    met = at.groupBy("sig").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("sig", "a")
-    few = flagged(at, met, "sig").where("_flag").select("key", "sig")
-    return few.join(met, "sig").where("key <> a").select(F.col("key").alias("u"), F.col("a").alias("v")).distinct()
+def _keys(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set."""
+    size = np.diff(off)
+    key = np.zeros(len(size), np.uint64)
+    if len(h):
+        key[size > 0] = np.add.reduceat(mix(h ^ np.uint64(0x5DEECE66D)), off[:-1][size > 0])
+    return mix(key + size.astype(np.uint64))
+
+
+#: Bits of a set's key and of a signature that travel; a clash only puts two sets into one family. The bit above marks.
+_SHORT = np.uint64((1 << 47) - 1)
+_MARK = np.uint64(1 << 47)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """The low 48 bits of each value."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _stars(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct signatures, least key of each, pairs of another key of a signature with its least)."""
+    order = np.lexsort((key, sig))
+    sig, key = sig[order], key[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = sig[1:] != sig[:-1]
+    least = key[new][np.cumsum(new) - 1]
+    off = key != least
+    pairs = np.stack([key[off], least[off]], 1)
+    return sig[new], key[new], np.unique(pairs, axis=0) if len(pairs) else pairs
+
+
+def _top(share: float) -> np.uint64:
+    """The end of the lowest share of the hash range."""
+    return np.uint64(min(int(share * 2.0**64), 2**64 - 1))
+
+
+def _buckets(entries: int) -> int:
+    """Buckets of about 8 MB: their number follows the data, so that one stays small."""
+    return max(64, entries * 12 // (8 << 20))
+
+
+def _dealt(sig: np.ndarray, key: np.ndarray, buckets: int, extra: tuple[bytes, bytes] | None, seed: int) -> pa.RecordBatch:
+    """Rows (bucket, a, b) of packed signatures, which rise, and keys; extra travels under a number below 0."""
+    at = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    heads, first = np.unique(at, return_index=True)
+    ends = np.append(first[1:], len(at))
+    rows = [(int(k), _pack(sig[x:y]), _pack(key[x:y])) for k, x, y in zip(heads, first, ends)]
+    if extra:
+        rows.append((-1 - seed % buckets, *extra))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["bucket", "a", "b"])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], do) -> Iterator[pa.RecordBatch]:
+    """do(bucket, a, b) on the joined blocks of each bucket; rows come sorted by it."""
+    now, a, b = None, [], []
+    for batch in batches:
+        for bucket, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != now:
+                if a:
+                    yield do(now, b"".join(a), b"".join(b))
+                now, a, b = bucket, [], []
+            a.append(x)
+            b.append(y)
+    if a:
+        yield do(now, b"".join(a), b"".join(b))
+
+
+def _credits(docs: DataFrame, n: int, share: float, grams: int) -> DataFrame:
+    """(short, shared): per short key how many n-grams in the lowest share of the hash range some other set has too.
+
+    An n-gram stands once in the block of each few megabytes of text and bucket, marked if several sets there have it;
+    the others get their credit where they are. So one that very many sets have is one entry per block.
+    """
+    buckets, top = _buckets(int(grams * share)), _top(share)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(3, lower=True)
+        for b in parts(batches, 0):
+            h, off = ngram_sets(b.column(0), n, hasher)
+            if not len(h):
+                continue
+            keys = _keys(h, off) & _SHORT
+            key, low = np.repeat(keys, np.diff(off)), h <= top
+            h, key = h[low], key[low]
+            order = np.lexsort((key, h))
+            h, key = h[order], key[order]
+            fresh, other = np.ones(len(h), bool), np.zeros(len(h), bool)
+            fresh[1:] = h[1:] != h[:-1]  # the first of its n-gram
+            other[1:] = ~fresh[1:] & (key[1:] != key[:-1])  # another set with it
+            at = np.flatnonzero(fresh)
+            marked = np.add.reduceat(other, at) > 0 if len(at) else np.zeros(0, bool)
+            got, count = np.unique(key[other], return_counts=True)
+            extra = (_pack(got), _pack(count.astype(np.uint64))) if len(got) else None
+            yield _dealt(h[at], np.where(marked, key[at] | _MARK, key[at]), buckets, extra, int(keys[0]))
+
+    def credit(bucket: int, a: bytes, b: bytes) -> pa.RecordBatch:
+        x, y = _unpack(a), _unpack(b)
+        if bucket < 0:
+            got, at = np.unique(x, return_inverse=True)
+            count = np.bincount(at, y.astype(np.float64)).astype(np.int64)
+        else:
+            key = y & _SHORT
+            order = np.lexsort((key, x))
+            x, y, key = x[order], y[order], key[order]
+            edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            several = np.repeat(np.minimum.reduceat(key, edge) != np.maximum.reduceat(key, edge), np.diff(np.append(edge, len(x))))
+            once = np.concatenate([[True], (x[1:] != x[:-1]) | (key[1:] != key[:-1])])
+            # equal sets of several blocks count once; if one of them is marked, so is each
+            run = np.flatnonzero(once)
+            mark = np.maximum.reduceat(y & _MARK, run) > 0
+            got, count = np.unique(key[run][several[run] | mark], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(got.astype(np.int64)), pa.array(count.astype(np.int64))], ["short", "shared"])
+
+    blocks = docs.select("text").mapInArrow(put, "bucket bigint, a binary, b binary")
+    met = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda x: _by_bucket(x, credit), "short bigint, shared bigint")
+    return met.groupBy("short").agg(F.sum("shared").alias("shared"))
+
+
+def _possible(sets: DataFrame, credit: DataFrame, looked_at: Column, t: Threshold) -> DataFrame:
+    """(t, key, n, copies) of the sets that may link at all.
+
+    A set that links shares at least num/den of its n-grams with one other set; so no more than the rest may lack
+    credit. N-grams that weren't looked at have the benefit of the doubt.
+    """
+    most = F.expr(f"n - ((n * {t.num} + {t.den - 1}) div {t.den})")
+    got = sets.select("t", "key", "n", "copies", looked_at.alias("seen"), F.col("key").bitwiseAND(F.lit(int(_SHORT))).alias("short")).join(credit, "short")
+    return got.where(F.col("seen") - F.col("shared") <= most).select("t", "key", "n", "copies")
+
+
+def _meetings(docs: DataFrame, n: int, t: Threshold, grams: int) -> DataFrame:
+    """(u, v): each set's short key with the least of every segment that it shares.
+
+    A signature stands once in a block; the other sets that have it there are tied to that one at once.
+    """
+    buckets = _buckets(grams * 2 * (t.differing(10_000) + 1) // 10_000)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(3, lower=True)
+        for b in parts(batches, 0):
+            h, off = ngram_sets(b.column(0), n, hasher)
+            if not len(h):
+                continue
+            size, keys = np.diff(off), _keys(h, off) & _SHORT
+            of, sig = (np.concatenate(x) for x in zip(*(_segments(h, off, size, t, up) for up in (0, 1))))
+            sig, key, pairs = _stars(sig, keys[of])
+            yield _dealt(sig, key, buckets, (_pack(pairs[:, 0]), _pack(pairs[:, 1])) if len(pairs) else None, int(keys[0]))
+
+    def meet(bucket: int, a: bytes, b: bytes) -> pa.RecordBatch:
+        x, y = _unpack(a), _unpack(b)
+        pairs = np.stack([x, y], 1) if bucket < 0 else _stars(x, y)[2]
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].astype(np.int64)) for i in (0, 1)], ["u", "v"])
+
+    blocks = docs.select("text").mapInArrow(put, "bucket bigint, a binary, b binary")
+    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda x: _by_bucket(x, meet), "u bigint, v bigint").distinct()
 
 
-def _families(reps: DataFrame, family: DataFrame, home: str) -> DataFrame:
-    """(t, key, n, copies, family, block, blocks)."""
-    member = stored(reps.join(family, reps["key"] == family["node"]).select("key", "t", "n", "copies", F.col("component").alias("family")), f"{home}/members")
-    blocks = member.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    out = member.join(blocks, "family")
+def _families(near: DataFrame, family: DataFrame) -> DataFrame:
+    """near with family, block, blocks: sets of a family of two and more."""
+    member = near.join(family, near["key"].bitwiseAND(F.lit(int(_SHORT))) == family["node"]).withColumnRenamed("component", "family").drop("node")
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
+    out = member.join(member.groupBy("family").agg(size.alias("blocks")), "family")
     return out.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
 
 
-def _linked(named: DataFrame, families: DataFrame, n: int, t: Threshold) -> DataFrame:
+def _linked(families: DataFrame, n: int, t: Threshold) -> DataFrame:
     """Edges (u, v) that span the links of each cell, and rows (u, null, w) with a set's linked rows in it."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,9 +432,7 @@ def _linked(named: DataFrame, families: DataFrame, n: int, t: Threshold) -> Data
         if len(held) > 1:
             yield done()
 
-    few = flagged(named, families, "t").where("_flag").select("t", "text").dropDuplicates(["t"])
-    grams = few.join(families, "t").select("t", "text", F.struct("key", "family", "block", "blocks", "copies").alias("f"))
-    put = grams.select("f", _grams_udf(n)(F.col("text")).alias("grams"))
+    put = families.select(F.struct("key", "family", "block", "blocks", "copies").alias("f"), _grams_udf(n)(F.col("text")).alias("grams"))
     other = F.explode(F.sequence(F.lit(0), F.col("f.blocks") - 1)).alias("o")
     spread = put.select("f", "grams", other).select(
         F.col("f.family").alias("family"), F.least("f.block", "o").alias("x"), F.greatest("f.block", "o").alias("y"),

@@ -13,13 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders that this process has made.
+made: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir. Only where that is unset, as in tests, one is made and set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="kindred-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid4().hex}"
+    made.append(path)
+    return path
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
