@@ -48,7 +48,7 @@ class Threshold:
 
     def differing(self, largest):
         """Most elements in which two linked sets of at most this size differ."""
-        return 2 * largest - 2 * self.overlap(2 * largest)
+        return 2 * largest * (self.den - self.num) // (self.den + self.num)
 
 
 def ngram_sets(text: pa.Array, n: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
