@@ -38,7 +38,7 @@ WAYS = _ways()
 def repair(roles: list[str | None]) -> tuple[int, list[tuple[str, str | None, tuple[str, ...]]]]:
     """(cost, per turn (what, role, empty turns before it)); the last entry is the end, with the empty turns put there.
 
-    Equal costs go to merging first, then to the earlier role of ROLES. Unknown roles are relabelled.
+    Equal costs go to fewer empty turns at the end, then to merging, then to the earlier role of ROLES. Unknown roles are relabelled.
     """
     best: dict[str | None, tuple[int, tuple | None]] = {None: (0, None)}
     for role in roles:
@@ -59,11 +59,11 @@ def repair(roles: list[str | None]) -> tuple[int, list[tuple[str, str | None, tu
     ends = []
     for last, (cost, path) in best.items():
         if last is None:
-            ends.append((0, 0, path, ()))
+            ends.append((0, 0, 0, path, ()))
         else:
             after = () if last == "assistant" else (*WAYS[last]["assistant"], "assistant")
-            ends.append((cost + INSERT * len(after), ROLES.index(last), path, after))
-    cost, _, path, after = min(ends, key=lambda e: e[:2])
+            ends.append((cost + INSERT * len(after), len(after), ROLES.index(last), path, after))
+    cost, _, _, path, after = min(ends, key=lambda e: e[:3])
     out: list = [("end", None, after)]
     while path is not None:
         path, step = path
