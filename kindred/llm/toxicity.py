@@ -19,6 +19,10 @@ from kindred.llm.shared import shared_dir, stored
 
 #: Labelled rows that the model is fitted on at most, by a hash of their id.
 TRAIN_ROWS = 20_000
+#: Folds of the rows in calibration.
+FOLDS = 4
+#: Evidence (likelihood ratio statistic) that a word of the lexicon needs.
+EVIDENCE = 20.0
 #: Words of the learned lexicon at most.
 LEXICON_WORDS = 96
 #: Second-person words of four languages (fixed values).
@@ -173,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = sum(n.values())
     if not n.get(1) or not n.get(0):
         return Model({}, None, None, n.get(1, 0) / total if total else 0.0)
-    lexicon = _lexicon(sample, n)
+    lexicon = _lexicon(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,14 +186,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     got = sample.select("id", "text", "y").mapInArrow(run, f"id {dict(sample.dtypes)['id']}, y int, x array<double>").toArrow().sort_by("id")
     x, y = np.array(got["x"].to_pylist()), got["y"].to_numpy().astype(float)
-    fold = np.arange(len(y)) % 4 == 0  # every fourth row calibrates
-    if fold.all() or not 0 < y[~fold].sum() < (~fold).sum() or not 0 < y[fold].sum() < fold.sum():
+    # every row gets a margin from trees that haven't seen it; those calibrate the trees fitted on all rows
+    fold, margin = np.arange(len(y)) % FOLDS, np.full(len(y), np.nan)
+    for k in range(FOLDS):
+        rest = fold != k
+        if (~rest).any() and 0 < y[rest].sum() < rest.sum():
+            margin[~rest] = fit_trees(x[rest], y[rest]).margin(x[~rest])
+    seen = ~np.isnan(margin)
+    if not 0 < y[seen].sum() < seen.sum():
         return Model(lexicon, None, None, float(y.mean()))
-    trees = fit_trees(x[~fold], y[~fold])
-    return Model(lexicon, trees, isotonic(trees.margin(x[fold]), y[fold]), float(y.mean()))
+    return Model(lexicon, fit_trees(x, y), isotonic(margin[seen], y[seen]), float(y.mean()))
 
 
-def _lexicon(sample: DataFrame, n: dict[int, int]) -> dict[bytes, float]:
+def _lexicon(sample: DataFrame) -> dict[bytes, float]:
     """Words whose document frequency is far higher among toxic training rows, with their log ratio."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,9 +211,15 @@ def _lexicon(sample: DataFrame, n: dict[int, int]) -> dict[bytes, float]:
         w, y = [k[0] for k in count], [k[1] for k in count]
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(y, pa.int32()), pa.array(list(count.values()), pa.int64())], ["w", "y", "n"])
 
-    df = sample.select("text", "y").mapInArrow(run, "w binary, y int, n bigint").groupBy("w").agg(F.sum(F.expr("IF(y = 1, n, 0)")).alias("a"), F.sum(F.expr("IF(y = 0, n, 0)")).alias("b"))
-    ratio = F.log((F.col("a") + 0.5) / (n[1] + 1)) - F.log((F.col("b") + 0.5) / (n[0] + 1))
-    picked = df.withColumn("r", ratio).where((F.col("a") >= max(4, n[1] // 100)) & (F.col("r") > 2.0)).orderBy(F.desc(F.col("r") * F.sqrt("a")), "w").limit(LEXICON_WORDS)
+    once = sample.dropDuplicates(["text"])  # copies are no further evidence
+    n = {r["y"]: r["count"] for r in once.groupBy("y").count().collect()}
+    df = once.select("text", "y").mapInArrow(run, "w binary, y int, n bigint").groupBy("w").agg(F.sum(F.expr("IF(y = 1, n, 0)")).alias("a"), F.sum(F.expr("IF(y = 0, n, 0)")).alias("b"))
+    a, b, n1, n0 = F.col("a"), F.col("b"), n.get(1, 0), n.get(0, 0)
+    ratio = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
+    share = n1 / max(1, n1 + n0)
+    part = lambda k, p: F.when(k > 0, k * F.log(k / ((a + b) * p))).otherwise(0.0)
+    evidence = 2 * (part(a, share) + part(b, 1 - share))
+    picked = df.where((a >= max(4, n1 // 50))).withColumn("r", ratio).where((F.col("r") > 2.0) & (evidence >= EVIDENCE)).orderBy(F.desc(evidence), "w").limit(LEXICON_WORDS)
     return {bytes(r["w"]): float(r["r"]) for r in picked.collect()}
 
 
