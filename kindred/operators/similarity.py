@@ -59,6 +59,15 @@ def brute_topk(pool: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return topk(brute_max_sim(pool, seeds), k)
 
 
+def brute_max_sim_arrow(pool: DataFrame, seeds: DataFrame) -> DataFrame:
+    """As brute_max_sim, by matrix products on Arrow batches; beyond BROADCAST_BYTES of seeds the blocked product runs."""
+    n, width = seeds.where("norm > 0").agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    if n * (width or 0) * 8 > BROADCAST_BYTES:
+        return brute_max_sim(pool, seeds)
+    one = lambda df: df.withColumn("bucket", F.lit(0))
+    return lsh_max_sim_arrow(one(pool.where("norm > 0")), one(seeds), keep_unmatched=False)
+
+
 def lsh_max_sim(pool: DataFrame, seeds: DataFrame, keep_unmatched: bool = True) -> DataFrame:
     """Best cosine to a seed of the same bucket; both sides carry `bucket`.
 

@@ -168,6 +168,10 @@ def brute_topk(spark, d):
     return _sim(similarity.brute_topk(*_both(spark, d, bits=None), K))
 
 
+def brute_topk_arrow(spark, d):
+    return _sim(ranking.topk(similarity.brute_max_sim_arrow(*_both(spark, d, bits=None)), K))
+
+
 def max_sim(spark, d):
     return _sim(similarity.lsh_max_sim(*_both(spark, d), keep_unmatched=False))
 
@@ -231,7 +235,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         scan_vectors, vec_dot, vec_norm, cosine_pairs, zero_norm_guard, gen_planes, lsh_signature, bucket_members,
         bucket_hist, signature_cost, best_signature, best_lsh_topk, lsh_cost, lsh_cost_study, bucket_centroid,
-        bucket_medoid, bucket_summary, upper_bound, bound_classify, bound_prune_stats, brute_max_sim, brute_topk,
+        bucket_medoid, bucket_summary, upper_bound, bound_classify, bound_prune_stats, brute_max_sim, brute_topk, brute_topk_arrow,
         max_sim, lsh_topk, lsh_topk_arrow, recall, perquery_topk, perquery_kth, planes_from_text, planes_roundtrip,
         topk_sink, recall_vs_baseline,
     )
@@ -316,6 +320,7 @@ ORACLE: dict[str, str] = {
         SELECT count(*) AS deferred, count(*) FILTER (pruned) AS pruned, coalesce(sum(n) FILTER (pruned), 0)::BIGINT AS saved_pairs FROM g""", 3, 3),
     "brute_max_sim": _sql(f"{_BRUTE} SELECT id, round(sim, 6) AS sim FROM ex"),
     "brute_topk": _sql(f"{_BRUTE} {_TOP}"),
+    "brute_topk_arrow": _sql(f"{_BRUTE} {_TOP}"),
     "max_sim": _sql(f"{_INNER} SELECT id, round(sim, 6) AS sim FROM ex"),
     "lsh_topk": _sql(f"{_LEFT} {_TOP}"),
     "lsh_topk_arrow": _sql(f"{_LEFT} {_TOP}"),
