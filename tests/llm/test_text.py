@@ -258,3 +258,19 @@ def test_pipeline(spark, sf_dir):
 def test_every_query_is_registered():
     names = set(registry.queries())
     assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{i}" for i in range(1, 11))} and set(registry.oracle_sql()) <= names
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_odd_rows(spark, docs, nothing, tmp_path, empty):
+    odd_labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    df = (nothing if empty else docs).withColumn("n_chars", F.length("text").cast("long")).withColumn("lang", F.lit(None).cast("string"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    now, columns = spark.read.parquet(str(tmp_path / "documents.parquet")), df.columns
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, now, str(tmp_path))
+        got.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        assert now.columns == columns or name == "packing"
+    check_places(now.collect(), 4096)
+    assert (now.count() == 0) == empty
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
