@@ -26,6 +26,8 @@ END_ID = 1
 CACHE_CHUNKS = 200_000
 #: A single comma or stop after a letter or digit (ASCII, or of two bytes from C3).
 _STOP = re.compile(rb"(?s).*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[,.]").fullmatch
+#: A special token of the vocabulary, which cuts a text wherever it stands.
+PART = "<|endoftext|>"
 #: Parts that share out the ranks of each length.
 SALTS = 64
 
@@ -42,6 +44,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.part = self.tokenizer.token_to_id(PART)
         self.known = Recent(CACHE_CHUNKS)
 
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
@@ -59,10 +62,17 @@ class WordEncoder:
         return list(map(self.known.joined, parts))
 
     def _learn(self, chunks: list[bytes]) -> None:
-        for i in range(0, len(chunks), 20_000):
-            some = chunks[i : i + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self.known.now[w] = array("I", e.ids).tobytes()
+        """Encodes many chunks in one text, parted by a special token that none of them holds."""
+        odd = [c for c in chunks if b"<|" in c]
+        for c in odd:
+            self.known.now[c] = array("I", self.tokenizer.encode(c.decode(), add_special_tokens=False).ids).tobytes()
+        chunks = [c for c in chunks if b"<|" not in c] if odd else chunks
+        runs = [chunks[i : i + 500] for i in range(0, len(chunks), 500)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([PART.join(map(bytes.decode, r)) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(ids == self.part) * 4
+            raw, ends = ids.tobytes(), [*at.tolist(), 4 * len(ids)]
+            self.known.now.update(zip(run, (raw[x:y] for x, y in zip([0, *(at + 4).tolist()], ends))))
 
 
 @lru_cache(maxsize=4)
