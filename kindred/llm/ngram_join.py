@@ -1,6 +1,7 @@
 """Similarity join of documents on word n-gram sets by a prefix tree.
 
-Sets are kept in the global order of their 64-bit n-gram hashes. Routing: the hash range is cut into one segment more
+Sets are kept in the global order of their 64-bit n-gram hashes. A set that links shares most of its n-grams, so sets
+with too many that no other set has are out at once. Routing of the others: the hash range is cut into one segment more
 than the number of elements in which two linked sets of a size class can differ, so linked sets agree in a whole
 segment; sets that share segments form families. In each family the sets are stored in a prefix tree, and all sets
 probe it at once: a node's n-grams are matched once for every set below it, and a probe leaves a subtree as soon as
@@ -207,13 +208,13 @@ def _classified(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_c
     named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
 
     share = min(1.0, 2 * (1 - num / den))  # of the hash range, in the first look for sets that may link
-    low = _top(share)
+    top = _top(share)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(3, lower=True)
         for b in parts(batches, 2):
             h, off = ngram_sets(b.column(2), n, hasher)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_keys(h, off).view(np.int64)), pa.array(np.diff(off)), pa.array(np.diff(np.searchsorted(np.flatnonzero(h <= low), off)))], ["doc_id", "t", "key", "n", "n_low"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_keys(h, off).view(np.int64)), pa.array(np.diff(off)), pa.array(np.diff(np.searchsorted(np.flatnonzero(h <= top), off)))], ["doc_id", "t", "key", "n", "n_low"])
 
     rows = stored(named.select("doc_id", "t", "text").mapInArrow(describe, "doc_id bigint, t bigint, key bigint, n bigint, n_low bigint"), f"{home}/rows")
     reps = rows.where("n > 0").groupBy("key").agg(F.min("t").alias("t"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("n_low").alias("n_low"))
@@ -366,8 +367,8 @@ def _possible(sets: DataFrame, credit: DataFrame, looked_at: Column, t: Threshol
     credit. N-grams that weren't looked at have the benefit of the doubt.
     """
     most = F.expr(f"n - ((n * {t.num} + {t.den - 1}) div {t.den})")
-    got = sets.select("t", "key", "n", "copies", looked_at.alias("seen"), F.col("key").bitwiseAND(F.lit(int(_SHORT))).alias("short")).join(credit, "short")
-    return got.where(F.col("seen") - F.col("shared") <= most).select("t", "key", "n", "copies")
+    got = sets.select("t", "key", "n", "copies", looked_at.alias("seen"), F.col("key").bitwiseAND(F.lit(int(_SHORT))).alias("short")).join(credit, "short", "left")
+    return got.where(F.col("seen") - F.coalesce("shared", F.lit(0)) <= most).select("t", "key", "n", "copies")
 
 
 def _meetings(docs: DataFrame, n: int, t: Threshold, grams: int) -> DataFrame:

@@ -91,6 +91,23 @@ def test_ngram_join(docs, rows, n, num, den):
     assert got == joined(rows, n, num, den)
 
 
+@pytest.mark.parametrize("n,num,den", [(3, 90, 100), (1, 80, 100), (2, 60, 100)])
+def test_ngram_join_of_short_texts(spark, n, num, den):
+    """Sets of few n-grams, most with a word of their own."""
+    rng, rows = random.Random(n), []
+    for i in range(60):
+        w = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(1, 26))]
+        for j in range(4):
+            v = list(w)
+            if j:
+                v[rng.choice([0, -1, rng.randrange(len(v))])] = f"own{i}x{j}"
+            rows.append((i * 10 + j, " ".join(v + ["more"] * (j == 3))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = joined(rows, n, num, den)
+    assert max(k[3] for k in want) > 0
+    assert bag(ngram_join.ngram_join(df, n, num, den), "doc_id", "n_shingles", "component_id", "n_links") == want
+
+
 def test_ngram_join_in_blocks(docs, rows, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 3)
     assert bag(ngram_join.ngram_join(docs, 3, 70, 100), "doc_id", "n_shingles", "component_id", "n_links") == joined(rows, 3, 70, 100)
