@@ -22,7 +22,7 @@ from kindred.llm.shared import Recent
 #: Splits a text before any merge (fixed value: the published pattern of byte-level BPE).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept in a worker's table before it starts afresh.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -134,7 +134,7 @@ class SpeculativeBPE:
         ids = flat.astype("<u4").tobytes()
         for w, r, g, s, n in zip(words, raw, good.tolist(), first.tolist(), size.tolist()):
             self.known.now[w] = ids[4 * s : 4 * (s + n)] if g else np.array(self.exact(r), "<u4").tobytes()
-        if len(self.verdict) > 2_000_000:
+        if len(self.verdict) > 400_000:
             self.verdict.clear()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
