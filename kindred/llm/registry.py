@@ -70,10 +70,45 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": _EXACT}
+    return {"op3_ngram_join": _NGRAM, "op6_substring_dedup": _SUBSTRING, "op7_embedding_dedup": _VECTORS, "op10_exact_dedup": _EXACT}
 
 
 _EXACT = r"""WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
 SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id) AS keep_id,
   count(*) OVER (PARTITION BY norm) AS group_size,
   row_number() OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id) = 1 AS kept, sha256(norm) AS text_sha256 FROM n"""
+
+
+_WORDS = r"""w AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM
+  (SELECT doc_id, unnest(regexp_split_to_array({text}, '[\x20\x09-\x0D]+')) AS x, generate_subscripts(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), 1) AS i FROM documents) WHERE x <> '')"""
+
+_NGRAM = (
+    "WITH RECURSIVE "
+    + _WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    + """,
+ g AS (SELECT doc_id, string_agg(x, ' ') OVER f AS k, count(*) OVER f AS c, count(*) OVER (PARTITION BY doc_id) AS n FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+ s AS (SELECT DISTINCT doc_id, k FROM g WHERE c = 3 UNION SELECT doc_id, string_agg(x, ' ' ORDER BY pos) FROM w GROUP BY doc_id HAVING count(*) < 3),
+ z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+ links AS (SELECT a, b FROM met JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE a = d.doc_id) AS component_id, (SELECT count(*) FROM links WHERE a = d.doc_id) AS n_links FROM documents d LEFT JOIN z ON z.doc_id = d.doc_id"""
+)
+
+_SUBSTRING = (
+    "WITH "
+    + _WORDS.format(text="coalesce(text, '')")
+    + """,
+ g AS (SELECT doc_id, pos, string_agg(x, ' ') OVER f AS k, count(*) OVER f AS c FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+ rep AS (SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM g WHERE c = 35) WHERE n > 1),
+ gone AS (SELECT DISTINCT doc_id, pos + unnest(range(0, 35)) AS pos FROM rep),
+ kept AS (SELECT w.doc_id, count(*) AS n_words, count(gone.pos) AS n_removed, string_agg(x, ' ' ORDER BY w.pos) FILTER (gone.pos IS NULL) AS t FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.pos = w.pos GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+)
+
+_VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+ c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id"""

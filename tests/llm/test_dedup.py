@@ -57,8 +57,9 @@ def test_exact_keeps_one(docs, rows, nothing):
     assert exact_dedup.keep_one(nothing).count() == 0 and exact_dedup.exact_dedup(nothing).count() == 0
 
 
-def test_exact_sql(spark, sf_dir):
-    agree(spark, sf_dir, registry.op10_exact_dedup, registry.oracle_sql()["op10_exact_dedup"])
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_agrees_with_sql(spark, sf_dir, name):
+    agree(spark, sf_dir, registry.queries()[name], registry.oracle_sql()[name])
 
 
 def shingles(t, n):
