@@ -2,7 +2,7 @@
 
 Two lines within an edit distance of T, cut into T + 1 segments, agree in one segment whole. The shorter line's segments
 are indexed by length and number; the longer one probes with the substrings that could match, few for each length. Lines
-that meet are sifted by how often each class of bytes occurs, which edits change little, and the rest is verified by a
+that meet are sifted by how often each class of bytes occurs, which edits change little; the rest is verified by a
 banded bit-parallel edit distance.
 """
 
@@ -17,15 +17,16 @@ from pyspark.sql import functions as F
 
 from kindred.llm.components import components
 from kindred.llm.shared import flagged, left_join_few, shared_dir, stored
-from kindred.llm.words import WHITE, buffers, mix, parts
-from kindred.llm.words import Hasher as _Hasher
+from kindred.llm.words import WHITE, Hasher, buffers, mix, parts
 
 #: Edits between linked lines at most, in UTF-8 bytes.
 EDITS = 2
 #: One edit is allowed for so many bytes of the longer line.
 BYTES_AN_EDIT = 10
-#: Counted classes of bytes in a line's sketch.
-CLASSES = 8
+#: Counted classes of bytes.
+CLASSES = 32
+_HASHER = Hasher(5)
+_ENTRY = np.dtype([("sig", "<u8"), ("id", "<u8"), ("part", "<u2"), ("sketch", "u1", CLASSES // 2)])
 
 
 def limit(length, edits: int = EDITS):
@@ -73,34 +74,34 @@ class _Lines:
 
     def __init__(self, text: pa.Array) -> None:
         self.data, off = buffers(text)
-        solid = ~WHITE[self.data]
+        place = np.flatnonzero(~WHITE[self.data])
         cut = np.unique(np.concatenate([np.flatnonzero(self.data == 10), off]))
-        place = np.flatnonzero(solid)
-        line = np.searchsorted(cut, place, "right")  # number of cuts up to each solid byte
-        new = np.concatenate([[True], line[1:] != line[:-1]]) if len(line) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        self.start = place[first]
-        self.end = place[np.append(first[1:], len(place)) - 1] + 1 if len(first) else place
+        at = np.searchsorted(place, cut)
+        some = np.flatnonzero(at[1:] > at[:-1])  # stretches between cuts with anything solid in them
+        self.start, self.end = place[at[:-1][some]], place[at[1:][some] - 1] + 1
         self.text = np.searchsorted(off, self.start, "right") - 1
         head = np.searchsorted(self.text, np.arange(len(off) - 1))
         self.number = np.arange(len(self.start)) - head[self.text] if len(self.start) else self.start
         self.count = np.bincount(self.text, minlength=len(off) - 1)
-        self.hasher = _Hasher(5)
-        self.sums = self.hasher._sums(self.hasher.byte[self.data], self.hasher.p)
-        self.inverse = self.hasher.powers(pow(self.hasher.p, -1, 1 << 64), len(self.data) + 1)
+        self.sums = _HASHER.sums(_HASHER.byte[self.data], _HASHER.p)
+        self.inverse = _HASHER.powers(pow(_HASHER.p, -1, 1 << 64), len(self.data) + 1)
         self.id = self.hash(self.start, self.end)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
-    def sketch(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Counts of byte classes, 255 at most; an edit changes their sum of differences by 2 at most."""
-        out = np.empty((len(start), CLASSES), np.uint8)
-        kind = (self.data.astype(np.uint16) * 37 >> 2) % CLASSES
-        for k in range(CLASSES):
-            c = np.concatenate([[0], np.cumsum(kind == k)])
-            out[:, k] = np.minimum(c[end] - c[start], 255)
-        return out
+    def sketch(self) -> tuple[np.ndarray, np.ndarray]:
+        """(part, sketch) per line: how often bytes of the even classes occur, and counts of all classes modulo 16, two to a byte.
+
+        An edit changes the part by 1 at most, and the sum of the counts' differences by 2.
+        """
+        step = np.zeros(len(self.data) + 1, np.int8)
+        step[self.start] += 1
+        step[self.end] -= 1
+        inside = np.flatnonzero(np.cumsum(step[:-1], dtype=np.int8))
+        at = np.repeat(np.arange(len(self.start)) * CLASSES, self.end - self.start) + (self.data[inside] & CLASSES - 1)
+        count = np.bincount(at, minlength=len(self.start) * CLASSES).reshape(-1, CLASSES)
+        return np.minimum(count[:, ::2].sum(1), 65535).astype("<u2"), ((count[:, ::2] & 15) << 4 | count[:, 1::2] & 15).astype(np.uint8)
 
 
 def _segment(length: np.ndarray, t: int, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,20 +139,24 @@ def _entries(p: _Lines, edits: int) -> tuple[np.ndarray, np.ndarray]:
                         continue
                     some = (place + shift >= 0) & (place + shift + length <= size[at])
                     put(at[some], (place + shift)[some], length[some], other[some], t, i)
-    return (np.concatenate(line), np.concatenate(sig)) if line else (np.empty(0, np.int64), np.empty(0, np.uint64))
+    return np.concatenate(line), np.concatenate(sig)
 
 
 def _alike(sketch: np.ndarray, i: np.ndarray, j: np.ndarray, edits: int) -> np.ndarray:
-    return np.abs(sketch[i].astype(np.int16) - sketch[j]).sum(1) <= 2 * edits
+    a, b, total = sketch[i], sketch[j], 0
+    for x, y in ((a >> 4, b >> 4), (a & 15, b & 15)):
+        d = (x - y) & 15
+        total = total + np.minimum(d, 16 - d).sum(1, dtype=np.int64)
+    return total <= 2 * edits
 
 
-def _pairs(sig: np.ndarray, key: np.ndarray, sketch: np.ndarray, edits: int) -> np.ndarray:
+def _pairs(sig: np.ndarray, key: np.ndarray, part: np.ndarray, sketch: np.ndarray, edits: int) -> np.ndarray:
     """Distinct pairs of keys that share a signature and have like sketches.
 
     Rows are sorted by signature and by a partial count that an edit changes by 1 at most, so partners lie near
     each other; a row is compared with those that follow it while that count fits, in steps over all rows at once.
     """
-    part = sketch[:, : CLASSES // 2].astype(np.int64).sum(1)
+    part = part.astype(np.int64)
     order = np.lexsort((key, part, sig))
     sig, key, sketch, part = sig[order], key[order], sketch[order], part[order]
     once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]) if len(sig) else np.zeros(0, bool)
@@ -175,41 +180,43 @@ def _pairs(sig: np.ndarray, key: np.ndarray, sketch: np.ndarray, edits: int) ->
 
 def _links(docs: DataFrame, total: int, edits: int, home: str) -> DataFrame:
     """(u, v): ids of different lines within the edit distance."""
-    buckets = max(64, total * 15 * 24 // (16 << 20))
+    buckets = max(64, total * 15 * 32 // (8 << 20))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches, 0, 2 << 20):
+        for b in parts(batches, 0, 1 << 20):
             p = _Lines(b.column(0))
             one = np.sort(np.unique(p.id, return_index=True)[1])
             p.start, p.end, p.id = p.start[one], p.end[one], p.id[one]
+            if not len(p.id):
+                continue
             line, sig = _entries(p, edits)
             if not len(line):
                 continue
-            sketch = p.sketch(p.start, p.end)
             at = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             heads, first = np.unique(at[order], return_index=True)
-            row = np.empty(len(line), np.dtype([("sig", "<u8"), ("id", "<u8"), ("sketch", "u1", CLASSES)]))
-            row["sig"], row["id"], row["sketch"] = sig, p.id[line], sketch[line]
+            row = np.empty(len(line), _ENTRY)
+            part, sketch = p.sketch()
+            row["sig"], row["id"], row["part"], row["sketch"] = sig, p.id[line], part[line], sketch[line]
             row = row[order]
             ends = np.append(first[1:], len(row))
             yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array([row[x:y].tobytes() for x, y in zip(first, ends)], pa.binary())], ["bucket", "rows"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, now, held = np.dtype([("sig", "<u8"), ("id", "<u8"), ("sketch", "u1", CLASSES)]), None, []
+        now, held = None, []
 
         def done() -> pa.RecordBatch:
-            r = np.frombuffer(b"".join(held), kind)
-            pairs = _pairs(r["sig"], r["id"], r["sketch"], edits)
+            r = np.frombuffer(b"".join(held), _ENTRY)
+            pairs = _pairs(r["sig"], r["id"], r["part"], r["sketch"], edits)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy().view(np.int64)) for i in (0, 1)], ["u", "v"])
 
         for b in batches:
-            for bucket, rows in zip(*(c.to_pylist() for c in b.columns)):
+            for i, bucket in enumerate(b.column(0).to_pylist()):
                 if bucket != now:
                     if held:
                         yield done()
                     now, held = bucket, []
-                held.append(rows)
+                held.append(b.column(1)[i].as_py())
         if held:
             yield done()
 

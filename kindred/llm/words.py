@@ -49,7 +49,7 @@ class Hasher:
             got = self._powers[base] = np.multiply.accumulate(got)
         return got[:n]
 
-    def _sums(self, values: np.ndarray, base: int) -> np.ndarray:
+    def sums(self, values: np.ndarray, base: int) -> np.ndarray:
         out = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * self.powers(base, len(values)), out=out[1:])
         return out
@@ -60,7 +60,7 @@ class Hasher:
         while i < len(start):
             j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, "right")))
             a, b = start[i:j] - start[i], end[i:j] - start[i]
-            c = self._sums(self.byte[data[start[i] : end[j - 1]]], self.p)
+            c = self.sums(self.byte[data[start[i] : end[j - 1]]], self.p)
             out[i:j] = (c[b] - c[a]) * self.powers(inverse, int(a[-1]) + 1)[a]
             i = j
         return mix(out)
@@ -73,7 +73,7 @@ class Hasher:
         out, inverse = np.empty(n, np.uint64), pow(self.q, -1, 1 << 64)
         for i in range(0, n, BLOCK):
             m = min(BLOCK, n - i)
-            c = self._sums(h[i : i + m + width - 1], self.q)
+            c = self.sums(h[i : i + m + width - 1], self.q)
             out[i : i + m] = (c[width : width + m] - c[:m]) * self.powers(inverse, m)
         return mix(out)
 
