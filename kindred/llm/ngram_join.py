@@ -298,13 +298,13 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], do) -> Iterator[pa.RecordBatch
     """do(bucket, a, b) on the joined blocks of each bucket; rows come sorted by it."""
     now, a, b = None, [], []
     for batch in batches:
-        for bucket, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+        for i, bucket in enumerate(batch.column(0).to_pylist()):
             if bucket != now:
                 if a:
                     yield do(now, b"".join(a), b"".join(b))
                 now, a, b = bucket, [], []
-            a.append(x)
-            b.append(y)
+            a.append(batch.column(1)[i].as_py())
+            b.append(batch.column(2)[i].as_py())
     if a:
         yield do(now, b"".join(a), b"".join(b))
 

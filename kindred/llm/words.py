@@ -18,7 +18,7 @@ WHITE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 #: Bytes or words hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,7 +103,7 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, offsets)
 
 
-def parts(batches: Iterator[pa.RecordBatch], text: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterator[pa.RecordBatch], text: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut into runs of whole rows with about `size` bytes of text each."""
     for b in batches:
         if not b.num_rows:
