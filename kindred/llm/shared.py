@@ -8,6 +8,7 @@ import tempfile
 from operator import itemgetter
 from pathlib import Path
 from uuid import uuid4
+from weakref import WeakSet
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,11 +81,21 @@ def left_join_few(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return hit.select(*df.columns, *rest).unionByName(miss.select(*df.columns, *rest))
 
 
+_tables: WeakSet[Recent] = WeakSet()
+
+
+def forget() -> None:
+    """Empties the tables that another operator has left in this worker process, which Spark uses again."""
+    for t in list(_tables):
+        t.now, t.older = {}, {}
+
+
 class Recent:
     """A table of bounded size: when full it becomes the older half, from which what is asked for again moves back."""
 
     def __init__(self, limit: int) -> None:
         self.limit, self.now, self.older = limit, {}, {}
+        _tables.add(self)
 
     def turn(self) -> None:
         """Makes room if the table is full."""

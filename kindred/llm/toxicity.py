@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import shared_dir, stored
+from kindred.llm.shared import forget, shared_dir, stored
 
 #: Labelled rows that the model is fitted on at most, by a hash of their id.
 TRAIN_ROWS = 20_000
@@ -229,6 +229,7 @@ def scorer(spark, model: Model):
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
+        forget()
         m = shipped.value
         if m.trees is None:
             return pa.array(np.full(len(text), m.base))

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from kindred.llm.shared import forget
+
 WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256)
@@ -105,6 +107,7 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def parts(batches: Iterator[pa.RecordBatch], text: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut into runs of whole rows with about `size` bytes of text each."""
+    forget()
     for b in batches:
         if not b.num_rows:
             continue
