@@ -4,11 +4,16 @@ Two lines within an edit distance of T, cut into T + 1 segments, agree in one se
 are indexed by length and number; the longer one probes with the substrings that could match, few for each length. Lines
 that meet are sifted by how often each class of bytes occurs, which edits change little; the rest is verified by a
 banded bit-parallel edit distance.
+
+Without a cap, T is a tenth of the longer line. Of m // 9 + 1 pieces of the shorter line, at least one is free of edits and
+has a neighbour to its right with one edit at most (sum the edits less one per piece from the left and start after the last
+greatest sum). So each window of the longer line looks for such a piece, and one half of the next eight bytes must
+agree too, moved by one byte at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +31,17 @@ BYTES_AN_EDIT = 10
 #: Counted classes of bytes.
 CLASSES = 32
 _HASHER = Hasher(5)
+#: Without a cap, pairs whose longer line has fewer bytes go by segments, at TWO edits.
+WIDE, TWO = 30, 2
 _ENTRY = np.dtype([("sig", "<u8"), ("id", "<u8"), ("part", "<u2"), ("sketch", "u1", CLASSES // 2)])
+_PIECE = np.dtype([("gram", "<u4"), ("next", "<u8"), ("ninth", "u1"), ("id", "<u8"), ("size", "<u2"), ("place", "<u2"), ("kind", "u1")])
+_MOST = 65535
 
 
-def limit(length, edits: int = EDITS):
-    """Edits allowed where the longer line has this length."""
+def limit(length, edits: int | None = EDITS):
+    """Edits allowed where the longer line has this length; no cap if edits is None."""
+    if edits is None:
+        return np.asarray(length) // BYTES_AN_EDIT
     return np.minimum(edits, np.asarray(length) // BYTES_AN_EDIT)
 
 
@@ -178,18 +189,126 @@ def _pairs(sig: np.ndarray, key: np.ndarray, part: np.ndarray, sketch: np.ndarra
     return np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
-def _links(docs: DataFrame, total: int, edits: int, home: str) -> DataFrame:
+def _width(size):
+    """Bytes of a piece of a line that has size // 9 edits at most to a longer one."""
+    return size // (size // 9 + 1)
+
+
+#: Widths of the pieces that a line of this length, or of more than the last, may meet.
+_WIDTHS = [{int(_width(m)) for m in range(n - n // BYTES_AN_EDIT, n + 1)} for n in range(100)]
+
+
+def _pieces(p: _Lines) -> np.ndarray:
+    """(gram hash's upper half decides the bucket) rows of _PIECE with a column `sig`: pieces of each line, and its windows."""
+    size, pad = p.end - p.start, 2 * 8 + 1
+    begin = np.cumsum(size + pad) - size - pad
+    data = np.full(int((size + pad).sum()) + 8, 10, np.uint8)  # no line holds a line feed, so it marks the end
+    to = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    data[to] = p.data[np.repeat(p.start - begin, size) + to]
+    eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    out = []
+
+    def put(line: np.ndarray, count: np.ndarray, step: np.ndarray, q: int, probe: bool) -> None:
+        at = np.repeat(line, count)
+        place = (np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)) * np.repeat(step, count)
+        where = begin[at] + place
+        row = np.empty(len(at), np.dtype([("sig", "<u8"), *((n, _PIECE[n]) for n in _PIECE.names)]))
+        row["sig"] = mix((eight[where] & np.uint64((1 << 8 * q) - 1)) * np.uint64(2 * q + 1))
+        row["gram"] = row["sig"] & np.uint64(0xFFFFFFFF)
+        row["next"], row["ninth"], row["id"] = eight[where + q], data[where + q + 8], p.id[at]
+        row["size"], row["place"], row["kind"] = np.minimum(size[at], _MOST), np.minimum(place, _MOST), 2 * q + probe
+        out.append(row)
+
+    for q in (6, 7, 8):
+        line = np.flatnonzero((size >= WIDE - WIDE // BYTES_AN_EDIT) & (_width(size) == q))
+        put(line, size[line] // 9 + 1, np.full(len(line), q), q, False)
+        meets = np.array([q in w for w in _WIDTHS])
+        line = np.flatnonzero((size >= WIDE) & meets[np.minimum(size, len(_WIDTHS) - 1)])
+        put(line, size[line] - q + 1, np.ones(len(line), np.int64), q, True)
+    return np.concatenate(out)
+
+
+def _piece_pairs(r: np.ndarray) -> np.ndarray:
+    """Distinct pairs of ids: a piece and an equal window whose lengths, places and next bytes allow the edits."""
+    found = [np.empty((0, 2), np.uint64)]
+    for q in (6, 7, 8):
+        half = 4 if q == 8 else 3
+        a, b = r[r["kind"] == 2 * q], r[r["kind"] == 2 * q + 1]
+        if not len(a) or not len(b):
+            continue
+
+        def key(x: np.ndarray, start: int, salt: int) -> np.ndarray:
+            v = x["next"] >> np.uint64(8 * start)
+            if start + half > 8:
+                v = v | x["ninth"].astype(np.uint64) << np.uint64(8 * (8 - start))
+            v = v & np.uint64((1 << 8 * half) - 1) | x["gram"].astype(np.uint64) << np.uint64(32)
+            return mix(v ^ np.uint64(salt)) & ~np.uint64(_MOST)
+
+        size = b["size"].astype(np.int64)
+        for salt, start, others in ((0, 0, (0,)), (0x5BD1E995, half, (half - 1, half, half + 1))):
+            table = key(a, start, salt) | a["size"].astype(np.uint64)
+            order = np.argsort(table)
+            table = table[order]
+            for other in others:
+                k = key(b, other, salt)
+                low = np.searchsorted(table, k | (size - size // BYTES_AN_EDIT).astype(np.uint64))
+                top = k | size.astype(np.uint64)
+                some = np.flatnonzero((low < len(table)) & (table[np.minimum(low, len(table) - 1)] <= top))
+                low = low[some]
+                count = np.searchsorted(table, top[some], "right") - low
+                ends = np.cumsum(count)
+                x = 0
+                while x < len(some):  # not too many pairs at once
+                    y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + (1 << 20), "right")))
+                    n = count[x:y]
+                    i = order[np.repeat(low[x:y] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    j = np.repeat(some[x:y], n)
+                    long, moved = size[j], b["place"][j].astype(np.int64) - a["place"][i]
+                    fits = np.abs(moved) + np.abs(long - a["size"][i] - moved) <= long // BYTES_AN_EDIT
+                    fits |= (long == _MOST) | (b["place"][j] == _MOST)
+                    u, v = a["id"][i], b["id"][j]
+                    fits &= u != v
+                    if fits.any():
+                        u, v = u[fits], v[fits]
+                        found.append(_distinct(np.stack([np.minimum(u, v), np.maximum(u, v)], 1)))
+                    x = y
+    return _distinct(np.concatenate(found))
+
+
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))] if len(pairs) else pairs
+
+
+def _few_shared(a: bytes, b: bytes, most: int, q: int = 5) -> bool:
+    """Whether the lines share fewer windows of q bytes than `most` edits leave."""
+    least = max(len(a), len(b)) - q + 1 - q * most
+    if least <= 0:
+        return False
+    hashes = []
+    for x in (a, b):
+        v = np.frombuffer(x, np.uint8).astype(np.uint64)
+        hashes.append(sum(v[k : len(v) - q + 1 + k] << np.uint64(8 * k) for k in range(q)))
+    (x, m), (y, n) = (np.unique(h, return_counts=True) for h in hashes)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int(np.minimum(m, n[at])[y[at] == x].sum()) < least
+
+
+def _links(docs: DataFrame, total: int, edits: int | None, home: str) -> DataFrame:
     """(u, v): ids of different lines within the edit distance."""
+    cap = TWO if edits is None else edits
     buckets = max(64, total * 15 * 32 // (8 << 20))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, 0, 1 << 20):
             p = _Lines(b.column(0))
             one = np.sort(np.unique(p.id, return_index=True)[1])
+            if edits is None:
+                one = one[p.end[one] - p.start[one] < WIDE]
             p.start, p.end, p.id = p.start[one], p.end[one], p.id[one]
             if not len(p.id):
                 continue
-            line, sig = _entries(p, edits)
+            line, sig = _entries(p, cap)
             if not len(line):
                 continue
             at = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -202,26 +321,57 @@ def _links(docs: DataFrame, total: int, edits: int, home: str) -> DataFrame:
             ends = np.append(first[1:], len(row))
             yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array([row[x:y].tobytes() for x, y in zip(first, ends)], pa.binary())], ["bucket", "rows"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def done() -> pa.RecordBatch:
-            r = np.frombuffer(b"".join(held), _ENTRY)
-            pairs = _pairs(r["sig"], r["id"], r["part"], r["sketch"], edits)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy().view(np.int64)) for i in (0, 1)], ["u", "v"])
-
-        for b in batches:
-            for i, bucket in enumerate(b.column(0).to_pylist()):
-                if bucket != now:
-                    if held:
-                        yield done()
-                    now, held = bucket, []
-                held.append(b.column(1)[i].as_py())
-        if held:
-            yield done()
-
-    blocks = docs.select("text").mapInArrow(put, "bucket bigint, rows binary")
-    pairs = stored(blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "u bigint, v bigint").distinct(), f"{home}/pairs")
+    def meeting(pairs_of: Callable[[bytes], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held = None, []
+
+            def done() -> pa.RecordBatch:
+                pairs = pairs_of(b"".join(held))
+                return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy().view(np.int64)) for i in (0, 1)], ["u", "v"])
+
+            for b in batches:
+                for i, bucket in enumerate(b.column(0).to_pylist()):
+                    if bucket != now:
+                        if held:
+                            yield done()
+                        now, held = bucket, []
+                    held.append(b.column(1)[i].as_py())
+            if held:
+                yield done()
+
+        return meet
+
+    def segments(raw: bytes) -> np.ndarray:
+        r = np.frombuffer(raw, _ENTRY)
+        return _pairs(r["sig"], r["id"], r["part"], r["sketch"], cap)
+
+    def put_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches, 0, 1 << 20):
+            p = _Lines(b.column(0))
+            one = np.sort(np.unique(p.id, return_index=True)[1])
+            p.start, p.end, p.id = p.start[one], p.end[one], p.id[one]
+            row = _pieces(p) if len(p.id) else ()
+            if not len(row):
+                continue
+            at = ((row["sig"] >> np.uint64(32)) * np.uint64(many) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            heads, first = np.unique(at[order], return_index=True)
+            short = np.empty(len(row), _PIECE)
+            for n in _PIECE.names:
+                short[n] = row[n][order]
+            ends = np.append(first[1:], len(row))
+            yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array([short[x:y].tobytes() for x, y in zip(first, ends)], pa.binary())], ["bucket", "rows"])
+
+    def met(put: Callable, pairs_of: Callable) -> DataFrame:
+        blocks = docs.select("text").mapInArrow(put, "bucket bigint, rows binary")
+        return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meeting(pairs_of), "u bigint, v bigint")
+
+    both = met(put, segments)
+    if edits is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        many = max(64, size * 9 // 8 * _PIECE.itemsize // (8 << 20))
+        both = both.union(met(put_pieces, lambda raw: _piece_pairs(np.frombuffer(raw, _PIECE))))
+    pairs = stored(both.distinct(), f"{home}/pairs")
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,19 +389,19 @@ def _links(docs: DataFrame, total: int, edits: int, home: str) -> DataFrame:
         out = []
         for x, y in zip(a.to_pylist(), b.to_pylist()):
             most = int(limit(max(len(x), len(y)), edits))
-            out.append(edit_distance(x, y, most) <= most)
+            out.append(not (most > TWO and _few_shared(x, y, most)) and edit_distance(x, y, most) <= most)
         return pa.array(out, pa.bool_())
 
     two = pairs.join(lines.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(lines.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
     return two.where(near("a", "b")).select("u", "v")
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int | None = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_dropped, kept_text.
 
     Lines are parted by line feeds and stripped of the bytes 20 and 09 to 0D (hexadecimal); empty ones don't count.
-    Equal lines, and lines whose edit distance in UTF-8 bytes is at most `edits` and a tenth of the longer one's length,
-    are linked. Of all lines that links join, the first stays: smallest id (a null id last), then least text hash, then
+    Equal lines, and lines whose edit distance in UTF-8 bytes is at most `edits` (None: no such cap) and a tenth of the
+    longer one's length, are linked. Of all lines that links join, the first stays: smallest id (a null id last), then least text hash, then
     least line number; kept_text has the lines that stay, as they are, joined by line feeds. Null and empty texts have no
     lines; rows repeated with one id and text keep the same lines; an empty table gives no rows; other columns are ignored.
     """

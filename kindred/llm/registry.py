@@ -56,7 +56,7 @@ def op8_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, d: str) -> DataFrame:
-    out = line_dedup.line_dedup(_docs(spark, d))
+    out = line_dedup.line_dedup(_docs(spark, d), edits=None)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

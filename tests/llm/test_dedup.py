@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +231,59 @@ def test_lines(spark, docs, nothing):
     assert line_dedup.line_dedup(docs).count() == docs.count()
 
 
+def near_lines(rng):
+    """Lines of 20 to 700 bytes with copies that have up to one edit for seven bytes, spread or in one place."""
+    part = ["th", "er", "on", "an", "é", "à ", "ing", " the ", " of ", "re", "s ", ". "]
+    out = []
+    for n in [rng.randrange(20, 120) for _ in range(40)] + [rng.randrange(120, 700) for _ in range(15)]:
+        line = ""
+        while len(line.encode()) < n:
+            line += rng.choice(part)
+        out.append(line)
+        for _ in range(4):
+            s, step = list(line), rng.randrange(7, 14)
+            for k in range(rng.randrange(step), len(s), step):
+                s[k] = rng.choice(["", "z", s[k] + "q"])
+            out.append("".join(s))
+        k = rng.randrange(len(line))
+        out.append(line[:k] + line[k + len(line) // rng.randrange(9, 14) :])
+    return sorted({x.encode().strip(WHITE) for x in out} - {b""})
+
+
+def test_pieces_find_every_near_pair():
+    lines = near_lines(random.Random(5))
+    p = line_dedup._Lines(pa.array([x.decode() for x in lines]))
+    assert len(p.id) == len(lines)
+    name = {int(h): i for i, h in enumerate(p.id)}
+    found = {tuple(sorted((name[int(u)], name[int(v)]))) for u, v in line_dedup._piece_pairs(line_dedup._pieces(p))}
+    want = set()
+    for i, x in enumerate(lines):
+        for j, y in enumerate(lines[:i]):
+            most = max(len(x), len(y)) // 10
+            if max(len(x), len(y)) >= line_dedup.WIDE and line_dedup.edit_distance(x, y, most) <= most:
+                want.add((j, i))
+                assert not line_dedup._few_shared(x, y, most)
+    assert len(want) > 100 and want <= found, sorted(want - found)[:3]
+
+
+def test_lines_without_a_cap(spark):
+    """The registered query links lines of any length by one edit for ten bytes."""
+    lines = near_lines(random.Random(6))
+    root = list(range(len(lines)))
+    for i, x in enumerate(lines):
+        for j, y in enumerate(lines[:i]):
+            most = max(len(x), len(y)) // 10
+            if line_dedup.edit_distance(x, y, most) <= most:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    seen, want = set(), Counter()
+    for i, x in enumerate(lines):
+        want[(i, 1, int(root[i] in seen))] += 1
+        seen.add(root[i])
+    df = spark.createDataFrame([(i, x.decode()) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    assert bag(line_dedup.line_dedup(df, edits=None), "doc_id", "n_lines", "n_dropped") == want
+
+
 def vectors(rng):
     out = []
     for i in range(150):
