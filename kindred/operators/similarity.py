@@ -2,6 +2,7 @@
 
 Every search takes (id, v, norm) relations. Seeds reach the pool in blocks nested in arrays, so that a
 pool row meets a few wide rows instead of one row per pair, and the maximum is folded inside the expression.
+With `others` both sides come from one table, and no row is compared with itself (the same id).
 """
 
 from __future__ import annotations
@@ -23,75 +24,82 @@ BLOCK = 256
 BROADCAST_BYTES = 64 << 20
 
 
-def cosine_pairs(pool: DataFrame, seeds: DataFrame) -> DataFrame:
+def cosine_pairs(pool: DataFrame, seeds: DataFrame, others: bool = False) -> DataFrame:
     """(id, seed_id, sim) of every pair, for a stated seed set; null similarity for a zero norm."""
     s = seeds.select(F.col("id").alias("seed_id"), F.col("v").alias("sv"), F.col("norm").alias("sn"))
-    return pool.crossJoin(s).select("id", "seed_id", V.cosine("v", "sv", "norm", "sn").alias("sim"))
+    both = pool.crossJoin(s)
+    both = both.where("id <> seed_id") if others else both
+    return both.select("id", "seed_id", V.cosine("v", "sv", "norm", "sn").alias("sim"))
 
 
-def _blocks(seeds: DataFrame, *keys: str) -> DataFrame:
-    """Seeds nested in blocks of about BLOCK; a hot bucket becomes many blocks, never one row."""
+def _blocks(seeds: DataFrame, *keys: str, ids: bool = False) -> DataFrame:
+    """Seeds nested in blocks of about BLOCK, as (id, v) if ids are asked for; a hot bucket becomes many blocks, never one row."""
     number = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("_n") / BLOCK)))
     live = seeds.where("norm > 0").select(*keys, "id", "v", "norm")
     n = live.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     live = live.join(n, list(keys)) if keys else live.crossJoin(F.broadcast(n))
     unit = F.transform("v", lambda x: x / F.col("norm"))
-    return live.groupBy(*keys, number.alias("_block")).agg(F.collect_list(unit).alias("_seeds"))
+    seed = F.struct("id", unit.alias("v")) if ids else unit
+    return live.groupBy(*keys, number.alias("_block")).agg(F.collect_list(seed).alias("_seeds"))
 
 
-def _fold(joined: DataFrame) -> DataFrame:
+def _fold(joined: DataFrame, others: bool = False) -> DataFrame:
     """(id, sim): the greatest cosine over the nested seeds, 0 at least."""
+    if others:
+        seeds = F.transform(F.filter("_seeds", lambda s: s["id"] != F.col("id")), lambda s: s["v"])
+        joined = joined.withColumn("_seeds", seeds).where("_seeds IS NULL OR size(_seeds) > 0 OR _keep")
     best = F.aggregate(F.col("_seeds"), F.lit(0.0), lambda m, s: F.greatest(m, V.dot("v", s)))
     sim = F.when(F.col("norm") > 0, F.try_divide(best, F.col("norm"))).otherwise(F.lit(0.0))
     return joined.select("id", F.coalesce(sim, F.lit(0.0)).alias("_s")).groupBy("id").agg(F.max("_s").alias("sim"))
 
 
-def brute_max_sim(pool: DataFrame, seeds: DataFrame) -> DataFrame:
+def brute_max_sim(pool: DataFrame, seeds: DataFrame, others: bool = False) -> DataFrame:
     """Best cosine to any seed, floored at 0; zero-norm pool rows are left out.
 
     Each pool row meets each block of the seeds, a stated query set; the block side is broadcast only
     when Spark's own statistics put it under the threshold, otherwise it is a blocked product.
     """
-    return _fold(pool.where("norm > 0").crossJoin(_blocks(seeds)))
+    return _fold(pool.where("norm > 0").crossJoin(_blocks(seeds, ids=others)).withColumn("_keep", F.lit(False)), others)
 
 
-def brute_topk(pool: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    return topk(brute_max_sim(pool, seeds), k)
+def brute_topk(pool: DataFrame, seeds: DataFrame, k: int, others: bool = False) -> DataFrame:
+    return topk(brute_max_sim(pool, seeds, others), k)
 
 
-def brute_max_sim_arrow(pool: DataFrame, seeds: DataFrame) -> DataFrame:
+def brute_max_sim_arrow(pool: DataFrame, seeds: DataFrame, others: bool = False) -> DataFrame:
     """As brute_max_sim, by matrix products on Arrow batches; beyond BROADCAST_BYTES of seeds the blocked product runs."""
     n, width = seeds.where("norm > 0").agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if n * (width or 0) * 8 > BROADCAST_BYTES:
-        return brute_max_sim(pool, seeds)
+        return brute_max_sim(pool, seeds, others)
     one = lambda df: df.withColumn("bucket", F.lit(0))
-    return lsh_max_sim_arrow(one(pool.where("norm > 0")), one(seeds), keep_unmatched=False)
+    return lsh_max_sim_arrow(one(pool.where("norm > 0")), one(seeds), keep_unmatched=False, others=others)
 
 
-def lsh_max_sim(pool: DataFrame, seeds: DataFrame, keep_unmatched: bool = True) -> DataFrame:
+def lsh_max_sim(pool: DataFrame, seeds: DataFrame, keep_unmatched: bool = True, others: bool = False) -> DataFrame:
     """Best cosine to a seed of the same bucket; both sides carry `bucket`.
 
     keep_unmatched: pool rows without such a seed, or of zero norm, come out at 0; otherwise they go.
     """
     left = pool if keep_unmatched else pool.where("norm > 0")
-    return _fold(left.join(_blocks(seeds, "bucket"), "bucket", "left" if keep_unmatched else "inner"))
+    met = left.join(_blocks(seeds, "bucket", ids=others), "bucket", "left" if keep_unmatched else "inner")
+    return _fold(met.withColumn("_keep", F.lit(keep_unmatched)), others)
 
 
-def lsh_topk(pool: DataFrame, seeds: DataFrame, k: int, keep_unmatched: bool = True) -> DataFrame:
-    return topk(lsh_max_sim(pool, seeds, keep_unmatched), k)
+def lsh_topk(pool: DataFrame, seeds: DataFrame, k: int, keep_unmatched: bool = True, others: bool = False) -> DataFrame:
+    return topk(lsh_max_sim(pool, seeds, keep_unmatched, others), k)
 
 
-def lsh_max_sim_arrow(pool: DataFrame, seeds: DataFrame, keep_unmatched: bool = True) -> DataFrame:
+def lsh_max_sim_arrow(pool: DataFrame, seeds: DataFrame, keep_unmatched: bool = True, others: bool = False) -> DataFrame:
     """As lsh_max_sim, by matrix products on Arrow batches.
 
     The seeds are shipped only if their measured size is under BROADCAST_BYTES; otherwise the join runs.
     """
-    live = seeds.where("norm > 0").select("bucket", "v", "norm")
+    live = seeds.where("norm > 0").select("bucket", "id", "v", "norm")
     n, width = live.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if n * (width or 0) * 8 > BROADCAST_BYTES:
-        return lsh_max_sim(pool, seeds, keep_unmatched)
+        return lsh_max_sim(pool, seeds, keep_unmatched, others)
     rows = live.toPandas()
-    shipped = pool.sparkSession.sparkContext.broadcast({int(b): np.stack(g["v"].to_list()) / g["norm"].to_numpy()[:, None] for b, g in rows.groupby("bucket")})
+    shipped = pool.sparkSession.sparkContext.broadcast({int(b): (g["id"].to_numpy(), np.stack(g["v"].to_list()) / g["norm"].to_numpy()[:, None]) for b, g in rows.groupby("bucket")})
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by = shipped.value
@@ -100,10 +108,13 @@ def lsh_max_sim_arrow(pool: DataFrame, seeds: DataFrame, keep_unmatched: bool =
             sim, seen = np.zeros(len(df)), np.zeros(len(df), bool)
             for b, at in df[live_row].groupby("bucket").indices.items():
                 at = np.flatnonzero(live_row)[at]
-                if (m := by.get(int(b))) is not None:
-                    v = np.stack(df["v"].iloc[at].to_list())
-                    sim[at] = np.maximum(0.0, (v @ m.T).max(axis=1) / df["norm"].to_numpy()[at])
-                    seen[at] = True
+                if (found := by.get(int(b))) is not None:
+                    ids, m = found
+                    dots = np.stack(df["v"].iloc[at].to_list()) @ m.T
+                    if others:
+                        dots[df["id"].to_numpy()[at][:, None] == ids] = -np.inf
+                    sim[at] = np.maximum(0.0, dots.max(axis=1) / df["norm"].to_numpy()[at])
+                    seen[at] = (dots > -np.inf).any(axis=1)
             out = pd.DataFrame({"id": df["id"], "sim": sim})
             yield out if keep_unmatched else out[seen]
 
@@ -124,21 +135,21 @@ def candidates(pool: DataFrame, summary: DataFrame, min_bound_seeds: int) -> Dat
     return out.withColumn("ub", ub).withColumn("certain", certain).drop("centroid", "c_norm")
 
 
-def _phases(pool: DataFrame, seeds: DataFrame, k: int, min_bound_seeds: int, centroid: str) -> tuple[DataFrame, DataFrame]:
+def _phases(pool: DataFrame, seeds: DataFrame, k: int, min_bound_seeds: int, centroid: str, others: bool = False) -> tuple[DataFrame, DataFrame]:
     cand = candidates(pool, bucket_summary(seeds, centroid), min_bound_seeds)
-    phase1 = lsh_max_sim(cand.where("certain"), seeds, keep_unmatched=False)
+    phase1 = lsh_max_sim(cand.where("certain"), seeds, keep_unmatched=False, others=others)
     tau = topk(phase1, k).agg(F.when(F.count(F.lit(1)) < k, F.lit(0.0)).otherwise(F.min("sim")).alias("tau"))
     deferred = cand.where("NOT certain").crossJoin(F.broadcast(tau))  # one row
     return phase1, deferred.withColumn("pruned", F.greatest("ub", F.lit(0.0)) + 1e-7 < F.col("tau"))
 
 
-def bound_topk(pool: DataFrame, seeds: DataFrame, k: int, min_bound_seeds: int = 10, centroid: str = "mean") -> DataFrame:
+def bound_topk(pool: DataFrame, seeds: DataFrame, k: int, min_bound_seeds: int = 10, centroid: str = "mean", others: bool = False) -> DataFrame:
     """The same answer as the inner bucketed search, without scoring rows whose bound is under the k-th best.
 
     The threshold is fixed after the certain rows; with fewer than k of those nothing is pruned.
     """
-    phase1, deferred = _phases(pool, seeds, k, min_bound_seeds, centroid)
-    phase2 = lsh_max_sim(deferred.where("NOT pruned"), seeds, keep_unmatched=False)
+    phase1, deferred = _phases(pool, seeds, k, min_bound_seeds, centroid, others)
+    phase2 = lsh_max_sim(deferred.where("NOT pruned"), seeds, keep_unmatched=False, others=others)
     return topk(phase1.unionByName(phase2), k)
 
 

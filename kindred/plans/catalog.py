@@ -1,11 +1,13 @@
 """The registered queries over the `embeddings` table, each with the SQL that it must agree with.
 
-Seeds are the vectors with vec_id % 5 = 0, the pool the rest. Similarities are rounded to 6 digits.
+Seeds are the vectors with vec_id % 5 = 0, the pool the rest. A search NAME_all takes the query set vec_id % 50 = 0 against
+all rows but the query itself. Similarities are rounded to 6 digits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 from pathlib import PurePosixPath
 from uuid import uuid4
 
@@ -21,10 +23,12 @@ K, BITS, DIMS, SAMPLES = 20, 5, 64, 10
 R6 = lambda c: F.round(c, 6)
 
 
-def _both(spark: SparkSession, sf_dir: str, dims: int = DIMS, bits: int | None = BITS) -> tuple[DataFrame, DataFrame]:
-    """(pool, seeds), with buckets unless bits is None."""
+def _both(spark: SparkSession, sf_dir: str, dims: int = DIMS, bits: int | None = BITS, others: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(pool, seeds), with buckets unless bits is None; others: the pool is the whole table."""
     e = prepare(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", dims)
     e = e if bits is None else hashing.with_bucket(e, V.fixture_planes(bits, dims))
+    if others:
+        return e, e.where(F.col("id") % 50 == 0)
     return e.where(F.col("id") % 5 != 0), e.where(F.col("id") % 5 == 0)
 
 
@@ -66,9 +70,9 @@ def vec_norm(spark, d):
     return _all(spark, d, bits=None).select("id", R6("norm").alias("norm"), R6(F.col("norm") * F.col("norm")).alias("sq"))
 
 
-def cosine_pairs(spark, d):
-    pool, seeds = _both(spark, d, bits=None)
-    return similarity.cosine_pairs(pool, seeds).select("id", "seed_id", R6("sim").alias("sim"))
+def cosine_pairs(spark, d, others=False):
+    pool, seeds = _both(spark, d, bits=None, others=others)
+    return similarity.cosine_pairs(pool, seeds, others).select("id", "seed_id", R6("sim").alias("sim"))
 
 
 def zero_norm_guard(spark, d):
@@ -106,10 +110,10 @@ def best_signature(spark, d):
     return hashing.best_signature(_both(spark, d, bits=None)[1], _samples())
 
 
-def best_lsh_topk(spark, d):
-    pool, seeds = _both(spark, d, bits=None)
+def best_lsh_topk(spark, d, others=False):
+    pool, seeds = _both(spark, d, bits=None, others=others)
     planes = hashing.best_planes(seeds, _samples())
-    return _sim(similarity.lsh_topk(hashing.with_bucket(pool, planes), hashing.with_bucket(seeds, planes), K))
+    return _sim(similarity.lsh_topk(hashing.with_bucket(pool, planes), hashing.with_bucket(seeds, planes), K, others=others))
 
 
 def lsh_cost(spark, d):
@@ -148,9 +152,9 @@ def bound_classify(spark, d):
 
 
 def _bound(dims: int, bits: int, least: int, centroid: str = "mean"):
-    def run(spark, d):
-        pool, seeds = _both(spark, d, dims, bits)
-        return _sim(similarity.bound_topk(pool, seeds, K, least, centroid))
+    def run(spark, d, others=False):
+        pool, seeds = _both(spark, d, dims, bits, others)
+        return _sim(similarity.bound_topk(pool, seeds, K, least, centroid, others))
 
     return run
 
@@ -160,46 +164,46 @@ def bound_prune_stats(spark, d):
     return similarity.bound_prune_stats(pool, seeds, K)
 
 
-def brute_max_sim(spark, d):
-    return _sim(similarity.brute_max_sim(*_both(spark, d, bits=None)))
+def brute_max_sim(spark, d, others=False):
+    return _sim(similarity.brute_max_sim(*_both(spark, d, bits=None, others=others), others=others))
 
 
-def brute_topk(spark, d):
-    return _sim(similarity.brute_topk(*_both(spark, d, bits=None), K))
+def brute_topk(spark, d, others=False):
+    return _sim(similarity.brute_topk(*_both(spark, d, bits=None, others=others), K, others=others))
 
 
-def brute_topk_arrow(spark, d):
-    return _sim(ranking.topk(similarity.brute_max_sim_arrow(*_both(spark, d, bits=None)), K))
+def brute_topk_arrow(spark, d, others=False):
+    return _sim(ranking.topk(similarity.brute_max_sim_arrow(*_both(spark, d, bits=None, others=others), others=others), K))
 
 
-def max_sim(spark, d):
-    return _sim(similarity.lsh_max_sim(*_both(spark, d), keep_unmatched=False))
+def max_sim(spark, d, others=False):
+    return _sim(similarity.lsh_max_sim(*_both(spark, d, others=others), keep_unmatched=False, others=others))
 
 
-def lsh_topk(spark, d):
-    return _sim(similarity.lsh_topk(*_both(spark, d), K))
+def lsh_topk(spark, d, others=False):
+    return _sim(similarity.lsh_topk(*_both(spark, d, others=others), K, others=others))
 
 
-def lsh_topk_arrow(spark, d):
-    return _sim(ranking.topk(similarity.lsh_max_sim_arrow(*_both(spark, d)), K))
+def lsh_topk_arrow(spark, d, others=False):
+    return _sim(ranking.topk(similarity.lsh_max_sim_arrow(*_both(spark, d, others=others), others=others), K))
 
 
-def recall(spark, d):
-    got = evaluate.recall(similarity.brute_topk(*_both(spark, d, bits=None), K), similarity.lsh_topk(*_both(spark, d), K))
+def recall(spark, d, others=False):
+    got = evaluate.recall(similarity.brute_topk(*_both(spark, d, bits=None, others=others), K, others=others), similarity.lsh_topk(*_both(spark, d, others=others), K, others=others))
     return got.withColumn("recall", R6("recall"))
 
 
-def _dist(spark, d):
-    pool, seeds = _both(spark, d, bits=None)
-    return similarity.cosine_pairs(pool, seeds).select(F.col("seed_id").alias("query_id"), "id", (1 - F.col("sim")).alias("dist"))
+def _dist(spark, d, others=False):
+    pool, seeds = _both(spark, d, bits=None, others=others)
+    return similarity.cosine_pairs(pool, seeds, others).select(F.col("seed_id").alias("query_id"), "id", (1 - F.col("sim")).alias("dist"))
 
 
-def perquery_topk(spark, d):
-    return ranking.perquery_topk(_dist(spark, d), 5).withColumn("dist", R6("dist"))
+def perquery_topk(spark, d, others=False):
+    return ranking.perquery_topk(_dist(spark, d, others), 5).withColumn("dist", R6("dist"))
 
 
-def perquery_kth(spark, d):
-    return ranking.perquery_kth(_dist(spark, d), 5).withColumn("kth", R6("kth"))
+def perquery_kth(spark, d, others=False):
+    return ranking.perquery_kth(_dist(spark, d, others), 5).withColumn("kth", R6("kth"))
 
 
 def planes_from_text(spark, d):
@@ -216,16 +220,16 @@ def planes_roundtrip(spark, d):
     return hashing.with_bucket(_all(spark, d, bits=None), planes).select("id", "bucket")
 
 
-def topk_sink(spark, d):
+def topk_sink(spark, d, others=False):
     path = shared_dir(spark)
-    source.write_topk(similarity.lsh_topk(*_both(spark, d), K), path)
+    source.write_topk(similarity.lsh_topk(*_both(spark, d, others=others), K, others=others), path)
     return source.read_ids(spark, path)
 
 
-def recall_vs_baseline(spark, d):
+def recall_vs_baseline(spark, d, others=False):
     path = shared_dir(spark)
-    source.write_topk(similarity.brute_topk(*_both(spark, d, bits=None), K), path)
-    got = evaluate.recall(source.read_ids(spark, path), similarity.lsh_topk(*_both(spark, d), K))
+    source.write_topk(similarity.brute_topk(*_both(spark, d, bits=None, others=others), K, others=others), path)
+    got = evaluate.recall(source.read_ids(spark, path), similarity.lsh_topk(*_both(spark, d, others=others), K, others=others))
     return got.withColumn("recall", R6("recall"))
 
 
@@ -241,6 +245,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 } | {"bound_topk": _bound(DIMS, BITS, 1), "bound_topk_3d": _bound(3, 3, 10), "bound_topk_medoid": _bound(DIMS, BITS, 1, "medoid")}
 
+#: Searches that are registered over the whole table too.
+SEARCHES = (
+    "brute_topk", "brute_topk_arrow", "brute_max_sim", "lsh_topk", "lsh_topk_arrow", "max_sim", "best_lsh_topk", "bound_topk", "bound_topk_3d",
+    "bound_topk_medoid", "perquery_topk", "perquery_kth", "cosine_pairs", "recall", "recall_vs_baseline", "topk_sink",
+)
+QUERIES |= {f"{n}_all": partial(QUERIES[n], others=True) for n in SEARCHES}
+
 
 # SQL -------------------------------------------------------------------------
 
@@ -330,3 +341,18 @@ ORACLE: dict[str, str] = {
     "perquery_topk": _sql(f"{_DIST} SELECT query_id, rank, id, round(dist, 6) AS dist FROM r WHERE rank <= 5"),
     "perquery_kth": _sql(f"{_DIST} SELECT query_id, round(max(dist), 6) AS kth FROM r WHERE rank <= 5 GROUP BY query_id"),
 }
+
+
+def _all_sql(sql: str) -> str:
+    """The same over the whole table: queries id % 50 = 0, no row with itself."""
+    for old, new in (
+        ("p AS (SELECT * FROM h WHERE id % 5 <> 0), s AS (SELECT * FROM h WHERE id % 5 = 0)", "p AS (SELECT * FROM h), s AS (SELECT * FROM h WHERE id % 50 = 0)"),
+        ("FROM p, s", "FROM p, s WHERE p.id <> s.id"),
+        ("JOIN s USING (sample, bucket)", "JOIN s ON s.sample = p.sample AND s.bucket = p.bucket AND s.id <> p.id"),
+        ("LEFT JOIN s ON s.sample = p.sample AND s.bucket = p.bucket GROUP", "LEFT JOIN s ON s.sample = p.sample AND s.bucket = p.bucket AND s.id <> p.id GROUP"),
+    ):
+        sql = sql.replace(old, new)
+    return sql
+
+
+ORACLE |= {f"{n}_all": _all_sql(ORACLE[n]) for n in SEARCHES}

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from kindred.plans import catalog
@@ -11,3 +12,14 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_agrees_with_sql(spark, sf_dir, name):
     agree(spark, sf_dir, catalog.QUERIES[name], catalog.ORACLE[name])
+
+
+def test_whole_table_is_searched(spark, sf_dir):
+    """The query set id % 50 = 0 meets all rows but itself: rows with id % 5 = 0 are found too."""
+    e = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    unit = {i: v / np.linalg.norm(v) for i, v in e.items()}
+    best = {i: max([0.0] + [float(v @ unit[q]) for q in unit if q % 50 == 0 and q != i]) for i, v in unit.items()}
+    want = sorted(best, key=lambda i: (-round(best[i], 9), i))[: catalog.K]
+    assert any(i % 5 == 0 for i in want)
+    for name in ("brute_topk_all", "brute_topk_arrow_all"):
+        assert {r["id"] for r in catalog.QUERIES[name](spark, sf_dir).collect()} == set(want)
