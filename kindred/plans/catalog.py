@@ -37,6 +37,14 @@ def _all(spark: SparkSession, sf_dir: str, dims: int = DIMS, bits: int | None =
     return e if bits is None else hashing.with_bucket(e, V.fixture_planes(bits, dims))
 
 
+def _pool(spark: SparkSession, sf_dir: str, dims: int = DIMS, bits: int | None = BITS) -> DataFrame:
+    return _both(spark, sf_dir, dims, bits)[0]
+
+
+def _seeds(spark: SparkSession, sf_dir: str, dims: int = DIMS, bits: int | None = BITS) -> DataFrame:
+    return _both(spark, sf_dir, dims, bits)[1]
+
+
 def _samples(bits: int = BITS, dims: int = DIMS) -> list[list[list[float]]]:
     return [V.fixture_planes(bits, dims, s) for s in range(SAMPLES)]
 
@@ -66,6 +74,13 @@ def vec_dot(spark, d):
     return pool.crossJoin(s).select("id", R6(V.dot("v", "sv")).alias("dot"))
 
 
+def vec_dot_all(spark, d):
+    """Every row with every row of the query set but itself."""
+    pool, seeds = _both(spark, d, bits=None, others=True)
+    s = seeds.select(F.col("id").alias("seed_id"), F.col("v").alias("sv"))
+    return pool.crossJoin(s).where("id <> seed_id").select("id", "seed_id", R6(V.dot("v", "sv")).alias("dot"))
+
+
 def vec_norm(spark, d):
     return _all(spark, d, bits=None).select("id", R6("norm").alias("norm"), R6(F.col("norm") * F.col("norm")).alias("sq"))
 
@@ -93,21 +108,21 @@ def lsh_signature(spark, d):
     return _all(spark, d).select("id", "bucket")
 
 
-def bucket_members(spark, d):
-    got = hashing.bucket_members(_both(spark, d)[1])
+def bucket_members(spark, d, side=_seeds):
+    got = hashing.bucket_members(side(spark, d))
     return got.select("bucket", F.size("ids").cast("bigint").alias("n"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-def bucket_hist(spark, d):
-    return hashing.bucket_hist(_both(spark, d)[0])
+def bucket_hist(spark, d, side=_pool):
+    return hashing.bucket_hist(side(spark, d))
 
 
-def signature_cost(spark, d):
-    return hashing.signature_cost(_both(spark, d, bits=None)[1], _samples())
+def signature_cost(spark, d, side=_seeds):
+    return hashing.signature_cost(side(spark, d, bits=None), _samples())
 
 
-def best_signature(spark, d):
-    return hashing.best_signature(_both(spark, d, bits=None)[1], _samples())
+def best_signature(spark, d, side=_seeds):
+    return hashing.best_signature(side(spark, d, bits=None), _samples())
 
 
 def best_lsh_topk(spark, d, others=False):
@@ -125,17 +140,17 @@ def lsh_cost_study(spark, d):
     return got.withColumn("avg_pairs", R6("avg_pairs"))
 
 
-def bucket_centroid(spark, d):
-    got = summary.bucket_centroid(_both(spark, d)[1])
+def bucket_centroid(spark, d, side=_seeds):
+    got = summary.bucket_centroid(side(spark, d))
     return got.select("bucket", "n_seeds", R6("c_norm").alias("c_norm"), F.posexplode("centroid").alias("pos", "c")).withColumn("c", R6("c"))
 
 
-def bucket_medoid(spark, d):
-    return summary.bucket_medoid(_both(spark, d)[1]).withColumn("min_cos", R6("min_cos"))
+def bucket_medoid(spark, d, side=_seeds):
+    return summary.bucket_medoid(side(spark, d)).withColumn("min_cos", R6("min_cos"))
 
 
-def bucket_summary(spark, d):
-    got = summary.bucket_summary(_both(spark, d)[1])
+def bucket_summary(spark, d, side=_seeds):
+    got = summary.bucket_summary(side(spark, d))
     return got.select("bucket", "n_seeds", R6("c_norm").alias("c_norm"), R6("theta_b").alias("theta_b"))
 
 
@@ -252,6 +267,10 @@ SEARCHES = (
 )
 QUERIES |= {f"{n}_all": partial(QUERIES[n], others=True) for n in SEARCHES}
 
+#: Reports that are registered over all rows too.
+REPORTS = ("bucket_hist", "bucket_members", "bucket_centroid", "bucket_medoid", "bucket_summary", "signature_cost", "best_signature")
+QUERIES |= {f"{n}_all": partial(QUERIES[n], side=_all) for n in REPORTS} | {"vec_dot_all": vec_dot_all}
+
 
 # SQL -------------------------------------------------------------------------
 
@@ -356,3 +375,5 @@ def _all_sql(sql: str) -> str:
 
 
 ORACLE |= {f"{n}_all": _all_sql(ORACLE[n]) for n in SEARCHES}
+ORACLE |= {f"{n}_all": ORACLE[n].replace("SELECT * FROM h WHERE id % 5 <> 0", "SELECT * FROM h").replace("SELECT * FROM h WHERE id % 5 = 0", "SELECT * FROM h") for n in REPORTS}
+ORACLE["vec_dot_all"] = _all_sql(_sql(" SELECT p.id, s.id AS seed_id, round(list_dot_product(p.v, s.v), 6) AS dot FROM p, s"))

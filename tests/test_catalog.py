@@ -23,3 +23,13 @@ def test_whole_table_is_searched(spark, sf_dir):
     assert any(i % 5 == 0 for i in want)
     for name in ("brute_topk_all", "brute_topk_arrow_all"):
         assert {r["id"] for r in catalog.QUERIES[name](spark, sf_dir).collect()} == set(want)
+
+
+def test_reports_cover_all_rows(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    run = lambda name: catalog.QUERIES[name](spark, sf_dir)
+    assert sum(r["cnt"] for r in run("bucket_hist_all").collect()) == n
+    for name, col in (("bucket_members_all", "n"), ("bucket_summary_all", "n_seeds")):
+        assert sum(r[col] for r in run(name).collect()) == n
+    queries = (n + 49) // 50
+    assert run("vec_dot_all").count() == queries * n - queries
