@@ -160,8 +160,8 @@ def upper_bound(spark, d):
     return got.select("id", "bucket", R6("theta").alias("theta"), R6("ub").alias("ub"))
 
 
-def bound_classify(spark, d):
-    pool, seeds = _both(spark, d, 3, 3)
+def bound_classify(spark, d, dims=3, bits=3):
+    pool, seeds = _both(spark, d, dims, bits)
     got = similarity.candidates(pool, summary.bucket_summary(seeds), 10)
     return got.groupBy("bucket").agg(F.max("n_seeds").alias("n_seeds"), F.count_if("certain").alias("certain"), F.count_if(~F.col("certain")).alias("deferred"))
 
@@ -174,8 +174,8 @@ def _bound(dims: int, bits: int, least: int, centroid: str = "mean"):
     return run
 
 
-def bound_prune_stats(spark, d):
-    pool, seeds = _both(spark, d, 3, 3)
+def bound_prune_stats(spark, d, dims=3, bits=3):
+    pool, seeds = _both(spark, d, dims, bits)
     return similarity.bound_prune_stats(pool, seeds, K)
 
 
@@ -271,6 +271,10 @@ QUERIES |= {f"{n}_all": partial(QUERIES[n], others=True) for n in SEARCHES}
 REPORTS = ("bucket_hist", "bucket_members", "bucket_centroid", "bucket_medoid", "bucket_summary", "signature_cost", "best_signature")
 QUERIES |= {f"{n}_all": partial(QUERIES[n], side=_all) for n in REPORTS} | {"vec_dot_all": vec_dot_all}
 
+#: Reports on the bound over whole vectors too.
+BOUNDS = ("bound_classify", "bound_prune_stats")
+QUERIES |= {f"{n}_64d": partial(QUERIES[n], dims=DIMS, bits=BITS) for n in BOUNDS}
+
 
 # SQL -------------------------------------------------------------------------
 
@@ -377,3 +381,4 @@ def _all_sql(sql: str) -> str:
 ORACLE |= {f"{n}_all": _all_sql(ORACLE[n]) for n in SEARCHES}
 ORACLE |= {f"{n}_all": ORACLE[n].replace("SELECT * FROM h WHERE id % 5 <> 0", "SELECT * FROM h").replace("SELECT * FROM h WHERE id % 5 = 0", "SELECT * FROM h") for n in REPORTS}
 ORACLE["vec_dot_all"] = _all_sql(_sql(" SELECT p.id, s.id AS seed_id, round(list_dot_product(p.v, s.v), 6) AS dot FROM p, s"))
+ORACLE |= {f"{n}_64d": _sql(ORACLE[n].removeprefix(_sql("", 3, 3))) for n in BOUNDS}

@@ -33,3 +33,11 @@ def test_reports_cover_all_rows(spark, sf_dir):
         assert sum(r[col] for r in run(name).collect()) == n
     queries = (n + 49) // 50
     assert run("vec_dot_all").count() == queries * n - queries
+
+
+def test_bound_reports_cover_whole_vectors(spark, sf_dir):
+    """The 64-component reports split the rows that the 64-component search bounds."""
+    run = lambda name: catalog.QUERIES[name](spark, sf_dir)
+    split = run("bound_classify_64d").collect()
+    assert sum(r["certain"] + r["deferred"] for r in split) == run("upper_bound").count()
+    assert sum(r["deferred"] for r in split) == run("bound_prune_stats_64d").first()["deferred"]
