@@ -53,3 +53,10 @@ def best_planes(seeds: DataFrame, samples: list[list[list[float]]]) -> list[list
     """The chosen planes; brings a single row to the driver."""
     row = best_signature(seeds, samples).first()
     return samples[row["sample"] if row and row["sample"] is not None else 0]
+
+
+def in_near_buckets(seeds: DataFrame, bits: int, flips: int) -> DataFrame:
+    """Each seed once for every bucket that differs from its own in `flips` planes at most."""
+    masks = [m for m in range(1 << bits) if m.bit_count() <= flips]
+    mask = F.explode(F.array(*[F.lit(m) for m in masks]))
+    return seeds.withColumn("_mask", mask).withColumn("bucket", F.col("bucket").bitwiseXOR(F.col("_mask"))).drop("_mask")

@@ -41,3 +41,7 @@ def test_bound_reports_cover_whole_vectors(spark, sf_dir):
     split = run("bound_classify_64d").collect()
     assert sum(r["certain"] + r["deferred"] for r in split) == run("upper_bound").count()
     assert sum(r["deferred"] for r in split) == run("bound_prune_stats_64d").first()["deferred"]
+
+
+def test_probing_reaches_the_recall_of_an_index(spark, sf_dir):
+    assert catalog.QUERIES["recall_probed"](spark, sf_dir).first()["recall"] >= 0.9
