@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kindred import run
 from kindred.functions import vector as V
 from kindred.model import Params, prepare
 from kindred.operators import evaluate, hashing, ranking, similarity, summary
@@ -106,6 +107,22 @@ def test_parameters_are_checked():
             Params(**bad)
 
 
+def test_command_line_runs_every_mode(spark, tmp_path, capsys):
+    for name, rows in (("pool", noise(40, 4, 3)), ("seeds", noise(12, 4, 4))):
+        (tmp_path / name).write_text("\n".join(",".join(map(str, v)) for _, v in rows) + "\n")
+    args = ["--pool", str(tmp_path / "pool"), "--seeds", str(tmp_path / "seeds"), "--dims", "4", "--k", "7", "--n-bits", "2"]
+    got = {m: dict(out(run.main([*args, "--mode", m], spark))) for m in ("brute", "lsh", "best", "bound")}
+    assert all(len(g) == 7 for g in got.values())
+    assert got["brute"] == dict(out(similarity.brute_topk(rel(spark, noise(40, 4, 3)), rel(spark, noise(12, 4, 4)), 7)))
+    assert dict(out(run.main([*args, "--mode", "brute", "--kernel", "arrow"], spark))) == pytest.approx(got["brute"])
+    medoid = dict(out(run.main([*args, "--mode", "bound", "--centroid", "medoid"], spark)))
+    assert medoid == pytest.approx(got["bound"])
+    capsys.readouterr()
+    found = {r["mode"]: r["matched"] for r in run.main([*args, "--mode", "compare"], spark).collect()}
+    assert found == {m: len(set(got[m]) & set(got["brute"])) for m in ("lsh", "best", "bound")}
+    assert len(capsys.readouterr().out.splitlines()) == 3
+
+
 def test_stream_scores_match_batch(spark, tmp_path):
     planes = V.random_planes(2, 3)
     pool, seeds = rel(spark, noise(30, 3, 8), planes), rel(spark, noise(9, 3, 9), planes)
