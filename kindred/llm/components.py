@@ -6,10 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import shared_dir, stored
+from kindred.llm.shared import drop, left_join_hot, shared_dir, stored
+
+
+#: Edges contracted together.
+EDGES = 1 << 18
 
 
 class Forest:
@@ -34,44 +39,62 @@ class Forest:
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch's edges as stars around the least node: same components, shorter paths."""
-    for b in batches:
-        u, v = b.column(0).to_numpy(), b.column(1).to_numpy()
-        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    """Edges as stars around the least node, EDGES at once: same components, shorter paths."""
+
+    def stars() -> pa.RecordBatch:
+        u, v = (pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+        both = pa.concat_arrays([u, v]).dictionary_encode()
+        order = pc.sort_indices(both.dictionary)
+        nodes = both.dictionary.take(order)
+        rank = np.empty(len(nodes), np.int64)
+        rank[order.to_numpy()] = np.arange(len(nodes))
+        at = rank[both.indices.to_numpy()]
         f = Forest(len(nodes))
         for i, j in zip(at[: len(u)].tolist(), at[len(u) :].tolist()):
             f.join(i, j)
         root = np.array([f.root(i) for i in range(len(nodes))], np.int64)
-        own = root != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], ["u", "v"])
+        own = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(own)), nodes.take(pa.array(root[own]))], ["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= EDGES:
+            yield stars()
+            held = []
+    if held:
+        yield stars()
 
 
-def _large(e: DataFrame) -> DataFrame:
-    both = e.union(e.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+def _large(e: DataFrame, total: int) -> DataFrame:
+    """Each edge's lesser end gives way to the least node that it has an edge to."""
+    least = e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m")
+    return left_join_hot(e, least, "v", total).select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    on = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return on.union(least.select("u", F.col("m").alias("v"))).distinct()
+    """Each node and its lesser neighbours get an edge to the least of these; they are few, for edges were contracted."""
+    to = e.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    return to.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node of each component of edges (u, v), for nodes with an edge.
+    """(node, component): the least node of each component of edges (u, v), for nodes with an edge; any type that has an order.
 
-    Self-loops and repeated edges are ignored. Each round is stored in the shared folder; the number of rounds grows
-    with the logarithm of the longest path, and only two numbers a round reach the driver.
+    Self-loops and repeated edges are ignored. Each round is stored in the shared folder, where the one before it goes;
+    the number of rounds grows with the logarithm of the longest path, and only two numbers a round reach the driver.
+    A node with very many edges is looked up in a broadcast table of bounded size.
     """
     spark, home = edges.sparkSession, shared_dir(edges.sparkSession, "components")
-    plain = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    e = stored(plain.mapInArrow(_contracted, "u bigint, v bigint").distinct(), f"{home}/0")
+    kind = dict(edges.dtypes)["u"]
+    put = lambda x, n: stored(x.distinct().mapInArrow(_contracted, f"u {kind}, v {kind}"), f"{home}/{n}")
+    e = put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"), 0)
     mark = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     was, n = mark(e), 0
     while was[0]:
         n += 1
-        e = stored(_small(_large(e)), f"{home}/{n}")
+        e = put(_small(_large(e, was[0])), n)
+        drop(spark, f"{home}/{n - 1}")
         now = mark(e)
         if now == was:
             break

@@ -2,7 +2,8 @@
 
 The texts are digested once; the digests, with the row's identifier and locator, feed a Structured Streaming
 aggregation whose state lives in RocksDB on disk, never expires, and is uploaded to the shared folder. A digest
-that comes twice is a hit: the full bytes of its rows are compared, and only then do they count as equal.
+that comes twice, in one micro-batch, in a later one or in a later lot, is a hit: the full bytes of its rows are fetched
+from where their locators point and compared, and only then do they count as equal.
 Everything is a DataFrame operation; no Python runs on the executors.
 """
 
@@ -10,13 +11,15 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import shared_dir, stored
+from kindred.llm.shared import drop, left_join_hot, made, quoted, shared_dir, stored, swept
 
 #: 64-bit words of the filter that picks the texts to compare: its rows never exceed this, so it may be broadcast.
 FILTER_WORDS = 1 << 17
+#: Micro-batches that a call's digests are dealt to, so that most hits are on state.
+BATCHES = 4
 #: State in RocksDB, with one bounded cache for all stores of an executor.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -52,10 +55,10 @@ def _conf(spark: SparkSession, values: dict[str, str]):
 
 
 def _groups(spark: SparkSession, digests: DataFrame, home: str, files_per_batch: int) -> DataFrame:
-    """(digest, best, group_size): runs the stream over the stored digests until all are in its state."""
-    best = F.max(F.struct("n_points", F.col("neg_id").isNotNull().alias("has_id"), "neg_id", "neg_row", "locator")).alias("best")
-    agg = lambda df: df.groupBy("digest").agg(best, F.count(F.lit(1)).alias("group_size"))
-    agg(digests.where(F.lit(False))).write.parquet(f"{home}/groups/batch=-1")
+    """(digest, best, group_size): runs the stream over the digests stored in home since its last run."""
+    row = F.struct("n_points", F.col("neg_id").isNotNull().alias("has_id"), "neg_id", "neg_lot", "neg_row", "locator")
+    agg = lambda df: df.groupBy("digest").agg(F.max(row).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    agg(digests.where(F.lit(False))).write.mode("overwrite").parquet(f"{home}/groups/batch=-1")
     with _conf(spark, _STATE):
         source = spark.readStream.schema(digests.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{home}/digests")
         query = (
@@ -69,67 +72,101 @@ def _groups(spark: SparkSession, digests: DataFrame, home: str, files_per_batch:
     return last.select("digest", "m.best", "m.group_size")
 
 
-def _hits(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(digest, norm) of the rows of docs whose digest came more than once; other texts aren't shuffled.
+def _unequal(norm: DataFrame, groups: DataFrame) -> bool:
+    """Whether any two texts of norm (digest, norm) share a digest; texts whose digest came once aren't shuffled.
 
-    A bit table of fixed size goes to the executors first and may let others through; the join settles it.
+    A bit table of fixed size goes to the executors first and may let others through, which does no harm.
     """
     many = groups.where("group_size > 1").select("digest")
     bits = lambda df: df.withColumn("_h", F.xxhash64("digest")).withColumn("_word", F.pmod(F.shiftright("_h", 6), F.lit(FILTER_WORDS)))
     mask = F.expr("shiftleft(1L, cast(_h & 63 AS int))")
     table = bits(many).groupBy("_word").agg(F.bit_or(mask).alias("_bits"))
-    some = bits(docs).join(F.broadcast(table), "_word").where(F.col("_bits").bitwiseAND(mask) != 0).select("digest", "norm")
-    return some.join(many, "digest")
+    some = bits(norm).join(F.broadcast(table), "_word").where(F.col("_bits").bitwiseAND(mask) != 0)
+    seen = some.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))  # combines before the shuffle
+    return not seen.where("a <> b").isEmpty()
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, files_per_batch: int = 4096) -> DataFrame:
+def _named(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
+    out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.input_file_name().alias("locator"))
+    out = out.withColumn("norm", normalised("text"))
+    return out.withColumn("digest", digest(F.col("norm")))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, files_per_batch: int | None = None, state: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are equal without white space. The row with the most code points in its
     original text stays, then the smallest id (a null id counts as the largest), then the first of repeated rows,
     of which one stays. Null texts are empty, and all empty texts are equal. An empty table gives no rows; other
-    columns are ignored.
+    columns are ignored. The stream takes files_per_batch files of digests at once, if not given a quarter of them.
+
+    state: a shared folder that keeps the stream's state. A later call, in another session too, goes on with it: docs are then
+    a further lot, and the result has the rows of all lots. The rows must come from Parquet files that stay where they are.
     """
-    spark, home = docs.sparkSession, shared_dir(docs.sparkSession, "exact")
-    norm = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("norm", normalised("text"))
-    norm = norm.withColumn("digest", digest(F.col("norm")))
-    slim = norm.select("doc_id", "digest", F.length("text").alias("n_points"), (-F.col("doc_id")).alias("neg_id"), (-F.monotonically_increasing_id()).alias("neg_row"), F.input_file_name().alias("locator"))
-    digests = stored(slim, f"{home}/digests")
-    groups = stored(_groups(spark, digests, home, files_per_batch), f"{home}/final")
-    hits = _hits(norm.select("digest", "norm"), groups)
-    seen = hits.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
-    odd = seen.where("a <> b").select("digest")
-    sha = F.lower(F.hex("digest")) if digest is sha256 else F.sha2("norm", 256)
-    sure = (
-        digests.join(groups, "digest")
-        .select("doc_id", (-F.col("best.neg_id")).alias("keep_id"), "group_size", (F.col("neg_row") == F.col("best.neg_row")).alias("kept"), "digest")
+    spark, before = docs.sparkSession, len(made)
+    home = state or shared_dir(spark, "exact")
+    norm, lot, earlier = _named(docs, id_col, text_col, digest), 0, None
+    if state:
+        earlier = _lots(spark, home)
+        lot = 0 if earlier is None else earlier.agg(F.max(-F.col("neg_lot"))).first()[0] + 1
+    slim = norm.select(
+        "doc_id", "digest", F.length("text").alias("n_points"), (-F.col("doc_id")).alias("neg_id"), F.lit(-lot).cast("bigint").alias("neg_lot"),
+        (-F.monotonically_increasing_id()).alias("neg_row"), "locator",
     )
-    if digest is sha256 and odd.isEmpty():
-        return sure.select("doc_id", "keep_id", "group_size", "kept", sha.alias("text_sha256"))
-    return _by_bytes(norm)
+    slim.write.mode("append").parquet(f"{home}/digests")
+    digests = spark.read.schema(slim.schema).parquet(f"{home}/digests")
+    if state and not digests.where("locator = ''").isEmpty():
+        raise ValueError("rows without a file can't be fetched by a later lot")
+    groups = _groups(spark, digests, home, files_per_batch or -(-len(digests.inputFiles()) // BATCHES))
+    groups = stored(groups, f"{shared_dir(spark, 'exact-groups')}/{lot}")
+    if not state:
+        drop(spark, f"{home}/state")
+        drop(spark, f"{home}/groups")
+    if earlier is not None:  # the bytes of hits on earlier lots are fetched by locator
+        hit = earlier.join(groups.where("group_size > 1"), "digest", "left_semi").select("locator").distinct()
+        files = [r[0] for r in hit.collect()]  # files, not rows
+        old = spark.read.parquet(*files) if files else docs.where(F.lit(False))
+        norm = norm.select("digest", "norm").union(_named(old, id_col, text_col, digest).select("digest", "norm"))
+    if digest is not sha256 or _unequal(norm, groups):
+        files = [r[0] for r in earlier.select("locator").distinct().collect()] if earlier is not None else []
+        everything = [docs.select(id_col, text_col), *([spark.read.parquet(*files).select(id_col, text_col)] if files else [])]
+        return _by_bytes(_named(everything[0] if len(everything) == 1 else everything[0].union(everything[1]), id_col, text_col, digest))
+    n = digests.count()
+    best = groups.select("digest", F.struct("best", "group_size").alias("g"))
+    joined = left_join_hot(digests.select("doc_id", "digest", "neg_lot", "neg_row"), best, "digest", n, groups.select("digest", F.col("group_size").alias("n")))
+    kept = (F.col("neg_lot") == F.col("g.best.neg_lot")) & (F.col("neg_row") == F.col("g.best.neg_row"))
+    out = joined.select("doc_id", (-F.col("g.best.neg_id")).alias("keep_id"), F.col("g.group_size").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return swept(out, before)
+
+
+def _lots(spark: SparkSession, home: str) -> DataFrame | None:
+    """The digests that earlier calls left in home; read as a list of files, so that it doesn't grow meanwhile."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/digests")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return spark.read.parquet(*spark.read.parquet(f"{home}/digests").inputFiles())
 
 
 def _by_bytes(norm: DataFrame) -> DataFrame:
     """The answer where different texts share a digest: groups of whole normalised texts."""
-    rows = norm.withColumn("n", F.length("text")).withColumn("_row", F.monotonically_increasing_id())
-    w = Window.partitionBy("norm")
-    first = w.orderBy(F.desc("n"), F.asc_nulls_last("doc_id"), "_row")
-    return rows.select(
-        "doc_id", F.first("doc_id").over(first).alias("keep_id"), F.count(F.lit(1)).over(w).alias("group_size"),
-        (F.row_number().over(first) == 1).alias("kept"), F.sha2("norm", 256).alias("text_sha256"),
-    )
+    rows = norm.withColumn("row", F.struct(F.length("text").alias("n"), F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("neg_id"), (-F.monotonically_increasing_id()).alias("neg_row")))
+    best = rows.groupBy("norm").agg(F.max("row").alias("best"), F.count(F.lit(1)).alias("group_size"))
+    return rows.join(best, "norm").select(
+        "doc_id", (-F.col("best.neg_id")).alias("keep_id"), "group_size", (F.col("row.neg_row") == F.col("best.neg_row")).alias("kept"), F.sha2("norm", 256).alias("text_sha256")
+    )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows repeated with one id and text, one stays."""
-    spark = docs.sparkSession
+    """The rows of docs that stay, with all their columns, whatever their names; of rows repeated with one id and text, one
+    stays (the one with the most code points, then the least text)."""
+    spark, before = docs.sparkSession, len(made)
     rows = stored(exact_dedup(docs, id_col, text_col), shared_dir(spark, "exact-rows"))
-    kept = rows.where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    same = docs[id_col].cast("bigint").eqNullSafe(kept["_keep"])
-    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(kept, same, "left_semi")
-    sha = F.sha2(normalised(docs[text_col]), 256)
-    points = F.length(F.coalesce(docs[text_col], F.lit("")))
-    pairs = docs.join(kept, same & (sha == kept["_sha"]), "inner")
-    first = Window.partitionBy("_keep", "_sha").orderBy(points.desc())
-    return pairs.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*[docs[c] for c in docs.columns])
+    many = rows.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("many")).where("many")
+    kept = rows.where("kept").select("doc_id", "text_sha256").join(many.withColumnRenamed("doc_id", "again"), F.col("doc_id").eqNullSafe(F.col("again")), "left")
+    kept = kept.select("doc_id", "text_sha256", F.col("many").isNotNull().alias("many"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    held = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
+    same = held["id"].eqNullSafe(kept["doc_id"]) & (~kept["many"] | (F.sha2(normalised(held["text"]), 256) == kept["text_sha256"]))
+    stay = held.join(kept, same)
+    one = stay.where("many").groupBy("id", "text_sha256").agg(F.min_by("row", F.struct(-F.length("text"), "text")).alias("row"))
+    return swept(stay.where("NOT many").select("row.*").union(one.select("row.*")), before)

@@ -1,6 +1,6 @@
 """Similarity join of documents on word n-gram sets by a prefix tree.
 
-Sets are kept in the global order of their 64-bit n-gram hashes. A set that links shares most of its n-grams, so sets
+Sets are kept in the global order of their 64-bit n-gram hashes; a set and a text go by a key of 128 bits. A set that links shares most of its n-grams, so sets
 with too many that no other set has are out at once. Routing of the others: the hash range is cut into one segment more
 than the number of elements in which two linked sets of a size class can differ, so linked sets agree in a whole
 segment; sets that share segments form families. In each family the sets are stored in a prefix tree, and all sets
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.components import Forest, components
-from kindred.llm.shared import flagged, shared_dir, stored
+from kindred.llm.shared import flagged, left_join_hot, made, quoted, shared_dir, stored, swept, text_key
 from kindred.llm.words import Hasher, buffers, mix, parts, split
 
 #: Sets of a family that meet in one task; larger families are cut into blocks, and every two blocks meet.
@@ -27,6 +27,7 @@ BLOCK_SETS = 1500
 BLOCK_GRAMS = 1 << 20
 #: Cells of the membership table of the probes that descend together.
 TABLE_CELLS = 1 << 26
+_FIRST, _SECOND = Hasher(3, lower=True), Hasher(4, lower=True)
 
 
 class Threshold:
@@ -52,23 +53,52 @@ class Threshold:
         return 2 * largest * (self.den - self.num) // (self.den + self.num)
 
 
-def ngram_sets(text: pa.Array, n: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+def _grams(words: tuple[np.ndarray, ...], n: int, hasher: Hasher) -> np.ndarray:
+    """A hash of the n-gram that begins at each word; in a text of fewer words, of the whole text at its first word."""
+    data, start, end, first = words
+    h = hasher.words(data, start, end)
+    g = np.zeros(len(h), np.uint64)
+    g[: max(0, len(h) - n + 1)] = hasher.windows(h, n)
+    size = np.diff(first)
+    for k in range(1, n):
+        at = first[:-1][size == k]
+        if len(at):
+            g[at] = hasher.windows(h, k)[at]
+    return g
+
+
+def _sets(words: tuple[np.ndarray, ...], g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of each text's distinct n-grams in rising order of g, offsets)."""
+    first, size = words[3], np.diff(words[3])
+    count = np.where(size < n, np.minimum(size, 1), size - n + 1)
+    of = np.repeat(np.arange(len(count)), count)
+    at = np.repeat(first[:-1] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+    order = np.lexsort((g[at], of))
+    of, at = of[order], at[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (of[1:] != of[:-1]) | (g[at[1:]] != g[at[:-1]])
+    offsets = np.zeros(len(count) + 1, np.int64)
+    np.cumsum(np.bincount(of[new], minlength=len(count)), out=offsets[1:])
+    return at[new], offsets
+
+
+def ngram_sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): per text its distinct n-grams' hashes, rising; shorter texts are one n-gram, empty ones none."""
     data, off = buffers(text)
-    start, end, first = split(data, off)
-    h = hasher.words(data, start, end)
-    g = hasher.windows(h, n)
-    sets = []
-    for a, b in zip(first.tolist(), first[1:].tolist()):
-        if b - a >= n:
-            sets.append(np.unique(g[a : b - n + 1]))
-        elif b > a:
-            sets.append(mix(hasher.windows(h[a:b], b - a) + np.uint64(b - a)))
-        else:
-            sets.append(np.empty(0, np.uint64))
-    offsets = np.zeros(len(sets) + 1, np.int64)
-    np.cumsum([len(s) for s in sets], out=offsets[1:])
-    return np.concatenate(sets) if sets else np.empty(0, np.uint64), offsets
+    words = (data, *split(data, off))
+    g = _grams(words, n, _FIRST)
+    at, offsets = _sets(words, g, n)
+    return g[at], offsets
+
+
+def keyed_sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """What ngram_sets returns, and per text the 16-byte key of its set, from two hashes of different seeds."""
+    data, off = buffers(text)
+    words = (data, *split(data, off))
+    g = _grams(words, n, _FIRST)
+    at, offsets = _sets(words, g, n)
+    both = np.stack([_keys(g[at], offsets), _keys(_grams(words, n, _SECOND)[at], offsets)], 1)
+    return g[at], offsets, pa.Array.from_buffers(pa.binary(16), len(both), [None, pa.py_buffer(both.astype("<u8").tobytes())])
 
 
 def _segments(h: np.ndarray, off: np.ndarray, size: np.ndarray, t: Threshold, up: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,35 +219,39 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
     and link with nothing; rows with equal sets are looked at once and share their class; a null id is in a class like
     any other but never its smallest; an empty table gives no rows. Other columns are ignored.
     """
-    return _classified(docs, n, num, den, id_col, text_col).select("doc_id", "n_shingles", "component_id", "n_links")
+    before = len(made)
+    return swept(_classified(docs, n, num, den, id_col, text_col).select("doc_id", "n_shingles", "component_id", "n_links"), before)
 
 
 def keep_one(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the smallest id of their class (a null id last, then the least hash of the text), with all
-    their columns; rows without shingles all stay, and rows repeated with one id and text stay or go together."""
-    seen = stored(_classified(docs, n, num, den, id_col, text_col), shared_dir(docs.sparkSession, "ngram-rows"))
+    """The rows of docs with the smallest id of their class (a null id last, then the least key of the text), with all
+    their columns, whatever their names; rows without shingles all stay, and rows repeated with one id and text stay or go together."""
+    spark, before = docs.sparkSession, len(made)
+    seen = stored(_classified(docs, n, num, den, id_col, text_col), shared_dir(spark, "ngram-rows"))
     best = seen.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "t")).alias("m")).select("m.doc_id", "m.t")
-    stay = best.union(seen.where("class IS NULL").select("doc_id", "t")).select(F.col("doc_id").alias("_keep"), F.col("t").alias("_t"))
-    same = docs[id_col].cast("bigint").eqNullSafe(stay["_keep"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == stay["_t"])
-    return docs.join(stay, same, "left_semi")
+    stay = best.union(seen.where("class IS NULL").select("doc_id", "t"))
+    held = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col(id_col).cast("bigint").alias("id"), text_key(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
+    out = held.join(stay, held["id"].eqNullSafe(stay["doc_id"]) & (held["key"] == stay["t"]), "left_semi")
+    return swept(out.select("row.*"), before)
 
 
 def _classified(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """What ngram_join returns, with the hash t of the text and the number of the class (null without shingles)."""
+    """What ngram_join returns, with the key t of the text and the number of the class (null without shingles)."""
     spark, home, t = docs.sparkSession, shared_dir(docs.sparkSession, "ngrams"), Threshold(num, den)
-    named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", text_key("text"))
 
     share = min(1.0, 2 * (1 - num / den))  # of the hash range, in the first look for sets that may link
     top = _top(share)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(3, lower=True)
         for b in parts(batches, 2):
-            h, off = ngram_sets(b.column(2), n, hasher)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_keys(h, off).view(np.int64)), pa.array(np.diff(off)), pa.array(np.diff(np.searchsorted(np.flatnonzero(h <= top), off)))], ["doc_id", "t", "key", "n", "n_low"])
+            h, off, key = keyed_sets(b.column(2), n)
+            low = np.diff(np.searchsorted(np.flatnonzero(h <= top), off))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), key.cast(pa.binary()), _shorts(key), pa.array(np.diff(off)), pa.array(low)], ["doc_id", "t", "key", "short", "n", "n_low"])
 
-    rows = stored(named.select("doc_id", "t", "text").mapInArrow(describe, "doc_id bigint, t bigint, key bigint, n bigint, n_low bigint"), f"{home}/rows")
-    reps = rows.where("n > 0").groupBy("key").agg(F.min("t").alias("t"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("n_low").alias("n_low"))
+    rows = stored(named.select("doc_id", "t", "text").mapInArrow(describe, "doc_id bigint, t binary, key binary, short bigint, n bigint, n_low bigint"), f"{home}/rows")
+    once = [F.min(c).alias(c) for c in ("t", "short", "n", "n_low")]
+    reps = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), *once)
     reps = stored(reps, f"{home}/reps")
     total = lambda df: df.agg(F.sum("n")).first()[0] or 0
     first = _possible(reps, _credits(named, n, share, total(reps)), F.col("n_low"), t)
@@ -232,10 +266,15 @@ def _classified(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_c
     low = reps.join(links, reps["key"] == links["node"], "left").select("key", "low", "copies", F.coalesce("component", "key").alias("c"))
     least = low.groupBy("c").agg(F.min("low").alias("component_id"))
     klass = low.join(least, "c").join(counts, low["key"] == counts["u"], "left").select("key", "c", "component_id", (F.col("copies") - 1 + F.coalesce("w", F.lit(0))).alias("links"))
-    out = rows.select("doc_id", "t", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(klass, "key", "left")
+    slim = rows.select("doc_id", "t", "n", F.when(F.col("n") > 0, F.col("key")).alias("key"))
+    out = left_join_hot(slim, klass, "key", rows.count())
     return out.select("doc_id", "t", F.col("c").alias("class"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
+def _shorts(key: pa.Array) -> pa.Array:
+    return pa.array((np.frombuffer(key.buffers()[1], "<u8")[::2] & _SHORT).astype(np.int64))
+
+
 def _keys(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each set."""
     size = np.diff(off)
@@ -245,7 +284,8 @@ def _keys(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return mix(key + size.astype(np.uint64))
 
 
-#: Bits of a set's key and of a signature that travel; a clash only puts two sets into one family. The bit above marks.
+#: Bits of a set's key and of a signature that travel. A clash of sets that don't link only puts both into one family; that two
+#: that link clash in these 47 bits is taken as impossible. The bit above marks.
 _SHORT = np.uint64((1 << 47) - 1)
 _MARK = np.uint64(1 << 47)
 
@@ -318,9 +358,8 @@ def _credits(docs: DataFrame, n: int, share: float, grams: int) -> DataFrame:
     buckets, top = _buckets(int(grams * share)), _top(share)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(3, lower=True)
         for b in parts(batches, 0):
-            h, off = ngram_sets(b.column(0), n, hasher)
+            h, off = ngram_sets(b.column(0), n)
             if not len(h):
                 continue
             keys = _keys(h, off) & _SHORT
@@ -361,14 +400,14 @@ def _credits(docs: DataFrame, n: int, share: float, grams: int) -> DataFrame:
 
 
 def _possible(sets: DataFrame, credit: DataFrame, looked_at: Column, t: Threshold) -> DataFrame:
-    """(t, key, n, copies) of the sets that may link at all.
+    """(t, key, short, n, copies) of the sets that may link at all.
 
     A set that links shares at least num/den of its n-grams with one other set; so no more than the rest may lack
     credit. N-grams that weren't looked at have the benefit of the doubt.
     """
     most = F.expr(f"n - ((n * {t.num} + {t.den - 1}) div {t.den})")
-    got = sets.select("t", "key", "n", "copies", looked_at.alias("seen"), F.col("key").bitwiseAND(F.lit(int(_SHORT))).alias("short")).join(credit, "short", "left")
-    return got.where(F.col("seen") - F.coalesce("shared", F.lit(0)) <= most).select("t", "key", "n", "copies")
+    got = sets.select("t", "key", "short", "n", "copies", looked_at.alias("seen")).join(credit, "short", "left")
+    return got.where(F.col("seen") - F.coalesce("shared", F.lit(0)) <= most).select("t", "key", "short", "n", "copies")
 
 
 def _meetings(docs: DataFrame, n: int, t: Threshold, grams: int) -> DataFrame:
@@ -379,9 +418,8 @@ def _meetings(docs: DataFrame, n: int, t: Threshold, grams: int) -> DataFrame:
     buckets = _buckets(grams * 2 * (t.differing(10_000) + 1) // 10_000)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(3, lower=True)
         for b in parts(batches, 0):
-            h, off = ngram_sets(b.column(0), n, hasher)
+            h, off = ngram_sets(b.column(0), n)
             if not len(h):
                 continue
             size, keys = np.diff(off), _keys(h, off) & _SHORT
@@ -400,7 +438,7 @@ def _meetings(docs: DataFrame, n: int, t: Threshold, grams: int) -> DataFrame:
 
 def _families(near: DataFrame, family: DataFrame) -> DataFrame:
     """near with family, block, blocks: sets of a family of two and more."""
-    member = near.join(family, near["key"].bitwiseAND(F.lit(int(_SHORT))) == family["node"]).withColumnRenamed("component", "family").drop("node")
+    member = near.join(family, near["short"] == family["node"]).withColumnRenamed("component", "family").drop("node")
     size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
     out = member.join(member.groupBy("family").agg(size.alias("blocks")), "family")
     return out.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
@@ -419,7 +457,7 @@ def _linked(families: DataFrame, n: int, t: Threshold) -> DataFrame:
             key = [r[1] for r in held]
             some = np.flatnonzero(w).tolist()
             return pa.RecordBatch.from_arrays(
-                [pa.array([key[i] for i, _ in edges] + [key[i] for i in some], pa.int64()), pa.array([key[j] for _, j in edges] + [None] * len(some), pa.int64()), pa.array([0] * len(edges) + w[some].tolist(), pa.int64())],
+                [pa.array([key[i] for i, _ in edges] + [key[i] for i in some], pa.binary()), pa.array([key[j] for _, j in edges] + [None] * len(some), pa.binary()), pa.array([0] * len(edges) + w[some].tolist(), pa.int64())],
                 ["u", "v", "w"],
             )
 
@@ -439,15 +477,15 @@ def _linked(families: DataFrame, n: int, t: Threshold) -> DataFrame:
         F.col("f.family").alias("family"), F.least("f.block", "o").alias("x"), F.greatest("f.block", "o").alias("y"),
         F.col("f.key").alias("key"), F.col("f.block").alias("block"), F.col("f.copies").alias("copies"), "grams",
     )
-    return spread.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(cells, "u bigint, v bigint, w bigint")
+    return spread.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(cells, "u binary, v binary, w bigint")
 
 
 def _grams_udf(n: int):
     @F.arrow_udf("binary")
     def grams(text: pa.Array) -> pa.Array:
-        hasher, out = Hasher(3, lower=True), []
+        out = []
         for b in parts(iter([pa.RecordBatch.from_arrays([text], ["t"])]), 0):
-            h, off = ngram_sets(b.column(0), n, hasher)
+            h, off = ngram_sets(b.column(0), n)
             out += [h[x:y].tobytes() for x, y in zip(off, off[1:])]
         return pa.array(out, pa.binary())
 

@@ -10,18 +10,20 @@ from pathlib import Path
 from uuid import uuid4
 from weakref import WeakSet
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Folders that this process has made.
+#: Folders that this process has made and not removed.
 made: list[str] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir. Only where that is unset, as in tests, one is made and set."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, one is made and set if all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="kindred-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{name}-{uuid4().hex}"
@@ -41,6 +43,26 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def swept(out: DataFrame, before: int) -> DataFrame:
+    """out, once the folders made since there were `before` of them are gone, but for those that out itself reads."""
+    read = out.inputFiles()
+    for path in made[before:]:
+        if not any(path.split("/")[-1] in x for x in read):
+            drop(out.sparkSession, path)
+            made.remove(path)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_key(text: str | Column) -> Column:
+    """16 bytes that stand for a text (the head of its SHA-256)."""
+    return F.substring(F.unhex(F.sha2(F.col(text) if isinstance(text, str) else text, 256)), 1, 16)
+
+
 _shipped: set[str] = set()
 
 
@@ -81,6 +103,27 @@ def left_join_few(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return hit.select(*df.columns, *rest).unionByName(miss.select(*df.columns, *rest))
 
 
+#: Keys that have more than a part in so many of all rows are hot; there can't be more of them than this.
+HOT = 10_000
+
+
+def left_join_hot(df: DataFrame, table: DataFrame, key: str, total: int, counts: DataFrame | None = None) -> DataFrame:
+    """df, of `total` rows and stored, left-joined with table on a key that is unique in table.
+
+    Keys with more than total / HOT rows of df, HOT at most, are looked up in a broadcast excerpt; the others are
+    shuffled, so that no key brings one task more than that part of the rows. counts: (key, n) where known.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = counts.where(F.col("n") * HOT > total + 10 * HOT).select(key)
+    rest = [c for c in table.columns if c != key]
+    types = dict(table.dtypes)
+    excerpt = hot.join(table, key, "left").withColumn("_hot", F.lit(True))
+    marked = df.join(F.broadcast(excerpt), key, "left")
+    warm = marked.where(F.col("_hot") | F.col(key).isNull()).select(*df.columns, *rest)
+    cold = marked.where(F.col("_hot").isNull() & F.col(key).isNotNull()).select(*df.columns)
+    return warm.unionByName(cold.join(table, key, "left").select(*df.columns, *(F.col(c).cast(types[c]) for c in rest)))
+
+
 _tables: WeakSet[Recent] = WeakSet()
 
 

@@ -1,9 +1,11 @@
 """Removal of word passages that occur more than once, by level-wise doubling of window lengths.
 
-The first level looks at windows of half the length, and only at anchors: of the half-windows inside any full window,
-the one of least hash. Two equal full windows choose equal anchors, so a full window can repeat only if its anchor
-does. Windows around anchors that repeat are extended to twice the length, and so on until the wanted length; what
-repeats there is removed. Texts equal as wholes are looked at once.
+The first level looks at short windows, and only at anchors: of the short windows inside any full window, the one of
+least hash. Two equal full windows choose equal anchors, so a full window can repeat only if its anchor does. Where
+anchors repeat, each of their full windows extends its own to twice the length, to the right where it has the room and
+else to the left, and so on until no candidates survive or the wanted length is reached; what repeats there is removed.
+Texts equal as wholes are looked at once. Up to the last level a 64-bit hash stands for a window, which lets others
+through at worst; windows of the last level have two of them, of different seeds from the bytes on, and texts a key of 128 bits.
 """
 
 from __future__ import annotations
@@ -15,64 +17,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import flagged, left_join_few, shared_dir, stored
+from kindred.llm.shared import flagged, left_join_few, made, quoted, shared_dir, stored, swept, text_key
 from kindred.llm.words import Hasher, buffers, mix, parts, split
 
 WINDOW = 35
 
 
+#: The first level's windows have no more words.
+SHORT = 12
+
+
 def levels(window: int) -> list[int]:
-    """Window lengths, each at most twice the one before, less the word on which the halves overlap."""
+    """Window lengths, each at most twice the one before; halves of an odd length overlap in a word."""
     out = [window]
-    while out[0] > 24:
+    while out[0] > SHORT:
         out.insert(0, (out[0] + 1) // 2)
     return out
 
 
-def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
-    """op over each run of width values."""
-    size = 1
+def _argmin(x: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each run of width values, the first of several."""
+    at, size = np.arange(len(x)), 1
+    less = lambda a, b: np.where(x[b] < x[a], b, a)
     while 2 * size <= width:
-        x = op(x[:-size], x[size:])
+        at = less(at[:-size], at[size:])
         size *= 2
-    return op(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
+    return less(at[: len(at) - (width - size)], at[width - size :]) if width > size else at
+
+
+_FIRST, _SECOND = Hasher(0), Hasher(1)
 
 
 class _Part:
     """Words of a few texts with their hashes."""
 
-    def __init__(self, text: pa.Array, seed: int = 0) -> None:
+    def __init__(self, text: pa.Array) -> None:
         self.data, off = buffers(text)
         self.start, self.end, self.first = split(self.data, off)
-        self.hasher = Hasher(seed)
-        self.hash = self.hasher.words(self.data, self.start, self.end)
+        self.hash = _FIRST.words(self.data, self.start, self.end)
         self.count = np.diff(self.first)
         self.text = np.repeat(np.arange(len(self.count)), self.count)
         self.left = np.repeat(self.first[1:], self.count) - np.arange(len(self.hash))  # words up to the text's end
 
+    def windows(self, width: int) -> np.ndarray:
+        return _FIRST.windows(self.hash, width)
+
+    def second(self, width: int) -> np.ndarray:
+        """Another hash of each window, from the bytes on."""
+        return _SECOND.windows(_SECOND.words(self.data, self.start, self.end), width)
+
     def fits(self, width: int) -> np.ndarray:
         """Whether a window of the text begins at each word (of those where a window of the whole part does)."""
         return self.left[: max(0, len(self.hash) - width + 1)] >= width
 
-    def anchors(self, width: int, window: int) -> np.ndarray:
-        """Words at which the half-window of least hash of some full window begins; ties are all taken."""
-        if len(self.hash) < window:
+    def places(self, steps: list[int], window: int) -> np.ndarray:
+        """Per full window of the part, where its window of steps[-1] words begins: the anchor, extended step by step."""
+        n = len(self.hash) - window + 1
+        if n <= 0:
             return np.empty(0, np.int64)
-        g, run = self.hasher.windows(self.hash, width), window - width + 1
-        least = np.where(self.fits(window), _slide(g, run, np.minimum), np.uint64(0))
-        pad = np.zeros(run - 1, np.uint64)
-        return np.flatnonzero(_slide(np.concatenate([pad, least, pad]), run, np.maximum) == g)
+        begin, at = np.arange(n), _argmin(self.windows(steps[0]), window - steps[0] + 1)
+        for width, wider in zip(steps, steps[1:]):
+            at = np.where(at + wider <= begin + window, at, at + width - wider) if wider < window else begin
+        return at
 
 
-def _distinct(key: np.ndarray, *h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(*h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the first of each distinct row, how often the row comes)."""
-    order = np.lexsort((*h, key))
-    new = np.ones(len(order), bool)
-    if len(order):
-        same = key[order][1:] == key[order][:-1]
-        for x in h:
-            same &= x[order][1:] == x[order][:-1]
-        new[1:] = ~same
+    order = np.lexsort(h)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in h:
+        new[1:] |= x[order][1:] != x[order][:-1]
     at = np.flatnonzero(new)
     return order[at], np.diff(np.append(at, len(order)))
 
@@ -83,65 +98,63 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _repeated(rows: DataFrame, *h: str) -> DataFrame:
     """(h): windows of two texts, or twice in one. Counts combine before the shuffle, so a hot window is one row a task."""
-    g = rows.groupBy(*h).agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("n").alias("n"))
+    g = rows.groupBy(*h).agg(F.min("short").alias("a"), F.max("short").alias("b"), F.max("n").alias("n"))
     return g.where("a <> b OR n > 1").select(*h)
 
 
+def _found(rows: DataFrame, *h: str) -> DataFrame:
+    return rows.join(_repeated(rows, *h), list(h)).groupBy("short").agg(F.collect_set("h").alias("found"))
+
+
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(key, whole, found): per distinct text with repeated windows their hashes, or whole if the text itself comes twice.
 
-    docs has key, the 64-bit hash that stands for a text, and text.
+    docs has key, the 16 bytes that stand for a text, short, a 64-bit hash of them, and text. Texts whose short keys
+    clash would share what was found, which is right for both, for what was found does repeat; that two which share a
+    window with each other and nobody else clash is taken as impossible.
     """
     home = shared_dir(docs.sparkSession, "substrings")
     steps = levels(window)
-    base = steps[0]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, 1):
-            p = _Part(b.column(1))
-            key = b.column(0).to_numpy()
-            at = p.anchors(base, window)
-            g, k = p.hasher.windows(p.hash, base)[at] if len(at) else np.empty(0, np.uint64), key[p.text[at]]
-            i, n = _distinct(k, g)
-            yield pa.RecordBatch.from_arrays([pa.array(k[i]), _signed(g[i]), pa.array(np.minimum(n, 2), pa.int8())], ["key", "h", "n"])
-
-    rows = docs.select("key", "text").mapInArrow(first, "key bigint, h bigint, n tinyint")
-    hit = rows.join(_repeated(rows, "h"), "h").groupBy("key").agg(F.collect_set("h").alias("found"))
-    found = stored(hit, f"{home}/{base}")
-    for width, wider in zip(steps, steps[1:]):
-        found = stored(_extend(docs, found, width, wider, window), f"{home}/{wider}")
-    whole = docs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.lit(True).alias("whole"))
-    both = found.join(whole, "key", "full_outer")
-    return both.select("key", F.coalesce("whole", F.lit(False)).alias("whole"), F.when(F.col("whole").isNull(), F.col("found")).alias("found"))
-
-
-def _extend(docs: DataFrame, found: DataFrame, width: int, wider: int, window: int) -> DataFrame:
-    """(key, found) for windows of `wider` words that hold a found window of `width`, if they repeat."""
+            p, short = _Part(b.column(1)), b.column(0).to_numpy()
+            one = np.zeros(len(short), bool)
+            one[np.unique(short, return_index=True)[1]] = True  # copies in the part are looked at once
+            at = p.places(steps[:1], window)
+            at = np.unique(at[p.fits(window) & one[p.text[: len(at)]]])
+            g, of = p.windows(steps[0])[at] if len(at) else np.empty(0, np.uint64), p.text[at]
+            i, n = _distinct(g, of)
+            yield pa.RecordBatch.from_arrays([pa.array(short[of[i]]), _signed(g[i]), pa.array(np.minimum(n, 2), pa.int8())], ["short", "h", "n"])
+
+    rows = docs.select("short", "text").mapInArrow(first, "short bigint, h bigint, n tinyint")
+    found = stored(_found(rows, "h"), f"{home}/{steps[0]}")
+    # the last level is confirmed by two hashes, also where it is the first
+    for k in range(1, max(2, len(steps))):
+        found = stored(_extend(docs, found, steps[:k], (steps + [window])[k], window), f"{home}/{k}")
+    texts = docs.groupBy("key").agg(F.min("short").alias("short"), (F.count(F.lit(1)) > 1).alias("whole"))
+    both = texts.join(found, "short", "left").where("whole OR found IS NOT NULL")
+    return both.select("key", "whole", F.when(~F.col("whole"), F.col("found")).alias("found"))
+
+
+def _extend(docs: DataFrame, found: DataFrame, steps: list[int], wider: int, window: int) -> DataFrame:
+    """(short, found) for windows of `wider` words that extend a found one of steps[-1], if they repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, 1):
-            p = _Part(b.column(1))
-            key, at = b.column(0).to_numpy(), _holding(p, b.column(2), width, wider)
-            g, k = p.hasher.windows(p.hash, wider)[at] if len(at) else np.empty(0, np.uint64), key[p.text[at]]
-            g2 = Hasher(1).windows(p.hash, wider)[at] if len(at) else g
-            i, n = _distinct(k, g, g2)
-            yield pa.RecordBatch.from_arrays([pa.array(k[i]), _signed(g[i]), pa.array((g2[i] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.minimum(n, 2), pa.int8())], ["key", "h", "h2", "n"])
-
-    few = flagged(docs, found, "key").where("_flag").select("key", "text")
-    one = few.dropDuplicates(["key"]).join(found, "key")
-    rows = one.select("key", "text", "found").mapInArrow(run, "key bigint, h bigint, h2 int, n tinyint")
-    return rows.join(_repeated(rows, "h", "h2"), ["h", "h2"]).groupBy("key").agg(F.collect_set("h").alias("found"))
-
-
-def _holding(p: _Part, found: pa.Array, width: int, wider: int) -> np.ndarray:
-    """Words at which a window of `wider` begins that holds one of its text's found windows of `width`."""
-    n = len(p.hash) - wider + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    hit = _marks(p, found, width)
-    into = np.concatenate([[0], np.cumsum(hit)])
-    at = np.arange(n)
-    return np.flatnonzero(p.fits(wider) & (into[np.minimum(at + wider - width + 1, len(hit))] > into[at]))
+            p, short = _Part(b.column(1)), b.column(0).to_numpy()
+            was, now = p.places(steps, window), p.places([*steps, wider], window)
+            alive = np.append(_marks(p, b.column(2), steps[-1]), False)
+            at = np.unique(now[p.fits(window) & alive[np.minimum(was, len(alive) - 1)]]) if len(now) else now
+            g, of = p.windows(wider)[at] if len(at) else np.empty(0, np.uint64), p.text[at]
+            g2 = p.second(wider)[at] if wider == window and len(at) else np.zeros(len(at), np.uint64)
+            i, n = _distinct(g, g2, of)
+            yield pa.RecordBatch.from_arrays([pa.array(short[of[i]]), _signed(g[i]), _signed(g2[i]), pa.array(np.minimum(n, 2), pa.int8())], ["short", "h", "h2", "n"])
+
+    few = flagged(docs, found, "short").where("_flag").select("key", "short", "text")
+    one = few.dropDuplicates(["key"]).join(found, "short")
+    rows = one.select("short", "text", "found").mapInArrow(run, "short bigint, h bigint, h2 bigint, n tinyint")
+    return _found(rows, "h", "h2")
 
 
 def _marks(p: _Part, found: pa.Array, width: int) -> np.ndarray:
@@ -153,7 +166,7 @@ def _marks(p: _Part, found: pa.Array, width: int) -> np.ndarray:
     v = found.flatten()
     values = v.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     salt = _salt(len(size))
-    mine = p.hasher.windows(p.hash, width) ^ salt[p.text[:n]]
+    mine = p.windows(width) ^ salt[p.text[:n]]
     return np.isin(mine, values ^ np.repeat(salt, size)) & p.fits(width)
 
 
@@ -170,9 +183,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, text_col: str = "text
     rows repeated with one text lose it wholly if it is long enough; an empty table gives no rows. All columns are
     kept, except that columns of the three names made here are replaced.
     """
-    own = [c for c in docs.columns if c not in (kept_col, "n_words", "n_removed")]
-    held = docs.select(F.struct(*own).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    seen = repeats(held.select("key", "text"), window)
+    own = [f"row.{quoted(c)}" for c in docs.columns if c not in (kept_col, "n_words", "n_removed")]
+    return cut_rows(docs, window, text_col).select(*own, F.col("kept").alias(kept_col), "n_words", "n_removed")
+
+
+def cut_rows(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+    """(row, kept, n_words, n_removed): row holds all columns of docs, whatever their names."""
+    before = len(made)
+    held = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    held = held.withColumn("key", text_key("text")).withColumn("short", F.xxhash64("key"))
+    seen = repeats(held.select("key", "short", "text"), window)
     joined = left_join_few(held, seen, "key")
 
     @F.arrow_udf("struct<kept: string, n_words: bigint, n_removed: bigint>")
@@ -200,5 +220,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, text_col: str = "text
                     kept.append(b" ".join(raw[s:e] for s, e, o in zip(p.start[u:v], p.end[u:v], out[u:v]) if not o).decode())
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["kept", "n_words", "n_removed"])
 
-    done = joined.select("_row", cut("text", "whole", "found").alias("_c"))
-    return done.select("_row.*", F.col("_c.kept").alias(kept_col), F.col("_c.n_words").alias("n_words"), F.col("_c.n_removed").alias("n_removed"))
+    return swept(joined.select("row", cut("text", "whole", "found").alias("c")).select("row", "c.*"), before)

@@ -1,9 +1,10 @@
 """Words of texts, and 64-bit hashes of words and word windows, computed on whole Arrow buffers.
 
-A word is a run of bytes outside 20 and 09 to 0D (hexadecimal). Hashes are polynomials modulo 2^64 with random byte
-values and a final mixing, the same on every machine and wherever in a buffer the words lie. They stand for the words:
-that two of the different windows compared share a 64-bit hash is taken as impossible, and where more than a filter
-hangs on it a second, independent hash is compared too.
+A word is a run of bytes outside 20 and 09 to 0D (hexadecimal). Its hash adds up a mixed value of each eight bytes and
+their place, and mixes the sum with the length; a window's hash joins the hashes of its halves by a mixing that isn't
+linear. Both are the same on every machine and wherever in a buffer the words lie. One such hash picks candidates and
+stands for an n-gram within one pair of sets; what is taken as equal without a look at the bytes has two of them, of
+different seeds from the bytes on (128 bits).
 """
 
 from __future__ import annotations
@@ -17,10 +18,13 @@ from kindred.llm.shared import forget
 
 WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Bytes or words hashed at once.
-BLOCK = 1 << 18
+#: The low 0 to 8 bytes of an integer.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: An odd factor that leaves 2 modulo 4 when one is taken off, so that swapped halves differ.
+_LEFT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,54 +34,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _stream(seed: int, n: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-
-
 class Hasher:
-    """One independent hash function; lower folds A-Z."""
+    """One hash function of many; lower folds A-Z."""
 
     def __init__(self, seed: int, lower: bool = False) -> None:
-        s = _stream(seed * 1_000_003 + 17, 258)
-        self.byte = s[:256][_LOWER] if lower else s[:256]
-        self.p, self.q = int(s[256]) | 1, int(s[257]) | 1
-        self._powers: dict[int, np.ndarray] = {}
-
-    def powers(self, base: int, n: int) -> np.ndarray:
-        got = self._powers.get(base)
-        if got is None or len(got) < n:
-            got = np.full(max(n, BLOCK + 1024), base, np.uint64)
-            got[0] = 1
-            got = self._powers[base] = np.multiply.accumulate(got)
-        return got[:n]
-
-    def sums(self, values: np.ndarray, base: int) -> np.ndarray:
-        out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.powers(base, len(values)), out=out[1:])
-        return out
+        self.seed, self.lower = mix(np.array([seed], np.uint64) * _STEP + np.uint64(1))[0], lower
 
     def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A hash per word given by its place in the buffer; places rise."""
-        out, i, inverse = np.empty(len(start), np.uint64), 0, pow(self.p, -1, 1 << 64)
-        while i < len(start):
-            j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, "right")))
-            a, b = start[i:j] - start[i], end[i:j] - start[i]
-            c = self.sums(self.byte[data[start[i] : end[j - 1]]], self.p)
-            out[i:j] = (c[b] - c[a]) * self.powers(inverse, int(a[-1]) + 1)[a]
-            i = j
-        return mix(out)
+        """A hash per run of one byte or more given by its place in the buffer."""
+        if not len(start):
+            return np.empty(0, np.uint64)
+        room = np.zeros(len(data) + 8, np.uint8)
+        room[: len(data)] = _LOWER[data] if self.lower else data
+        eight = np.ndarray((len(data) + 1,), "<u8", room, 0, (1,))
+        size = end - start
+        count = (size + 7) >> 3
+        first = np.cumsum(count) - count
+        nth = np.arange(int(count.sum())) - np.repeat(first, count)
+        value = eight[np.repeat(start, count) + 8 * nth] & _LOW[np.minimum(np.repeat(size, count) - 8 * nth, 8)]
+        value = mix(value ^ mix(nth.astype(np.uint64) * _STEP + self.seed))
+        return mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _LEFT)
 
     def windows(self, h: np.ndarray, width: int) -> np.ndarray:
         """A hash per run of width consecutive word hashes."""
-        n = len(h) - width + 1
-        if n <= 0:
+        if len(h) < width:
             return np.empty(0, np.uint64)
-        out, inverse = np.empty(n, np.uint64), pow(self.q, -1, 1 << 64)
-        for i in range(0, n, BLOCK):
-            m = min(BLOCK, n - i)
-            c = self.sums(h[i : i + m + width - 1], self.q)
-            out[i : i + m] = (c[width : width + m] - c[:m]) * self.powers(inverse, m)
-        return mix(out)
+        join = lambda a, b: mix(a * _LEFT + (b ^ self.seed))
+        size = 1
+        while 2 * size <= width:
+            h = join(h[:-size], h[size:])
+            size *= 2
+        if width > size:
+            h = join(h[: len(h) - (width - size)], h[width - size :])
+        return mix(h + np.uint64(width))
 
 
 def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

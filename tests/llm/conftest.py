@@ -4,7 +4,7 @@ import pytest
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Columns that operators use inside, to clash with.
-EXTRA = "key string, t string, n string, _flag string, _row string, digest string, kept_text string, id string, bucket string, score string, y string"
+EXTRA = "key string, t string, n string, _flag string, _row string, digest string, kept_text string, id string, bucket string, score string, y string, _keep string, _sha string, _nth string, n_words string, n_removed string, _kept_text string, _word string, row string, class string, short string, `a.b` string"
 
 
 def prose(rng, n, words=400):

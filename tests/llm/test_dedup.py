@@ -50,6 +50,19 @@ def test_exact_in_many_batches(docs, rows):
     assert bag(exact_dedup.exact_dedup(docs, files_per_batch=1), *COLS) == exact_expected(rows)
 
 
+def test_exact_goes_on_with_its_state(spark, rows, tmp_path):
+    """Two lots fed one after the other, the second by another session, give the answer of both."""
+    half = len(rows) // 2
+    for k, some in enumerate((rows[:half], rows[half:])):
+        spark.createDataFrame(some, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/lot{k}")
+    state = f"file://{tmp_path}/state"
+    first = exact_dedup.exact_dedup(spark.read.parquet(f"{tmp_path}/lot0"), state=state)
+    assert bag(first, *COLS) == exact_expected(rows[:half])
+    other = spark.newSession()
+    second = exact_dedup.exact_dedup(other.read.parquet(f"{tmp_path}/lot1"), state=state)
+    assert bag(second, *COLS) == exact_expected(rows)
+
+
 def test_exact_keeps_one(docs, rows, nothing):
     got = exact_dedup.keep_one(docs)
     assert got.columns == docs.columns
