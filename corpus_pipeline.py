@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import exact_dedup, ngram_join, packing, substring_dedup, toxicity
-from kindred.llm.shared import drop, made, shared_dir, ship, stored
+from kindred.llm.shared import drop, made, quoted, shared_dir, ship, stored
 
 _left: list[str] = []  # what the stage before has in the shared folder
 
@@ -36,33 +36,38 @@ def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[S
 
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, fitted on the labelled ones among them, doesn't reject."""
+    """Documents that the toxicity model, fitted on the labelled ones among them, doesn't reject; null texts are scored as
+    empty, repeated rows alike."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 @stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is equal but for white space."""
+    """One document of each group that is equal but for white space; null texts are empty, so one of these stays."""
     return exact_dedup.keep_one(docs)
 
 
 @stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more on shingles of five words."""
+    """One document of each group linked by a Jaccard similarity of 0.8 or more on shingles of five words; those without
+    words all stay."""
     return ngram_join.keep_one(docs, n=5, num=80, den=100)
 
 
 @stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 35 words and more that come more than once."""
-    cut = substring_dedup.substring_dedup(docs, kept_col="_kept_text")
-    text = F.when(F.col("n_removed") > 0, F.col("_kept_text")).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """All documents, without the passages of 35 words and more that come more than once; n_chars follows the text.
+
+    Null texts stay null, and repeated rows lose the same; other columns stay as they are, whatever their names."""
+    cut = substring_dedup.cut_rows(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
+    new = {"text": text.alias("text"), "n_chars": F.length(text).cast("bigint").alias("n_chars")}
+    return cut.select(*(new.get(c, F.col(f"row.{quoted(c)}")) for c in docs.columns))
 
 
 @stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 4096 tokens."""
+    """The pieces of all documents with their places in sequences of 4096 tokens; a null or empty text is its end id."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
