@@ -1,19 +1,18 @@
 """Line deduplication by a segment-partition edit join.
 
-Two lines within an edit distance of T, cut into T + 1 segments, agree in one segment whole. The shorter line's segments
-are indexed by length and number; the longer one probes with the substrings that could match, few for each length. Lines
-that meet are sifted by how often each class of bytes occurs, which edits change little; the rest is verified by a
-banded bit-parallel edit distance.
-
-Without a cap, T is a tenth of the longer line. Of m // 9 + 1 pieces of the shorter line, at least one is free of edits and
-has a neighbour to its right with one edit at most (sum the edits less one per piece from the left and start after the last
-greatest sum). So each window of the longer line looks for such a piece, and one half of the next eight bytes must
-agree too, moved by one byte at most.
+A line is the sequence of its words, and an edit puts in, takes out or changes a word. Of two lines within the allowed
+edits, the shorter one is split into one segment more, so one of its segments stands in the longer line whole, moved by
+no more than the edits. The segments are indexed under their anchor, the three words of least hash among their first
+few; a longer line probes with the anchors of its windows of that many words, so that what a window and an equal segment
+are looked up by is the same. Entries that meet are sifted by length, place and the word beside the anchor; the lines that
+remain are compared by a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,31 +20,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.components import components
-from kindred.llm.shared import flagged, left_join_few, shared_dir, stored
-from kindred.llm.words import WHITE, Hasher, buffers, mix, parts
-
-#: Edits between linked lines at most, in UTF-8 bytes.
-EDITS = 2
-#: One edit is allowed for so many bytes of the longer line.
-BYTES_AN_EDIT = 10
-#: Counted classes of bytes.
-CLASSES = 32
-_HASHER = Hasher(5)
-#: Without a cap, pairs whose longer line has fewer bytes go by segments, at TWO edits.
-WIDE, TWO = 30, 2
-_ENTRY = np.dtype([("sig", "<u8"), ("id", "<u8"), ("part", "<u2"), ("sketch", "u1", CLASSES // 2)])
-_PIECE = np.dtype([("gram", "<u4"), ("next", "<u8"), ("ninth", "u1"), ("id", "<u8"), ("size", "<u2"), ("place", "<u2"), ("kind", "u1")])
+from kindred.llm.shared import flagged, left_join_few, left_join_hot, made, shared_dir, stored, swept, text_key
+from kindred.llm.words import WHITE, Hasher, argmin, buffers, mix, parts
+
+#: One edit is allowed for so many words of the longer line.
+WORDS_AN_EDIT = 10
+#: Words of an anchor.
+GRAM = 3
+#: Bytes of entries that meet at once; larger buckets are cut into blocks, and every two blocks meet.
+BLOCK_BYTES = 32 << 20
+_FIRST, _SECOND = Hasher(5), Hasher(6)
+_ENTRY = np.dtype([("sig", "<u4"), ("sig2", "u1"), ("id", "<u4"), ("id2", "<u2"), ("size", "<u2"), ("place", "<u2"), ("left", "u1"), ("right", "u1"), ("kind", "u1")])
+#: Kinds of entries: of a segment that goes on to the left of its anchor, of one that does to the right, and of a window.
+LEFT, RIGHT, PROBE = 0, 1, 2
 _MOST = 65535
+_WORD = re.compile(rb"[\xe0-\xff][\x80-\xbf]*|[^\x20\x09-\x0d\xe0-\xff]+")
 
 
-def limit(length, edits: int | None = EDITS):
-    """Edits allowed where the longer line has this length; no cap if edits is None."""
-    if edits is None:
-        return np.asarray(length) // BYTES_AN_EDIT
-    return np.minimum(edits, np.asarray(length) // BYTES_AN_EDIT)
-
-
-def edit_distance(a: bytes, b: bytes, most: int) -> int:
+def edit_distance(a: Sequence, b: Sequence, most: int) -> int:
     """The Levenshtein distance, or most + 1 if it is larger; a column of the band is one machine word."""
     if len(a) > len(b):
         a, b = b, a
@@ -80,198 +72,143 @@ def edit_distance(a: bytes, b: bytes, most: int) -> int:
     return min(score, most + 1)
 
 
+def words(line: bytes) -> list[bytes]:
+    """Runs of bytes outside 20 and 09 to 0D; a character of three bytes or more is a word of its own."""
+    return _WORD.findall(line)
+
+
+def _starts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the words of all texts in the buffer."""
+    if not len(data):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    solid, tail, large = ~WHITE[data], (data & 0xC0) == 0x80, data >= 0xE0
+    within = large.copy()
+    for _ in range(3):  # bytes of a large character after its first
+        within[1:] |= within[:-1] & tail[1:]
+    first = solid & large
+    first[0] = solid[0]
+    first[1:] |= solid[1:] & (~solid[:-1] | within[:-1] & ~tail[1:])
+    edge = off[(off > 0) & (off < len(data))]
+    first[edge] = solid[edge]
+    start = np.flatnonzero(first)
+    stop = ~solid
+    stop[start] = True
+    stops = np.append(np.flatnonzero(stop), len(data))
+    return start, stops[np.searchsorted(stops, start, "right")]
+
+
 class _Lines:
-    """Lines of a few texts, without white space at their ends; empty ones are left out."""
+    """Lines with a word in them of a few texts, as ranges of words."""
 
     def __init__(self, text: pa.Array) -> None:
         self.data, off = buffers(text)
-        place = np.flatnonzero(~WHITE[self.data])
+        self.start, self.end = _starts(self.data, off)
         cut = np.unique(np.concatenate([np.flatnonzero(self.data == 10), off]))
-        at = np.searchsorted(place, cut)
-        some = np.flatnonzero(at[1:] > at[:-1])  # stretches between cuts with anything solid in them
-        self.start, self.end = place[at[:-1][some]], place[at[1:][some] - 1] + 1
-        self.text = np.searchsorted(off, self.start, "right") - 1
-        head = np.searchsorted(self.text, np.arange(len(off) - 1))
-        self.number = np.arange(len(self.start)) - head[self.text] if len(self.start) else self.start
+        at = np.searchsorted(self.start, cut)
+        some = np.flatnonzero(at[1:] > at[:-1])
+        self.first, self.last = at[:-1][some], at[1:][some]
+        self.size = self.last - self.first
+        self.text = np.searchsorted(off, self.start[self.first], "right") - 1
         self.count = np.bincount(self.text, minlength=len(off) - 1)
-        self.sums = _HASHER.sums(_HASHER.byte[self.data], _HASHER.p)
-        self.inverse = _HASHER.powers(pow(_HASHER.p, -1, 1 << 64), len(self.data) + 1)
-        self.id = self.hash(self.start, self.end)
-
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
-
-    def sketch(self) -> tuple[np.ndarray, np.ndarray]:
-        """(part, sketch) per line: how often bytes of the even classes occur, and counts of all classes modulo 16, two to a byte.
-
-        An edit changes the part by 1 at most, and the sum of the counts' differences by 2.
-        """
-        step = np.zeros(len(self.data) + 1, np.int8)
-        step[self.start] += 1
-        step[self.end] -= 1
-        inside = np.flatnonzero(np.cumsum(step[:-1], dtype=np.int8))
-        at = np.repeat(np.arange(len(self.start)) * CLASSES, self.end - self.start) + (self.data[inside] & CLASSES - 1)
-        count = np.bincount(at, minlength=len(self.start) * CLASSES).reshape(-1, CLASSES)
-        return np.minimum(count[:, ::2].sum(1), 65535).astype("<u2"), ((count[:, ::2] & 15) << 4 | count[:, 1::2] & 15).astype(np.uint8)
-
-
-def _segment(length: np.ndarray, t: int, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, length) of segment i of t + 1 almost equal ones; the longer ones come last."""
-    q, more = np.divmod(length, t + 1)
-    short = t + 1 - more
-    return i * q + np.maximum(0, i - short), q + (i >= short)
-
-
-def _entries(p: _Lines, edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line, signature): index entries of each line and the probes that a longer line makes."""
-    size, line, sig = p.end - p.start, [], []
-
-    def put(at: np.ndarray, place: np.ndarray, length: np.ndarray, of: np.ndarray, t: int, i: int) -> None:
-        start = p.start[at] + place
-        line.append(at)
-        sig.append(mix(p.hash(start, start + length) ^ mix((of * 64 + t * 8 + i).astype(np.uint64))))
-
-    for t in range(1, edits + 1):
-        mine = np.zeros(len(size), bool)
-        for d in range(t + 1):
-            mine |= limit(size + d, edits) == t
-        at = np.flatnonzero(mine)
-        for i in range(t + 1):
-            place, length = _segment(size[at], t, i)
-            put(at, place, length, size[at], t, i)
-        at = np.flatnonzero(limit(size, edits) == t)
-        for d in range(t + 1):  # the other line is d shorter
-            other = size[at] - d
-            for i in range(t + 1):
-                place, length = _segment(other, t, i)
-                for shift in range(-t, 2 * t + 1):
-                    ok = (max(-i, d - (t - i)) <= shift <= min(i, d + t - i)) and not (d == 0 and shift == 0)
-                    if not ok:
-                        continue
-                    some = (place + shift >= 0) & (place + shift + length <= size[at])
-                    put(at[some], (place + shift)[some], length[some], other[some], t, i)
-    return np.concatenate(line), np.concatenate(sig)
-
-
-def _alike(sketch: np.ndarray, i: np.ndarray, j: np.ndarray, edits: int) -> np.ndarray:
-    a, b, total = sketch[i], sketch[j], 0
-    for x, y in ((a >> 4, b >> 4), (a & 15, b & 15)):
-        d = (x - y) & 15
-        total = total + np.minimum(d, 16 - d).sum(1, dtype=np.int64)
-    return total <= 2 * edits
-
-
-def _pairs(sig: np.ndarray, key: np.ndarray, part: np.ndarray, sketch: np.ndarray, edits: int) -> np.ndarray:
-    """Distinct pairs of keys that share a signature and have like sketches.
-
-    Rows are sorted by signature and by a partial count that an edit changes by 1 at most, so partners lie near
-    each other; a row is compared with those that follow it while that count fits, in steps over all rows at once.
-    """
-    part = part.astype(np.int64)
-    order = np.lexsort((key, part, sig))
-    sig, key, sketch, part = sig[order], key[order], sketch[order], part[order]
-    once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]) if len(sig) else np.zeros(0, bool)
-    sig, key, sketch, part = sig[once], key[once], sketch[once], part[once]
-    found, at, step = [np.empty((0, 2), np.uint64)], np.arange(len(sig)), 1
-    while True:
-        at = at[at + step < len(sig)]
-        to = at + step
-        near = (sig[at] == sig[to]) & (part[to] - part[at] <= edits)
-        at, to = at[near], to[near]
-        if not len(at):
-            break
-        hit = _alike(sketch, at, to, edits) & (key[at] != key[to])
-        if hit.any():
-            found.append(np.stack([key[at[hit]], key[to[hit]]], 1))
-        step += 1
-    pairs = np.concatenate(found)
-    pairs.sort(axis=1)
-    return np.unique(pairs, axis=0) if len(pairs) else pairs
-
-
-def _width(size):
-    """Bytes of a piece of a line that has size // 9 edits at most to a longer one."""
-    return size // (size // 9 + 1)
-
-
-#: Widths of the pieces that a line of this length, or of more than the last, may meet.
-_WIDTHS = [{int(_width(m)) for m in range(n - n // BYTES_AN_EDIT, n + 1)} for n in range(100)]
-
-
-def _pieces(p: _Lines) -> np.ndarray:
-    """(gram hash's upper half decides the bucket) rows of _PIECE with a column `sig`: pieces of each line, and its windows."""
-    size, pad = p.end - p.start, 2 * 8 + 1
-    begin = np.cumsum(size + pad) - size - pad
-    data = np.full(int((size + pad).sum()) + 8, 10, np.uint8)  # no line holds a line feed, so it marks the end
-    to = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    data[to] = p.data[np.repeat(p.start - begin, size) + to]
-    eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
-    out = []
-
-    def put(line: np.ndarray, count: np.ndarray, step: np.ndarray, q: int, probe: bool) -> None:
-        at = np.repeat(line, count)
-        place = (np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)) * np.repeat(step, count)
-        where = begin[at] + place
-        row = np.empty(len(at), np.dtype([("sig", "<u8"), *((n, _PIECE[n]) for n in _PIECE.names)]))
-        row["sig"] = mix((eight[where] & np.uint64((1 << 8 * q) - 1)) * np.uint64(2 * q + 1))
-        row["gram"] = row["sig"] & np.uint64(0xFFFFFFFF)
-        row["next"], row["ninth"], row["id"] = eight[where + q], data[where + q + 8], p.id[at]
-        row["size"], row["place"], row["kind"] = np.minimum(size[at], _MOST), np.minimum(place, _MOST), 2 * q + probe
+        self.number = np.arange(len(self.first)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+
+    def hashes(self, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of each word, hash of each line's sequence of words)."""
+        h = hasher.words(self.data, self.start, self.end)
+        return h, hasher.words(h.view(np.uint8), 8 * self.first, 8 * self.last)
+
+    def keys(self, first: np.ndarray) -> pa.Array:
+        """16 bytes that stand for each line; first: the hash of the lines by _FIRST."""
+        both = np.stack([first, self.hashes(_SECOND)[1]], 1).astype("<u8")
+        return pa.Array.from_buffers(pa.binary(16), len(both), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
+
+    def bytes(self, i: int) -> bytes:
+        return self.data[self.start[self.first[i]] : self.end[self.last[i] - 1]].tobytes()
+
+
+_SHORT = np.uint64((1 << 48) - 1)
+
+
+def _reach(size: np.ndarray) -> np.ndarray:
+    """Words of a window that a segment of a line of this many words has at least, in few classes; 0: no partners but equal ones."""
+    return np.select([size >= 72, size >= 18, size >= 9], [8, 6, 4], 0)
+
+
+def _segments(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, place) of the segments of each line: one more than the edits to any longer line; they are almost equal."""
+    count = size // (WORDS_AN_EDIT - 1) + 1
+    line = np.repeat(np.arange(len(size)), count)
+    i = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+    return line, i * size[line] // count[line]
+
+
+def entries(p: _Lines) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, entry): those of each distinct line's segments, and its probes for the segments of lines no longer than it."""
+    h, line_hash = p.hashes(_FIRST)
+    one = np.zeros(len(line_hash), bool)
+    one[np.unique(line_hash, return_index=True)[1]] = True
+    gram, out, sigs = _FIRST.windows(h, GRAM), [], []
+    if not len(gram):
+        return np.empty(0, np.uint64), np.empty(0, _ENTRY)
+    of = np.repeat(np.arange(len(p.size)), p.size)
+    room = p.last[of] - np.arange(len(of))  # words from here to the line's end
+    near = (h & np.uint64(255)).astype(np.uint8)
+    near = np.concatenate([near, np.zeros(GRAM, np.uint8)])
+
+    def put(line: np.ndarray, at: np.ndarray, kind: np.ndarray, reach: int) -> None:
+        row = np.empty(len(at), _ENTRY)
+        sig = mix(gram[at] ^ np.uint64(reach))
+        row["sig"], row["sig2"] = sig & np.uint64(0xFFFFFFFF), (sig >> np.uint64(32)) & np.uint64(255)
+        row["id"], row["id2"] = line_hash[line] & np.uint64(0xFFFFFFFF), (line_hash[line] >> np.uint64(32)) & np.uint64(_MOST)
+        row["size"], row["place"] = np.minimum(p.size[line], _MOST), np.minimum(at - p.first[line], _MOST)
+        row["left"], row["right"], row["kind"] = near[at - 1], near[at + GRAM], kind
         out.append(row)
-
-    for q in (6, 7, 8):
-        line = np.flatnonzero((size >= WIDE - WIDE // BYTES_AN_EDIT) & (_width(size) == q))
-        put(line, size[line] // 9 + 1, np.full(len(line), q), q, False)
-        meets = np.array([q in w for w in _WIDTHS])
-        line = np.flatnonzero((size >= WIDE) & meets[np.minimum(size, len(_WIDTHS) - 1)])
-        put(line, size[line] - q + 1, np.ones(len(line), np.int64), q, True)
-    return np.concatenate(out)
-
-
-def _piece_pairs(r: np.ndarray) -> np.ndarray:
-    """Distinct pairs of ids: a piece and an equal window whose lengths, places and next bytes allow the edits."""
+        sigs.append(sig)
+
+    for reach in (4, 6, 8):
+        anchor = argmin(gram, reach - GRAM + 1)
+        mine = np.flatnonzero(one & (_reach(p.size) == reach))
+        line, place = _segments(p.size[mine])
+        line = mine[line]
+        begin = p.first[line] + place
+        put(line, anchor[begin], np.where(anchor[begin] > begin, LEFT, RIGHT), reach)
+        least = p.size - p.size // WORDS_AN_EDIT
+        meets = one & (p.size >= WORDS_AN_EDIT) & (_reach(least) <= reach) & (_reach(p.size) >= reach)
+        begin = np.flatnonzero((meets[of] & (room >= reach))[: len(anchor)])
+        at = np.unique(anchor[begin])
+        put(of[at], at, np.full(len(at), PROBE), reach)
+    return np.concatenate(sigs), np.concatenate(out)
+
+
+def _wide(r: np.ndarray, low: str, high: str) -> np.ndarray:
+    return r[low].astype(np.uint64) | r[high].astype(np.uint64) << np.uint64(32)
+
+
+def _meet(segments: np.ndarray, probes: np.ndarray) -> np.ndarray:
+    """Distinct pairs of short ids: a segment and a window of one anchor whose lengths, places and words beside it allow the edits."""
+    a, b = segments[segments["kind"] != PROBE], probes[probes["kind"] == PROBE]
     found = [np.empty((0, 2), np.uint64)]
-    for q in (6, 7, 8):
-        half = 4 if q == 8 else 3
-        a, b = r[r["kind"] == 2 * q], r[r["kind"] == 2 * q + 1]
-        if not len(a) or not len(b):
-            continue
-
-        def key(x: np.ndarray, start: int, salt: int) -> np.ndarray:
-            v = x["next"] >> np.uint64(8 * start)
-            if start + half > 8:
-                v = v | x["ninth"].astype(np.uint64) << np.uint64(8 * (8 - start))
-            v = v & np.uint64((1 << 8 * half) - 1) | x["gram"].astype(np.uint64) << np.uint64(32)
-            return mix(v ^ np.uint64(salt)) & ~np.uint64(_MOST)
-
-        size = b["size"].astype(np.int64)
-        for salt, start, others in ((0, 0, (0,)), (0x5BD1E995, half, (half - 1, half, half + 1))):
-            table = key(a, start, salt) | a["size"].astype(np.uint64)
-            order = np.argsort(table)
-            table = table[order]
-            for other in others:
-                k = key(b, other, salt)
-                low = np.searchsorted(table, k | (size - size // BYTES_AN_EDIT).astype(np.uint64))
-                top = k | size.astype(np.uint64)
-                some = np.flatnonzero((low < len(table)) & (table[np.minimum(low, len(table) - 1)] <= top))
-                low = low[some]
-                count = np.searchsorted(table, top[some], "right") - low
-                ends = np.cumsum(count)
-                x = 0
-                while x < len(some):  # not too many pairs at once
-                    y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + (1 << 20), "right")))
-                    n = count[x:y]
-                    i = order[np.repeat(low[x:y] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                    j = np.repeat(some[x:y], n)
-                    long, moved = size[j], b["place"][j].astype(np.int64) - a["place"][i]
-                    fits = np.abs(moved) + np.abs(long - a["size"][i] - moved) <= long // BYTES_AN_EDIT
-                    fits |= (long == _MOST) | (b["place"][j] == _MOST)
-                    u, v = a["id"][i], b["id"][j]
-                    fits &= u != v
-                    if fits.any():
-                        u, v = u[fits], v[fits]
-                        found.append(_distinct(np.stack([np.minimum(u, v), np.maximum(u, v)], 1)))
-                    x = y
+    shift = np.uint64(16)
+    table = _wide(a, "sig", "sig2") << shift | a["size"].astype(np.uint64)
+    order = np.argsort(table)
+    a, table = a[order], table[order]
+    size, key = b["size"].astype(np.int64), _wide(b, "sig", "sig2") << shift
+    low = np.searchsorted(table, key | (size - size // WORDS_AN_EDIT).astype(np.uint64))
+    count = np.searchsorted(table, key | size.astype(np.uint64), "right") - low
+    some = np.flatnonzero(count)
+    ends, x = np.cumsum(count[some]), 0
+    while x < len(some):  # not too many at once
+        y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + (1 << 19), "right")))
+        n = count[some[x:y]]
+        i = np.repeat(low[some[x:y]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        j = np.repeat(some[x:y], n)
+        moved, long = b["place"][j].astype(np.int64) - a["place"][i], size[j]
+        fits = np.abs(moved) + np.abs(long - a["size"][i] - moved) <= long // WORDS_AN_EDIT
+        fits |= (long == _MOST) | (b["place"][j] == _MOST)
+        fits &= np.where(a["kind"][i] == LEFT, a["left"][i] == b["left"][j], a["right"][i] == b["right"][j])
+        u, v = _wide(a[i[fits]], "id", "id2"), _wide(b[j[fits]], "id", "id2")
+        found.append(_distinct(np.stack([np.minimum(u, v), np.maximum(u, v)], 1)[u != v]))
+        x = y
     return _distinct(np.concatenate(found))
 
 
@@ -280,161 +217,147 @@ def _distinct(pairs: np.ndarray) -> np.ndarray:
     return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))] if len(pairs) else pairs
 
 
-def _few_shared(a: bytes, b: bytes, most: int, q: int = 5) -> bool:
-    """Whether the lines share fewer windows of q bytes than `most` edits leave."""
-    least = max(len(a), len(b)) - q + 1 - q * most
-    if least <= 0:
-        return False
-    hashes = []
-    for x in (a, b):
-        v = np.frombuffer(x, np.uint8).astype(np.uint64)
-        hashes.append(sum(v[k : len(v) - q + 1 + k] << np.uint64(8 * k) for k in range(q)))
-    (x, m), (y, n) = (np.unique(h, return_counts=True) for h in hashes)
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    return int(np.minimum(m, n[at])[y[at] == x].sum()) < least
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """(key, rows) for each run of rows that agree in their first `keys` columns; rows must be used up in turn."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+    return ((k, g) for k, g in groupby(rows, key=lambda r: r[:keys]))
 
 
-def _links(docs: DataFrame, total: int, edits: int | None, home: str) -> DataFrame:
-    """(u, v): ids of different lines within the edit distance."""
-    cap = TWO if edits is None else edits
-    buckets = max(64, total * 15 * 32 // (8 << 20))
+_PAIRS = "u bigint, v bigint, bucket bigint, block int, rows binary"
 
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches, 0, 1 << 20):
-            p = _Lines(b.column(0))
-            one = np.sort(np.unique(p.id, return_index=True)[1])
-            if edits is None:
-                one = one[p.end[one] - p.start[one] < WIDE]
-            p.start, p.end, p.id = p.start[one], p.end[one], p.id[one]
-            if not len(p.id):
-                continue
-            line, sig = _entries(p, cap)
-            if not len(line):
-                continue
-            at = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            heads, first = np.unique(at[order], return_index=True)
-            row = np.empty(len(line), _ENTRY)
-            part, sketch = p.sketch()
-            row["sig"], row["id"], row["part"], row["sketch"] = sig, p.id[line], part[line], sketch[line]
-            row = row[order]
-            ends = np.append(first[1:], len(row))
-            yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array([row[x:y].tobytes() for x, y in zip(first, ends)], pa.binary())], ["bucket", "rows"])
 
-    def meeting(pairs_of: Callable[[bytes], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, held = None, []
+def _pairs(batch: np.ndarray) -> pa.RecordBatch:
+    none = [pa.nulls(len(batch), t) for t in (pa.int64(), pa.int32(), pa.binary())]
+    return pa.RecordBatch.from_arrays([*(pa.array(batch[:, i].astype(np.int64)) for i in (0, 1)), *none], ["u", "v", "bucket", "block", "rows"])
 
-            def done() -> pa.RecordBatch:
-                pairs = pairs_of(b"".join(held))
-                return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy().view(np.int64)) for i in (0, 1)], ["u", "v"])
 
-            for b in batches:
-                for i, bucket in enumerate(b.column(0).to_pylist()):
-                    if bucket != now:
-                        if held:
-                            yield done()
-                        now, held = bucket, []
-                    held.append(b.column(1)[i].as_py())
-            if held:
-                yield done()
+def candidates(docs: DataFrame, total: int, home: str) -> DataFrame:
+    """(u, v): pairs of short ids of lines that may be within the edits. total: words of docs.
 
-        return meet
-
-    def segments(raw: bytes) -> np.ndarray:
-        r = np.frombuffer(raw, _ENTRY)
-        return _pairs(r["sig"], r["id"], r["part"], r["sketch"], cap)
+    Entries are dealt to buckets by signature. A bucket of more than BLOCK_BYTES is passed on in blocks of that size, and
+    every two of these meet in a task of their own, so that a frequent anchor fills no worker's memory.
+    """
+    buckets = max(64, total // 2 * _ENTRY.itemsize // (8 << 20))
 
-    def put_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, 0, 1 << 20):
-            p = _Lines(b.column(0))
-            one = np.sort(np.unique(p.id, return_index=True)[1])
-            p.start, p.end, p.id = p.start[one], p.end[one], p.id[one]
-            row = _pieces(p) if len(p.id) else ()
+            sig, row = entries(_Lines(b.column(0)))
             if not len(row):
                 continue
-            at = ((row["sig"] >> np.uint64(32)) * np.uint64(many) >> np.uint64(32)).astype(np.int64)
+            at = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             heads, first = np.unique(at[order], return_index=True)
-            short = np.empty(len(row), _PIECE)
-            for n in _PIECE.names:
-                short[n] = row[n][order]
-            ends = np.append(first[1:], len(row))
-            yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array([short[x:y].tobytes() for x, y in zip(first, ends)], pa.binary())], ["bucket", "rows"])
-
-    def met(put: Callable, pairs_of: Callable) -> DataFrame:
-        blocks = docs.select("text").mapInArrow(put, "bucket bigint, rows binary")
-        return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meeting(pairs_of), "u bigint, v bigint")
-
-    both = met(put, segments)
-    if edits is None:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        many = max(64, size * 9 // 8 * _PIECE.itemsize // (8 << 20))
-        both = both.union(met(put_pieces, lambda raw: _piece_pairs(np.frombuffer(raw, _PIECE))))
-    pairs = stored(both.distinct(), f"{home}/pairs")
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+            row, ends = row[order], np.append(first[1:], len(row))
+            yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array([row[x:y].tobytes() for x, y in zip(first, ends)], pa.binary())], ["bucket", "rows"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket,), rows in _runs(batches, 1):
+            held, size, block = [], 0, 0
+            for _, raw in rows:
+                held.append(raw)
+                size += len(raw)
+                if size > BLOCK_BYTES:
+                    yield _passed(bucket, block, held)
+                    held, size, block = [], 0, block + 1
+            if block and held:
+                yield _passed(bucket, block, held)
+            elif held:
+                r = np.frombuffer(b"".join(held), _ENTRY)
+                yield _pairs(_meet(r, r))
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, x, y), rows in _runs(batches, 3):
+            r = {k: np.frombuffer(raw, _ENTRY) for *_, k, raw in rows}
+            yield _pairs(_meet(r[x], r[y]))
+            if x != y:
+                yield _pairs(_meet(r[y], r[x]))
+
+    dealt = docs.select("text").mapInArrow(put, "bucket bigint, rows binary").repartition("bucket").sortWithinPartitions("bucket")
+    met = stored(dealt.mapInArrow(meet, _PAIRS), f"{home}/met")
+    over = met.where("rows IS NOT NULL").select("bucket", "block", "rows")
+    cells = over.join(over.groupBy("bucket").agg(F.max("block").alias("top")), "bucket").select("*", F.explode(F.sequence(F.lit(0), "top")).alias("o"))
+    cells = cells.select("bucket", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "rows")
+    by = ["bucket", "x", "y"]
+    rest = cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(cross, _PAIRS)
+    return met.where("u IS NOT NULL").select("u", "v").union(rest.select("u", "v")).distinct()
+
+
+def _passed(bucket: int, block: int, held: list[bytes]) -> pa.RecordBatch:
+    none = pa.nulls(1, pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, pa.array([bucket]), pa.array([block], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["u", "v", "bucket", "block", "rows"])
+
+
+def links(docs: DataFrame, total: int, home: str) -> DataFrame:
+    """(u, v): keys of different lines within the edits."""
+    pairs = stored(candidates(docs, total, home), f"{home}/pairs")
+    ids = pairs.select(F.col("u").alias("short")).union(pairs.select("v")).distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, 0):
             p = _Lines(b.column(0))
-            one = np.unique(p.id, return_index=True)[1]
-            raw = p.data.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(p.id[one].view(np.int64)), pa.array([raw[x:y] for x, y in zip(p.start[one], p.end[one])], pa.binary())], ["id", "line"])
+            h = p.hashes(_FIRST)[1]
+            one = np.sort(np.unique(h, return_index=True)[1])
+            one = one[p.size[one] >= WORDS_AN_EDIT - 1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((h[one] & _SHORT).astype(np.int64)), p.keys(h).take(pa.array(one)), pa.array([p.bytes(i) for i in one.tolist()], pa.binary())], ["short", "key", "line"]
+            )
 
-    lines = flagged(docs.select("text").mapInArrow(cut, "id bigint, line binary"), ids, "id").where("_flag").drop("_flag").dropDuplicates(["id"])
-    lines = stored(lines.join(ids, "id", "left_semi"), f"{home}/lines")
+    lines = flagged(docs.select("text").mapInArrow(cut, "short bigint, key binary, line binary"), ids, "short").where("_flag").drop("_flag").dropDuplicates(["key"])
+    lines = stored(lines.join(ids, "short", "left_semi"), f"{home}/lines")
 
     @F.arrow_udf("boolean")
     def near(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist()):
-            most = int(limit(max(len(x), len(y)), edits))
-            out.append(not (most > TWO and _few_shared(x, y, most)) and edit_distance(x, y, most) <= most)
+        for x, y in zip(a, b):
+            v, w = words(x.as_py()), words(y.as_py())
+            most = max(len(v), len(w)) // WORDS_AN_EDIT
+            out.append(edit_distance(v, w, most) <= most)
         return pa.array(out, pa.bool_())
 
-    two = pairs.join(lines.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(lines.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
-    return two.where(near("a", "b")).select("u", "v")
+    side = lambda u, key, line: lines.select(F.col("short").alias(u), F.col("key").alias(key), F.col("line").alias(line))
+    two = pairs.join(side("u", "ku", "a"), "u").join(side("v", "kv", "b"), "v")
+    return two.where(near("a", "b")).select(F.col("ku").alias("u"), F.col("kv").alias("v"))
 
 
-def line_dedup(docs: DataFrame, edits: int | None = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_dropped, kept_text.
 
-    Lines are parted by line feeds and stripped of the bytes 20 and 09 to 0D (hexadecimal); empty ones don't count.
-    Equal lines, and lines whose edit distance in UTF-8 bytes is at most `edits` (None: no such cap) and a tenth of the
-    longer one's length, are linked. Of all lines that links join, the first stays: smallest id (a null id last), then least text hash, then
-    least line number; kept_text has the lines that stay, as they are, joined by line feeds. Null and empty texts have no
-    lines; rows repeated with one id and text keep the same lines; an empty table gives no rows; other columns are ignored.
+    Lines are parted by line feeds; those without words don't count. Words are runs of bytes outside 20 and 09 to 0D
+    (hexadecimal), and each character of three bytes or more in UTF-8 is one. Lines of equal words, and lines that one edit
+    of a word for each WORDS_AN_EDIT words of the longer one turns into each other, are linked. Of all lines that links join, the
+    first stays: smallest id (a null id last), then least key of id and text, then least line number; kept_text has the lines that stay,
+    from their first word to their last, joined by line feeds. Null and empty texts have no lines; rows repeated with one id
+    and text keep the same lines; an empty table gives no rows; other columns are ignored.
     """
-    spark, home = docs.sparkSession, shared_dir(docs.sparkSession, "lines")
-    named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    spark, before = docs.sparkSession, len(made)
+    home = shared_dir(spark, "lines")
+    named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    named = named.withColumn("t", text_key(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "text")))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, 2):
             p = _Lines(b.column(2))
             of = pa.array(p.text)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(p.number.astype(np.int32)), pa.array(p.id.view(np.int64))], ["doc_id", "t", "no", "id"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(p.number.astype(np.int32)), p.keys(p.hashes(_FIRST)[1]), pa.array(p.size.astype(np.int32))], ["doc_id", "t", "no", "id", "size"])
 
-    all_lines = stored(named.select("doc_id", "t", "text").mapInArrow(lines, "doc_id bigint, t bigint, no int, id bigint"), f"{home}/all")
-    klass = stored(components(_links(named, all_lines.count(), edits, home)), f"{home}/classes")
-    joined = left_join_few(all_lines, klass.withColumnRenamed("node", "id"), "id").withColumn("class", F.coalesce("component", "id"))
+    every = stored(named.select("doc_id", "t", "text").mapInArrow(lines, "doc_id bigint, t binary, no int, id binary, size int"), f"{home}/all")
+    n, total = every.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    klass = stored(components(links(named, total, home)), f"{home}/classes")
+    joined = left_join_few(every.drop("size"), klass.withColumnRenamed("node", "id"), "id").withColumn("class", F.coalesce("component", "id"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "no")
-    best = joined.groupBy("class").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    gone = joined.join(best, "class").where(~place.eqNullSafe(F.col("best")))
-    key = F.xxhash64("doc_id", "t")
-    dropped = gone.groupBy(key.alias("row")).agg(F.collect_set("no").alias("gone"))
-    rows = left_join_few(named.withColumn("row", key), dropped, "row")
-
-    @F.arrow_udf("struct<n_lines: bigint, n_dropped: bigint, kept_text: string>")
-    def cut(text: pa.Array, lost: pa.Array) -> pa.Array:
-        n, m, kept = [], [], []
-        for b in parts(iter([pa.RecordBatch.from_arrays([text, lost], ["t", "g"])]), 0):
-            p = _Lines(b.column(0))
-            raw, ends = p.data.tobytes(), np.append(np.searchsorted(p.text, np.arange(len(p.count))), len(p.text))
-            for i, g in enumerate(b.column(1).to_pylist()):
-                g, x, y = set(g or ()), ends[i], ends[i + 1]
-                kept.append(b"\n".join(raw[p.start[k] : p.end[k]] for k in range(x, y) if k - x not in g).decode())
-                n.append(int(y - x))
-                m.append(len(g))
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(kept, pa.string())], ["n_lines", "n_dropped", "kept_text"])
-
-    return rows.select("doc_id", cut("text", "gone").alias("c")).select("doc_id", "c.*")
+    best = stored(joined.groupBy("class").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1"), f"{home}/best")
+    seen = left_join_hot(joined.select("doc_id", "t", "no", "class"), best.select("class", "best"), "class", n, best.select("class", "n"))
+    gone = seen.where(F.col("best").isNotNull() & ~place.eqNullSafe(F.col("best")))
+    dropped = stored(gone.groupBy("t").agg(F.collect_set("no").alias("gone")), f"{home}/gone")
+    rows = left_join_few(named, dropped, "t")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches, 1):
+            p, kept = _Lines(b.column(1)), []
+            ends, lost = np.append(0, np.cumsum(p.count)), b.column(2).to_pylist()
+            for i, g in enumerate(lost):
+                g = set(g or ())
+                kept.append(b"\n".join(p.bytes(k) for k in range(ends[i], ends[i + 1]) if k - ends[i] not in g).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.count, pa.int64()), pa.array([len(set(g or ())) for g in lost], pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_text"])
+
+    return swept(rows.select("doc_id", "text", "gone").mapInArrow(cut, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_text string"), before)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.shared import flagged, left_join_few, made, quoted, shared_dir, stored, swept, text_key
-from kindred.llm.words import Hasher, buffers, mix, parts, split
+from kindred.llm.words import Hasher, argmin, buffers, mix, parts, split
 
 WINDOW = 35
 
@@ -35,16 +35,6 @@ def levels(window: int) -> list[int]:
     return out
 
 
-def _argmin(x: np.ndarray, width: int) -> np.ndarray:
-    """The place of the least of each run of width values, the first of several."""
-    at, size = np.arange(len(x)), 1
-    less = lambda a, b: np.where(x[b] < x[a], b, a)
-    while 2 * size <= width:
-        at = less(at[:-size], at[size:])
-        size *= 2
-    return less(at[: len(at) - (width - size)], at[width - size :]) if width > size else at
-
-
 _FIRST, _SECOND = Hasher(0), Hasher(1)
 
 
@@ -75,7 +65,7 @@ class _Part:
         n = len(self.hash) - window + 1
         if n <= 0:
             return np.empty(0, np.int64)
-        begin, at = np.arange(n), _argmin(self.windows(steps[0]), window - steps[0] + 1)
+        begin, at = np.arange(n), argmin(self.windows(steps[0]), window - steps[0] + 1)
         for width, wider in zip(steps, steps[1:]):
             at = np.where(at + wider <= begin + window, at, at + width - wider) if wider < window else begin
         return at

@@ -69,6 +69,16 @@ class Hasher:
         return mix(h + np.uint64(width))
 
 
+def argmin(x: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each run of width values, the first of several."""
+    at, size = np.arange(len(x)), 1
+    less = lambda a, b: np.where(x[b] < x[a], b, a)
+    while 2 * size <= width:
+        at = less(at[:-size], at[size:])
+        size *= 2
+    return less(at[: max(0, len(at) - (width - size))], at[width - size :]) if width > size else at
+
+
 def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array without copying its data; null is empty."""
     if text.null_count:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -210,91 +211,109 @@ def test_edit_distance():
             assert line_dedup.edit_distance(a, b, most) == min(plain(a, b), most + 1)
 
 
-def test_lines(spark, docs, nothing):
-    rng = random.Random(9)
-    line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).strip()
-    pool = [line(rng.randrange(1, 60)) for _ in range(60)]
-    for _ in range(120):
-        s = list(rng.choice(pool))
-        for _ in range(rng.randrange(1, 4)):
-            k = rng.randrange(len(s) + 1)
-            s[k : k + rng.randrange(2)] = rng.choice(["", "z", "é"])
-        pool.append("".join(s))
-    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(9)))) for i in range(60)] + [(90, None), (91, ""), (92, "\n \n"), (None, pool[0] + "\r\n" + pool[1])]
-    lines = [[x.strip(WHITE) for x in (t or "").encode().split(b"\n") if x.strip(WHITE)] for _, t in rows]
-    distinct = sorted({x for v in lines for x in v})
-    root = {x: x for x in distinct}
-    for i, x in enumerate(distinct):
-        for y in distinct[:i]:
-            most = min(2, max(len(x), len(y)) // 10)
-            if abs(len(x) - len(y)) <= most and line_dedup.edit_distance(x, y, most) <= most:
-                a, b = root[x], root[y]
-                root = {k: a if v == b else v for k, v in root.items()}
+def word_distance(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        q = [i + 1]
+        for j, y in enumerate(b):
+            q.append(min(p[j] + (x != y), p[j + 1] + 1, q[j] + 1))
+        p = q
+    return p[-1]
+
+
+def near_lines(rng):
+    """Lines of 1 to 250 words with copies that have up to one edit for eight words, spread or in one place."""
+    vocabulary, out = [rng.choice("th er on an in".split()) + rng.choice("abcdefgh") + rng.choice(["", "é", "—"]) for _ in range(60)], []
+    for n in [rng.randrange(1, 40) for _ in range(40)] + [rng.randrange(40, 250) for _ in range(12)]:
+        line = [rng.choice(vocabulary) for _ in range(n)]
+        out.append(line)
+        for _ in range(4):
+            s, step = list(line), rng.randrange(8, 14)
+            for k in range(rng.randrange(step), len(s), step):
+                s[k] = rng.choice(["", "new", s[k] + " more"])
+            out.append(" ".join(s).split())
+        k = rng.randrange(n)
+        out.append(line[:k] + line[k + n // rng.randrange(8, 14) :])
+    return [" ".join(x) for x in out if x]
+
+
+def near_pairs(lines):
+    """Pairs of different lines that brute force links."""
+    words, out = [tuple(re.findall("[\u0800-\U0010ffff]|[^ \t\r\v\f\u0800-\U0010ffff]+", x)) for x in lines], set()
+    for i, x in enumerate(words):
+        for j, y in enumerate(words[:i]):
+            most = max(len(x), len(y)) // 10
+            if x != y and abs(len(x) - len(y)) <= most and word_distance(x, y) <= most:
+                out.add((j, i))
+    return words, out
+
+
+def lines_expected(rows):
+    """Rows (id, n_lines, n_dropped, kept_text), by all pairs of lines."""
+    split = [[x.strip(" \t\r\v\f") for x in (t or "").split("\n") if x.strip(" \t\r\v\f")] for _, t in rows]
+    distinct = sorted({x for v in split for x in v})
+    words, near = near_pairs(distinct)
+    root = list(range(len(distinct)))
+    same = {(i, j) for j in range(len(distinct)) for i in range(j) if words[i] == words[j]}
+    for i, j in near | same:
+        a, b = root[i], root[j]
+        root = [a if r == b else r for r in root]
+    klass = dict(zip(distinct, root))
     seen, want = set(), Counter()
-    for (i, _), v in zip(rows, lines):
+    for (i, _), v in zip(rows, split):
         kept = []
         for x in v:
-            if root[x] not in seen:
+            if klass[x] not in seen:
                 kept.append(x)
-                seen.add(root[x])
-        want[(i, len(v), len(v) - len(kept), b"\n".join(kept).decode())] += 1
+                seen.add(klass[x])
+        want[(i, len(v), len(v) - len(kept), "\n".join(kept))] += 1
+    return want
+
+
+@pytest.mark.parametrize("block", [1 << 25, 4000])
+def test_lines(spark, docs, nothing, block, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK_BYTES", block)
+    rng = random.Random(9)
+    pool = near_lines(rng) + ["  two  words ", "two words", "\ttwo\vwords", "x" * 3000]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(9)))) for i in range(70)] + [(90, None), (91, ""), (92, "\n \n"), (None, pool[0] + "\r\n" + pool[1])]
+    want = lines_expected(rows)
+    assert sum(k[2] for k in want) > 50
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).repartition(4)
     assert bag(line_dedup.line_dedup(df), "doc_id", "n_lines", "n_dropped", "kept_text") == want
     assert line_dedup.line_dedup(nothing).count() == 0
     assert line_dedup.line_dedup(docs).count() == docs.count()
 
 
-def near_lines(rng):
-    """Lines of 20 to 700 bytes with copies that have up to one edit for seven bytes, spread or in one place."""
-    part = ["th", "er", "on", "an", "é", "à ", "ing", " the ", " of ", "re", "s ", ". "]
-    out = []
-    for n in [rng.randrange(20, 120) for _ in range(40)] + [rng.randrange(120, 700) for _ in range(15)]:
-        line = ""
-        while len(line.encode()) < n:
-            line += rng.choice(part)
-        out.append(line)
-        for _ in range(4):
-            s, step = list(line), rng.randrange(7, 14)
-            for k in range(rng.randrange(step), len(s), step):
-                s[k] = rng.choice(["", "z", s[k] + "q"])
-            out.append("".join(s))
-        k = rng.randrange(len(line))
-        out.append(line[:k] + line[k + len(line) // rng.randrange(9, 14) :])
-    return sorted({x.encode().strip(WHITE) for x in out} - {b""})
-
-
-def test_pieces_find_every_near_pair():
-    lines = near_lines(random.Random(5))
-    p = line_dedup._Lines(pa.array([x.decode() for x in lines]))
-    assert len(p.id) == len(lines)
-    name = {int(h): i for i, h in enumerate(p.id)}
-    found = {tuple(sorted((name[int(u)], name[int(v)]))) for u, v in line_dedup._piece_pairs(line_dedup._pieces(p))}
-    want = set()
-    for i, x in enumerate(lines):
-        for j, y in enumerate(lines[:i]):
-            most = max(len(x), len(y)) // 10
-            if max(len(x), len(y)) >= line_dedup.WIDE and line_dedup.edit_distance(x, y, most) <= most:
-                want.add((j, i))
-                assert not line_dedup._few_shared(x, y, most)
+def test_anchors_find_every_near_pair():
+    lines = sorted(set(near_lines(random.Random(5))))
+    p = line_dedup._Lines(pa.array(lines))
+    name = {int(h & line_dedup._SHORT): i for i, h in enumerate(p.hashes(line_dedup._FIRST)[1])}
+    assert len(name) == len(lines)
+    entries = line_dedup.entries(p)[1]
+    found = {tuple(sorted((name[int(u)], name[int(v)]))) for u, v in line_dedup._meet(entries, entries)}
+    words, want = near_pairs(lines)
+    assert [tuple(line_dedup.words(x.encode())) for x in lines] == [tuple(w.encode() for w in x) for x in words]
     assert len(want) > 100 and want <= found, sorted(want - found)[:3]
-
-
-def test_lines_without_a_cap(spark):
-    """The registered query links lines of any length by one edit for ten bytes."""
-    lines = near_lines(random.Random(6))
-    root = list(range(len(lines)))
-    for i, x in enumerate(lines):
-        for j, y in enumerate(lines[:i]):
-            most = max(len(x), len(y)) // 10
-            if line_dedup.edit_distance(x, y, most) <= most:
-                a, b = root[i], root[j]
-                root = [min(a, b) if r in (a, b) else r for r in root]
-    seen, want = set(), Counter()
-    for i, x in enumerate(lines):
-        want[(i, 1, int(root[i] in seen))] += 1
-        seen.add(root[i])
-    df = spark.createDataFrame([(i, x.decode()) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
-    assert bag(line_dedup.line_dedup(df, edits=None), "doc_id", "n_lines", "n_dropped") == want
+    assert len(found) < len(lines) ** 2 / 20  # a few copies of each line, not all pairs
+
+
+def thue_morse():
+    """Two words of 1024 bytes whose polynomial hashes modulo 2^64 are equal, whatever the base."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_cancel_stay_apart(spark):
+    a, b = thue_morse()
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert bag(ngram_join.ngram_join(df), "doc_id", "component_id", "n_links") == Counter([(1, 1, 0), (2, 2, 0)])
+    assert bag(line_dedup.line_dedup(df), "doc_id", "n_dropped") == Counter([(1, 0), (2, 0)])
+    long = spark.createDataFrame([(i, " ".join([f"x{j}" for j in range(17)] + [w] + [f"y{j}" for j in range(17)])) for i, w in enumerate((a, b))], "doc_id long, text string")
+    assert bag(substring_dedup.substring_dedup(long), "doc_id", "n_removed") == Counter([(0, 0), (1, 0)])
+    words = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((a, b))], "doc_id long, text string")
+    assert bag(substring_dedup.substring_dedup(words, 1024), "doc_id", "n_removed") == Counter([(0, 0), (1, 0)])
 
 
 def vectors(rng):
