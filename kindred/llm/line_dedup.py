@@ -4,8 +4,12 @@ A line is the sequence of its words, and an edit puts in, takes out or changes a
 edits, the shorter one is split into one segment more, so one of its segments stands in the longer line whole, moved by
 no more than the edits. The segments are indexed under their anchor, the three words of least hash among their first
 few; a longer line probes with the anchors of its windows of that many words, so that what a window and an equal segment
-are looked up by is the same. Entries that meet are sifted by length, place and the word beside the anchor; the lines that
-remain are compared by a banded bit-parallel edit distance.
+are looked up by is the same. Entries meet if the words beside the anchor agree too, and are sifted by length and place; the
+lines that remain are compared by a banded bit-parallel edit distance.
+
+Many lines that are near each other meet in all pairs, but the links of a few pairs join them. So a probe that meets many
+segments is compared with the first few at first. What it met is looked at again when the classes so far are known: only
+pairs of different classes are compared then.
 """
 
 from __future__ import annotations
@@ -27,10 +31,12 @@ from kindred.llm.words import WHITE, Hasher, argmin, buffers, mix, parts
 WORDS_AN_EDIT = 10
 #: Words of an anchor.
 GRAM = 3
+#: Segments that a probe is compared with at first.
+FEW = 3
 #: Bytes of entries that meet at once; larger buckets are cut into blocks, and every two blocks meet.
 BLOCK_BYTES = 32 << 20
 _FIRST, _SECOND = Hasher(5), Hasher(6)
-_ENTRY = np.dtype([("sig", "<u4"), ("sig2", "u1"), ("id", "<u4"), ("id2", "<u2"), ("size", "<u2"), ("place", "<u2"), ("left", "u1"), ("right", "u1"), ("kind", "u1")])
+_ENTRY = np.dtype([("sig", "<u4"), ("sig2", "u1"), ("id", "<u4"), ("id2", "<u2"), ("size", "<u2"), ("place", "<u2"), ("left", "<u2"), ("right", "<u2"), ("kind", "u1")])
 #: Kinds of entries: of a segment that goes on to the left of its anchor, of one that does to the right, and of a window.
 LEFT, RIGHT, PROBE = 0, 1, 2
 _MOST = 65535
@@ -90,11 +96,9 @@ def _starts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first[1:] |= solid[1:] & (~solid[:-1] | within[:-1] & ~tail[1:])
     edge = off[(off > 0) & (off < len(data))]
     first[edge] = solid[edge]
-    start = np.flatnonzero(first)
-    stop = ~solid
-    stop[start] = True
-    stops = np.append(np.flatnonzero(stop), len(data))
-    return start, stops[np.searchsorted(stops, start, "right")]
+    stops = np.flatnonzero(first | ~solid)
+    at = np.flatnonzero(first[stops])
+    return stops[at], np.append(stops, len(data))[at + 1]
 
 
 class _Lines:
@@ -152,8 +156,11 @@ def entries(p: _Lines) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, _ENTRY)
     of = np.repeat(np.arange(len(p.size)), p.size)
     room = p.last[of] - np.arange(len(of))  # words from here to the line's end
-    near = (h & np.uint64(255)).astype(np.uint8)
-    near = np.concatenate([near, np.zeros(GRAM, np.uint8)])
+    beside = {}  # one word beside an anchor, or two where windows have the room: to the left (before a place), to the right (from it on)
+    for k in (1, 2):
+        w = np.zeros(len(h) + 2 * GRAM, np.uint16)
+        w[GRAM : GRAM + len(h) - k + 1] = _FIRST.windows(h, k) & np.uint64(_MOST)
+        beside[k] = w
 
     def put(line: np.ndarray, at: np.ndarray, kind: np.ndarray, reach: int) -> None:
         row = np.empty(len(at), _ENTRY)
@@ -161,7 +168,8 @@ def entries(p: _Lines) -> tuple[np.ndarray, np.ndarray]:
         row["sig"], row["sig2"] = sig & np.uint64(0xFFFFFFFF), (sig >> np.uint64(32)) & np.uint64(255)
         row["id"], row["id2"] = line_hash[line] & np.uint64(0xFFFFFFFF), (line_hash[line] >> np.uint64(32)) & np.uint64(_MOST)
         row["size"], row["place"] = np.minimum(p.size[line], _MOST), np.minimum(at - p.first[line], _MOST)
-        row["left"], row["right"], row["kind"] = near[at - 1], near[at + GRAM], kind
+        k = 1 if reach < 6 else 2
+        row["left"], row["right"], row["kind"] = beside[k][at + GRAM - k], beside[k][at + 2 * GRAM], kind
         out.append(row)
         sigs.append(sig)
 
@@ -171,11 +179,12 @@ def entries(p: _Lines) -> tuple[np.ndarray, np.ndarray]:
         line, place = _segments(p.size[mine])
         line = mine[line]
         begin = p.first[line] + place
-        put(line, anchor[begin], np.where(anchor[begin] > begin, LEFT, RIGHT), reach)
+        put(line, anchor[begin], np.where(anchor[begin] - begin >= (1 if reach < 6 else 2), LEFT, RIGHT), reach)
         least = p.size - p.size // WORDS_AN_EDIT
         meets = one & (p.size >= WORDS_AN_EDIT) & (_reach(least) <= reach) & (_reach(p.size) >= reach)
-        begin = np.flatnonzero((meets[of] & (room >= reach))[: len(anchor)])
-        at = np.unique(anchor[begin])
+        some = np.zeros(len(gram), bool)
+        some[anchor[(meets[of] & (room >= reach))[: len(anchor)]]] = True
+        at = np.flatnonzero(some)
         put(of[at], at, np.full(len(at), PROBE), reach)
     return np.concatenate(sigs), np.concatenate(out)
 
@@ -184,36 +193,83 @@ def _wide(r: np.ndarray, low: str, high: str) -> np.ndarray:
     return r[low].astype(np.uint64) | r[high].astype(np.uint64) << np.uint64(32)
 
 
-def _meet(segments: np.ndarray, probes: np.ndarray) -> np.ndarray:
-    """Distinct pairs of short ids: a segment and a window of one anchor whose lengths, places and words beside it allow the edits."""
-    a, b = segments[segments["kind"] != PROBE], probes[probes["kind"] == PROBE]
-    found = [np.empty((0, 2), np.uint64)]
-    shift = np.uint64(16)
-    table = _wide(a, "sig", "sig2") << shift | a["size"].astype(np.uint64)
-    order = np.argsort(table)
-    a, table = a[order], table[order]
-    size, key = b["size"].astype(np.int64), _wide(b, "sig", "sig2") << shift
-    low = np.searchsorted(table, key | (size - size // WORDS_AN_EDIT).astype(np.uint64))
-    count = np.searchsorted(table, key | size.astype(np.uint64), "right") - low
+def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether segments a and windows b lie so, in lines so long, that the edits suffice."""
+    long, moved = b["size"].astype(np.int64), b["place"].astype(np.int64) - a["place"]
+    fits = np.abs(moved) + np.abs(long - a["size"] - moved) <= long // WORDS_AN_EDIT
+    return fits | (long == _MOST) | (b["place"] == _MOST)
+
+
+def _spans(low: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j): row j with each i of its span of count[j] rows from low[j] on; not too many at once."""
     some = np.flatnonzero(count)
     ends, x = np.cumsum(count[some]), 0
-    while x < len(some):  # not too many at once
+    while x < len(some):
         y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + (1 << 19), "right")))
         n = count[some[x:y]]
-        i = np.repeat(low[some[x:y]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        j = np.repeat(some[x:y], n)
-        moved, long = b["place"][j].astype(np.int64) - a["place"][i], size[j]
-        fits = np.abs(moved) + np.abs(long - a["size"][i] - moved) <= long // WORDS_AN_EDIT
-        fits |= (long == _MOST) | (b["place"][j] == _MOST)
-        fits &= np.where(a["kind"][i] == LEFT, a["left"][i] == b["left"][j], a["right"][i] == b["right"][j])
-        u, v = _wide(a[i[fits]], "id", "id2"), _wide(b[j[fits]], "id", "id2")
-        found.append(_distinct(np.stack([np.minimum(u, v), np.maximum(u, v)], 1)[u != v]))
+        yield np.repeat(low[some[x:y]] - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(some[x:y], n)
         x = y
+
+
+def _ids(r: np.ndarray) -> np.ndarray:
+    return _wide(r, "id", "id2")
+
+
+def _meet(segments: np.ndarray, probes: np.ndarray, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct pairs of short ids, rows (key, id, at) of entries to look at again).
+
+    A segment and a window meet if anchor and words beside it agree and lengths and places allow the edits. A window that has
+    more than `few` segments in its reach is paired with the first of them, and the key's entries are handed on.
+    """
+    found, again, shift = [np.empty((0, 2), np.uint64)], [np.empty((0, 3), np.uint64)], np.uint64(16)
+    for side, kind in (("left", LEFT), ("right", RIGHT)):
+        key = lambda r: mix((_wide(r, "sig", "sig2") << shift | r[side].astype(np.uint64)) + np.uint64(kind))  # noqa: E731, B023
+        a, b = segments[segments["kind"] == kind], probes[probes["kind"] == PROBE]
+        ka, kb = key(a), key(b)
+        low_bits = np.uint64(_MOST)
+        table = ka & ~low_bits | a["size"].astype(np.uint64)
+        order = np.lexsort((_ids(a), table))
+        a, ka, table = a[order], ka[order], table[order]
+        size = b["size"].astype(np.int64)
+        low = np.searchsorted(table, kb & ~low_bits | (size - size // WORDS_AN_EDIT).astype(np.uint64))
+        count = np.searchsorted(table, kb & ~low_bits | size.astype(np.uint64), "right") - low
+        for i, j in _spans(low, np.minimum(count, few)):
+            fits = _fits(a[i], b[j])
+            u, v = _ids(a[i[fits]]), _ids(b[j[fits]])
+            found.append(_distinct(np.stack([np.minimum(u, v), np.maximum(u, v)], 1)[u != v]))
+        more = np.unique(kb[count > few] & ~low_bits)
+        if len(more):
+            for r, k in ((a, ka), (b, kb)):
+                hit = np.isin(k & ~low_bits, more)
+                r = r[hit]
+                at = (r["kind"] == PROBE).astype(np.uint64) << np.uint64(32) | r["size"].astype(np.uint64) << shift | r["place"].astype(np.uint64)
+                again.append(_distinct(np.stack([k[hit] & ~low_bits, _ids(r), at], 1)))
+    return _distinct(np.concatenate(found)), np.concatenate(again)
+
+
+def _across(key: np.ndarray, ident: np.ndarray, at: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Distinct pairs of short ids of one key but different labels that fit."""
+    r = np.empty(len(key), np.dtype([("size", "<u2"), ("place", "<u2")]))
+    r["size"], r["place"], probe = (at >> 16) & _MOST, at & _MOST, at >> 32 > 0
+    kid, lid = np.unique(key, return_inverse=True)[1], np.unique(label, return_inverse=True)[1]
+    both, width = kid * (int(lid.max(initial=0)) + 1) + lid, int(lid.max(initial=0)) + 1
+    ia = np.flatnonzero(~probe)
+    ia = ia[np.argsort(both[ia], kind="stable")]
+    ib = np.flatnonzero(probe)
+    where = lambda x, side: np.searchsorted(both[ia], x, side)
+    own = where(both[ib], "left"), where(both[ib], "right")
+    found = [np.empty((0, 2), np.int64)]
+    for low, top in ((where(kid[ib] * width, "left"), own[0]), (own[1], where((kid[ib] + 1) * width, "left"))):
+        for i, j in _spans(low, top - low):
+            i, j = ia[i], ib[j]
+            fits = (r["size"][i] <= r["size"][j]) & _fits(r[i], r[j])
+            u, v = ident[i[fits]], ident[j[fits]]
+            found.append(_distinct(np.stack([np.minimum(u, v), np.maximum(u, v)], 1)[u != v]))
     return _distinct(np.concatenate(found))
 
 
 def _distinct(pairs: np.ndarray) -> np.ndarray:
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    pairs = pairs[np.lexsort(pairs.T[::-1])]
     return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))] if len(pairs) else pairs
 
 
@@ -223,19 +279,26 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
     return ((k, g) for k, g in groupby(rows, key=lambda r: r[:keys]))
 
 
-_PAIRS = "u bigint, v bigint, bucket bigint, block int, rows binary"
+_MET = "u bigint, v bigint, at bigint, bucket bigint, block int, rows binary"
 
 
-def _pairs(batch: np.ndarray) -> pa.RecordBatch:
-    none = [pa.nulls(len(batch), t) for t in (pa.int64(), pa.int32(), pa.binary())]
-    return pa.RecordBatch.from_arrays([*(pa.array(batch[:, i].astype(np.int64)) for i in (0, 1)), *none], ["u", "v", "bucket", "block", "rows"])
+def _met(pairs: np.ndarray, again: np.ndarray) -> pa.RecordBatch:
+    """Rows (u, v) of pairs, and rows (u, bucket, at) of entries to look at again, where bucket is the key."""
+    n, m = len(pairs), len(again)
+    ints = lambda x: pa.array(x.astype(np.uint64).view(np.int64))
+    join = lambda x, y: pa.concat_arrays([x, y])
+    none = lambda k: pa.nulls(k, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [join(ints(pairs[:, 0]), ints(again[:, 1])), join(ints(pairs[:, 1]), none(m)), join(none(n), ints(again[:, 2])), join(none(n), ints(again[:, 0])), pa.nulls(n + m, pa.int32()), pa.nulls(n + m, pa.binary())],
+        ["u", "v", "at", "bucket", "block", "rows"],
+    )
 
 
-def candidates(docs: DataFrame, total: int, home: str) -> DataFrame:
-    """(u, v): pairs of short ids of lines that may be within the edits. total: words of docs.
+def candidates(docs: DataFrame, total: int, home: str) -> tuple[DataFrame, DataFrame]:
+    """((u, v): pairs of short ids of lines that may be within the edits; (key, short, at): entries to look at again).
 
-    Entries are dealt to buckets by signature. A bucket of more than BLOCK_BYTES is passed on in blocks of that size, and
-    every two of these meet in a task of their own, so that a frequent anchor fills no worker's memory.
+    total: words of docs. Entries are dealt to buckets by signature. A bucket of more than BLOCK_BYTES is passed on in blocks
+    of that size, and every two of these meet in a task of their own, so that a frequent anchor fills no worker's memory.
     """
     buckets = max(64, total // 2 * _ENTRY.itemsize // (8 << 20))
 
@@ -263,60 +326,99 @@ def candidates(docs: DataFrame, total: int, home: str) -> DataFrame:
                 yield _passed(bucket, block, held)
             elif held:
                 r = np.frombuffer(b"".join(held), _ENTRY)
-                yield _pairs(_meet(r, r))
+                yield _met(*_meet(r, r))
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, x, y), rows in _runs(batches, 3):
             r = {k: np.frombuffer(raw, _ENTRY) for *_, k, raw in rows}
-            yield _pairs(_meet(r[x], r[y]))
+            yield _met(*_meet(r[x], r[y]))
             if x != y:
-                yield _pairs(_meet(r[y], r[x]))
+                yield _met(*_meet(r[y], r[x]))
 
     dealt = docs.select("text").mapInArrow(put, "bucket bigint, rows binary").repartition("bucket").sortWithinPartitions("bucket")
-    met = stored(dealt.mapInArrow(meet, _PAIRS), f"{home}/met")
+    met = stored(dealt.mapInArrow(meet, _MET), f"{home}/met")
     over = met.where("rows IS NOT NULL").select("bucket", "block", "rows")
     cells = over.join(over.groupBy("bucket").agg(F.max("block").alias("top")), "bucket").select("*", F.explode(F.sequence(F.lit(0), "top")).alias("o"))
     cells = cells.select("bucket", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "rows")
     by = ["bucket", "x", "y"]
-    rest = cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(cross, _PAIRS)
-    return met.where("u IS NOT NULL").select("u", "v").union(rest.select("u", "v")).distinct()
+    rest = cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(cross, _MET)
+    both = met.where("rows IS NULL").select("u", "v", "at", "bucket").union(rest.select("u", "v", "at", "bucket"))
+    both = stored(both.distinct(), f"{home}/candidates")
+    return both.where("v IS NOT NULL").select("u", "v"), both.where("v IS NULL").select(F.col("bucket").alias("key"), F.col("u").alias("short"), "at")
 
 
 def _passed(bucket: int, block: int, held: list[bytes]) -> pa.RecordBatch:
     none = pa.nulls(1, pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, pa.array([bucket]), pa.array([block], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["u", "v", "bucket", "block", "rows"])
+    return pa.RecordBatch.from_arrays([none, none, none, pa.array([bucket]), pa.array([block], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["u", "v", "at", "bucket", "block", "rows"])
 
 
-def links(docs: DataFrame, total: int, home: str) -> DataFrame:
-    """(u, v): keys of different lines within the edits."""
-    pairs = stored(candidates(docs, total, home), f"{home}/pairs")
-    ids = pairs.select(F.col("u").alias("short")).union(pairs.select("v")).distinct()
+def links(named: DataFrame, every: DataFrame, total: int, home: str) -> DataFrame:
+    """(u, v): keys of different lines within the edits that join all that such links join; every: the lines of named."""
+    pairs, again = candidates(named, total, home)
+    ids = pairs.select(F.col("u").alias("short")).union(pairs.select("v")).union(again.select("short")).distinct()
+    ids = stored(ids, f"{home}/ids")
+    # each line is cut from one text that has it
+    asked = flagged(every, ids, "short").where("_flag").join(ids, "short", "left_semi").groupBy("id").agg(F.min(F.struct("t", "no", "short")).alias("at"))
+    asked = asked.groupBy(F.col("at.t").alias("t")).agg(F.collect_list(F.struct(F.col("at.no").alias("no"), F.col("at.short").alias("short"), "id")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, 0):
-            p = _Lines(b.column(0))
-            h = p.hashes(_FIRST)[1]
-            one = np.sort(np.unique(h, return_index=True)[1])
-            one = one[p.size[one] >= WORDS_AN_EDIT - 1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((h[one] & _SHORT).astype(np.int64)), p.keys(h).take(pa.array(one)), pa.array([p.bytes(i) for i in one.tolist()], pa.binary())], ["short", "key", "line"]
-            )
+            p, rows = _Lines(b.column(0)), []
+            head = np.cumsum(p.count) - p.count
+            for i, some in enumerate(b.column(1).to_pylist()):
+                rows += [(x["short"], x["id"], p.bytes(head[i] + x["no"])) for x in some]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["short", "key", "line"])
 
-    lines = flagged(docs.select("text").mapInArrow(cut, "short bigint, key binary, line binary"), ids, "short").where("_flag").drop("_flag").dropDuplicates(["key"])
-    lines = stored(lines.join(ids, "short", "left_semi"), f"{home}/lines")
+    texts = flagged(named, asked, "t").where("_flag").select("t", "text").dropDuplicates(["t"]).join(asked, "t")
+    lines = stored(texts.select("text", "asked").mapInArrow(cut, "short bigint, key binary, line binary"), f"{home}/lines")
 
     @F.arrow_udf("boolean")
     def near(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(a, b):
-            v, w = words(x.as_py()), words(y.as_py())
+        for x, y in zip(a.to_pylist(), b.to_pylist()):
+            v, w = words(x), words(y)
             most = max(len(v), len(w)) // WORDS_AN_EDIT
-            out.append(edit_distance(v, w, most) <= most)
+            out.append(abs(len(v) - len(w)) <= most and edit_distance(v, w, most) <= most)
         return pa.array(out, pa.bool_())
 
     side = lambda u, key, line: lines.select(F.col("short").alias(u), F.col("key").alias(key), F.col("line").alias(line))
-    two = pairs.join(side("u", "ku", "a"), "u").join(side("v", "kv", "b"), "v")
-    return two.where(near("a", "b")).select(F.col("ku").alias("u"), F.col("kv").alias("v"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        two = pairs.join(side("u", "ku", "a"), "u").join(side("v", "kv", "b"), "v")
+        return two.where(near("a", "b")).select(F.col("ku").alias("u"), F.col("kv").alias("v"))
+
+    first = stored(compared(pairs), f"{home}/first")
+    klass = stored(components(first), f"{home}/labels")
+    label = left_join_few(lines.select("short", "key"), klass.withColumnRenamed("node", "key"), "key")
+    label = label.groupBy("short").agg(F.min(F.xxhash64(F.coalesce("component", "key"))).alias("label"), F.count(F.lit(1)).alias("n"))
+    # lines that share a short id belong to no class here, so that each is compared
+    label = label.select("short", F.when(F.col("n") == 1, F.col("label")).otherwise(F.xxhash64("short", "n")).alias("label"))
+    labelled = again.join(label, "short")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def done(c: list[np.ndarray]) -> pa.RecordBatch:
+            pairs = _across(*c)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+        for b in batches:
+            c = [x.to_numpy() for x in b.columns]
+            if not len(c[0]):
+                continue
+            last = int(np.searchsorted(c[0], c[0][-1]))  # where the last key begins, which may go on
+            if last or (held and held[-1][0][-1] != c[0][0]):
+                yield done([np.concatenate([*(h[i] for h in held), c[i][:last]]) for i in range(4)])
+                held = []
+            held.append([x[last:] for x in c])
+        if held:
+            yield done([np.concatenate([h[i] for h in held]) for i in range(4)])
+
+    cells = flagged(labelled, mixed, "key").where("_flag").join(mixed, "key", "left_semi").select("key", "short", "at", "label")
+    rest = cells.repartition("key").sortWithinPartitions("key").mapInArrow(across, "u bigint, v bigint").distinct()
+    second = stored(compared(rest.join(pairs, ["u", "v"], "left_anti")), f"{home}/second")
+    return first.union(second)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,12 +440,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for b in parts(batches, 2):
             p = _Lines(b.column(2))
             of = pa.array(p.text)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(p.number.astype(np.int32)), p.keys(p.hashes(_FIRST)[1]), pa.array(p.size.astype(np.int32))], ["doc_id", "t", "no", "id", "size"])
+            h = p.hashes(_FIRST)[1]
+            own = [pa.array(p.number.astype(np.int32)), p.keys(h), pa.array((h & _SHORT).astype(np.int64)), pa.array(p.size.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), *own], ["doc_id", "t", "no", "id", "short", "size"])
 
-    every = stored(named.select("doc_id", "t", "text").mapInArrow(lines, "doc_id bigint, t binary, no int, id binary, size int"), f"{home}/all")
+    every = stored(named.select("doc_id", "t", "text").mapInArrow(lines, "doc_id bigint, t binary, no int, id binary, short bigint, size int"), f"{home}/all")
     n, total = every.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    klass = stored(components(links(named, total, home)), f"{home}/classes")
-    joined = left_join_few(every.drop("size"), klass.withColumnRenamed("node", "id"), "id").withColumn("class", F.coalesce("component", "id"))
+    klass = stored(components(links(named, every, total, home)), f"{home}/classes")
+    joined = left_join_few(every.drop("size", "short"), klass.withColumnRenamed("node", "id"), "id").withColumn("class", F.coalesce("component", "id"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "no")
     best = stored(joined.groupBy("class").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1"), f"{home}/best")
     seen = left_join_hot(joined.select("doc_id", "t", "no", "class"), best.select("class", "best"), "class", n, best.select("class", "n"))

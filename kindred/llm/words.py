@@ -48,12 +48,15 @@ class Hasher:
         room[: len(data)] = _LOWER[data] if self.lower else data
         eight = np.ndarray((len(data) + 1,), "<u8", room, 0, (1,))
         size = end - start
-        count = (size + 7) >> 3
-        first = np.cumsum(count) - count
-        nth = np.arange(int(count.sum())) - np.repeat(first, count)
-        value = eight[np.repeat(start, count) + 8 * nth] & _LOW[np.minimum(np.repeat(size, count) - 8 * nth, 8)]
-        value = mix(value ^ mix(nth.astype(np.uint64) * _STEP + self.seed))
-        return mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _LEFT)
+        total = mix(eight[start] & _LOW[np.minimum(size, 8)] ^ mix(np.array([self.seed]))[0])
+        more = np.flatnonzero(size > 8)
+        if len(more):
+            count = (size[more] - 1) >> 3
+            first = np.cumsum(count) - count
+            nth = np.arange(1, int(count.sum()) + 1) - np.repeat(first, count)
+            value = eight[np.repeat(start[more], count) + 8 * nth] & _LOW[np.minimum(np.repeat(size[more], count) - 8 * nth, 8)]
+            total[more] += np.add.reduceat(mix(value ^ mix(nth.astype(np.uint64) * _STEP + self.seed)), first)
+        return mix(total + size.astype(np.uint64) * _LEFT)
 
     def windows(self, h: np.ndarray, width: int) -> np.ndarray:
         """A hash per run of width consecutive word hashes."""
@@ -72,11 +75,19 @@ class Hasher:
 def argmin(x: np.ndarray, width: int) -> np.ndarray:
     """The place of the least of each run of width values, the first of several."""
     at, size = np.arange(len(x)), 1
-    less = lambda a, b: np.where(x[b] < x[a], b, a)
-    while 2 * size <= width:
-        at = less(at[:-size], at[size:])
+
+    def less(k: int) -> None:
+        nonlocal x, at
+        n = len(x) - k
+        right = x[k:] < x[:n]
+        x, at = np.where(right, x[k:], x[:n]), np.where(right, at[k:], at[:n])
+
+    while 2 * size <= width and len(x) > size:
+        less(size)
         size *= 2
-    return less(at[: max(0, len(at) - (width - size))], at[width - size :]) if width > size else at
+    if width > size:
+        less(min(width - size, len(x)))
+    return at
 
 
 def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

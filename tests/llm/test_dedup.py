@@ -185,7 +185,7 @@ def cut_expected(rows, window):
 @pytest.mark.parametrize("window", [35, 7, 80])
 def test_substrings(docs, rows, window):
     got = substring_dedup.substring_dedup(docs, window)
-    assert got.columns == [c for c in docs.columns if c not in ("kept_text",)] + ["kept_text", "n_words", "n_removed"]
+    assert got.columns == [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed")] + ["kept_text", "n_words", "n_removed"]
     assert bag(got, "doc_id", "n_words", "n_removed", "kept_text") == cut_expected(rows, window)
 
 
@@ -274,7 +274,9 @@ def lines_expected(rows):
 def test_lines(spark, docs, nothing, block, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK_BYTES", block)
     rng = random.Random(9)
-    pool = near_lines(rng) + ["  two  words ", "two words", "\ttwo\vwords", "x" * 3000]
+    long = near_lines(rng)[5].split() * 3
+    crowd = [" ".join("odd" if k in (i % len(long), i * 7 % len(long)) else w for k, w in enumerate(long)) for i in range(60)]
+    pool = crowd + near_lines(rng) + ["  two  words ", "two words", "\ttwo\vwords", "x" * 3000]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(9)))) for i in range(70)] + [(90, None), (91, ""), (92, "\n \n"), (None, pool[0] + "\r\n" + pool[1])]
     want = lines_expected(rows)
     assert sum(k[2] for k in want) > 50
@@ -290,7 +292,7 @@ def test_anchors_find_every_near_pair():
     name = {int(h & line_dedup._SHORT): i for i, h in enumerate(p.hashes(line_dedup._FIRST)[1])}
     assert len(name) == len(lines)
     entries = line_dedup.entries(p)[1]
-    found = {tuple(sorted((name[int(u)], name[int(v)]))) for u, v in line_dedup._meet(entries, entries)}
+    found = {tuple(sorted((name[int(u)], name[int(v)]))) for u, v in line_dedup._meet(entries, entries, few=10**6)[0]}
     words, want = near_pairs(lines)
     assert [tuple(line_dedup.words(x.encode())) for x in lines] == [tuple(w.encode() for w in x) for x in words]
     assert len(want) > 100 and want <= found, sorted(want - found)[:3]
