@@ -348,3 +348,20 @@ def test_vectors(spark, block, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("key", F.lit(1)).repartition(4)
     assert bag(embedding_dedup.embedding_dedup(df), "vec_id", "n_links", "component_id", "kept") == want
     assert embedding_dedup.embedding_dedup(df.where("false")).count() == 0
+
+
+def test_dual_traversal_looks_at_few_pairs():
+    """Two trees of 40 tight clusters: all links, by far fewer cosines than there are pairs; and vectors without any structure."""
+    rng = np.random.default_rng(3)
+    for spread, most in ((0.02, 0.1), (3.0, 1.2)):
+        centre = rng.normal(size=(40, 16))
+        a, b = (np.repeat(centre, 30, 0) + spread * rng.normal(size=(1200, 16)) for _ in range(2))
+        a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b[:700]))
+        ta, tb = embedding_dedup.CoverTree(a), embedding_dedup.CoverTree(b)
+        for x, y, tx, ty in ((a, b, ta, tb), (a, a, ta, ta)):
+            count = []
+            got = {(int(tx.order[i]), int(ty.order[j])) for i, j in embedding_dedup.dual_links(tx, ty, 0.93, count) for i, j in zip(i, j)}
+            want = {(int(i), int(j)) for i, j in zip(*np.nonzero(x @ y.T >= 0.93))}
+            if x is y:
+                got, want = {(min(p), max(p)) for p in got}, {p for p in want if p[0] < p[1]}
+            assert got == want and sum(count) < most * len(x) * len(y)
