@@ -334,19 +334,30 @@ def _dealt(sig: np.ndarray, key: np.ndarray, buckets: int, extra: tuple[bytes, b
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["bucket", "a", "b"])
 
 
+#: Bytes of a bucket's blocks that are joined at once.
+HELD = 16 << 20
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch], do) -> Iterator[pa.RecordBatch]:
-    """do(bucket, a, b) on the joined blocks of each bucket; rows come sorted by it."""
-    now, a, b = None, [], []
+    """Rows of do(bucket, a, b, kept) on the joined blocks of each bucket, which come sorted by it, HELD bytes at once.
+
+    do returns rows and what it must keep of the bucket for its next blocks: one entry per signature, so a frequent one
+    fills no worker's memory.
+    """
+    now, a, b, kept, size = None, [], [], None, 0
     for batch in batches:
         for i, bucket in enumerate(batch.column(0).to_pylist()):
+            if a and (bucket != now or size > HELD):
+                out, kept = do(now, b"".join(a), b"".join(b), kept)
+                yield out
+                a, b, size = [], [], 0
             if bucket != now:
-                if a:
-                    yield do(now, b"".join(a), b"".join(b))
-                now, a, b = bucket, [], []
+                now, kept = bucket, None
             a.append(batch.column(1)[i].as_py())
             b.append(batch.column(2)[i].as_py())
+            size += len(a[-1]) + len(b[-1])
     if a:
-        yield do(now, b"".join(a), b"".join(b))
+        yield do(now, b"".join(a), b"".join(b), kept)[0]
 
 
 def _credits(docs: DataFrame, n: int, share: float, grams: int) -> DataFrame:
@@ -376,8 +387,10 @@ def _credits(docs: DataFrame, n: int, share: float, grams: int) -> DataFrame:
             extra = (_pack(got), _pack(count.astype(np.uint64))) if len(got) else None
             yield _dealt(h[at], np.where(marked, key[at] | _MARK, key[at]), buckets, extra, int(keys[0]))
 
-    def credit(bucket: int, a: bytes, b: bytes) -> pa.RecordBatch:
+    def credit(bucket: int, a: bytes, b: bytes, kept) -> tuple[pa.RecordBatch, tuple | None]:
         x, y = _unpack(a), _unpack(b)
+        if kept is not None and bucket >= 0:
+            x, y = np.concatenate([kept[0], x]), np.concatenate([kept[1], y])
         if bucket < 0:
             got, at = np.unique(x, return_inverse=True)
             count = np.bincount(at, y.astype(np.float64)).astype(np.int64)
@@ -392,7 +405,10 @@ def _credits(docs: DataFrame, n: int, share: float, grams: int) -> DataFrame:
             run = np.flatnonzero(once)
             mark = np.maximum.reduceat(y & _MARK, run) > 0
             got, count = np.unique(key[run][several[run] | mark], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(got.astype(np.int64)), pa.array(count.astype(np.int64))], ["short", "shared"])
+            # of each n-gram one set goes on, marked if several have it; it may get its credit again, which lets it through at worst
+            hot = np.maximum.reduceat(np.where(several, _MARK, y & _MARK), edge)
+            kept = x[edge], key[edge] | hot
+        return pa.RecordBatch.from_arrays([pa.array(got.astype(np.int64)), pa.array(count.astype(np.int64))], ["short", "shared"]), kept
 
     blocks = docs.select("text").mapInArrow(put, "bucket bigint, a binary, b binary")
     met = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda x: _by_bucket(x, credit), "short bigint, shared bigint")
@@ -427,10 +443,15 @@ def _meetings(docs: DataFrame, n: int, t: Threshold, grams: int) -> DataFrame:
             sig, key, pairs = _stars(sig, keys[of])
             yield _dealt(sig, key, buckets, (_pack(pairs[:, 0]), _pack(pairs[:, 1])) if len(pairs) else None, int(keys[0]))
 
-    def meet(bucket: int, a: bytes, b: bytes) -> pa.RecordBatch:
+    def meet(bucket: int, a: bytes, b: bytes, kept) -> tuple[pa.RecordBatch, tuple | None]:
         x, y = _unpack(a), _unpack(b)
-        pairs = np.stack([x, y], 1) if bucket < 0 else _stars(x, y)[2]
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].astype(np.int64)) for i in (0, 1)], ["u", "v"])
+        if bucket < 0:
+            pairs = np.stack([x, y], 1)
+        else:
+            if kept is not None:
+                x, y = np.concatenate([kept[0], x]), np.concatenate([kept[1], y])
+            *kept, pairs = _stars(x, y)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].astype(np.int64)) for i in (0, 1)], ["u", "v"]), kept
 
     blocks = docs.select("text").mapInArrow(put, "bucket bigint, a binary, b binary")
     return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda x: _by_bucket(x, meet), "u bigint, v bigint").distinct()

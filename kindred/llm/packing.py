@@ -28,8 +28,8 @@ CACHE_CHUNKS = 200_000
 _STOP = re.compile(rb"(?s).*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[,.]").fullmatch
 #: A special token of the vocabulary, which cuts a text wherever it stands.
 PART = "<|endoftext|>"
-#: Parts that share out the ranks of each length.
-SALTS = 64
+#: Parts that share out the ranks of each length at least, and pieces of a length for which there is one more.
+SALTS, RUN = 64, 1_000_000
 
 
 class WordEncoder:
@@ -172,41 +172,38 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut (a row per piece with doc_id, piece, length) with sequence_id and offset added.
 
-    Pieces of one length are interchangeable: their rank comes from a hash-salted order, so the hottest length is shared
-    out over SALTS parts. The counts per length and part are at most (capacity + 1) * SALTS rows.
+    Pieces of one length are interchangeable: their rank comes from a hash-salted order, so a hot length is shared out over
+    as many parts as it has RUN pieces, and SALTS at least. The histogram of lengths, at most `capacity` rows, and the plan go
+    to the driver; the parts' first ranks stay with the executors. Columns of cut other than these three are kept.
     """
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    cut = cut.withColumn("_salt", salt)
-    counts = cut.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).collect()
-    by_length: dict[int, int] = {}
-    base: dict[int, np.ndarray] = {}
-    for r in counts:
-        by_length[r["length"]] = by_length.get(r["length"], 0) + r["n"]
-        base.setdefault(r["length"], np.zeros(SALTS, np.int64))[r["_salt"]] = r["n"]
-    base = {k: np.cumsum(v) - v for k, v in base.items()}
+    spark, names = cut.sparkSession, cut.columns
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows: dict[int, list] = {}
-    for r in plan(by_length, capacity):
+    for r in plan(histogram, capacity):
         rows.setdefault(r[0], []).append(r[1:])
-    shipped = cut.sparkSession.sparkContext.broadcast((base, {k: np.array(v, np.int64) for k, v in rows.items()}))
+    shipped = spark.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in rows.items()})
+    parts = spark.createDataFrame([(k, SALTS + n // RUN) for k, n in histogram.items()], "length bigint, _parts bigint")
+    salted = cut.join(F.broadcast(parts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_parts")))
+    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
     nth = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece"))
-    ranked = cut.withColumn("_nth", nth)
-    names = [c for c in cut.columns if c != "_salt"]
+    ranked = salted.withColumn("_nth", nth).join(base, ["length", "_salt"]).select(*names, (F.col("_base") + F.col("_nth") - 1).alias("_rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, rows = shipped.value
+        rows = shipped.value
         for b in batches:
-            length, salts, nths = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_salt", "_nth"))
+            length, ranks = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
             seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             order = np.argsort(length, kind="stable")
             for at in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
                 k = int(length[at[0]])
-                rank, plan_of = base[k][salts[at]] + nths[at] - 1, rows[k]
+                rank, plan_of = ranks[at], rows[k]
                 r = plan_of[np.searchsorted(plan_of[:, 0], rank, "right") - 1]
                 j = rank - r[:, 0]
                 seq[at], off[at] = r[:, 3] + j // r[:, 2], r[:, 4] + j % r[:, 2] * k
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in cut.drop("_salt").dtypes)
+    schema = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes)
     return ranked.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
 
 
@@ -214,7 +211,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, i
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null texts are empty and give the end id alone; rows repeated with one id are packed each; other columns are
-    ignored; an empty table gives no rows. The slim table of pieces is stored, so texts are encoded once.
+    ignored, whatever their names; an empty table gives no rows. The slim table of pieces is stored, so texts are encoded once.
     """
     cut = pieces(docs, vocabulary, capacity, id_col, text_col)
     slim = stored(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), shared_dir(docs.sparkSession, "pieces"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from kindred.llm.shared import shared_dir, stored
 from kindred.llm.toxicity import Trees, fit_trees, held_out, labelled
 
-#: Evidence counts up to this log likelihood ratio.
+#: Evidence counts up to this log likelihood ratio (a parameter of the model: no text alone outweighs its site without bound).
 CAP = 12.0
 _ALNUM = bytes(b for b in range(256) if b > 127 or chr(b).isalnum()) + b" \t\n\v\f\r"
 
@@ -86,7 +86,8 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_c
         x = np.array([features((s.as_py() or "").encode()) for s in text]).reshape(len(text), -1)
         return pa.array(np.clip(t.margin(x) - t.base, -CAP, CAP) if len(text) else np.zeros(0))
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), llr(F.col(text_col)).alias("evidence"))
+    named = lambda site: F.coalesce(F.concat(F.lit("="), site.cast("string")), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), named(host).alias("host"), named(path).alias("path"), llr(F.col(text_col)).alias("evidence"))
     prior = float(np.log(base / (1 - base))) if 0 < base < 1 else 0.0
     rows = rows.withColumn("p", 1 / (1 + F.exp(-(F.col("evidence") + prior))) if trees is not None else F.lit(base))
     rows = stored(rows, shared_dir(spark, "quality"))

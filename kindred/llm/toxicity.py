@@ -23,7 +23,7 @@ TRAIN_ROWS = 20_000
 FOLDS = 4
 #: Evidence (likelihood ratio statistic) that a word of the lexicon needs.
 EVIDENCE = 20.0
-#: Words of the learned lexicon at most.
+#: Words of the learned lexicon at most, those of most evidence (a parameter of the model, not of what is scored).
 LEXICON_WORDS = 96
 #: Second-person words of four languages (fixed values).
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos ti usted ustedes vosotros tus".encode().split())
@@ -39,7 +39,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _PLAIN = bytes(b if b in _LETTERS else 32 for b in range(256)).translate(_LOWER)
 #: Characters written for letters (fixed values); other punctuation vanishes, so that d.o.t.s join.
 _FOR = dict(zip(b"013457@$!|", b"oieastasil"))
-_JOINED = bytes(_FOR.get(b, b if b in _LETTERS or b in b" \t\n\v\f\r" else 0) for b in range(256)).translate(_LOWER)
+_JOINED = bytes(_FOR.get(b, b) for b in range(256)).translate(_LOWER)
+_VANISH = bytes(b for b in range(256) if b not in _FOR and b not in _LETTERS and b not in b" \t\n\v\f\r")
 _MIXED = re.compile(rb"[A-Za-z][0-9@$!|*][A-Za-z]|(?:\b[A-Za-z][.\-_*]){3}")
 
 FEATURES = ("words", "hits", "hit_rate", "weight", "weight_rate", "top_weight", "kinds", "joined_hits", "joined_rate", "second", "near", "near_rate", "upper", "exclaim", "punct", "digit", "mixed")
@@ -61,7 +62,7 @@ def features(text: bytes, lexicon: dict[bytes, float]) -> list[float]:
         a, s = np.array(at), np.array(second)
         lo = np.searchsorted(s, a - NEAR)
         near = int((np.searchsorted(s, a + NEAR, "right") > lo).sum())
-    joined = sum(x in lexicon for x in text.translate(_JOINED, b"\0").split())
+    joined = sum(x in lexicon for x in text.translate(_JOINED, _VANISH).split())
     gone = lambda some: (len(text) - len(text.translate(None, some))) / size
     return [
         np.log1p(len(w)), len(at), len(at) / n, sum(weights), sum(weights) / n, max(weights, default=0.0), len({w[i] for i in at}),
@@ -162,12 +163,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = TRAIN_ROWS) -> DataFrame:
     """(id, text, y) of training rows: labelled 0 or 1 and not held out; of several labels of an id the highest counts.
 
-    At most `rows` of them, the lowest by a hash of their id, so their ids may be broadcast.
+    At most `rows` of them, the lowest by a hash of their id, so their ids may be broadcast; of several rows of an id the
+    one with the least text.
     """
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     known = docs.select(F.col(id_col).alias("id")).where(~held_out("id")).join(y, "id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
     text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return stored(text.join(F.broadcast(known), "id").repartition(8), shared_dir(docs.sparkSession, "labelled"))
+    one = text.join(F.broadcast(known), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    return stored(one.select("id", "text", "y").repartition(8), shared_dir(docs.sparkSession, "labelled"))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
@@ -206,8 +209,7 @@ def _lexicon(sample: DataFrame) -> dict[bytes, float]:
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for w in set(words(t.encode())):
-                    if len(w) <= 40:
-                        count[w, y] = count.get((w, y), 0) + 1
+                    count[w, y] = count.get((w, y), 0) + 1
         w, y = [k[0] for k in count], [k[1] for k in count]
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(y, pa.int32()), pa.array(list(count.values()), pa.int64())], ["w", "y", "n"])
 

@@ -125,7 +125,9 @@ def test_ngram_join_of_short_texts(spark, n, num, den):
 
 
 def test_ngram_join_in_blocks(docs, rows, monkeypatch):
+    """Small blocks of sets, and buckets joined a few entries at once."""
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 3)
+    monkeypatch.setattr(ngram_join, "HELD", 500)
     assert bag(ngram_join.ngram_join(docs, 3, 70, 100), "doc_id", "n_shingles", "component_id", "n_links") == joined(rows, 3, 70, 100)
 
 

@@ -217,12 +217,92 @@ def test_quality_on_held_out_rows(spark, sf_dir):
     assert sum(r["kept"] == (r["quality"] == 1) for r in got) / len(got) > 0.9
 
 
-def test_sparse_sites_shrink(spark):
-    """Without evidence a lone document's site rate is the corpus's, a large site's its own."""
-    rows = [(i, "good text", "big" if i < 60 else f"s{i}") for i in range(100)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, host string")
-    got = quality.quality(df, odd_labels(spark).where("false"), F.col("host"), F.lit("/")).collect()
-    assert {round(r["score"], 9) for r in got} == {0.5}
+def strength(sites):
+    """Documents that the prior is worth, from (n, sum, rate above) of each site."""
+    many = [(n, s, r) for n, s, r in sites if n > 1]
+    if len(many) < 2:
+        return 10.0
+    var = sum(r * (1 - r) for _, _, r in many) / len(many)
+    spread, total, squares = sum(n * (s / n - r) ** 2 for n, s, r in many), sum(n for n, _, _ in many), sum(n * n for n, _, _ in many)
+    between = (spread - len(many) * var) / max(1e-9, total - squares / total)
+    return min(1000.0, max(1.0, var / between - 1)) if between > 1e-9 else 1000.0
+
+
+def test_quality_against_plain_loops(spark, monkeypatch):
+    """A stub of trees that looks at the number of words; sites and scores by hand."""
+    stub = toxicity.Trees(np.array([[0]]), np.array([[np.log1p(3.5)]]), np.array([[-1.5, 1.5]]), 0.0)
+    monkeypatch.setattr(quality, "fit", lambda *_: (stub, 0.4))
+    rng = random.Random(8)
+    rows = [(i, "a b c d e" if rng.random() < rate else "a", host, path) for i, (host, path, rate) in enumerate(
+        [("big", "x", 0.9)] * 80 + [("big", "y", 0.2)] * 30 + [("small", "x", 0.1)] * 20 + [("lone", "x", 1.0), ("", "x", 1.0), (None, "x", 0.0), ("big", None, 1.0), ("lone2", "x", 0.0)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    got = {r["doc_id"]: r for r in quality.quality(df, odd_labels(spark), F.col("host"), F.col("path")).collect()}
+    logit = lambda p: float(np.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4))))
+    evidence = {i: 1.5 if len(t.split()) > 3 else -1.5 for i, t, _, _ in rows}
+    p = {i: 1 / (1 + np.exp(-(e + np.log(0.4 / 0.6)))) for i, e in evidence.items()}
+    paths, hosts = {}, {}
+    for i, _, h, q in rows:
+        for table, key in ((paths, (h, q)), (hosts, h)):
+            n, s = table.get(key, (0, 0.0))
+            table[key] = n + 1, s + p[i]
+    mean = sum(p.values()) / len(p)
+    k = strength([(n, s, mean) for n, s in hosts.values()])
+    rate = {h: (s + k * mean) / (n + k) for h, (n, s) in hosts.items()}
+    kp = strength([(n, s, rate[h]) for (h, _), (n, s) in paths.items()])
+    for i, _, h, q in rows:
+        n, s = paths[h, q]
+        own = (s - p[i] + kp * rate[h]) / (n - 1 + kp)
+        score = 1 / (1 + np.exp(-(evidence[i] + logit(own))))
+        assert abs(got[i]["host_rate"] - rate[h]) < 1e-9 and abs(got[i]["path_rate"] - own) < 1e-9 and abs(got[i]["score"] - score) < 1e-9
+    far = lambda h: abs(rate[h] - mean) / abs(hosts[h][1] / hosts[h][0] - mean)
+    assert far("lone") < far("small") < far("big") < 1  # the fewer documents, the nearer to the corpus
+
+
+def test_trees_against_plain_loops():
+    """One round of depth 1 finds the split that a plain loop finds; the margin adds up leaf by leaf."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(80, 3)), 1)
+    y = (x[:, 1] + 0.3 * rng.normal(size=80) > 0.2).astype(float)
+    t = toxicity.fit_trees(x, y, rounds=1, depth=1, rate=1.0, least=0.0)
+    q = y.mean()
+    g, h, best = y - q, q * (1 - q), (0.0, None, None)
+    for j in range(3):
+        for c in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 49)[1:-1])):
+            left = x[:, j] <= c
+            if left.all() or not left.any():
+                continue
+            gain = g[left].sum() ** 2 / (h * left.sum() + 1) + g[~left].sum() ** 2 / (h * (~left).sum() + 1) - g.sum() ** 2 / (h * 80 + 1)
+            if gain > best[0] + 1e-12:
+                best = gain, j, c
+    assert (t.feature[0][0], t.cut[0][0]) == best[1:]
+    left = x[:, best[1]] <= best[2]
+    for side, v in ((left, t.leaf[0][0]), (~left, t.leaf[0][1])):
+        assert abs(v - g[side].sum() / (h * side.sum() + 1)) < 1e-9
+    plain = [t.base + sum(v[0] if r[f[0]] <= c[0] else v[1] for f, c, v in zip(t.feature, t.cut, t.leaf)) for r in x]
+    assert np.allclose(t.margin(x), plain)
+
+
+def test_isotonic_against_min_max():
+    """The pooled value of each row is the greatest, over starts before it, of the least mean up to an end after it."""
+    rng = np.random.default_rng(6)
+    m, y = np.sort(rng.normal(size=40)), (rng.random(40) < np.linspace(0.1, 0.9, 40)).astype(float)
+    at, p = toxicity.isotonic(m, y)
+    want = [max(min(y[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    assert sorted(set(np.round(want, 9))) == np.round(p, 9).tolist() and (np.diff(at) > 0).all()
+
+
+def test_toxic_features():
+    lexicon = {b"vile": 2.0, b"dots": 1.0}
+    f = dict(zip(toxicity.FEATURES, toxicity.features(b"You VILE one! d.o.t.s v1le far far far far far far vile", lexicon)))
+    assert f["hits"] == 2 and f["kinds"] == 1 and f["near"] == 1 and f["joined_hits"] == 2 and f["top_weight"] == 2.0
+    assert toxicity.features(b"", lexicon)[1:] == [0.0] * (len(toxicity.FEATURES) - 1)
+
+
+def test_repeated_ids_bring_one_row_each(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    got = toxicity.labelled(docs, labels, "doc_id", "text", "toxic").collect()
+    assert len(got) <= 2 and all(r["text"] in ("text 0", "b") for r in got)
 
 
 def test_words():
