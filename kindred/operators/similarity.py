@@ -135,29 +135,32 @@ def candidates(pool: DataFrame, summary: DataFrame, min_bound_seeds: int) -> Dat
     return out.withColumn("ub", ub).withColumn("certain", certain).drop("centroid", "c_norm")
 
 
-def _phases(pool: DataFrame, seeds: DataFrame, k: int, min_bound_seeds: int, centroid: str, others: bool = False) -> tuple[DataFrame, DataFrame]:
+def _phases(pool: DataFrame, seeds: DataFrame, k: int, min_bound_seeds: int, centroid: str, others: bool = False, score=lsh_max_sim) -> tuple[DataFrame, DataFrame]:
+    """(scores of the certain rows, all candidates with `pruned`)."""
     cand = candidates(pool, bucket_summary(seeds, centroid), min_bound_seeds)
-    phase1 = lsh_max_sim(cand.where("certain"), seeds, keep_unmatched=False, others=others)
+    phase1 = score(cand.where("certain"), seeds, keep_unmatched=False, others=others)
     tau = topk(phase1, k).agg(F.when(F.count(F.lit(1)) < k, F.lit(0.0)).otherwise(F.min("sim")).alias("tau"))
-    deferred = cand.where("NOT certain").crossJoin(F.broadcast(tau))  # one row
-    return phase1, deferred.withColumn("pruned", F.greatest("ub", F.lit(0.0)) + 1e-7 < F.col("tau"))
+    judged = cand.crossJoin(F.broadcast(tau))  # one row
+    return phase1, judged.withColumn("pruned", ~F.col("certain") & (F.greatest("ub", F.lit(0.0)) + 1e-7 < F.col("tau")))
 
 
-def bound_topk(pool: DataFrame, seeds: DataFrame, k: int, min_bound_seeds: int = 10, centroid: str = "mean", others: bool = False) -> DataFrame:
+def bound_topk(pool: DataFrame, seeds: DataFrame, k: int, min_bound_seeds: int = 10, centroid: str = "mean", others: bool = False, kernel: str = "sql") -> DataFrame:
     """The same answer as the inner bucketed search, without scoring rows whose bound is under the k-th best.
 
-    The threshold is fixed after the certain rows; with fewer than k of those nothing is pruned.
+    The threshold is fixed after the certain rows; with fewer than k of those nothing is pruned. Either kernel scores.
     """
-    phase1, deferred = _phases(pool, seeds, k, min_bound_seeds, centroid, others)
-    phase2 = lsh_max_sim(deferred.where("NOT pruned"), seeds, keep_unmatched=False, others=others)
+    score = lsh_max_sim_arrow if kernel == "arrow" else lsh_max_sim
+    phase1, judged = _phases(pool, seeds, k, min_bound_seeds, centroid, others, score)
+    phase2 = score(judged.where("NOT certain AND NOT pruned"), seeds, keep_unmatched=False, others=others)
     return topk(phase1.unionByName(phase2), k)
 
 
 def bound_prune_stats(pool: DataFrame, seeds: DataFrame, k: int, min_bound_seeds: int = 10, centroid: str = "mean") -> DataFrame:
-    """(deferred, pruned, saved_pairs): bounded rows, those skipped, and the comparisons that spared."""
-    _, deferred = _phases(pool, seeds, k, min_bound_seeds, centroid)
-    gone = F.col("pruned")
-    return deferred.agg(
-        F.count(F.lit(1)).alias("deferred"), F.count_if(gone).alias("pruned"),
-        F.coalesce(F.sum(F.when(gone, F.col("n_seeds"))), F.lit(0)).cast("bigint").alias("saved_pairs"),
+    """(deferred, pruned, saved_pairs, small_pairs): bounded rows, those skipped, the comparisons that spared, and the
+    comparisons made in buckets of too few seeds for a bound."""
+    _, judged = _phases(pool, seeds, k, min_bound_seeds, centroid)
+    seeds_of = lambda some: F.coalesce(F.sum(F.when(some, F.col("n_seeds"))), F.lit(0)).cast("bigint")
+    return judged.agg(
+        F.count_if(~F.col("certain")).alias("deferred"), F.count_if("pruned").alias("pruned"),
+        seeds_of(F.col("pruned")).alias("saved_pairs"), seeds_of(F.col("n_seeds") < min_bound_seeds).alias("small_pairs"),
     )

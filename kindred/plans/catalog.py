@@ -168,10 +168,10 @@ def bound_classify(spark, d, dims=3, bits=3):
     return got.groupBy("bucket").agg(F.max("n_seeds").alias("n_seeds"), F.count_if("certain").alias("certain"), F.count_if(~F.col("certain")).alias("deferred"))
 
 
-def _bound(dims: int, bits: int, least: int, centroid: str = "mean"):
+def _bound(dims: int, bits: int, least: int, centroid: str = "mean", kernel: str = "sql"):
     def run(spark, d, others=False):
         pool, seeds = _both(spark, d, dims, bits, others)
-        return _sim(similarity.bound_topk(pool, seeds, K, least, centroid, others))
+        return _sim(similarity.bound_topk(pool, seeds, K, least, centroid, others, kernel))
 
     return run
 
@@ -265,6 +265,27 @@ def recall_vs_baseline(spark, d, others=False):
     return got.withColumn("recall", R6("recall"))
 
 
+def recall_bound_vs_lsh(spark, d):
+    """How much of the bounded answer the bucketed one has."""
+    pool, seeds = _both(spark, d)
+    got = evaluate.recall(similarity.bound_topk(pool, seeds, K, 1), similarity.lsh_topk(pool, seeds, K))
+    return got.withColumn("recall", R6("recall"))
+
+
+def scan_text_vectors(spark, d):
+    """The whole table written as delimited text and read again."""
+    path = shared_dir(spark)
+    cells = F.array_join(F.transform("v", lambda x: x.cast("string")), ",")
+    _all(spark, d, bits=None).select(cells.alias("value")).write.text(path)
+    got = source.read_delimited(spark, path, DIMS)
+    return got.select(F.size("v").alias("width"), R6(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+def lsh_random_planes(spark, d):
+    """Buckets under planes drawn from a seed; the SQL is given the planes."""
+    return hashing.with_bucket(_all(spark, d, bits=None), V.random_planes(BITS, DIMS, 7)).select("id", "bucket")
+
+
 #: Name to query.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -273,14 +294,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bucket_hist, signature_cost, best_signature, best_lsh_topk, lsh_cost, lsh_cost_study, bucket_centroid,
         bucket_medoid, bucket_summary, upper_bound, bound_classify, bound_prune_stats, brute_max_sim, brute_topk, brute_topk_arrow,
         max_sim, lsh_topk, lsh_topk_arrow, recall, perquery_topk, perquery_kth, planes_from_text, planes_roundtrip,
-        topk_sink, recall_vs_baseline,
+        topk_sink, recall_vs_baseline, scan_text_vectors, recall_bound_vs_lsh, lsh_random_planes,
     )
-} | {"bound_topk": _bound(DIMS, BITS, 1), "bound_topk_3d": _bound(3, 3, 10), "bound_topk_medoid": _bound(DIMS, BITS, 1, "medoid")}
+} | {"bound_topk": _bound(DIMS, BITS, 1), "bound_topk_3d": _bound(3, 3, 10), "bound_topk_medoid": _bound(DIMS, BITS, 1, "medoid"), "bound_topk_arrow": _bound(DIMS, BITS, 1, kernel="arrow")}
 
 #: Searches that are registered over the whole table too.
 SEARCHES = (
     "brute_topk", "brute_topk_arrow", "brute_max_sim", "lsh_topk", "lsh_topk_arrow", "max_sim", "best_lsh_topk", "bound_topk", "bound_topk_3d",
-    "bound_topk_medoid", "perquery_topk", "perquery_kth", "cosine_pairs", "recall", "recall_vs_baseline", "topk_sink",
+    "bound_topk_medoid", "bound_topk_arrow", "perquery_topk", "perquery_kth", "cosine_pairs", "recall", "recall_vs_baseline", "topk_sink",
 )
 QUERIES |= {f"{n}_all": partial(QUERIES[n], others=True) for n in SEARCHES}
 
@@ -324,8 +345,15 @@ _CENTRE = """, x AS (SELECT bucket, unnest(v) AS x, generate_subscripts(v, 1) AS
     cl AS (SELECT *, CASE WHEN th > tb THEN cos(th - tb) ELSE 1::DOUBLE END AS ub, n < 10 OR th <= tb AS certain FROM cand)"""
 _DIST = """, d AS (SELECT s.id AS query_id, p.id, 1 - list_cosine_similarity(p.v, s.v) AS dist FROM p, s),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), id)::INT AS rank FROM d)"""
-_RECALL = f"""WITH a AS (SELECT id FROM ({_sql(_BRUTE + _TOP.replace("SELECT", " SELECT", 1))})), b AS (SELECT id FROM ({_sql(_LEFT + _TOP.replace("SELECT", " SELECT", 1))}))
+
+
+def _recall_sql(truth: str, found: str) -> str:
+    a, b = (_sql(f"{x} {_TOP}") for x in (truth, found))
+    return f"""WITH a AS (SELECT id FROM ({a})), b AS (SELECT id FROM ({b}))
     SELECT count(b.id) AS matched, count(*) AS total, round(count(b.id) / count(*)::DOUBLE, 6) AS recall FROM a LEFT JOIN b USING (id)"""
+
+
+_RECALL = _recall_sql(_BRUTE, _LEFT)
 _COST = ", t AS (SELECT sample, sum(n * n)::BIGINT AS cost FROM (SELECT sample, bucket, count(*) AS n FROM s GROUP BY ALL) GROUP BY sample)"
 _BEST = f"""{_COST}, pick AS (SELECT arg_min(sample, (cost, sample)) AS sample FROM t),
     ex AS (SELECT p.id, coalesce(greatest(0::DOUBLE, max({_COS})), 0) AS sim FROM p JOIN pick USING (sample) LEFT JOIN s ON s.sample = p.sample AND s.bucket = p.bucket GROUP BY p.id)"""
@@ -368,8 +396,12 @@ ORACLE: dict[str, str] = {
     "bound_topk_medoid": _sql(f"{_INNER} {_TOP}"),
     "bound_prune_stats": _sql(f"""{_CENTRE}, sc AS (SELECT cl.id, greatest(0::DOUBLE, max(list_cosine_similarity(cl.v, s.v))) AS sim FROM cl JOIN s USING (bucket) WHERE certain GROUP BY cl.id),
         best AS (SELECT sim FROM sc ORDER BY round(sim, 9) DESC, id LIMIT {K}), tau AS (SELECT CASE WHEN count(*) < {K} THEN 0::DOUBLE ELSE min(sim) END AS tau FROM best),
-        g AS (SELECT n, greatest(ub, 0::DOUBLE) + 1e-7::DOUBLE < tau AS pruned FROM cl, tau WHERE NOT certain)
-        SELECT count(*) AS deferred, count(*) FILTER (pruned) AS pruned, coalesce(sum(n) FILTER (pruned), 0)::BIGINT AS saved_pairs FROM g""", 3, 3),
+        g AS (SELECT n, certain, NOT certain AND greatest(ub, 0::DOUBLE) + 1e-7::DOUBLE < tau AS pruned FROM cl, tau)
+        SELECT count(*) FILTER (NOT certain) AS deferred, count(*) FILTER (pruned) AS pruned, coalesce(sum(n) FILTER (pruned), 0)::BIGINT AS saved_pairs,
+          coalesce(sum(n) FILTER (n < 10), 0)::BIGINT AS small_pairs FROM g""", 3, 3),
+    "bound_topk_arrow": _sql(f"{_INNER} {_TOP}"),
+    "scan_text_vectors": "SELECT len(embedding)::INT AS width, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings",
+    "recall_bound_vs_lsh": _recall_sql(_INNER, _LEFT),
     "brute_max_sim": _sql(f"{_BRUTE} SELECT id, round(sim, 6) AS sim FROM ex"),
     "brute_topk": _sql(f"{_BRUTE} {_TOP}"),
     "brute_topk_arrow": _sql(f"{_BRUTE} {_TOP}"),
@@ -383,6 +415,9 @@ ORACLE: dict[str, str] = {
     "perquery_kth": _sql(f"{_DIST} SELECT query_id, round(max(dist), 6) AS kth FROM r WHERE rank <= 5 GROUP BY query_id"),
 }
 
+_DRAWN = ", ".join(f"(0, {b}, {[float(x) for x in w]})" for b, w in enumerate(V.random_planes(BITS, DIMS, 7)))
+ORACLE["lsh_random_planes"] = ORACLE["lsh_signature"].replace(_planes_sql(BITS, DIMS), f"planes AS (SELECT * FROM (VALUES {_DRAWN}) t(sample, b, w))")
+
 
 def _all_sql(sql: str) -> str:
     """The same over the whole table: queries id % 50 = 0, no row with itself."""

@@ -26,8 +26,8 @@ def search(pool: DataFrame, seeds: DataFrame, dims: int, mode: str, p: Params) -
     if mode == "best":
         planes = hashing.best_planes(seeds, [V.random_planes(p.n_bits, dims, p.plane_seed + i) for i in range(p.n_samples)])
     pool, seeds = hashing.with_bucket(pool, planes), hashing.with_bucket(seeds, planes)
-    if mode == "bound":  # it has one kernel
-        return similarity.bound_topk(pool, seeds, p.k, p.min_bound_seeds, p.centroid)
+    if mode == "bound":
+        return similarity.bound_topk(pool, seeds, p.k, p.min_bound_seeds, p.centroid, kernel=p.kernel)
     score = similarity.lsh_max_sim_arrow if p.kernel == "arrow" else similarity.lsh_max_sim
     return ranking.topk(score(pool, seeds), p.k)
 

@@ -131,3 +131,14 @@ def test_stream_scores_match_batch(spark, tmp_path):
     q.awaitTermination()
     got = spark.table("scored").groupBy("id").agg(F.max("sim").alias("sim"))
     assert sorted(out(got)) == sorted(out(similarity.lsh_max_sim(pool, seeds, keep_unmatched=False)))
+
+
+def test_random_planes_decide_the_bucket(spark, sf_dir):
+    import numpy as np
+
+    from kindred.plans import catalog
+
+    planes = np.array(V.random_planes(catalog.BITS, catalog.DIMS, 7))
+    v = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    want = {i: sum(int(d >= 0) << (catalog.BITS - 1 - b) for b, d in enumerate(planes @ x)) for i, x in v.items()}
+    assert {r["id"]: r["bucket"] for r in catalog.lsh_random_planes(spark, sf_dir).collect()} == want
