@@ -10,6 +10,10 @@ lines that remain are compared by a banded bit-parallel edit distance.
 Many lines that are near each other meet in all pairs, but the links of a few pairs join them. So a probe that meets many
 segments is compared with the first few at first. What it met is looked at again when the classes so far are known: only
 pairs of different classes are compared then.
+
+Each candidate line has a sketch: a bit for each of SKETCH classes of words, set if the line has an odd number of words of
+that class. An edit changes two bits at most, so sketches of lines within the allowed edits differ in at most twice as many
+bits; a pair that differs in more is no link, and is left out before any text is fetched.
 """
 
 from __future__ import annotations
@@ -35,6 +39,9 @@ GRAM = 3
 FEW = 3
 #: Bytes of entries that meet at once; larger buckets are cut into blocks, and every two blocks meet.
 BLOCK_BYTES = 32 << 20
+#: Bits of a line's sketch, in words of 64.
+SKETCH = 256
+_LANES = [f"s{k}" for k in range(SKETCH // 64)]
 _FIRST, _SECOND = Hasher(5), Hasher(6)
 _ENTRY = np.dtype([("sig", "<u4"), ("sig2", "u1"), ("id", "<u4"), ("id2", "<u2"), ("size", "<u2"), ("place", "<u2"), ("left", "<u2"), ("right", "<u2"), ("kind", "u1")])
 #: Kinds of entries: of a segment that goes on to the left of its anchor, of one that does to the right, and of a window.
@@ -126,6 +133,18 @@ class _Lines:
         both = np.stack([first, self.hashes(_SECOND)[1]], 1).astype("<u8")
         return pa.Array.from_buffers(pa.binary(16), len(both), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
 
+    def sketches(self, some: np.ndarray) -> np.ndarray:
+        """(line, lane): the sketches of some lines."""
+        if not len(some):
+            return np.empty((0, len(_LANES)), np.uint64)
+        size = self.size[some]
+        first = np.cumsum(size) - size
+        word = np.repeat(self.first[some] - first, size) + np.arange(size.sum())
+        bit = _FIRST.words(self.data, self.start[word], self.end[word]) % np.uint64(SKETCH)
+        one = np.uint64(1) << (bit & np.uint64(63))
+        lanes = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == np.uint64(k), one, np.uint64(0)), first) for k in range(len(_LANES))]
+        return np.stack(lanes, 1)
+
     def bytes(self, i: int) -> bytes:
         return self.data[self.start[self.first[i]] : self.end[self.last[i] - 1]].tobytes()
 
@@ -247,8 +266,13 @@ def _meet(segments: np.ndarray, probes: np.ndarray, few: int = FEW) -> tuple[np.
     return _distinct(np.concatenate(found)), np.concatenate(again)
 
 
-def _across(key: np.ndarray, ident: np.ndarray, at: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Distinct pairs of short ids of one key but different labels that fit."""
+def _alike(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether sketches a and b allow the edits of lines whose longer one has `size` words."""
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= 2 * (size.astype(np.int64) // WORDS_AN_EDIT)
+
+
+def _across(key: np.ndarray, ident: np.ndarray, at: np.ndarray, label: np.ndarray, sketch: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Distinct pairs of short ids of one key but different labels that fit; known: which rows have a sketch."""
     r = np.empty(len(key), np.dtype([("size", "<u2"), ("place", "<u2")]))
     r["size"], r["place"], probe = (at >> 16) & _MOST, at & _MOST, at >> 32 > 0
     kid, lid = np.unique(key, return_inverse=True)[1], np.unique(label, return_inverse=True)[1]
@@ -263,6 +287,8 @@ def _across(key: np.ndarray, ident: np.ndarray, at: np.ndarray, label: np.ndarra
         for i, j in _spans(low, top - low):
             i, j = ia[i], ib[j]
             fits = (r["size"][i] <= r["size"][j]) & _fits(r[i], r[j])
+            i, j = i[fits], j[fits]
+            fits = _alike(sketch[i], sketch[j], r["size"][j]) | ~(known[i] & known[j]) | (r["size"][j] == _MOST)
             u, v = ident[i[fits]], ident[j[fits]]
             found.append(_distinct(np.stack([np.minimum(u, v), np.maximum(u, v)], 1)[u != v]))
     return _distinct(np.concatenate(found))
@@ -366,11 +392,14 @@ def links(named: DataFrame, every: DataFrame, total: int, home: str) -> DataFram
             p, rows = _Lines(b.column(0)), []
             head = np.cumsum(p.count) - p.count
             for i, some in enumerate(b.column(1).to_pylist()):
-                rows += [(x["short"], x["id"], p.bytes(head[i] + x["no"])) for x in some]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["short", "key", "line"])
+                rows += [(x["short"], x["id"], head[i] + x["no"]) for x in some]
+            short, key, at = zip(*rows)
+            lanes = p.sketches(np.array(at)).view(np.int64)
+            made = [pa.array(short, pa.int64()), pa.array(key, pa.binary()), pa.array([p.bytes(i) for i in at], pa.binary()), pa.array(p.size[list(at)], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*made, *(pa.array(lanes[:, k]) for k in range(len(_LANES)))], ["short", "key", "line", "size", *_LANES])
 
     texts = flagged(named, asked, "t").where("_flag").select("t", "text").dropDuplicates(["t"]).join(asked, "t")
-    lines = stored(texts.select("text", "asked").mapInArrow(cut, "short bigint, key binary, line binary"), f"{home}/lines")
+    lines = stored(texts.select("text", "asked").mapInArrow(cut, "short bigint, key binary, line binary, size int, " + ", ".join(f"{x} bigint" for x in _LANES)), f"{home}/lines")
 
     @F.arrow_udf("boolean")
     def near(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -381,18 +410,21 @@ def links(named: DataFrame, every: DataFrame, total: int, home: str) -> DataFram
             out.append(abs(len(v) - len(w)) <= most and edit_distance(v, w, most) <= most)
         return pa.array(out, pa.bool_())
 
-    side = lambda u, key, line: lines.select(F.col("short").alias(u), F.col("key").alias(key), F.col("line").alias(line))
+    side = lambda u: lines.select(F.col("short").alias(u), *(F.col(c).alias(f"{u}_{c}") for c in ["key", "line", "size", *_LANES]))
+    most = F.expr(f"greatest(u_size, v_size) div {WORDS_AN_EDIT}")
+    differ = sum((F.bit_count(F.col(f"u_{x}").bitwiseXOR(F.col(f"v_{x}"))) for x in _LANES), F.lit(0))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        two = pairs.join(side("u", "ku", "a"), "u").join(side("v", "kv", "b"), "v")
-        return two.where(near("a", "b")).select(F.col("ku").alias("u"), F.col("kv").alias("v"))
+        two = pairs.join(side("u"), "u").join(side("v"), "v").where((differ <= 2 * most) & (F.abs(F.col("u_size") - F.col("v_size")) <= most))
+        return two.where(near("u_line", "v_line")).select(F.col("u_key").alias("u"), F.col("v_key").alias("v"))
 
     first = stored(compared(pairs), f"{home}/first")
     klass = stored(components(first), f"{home}/labels")
-    label = left_join_few(lines.select("short", "key"), klass.withColumnRenamed("node", "key"), "key")
-    label = label.groupBy("short").agg(F.min(F.xxhash64(F.coalesce("component", "key"))).alias("label"), F.count(F.lit(1)).alias("n"))
-    # lines that share a short id belong to no class here, so that each is compared
-    label = label.select("short", F.when(F.col("n") == 1, F.col("label")).otherwise(F.xxhash64("short", "n")).alias("label"))
+    label = left_join_few(lines.select("short", "key", *_LANES), klass.withColumnRenamed("node", "key"), "key")
+    label = label.groupBy("short").agg(F.min(F.xxhash64(F.coalesce("component", "key"))).alias("label"), F.count(F.lit(1)).alias("n"), *(F.min(x).alias(x) for x in _LANES))
+    # lines that share a short id belong to no class here and have no sketch, so that each is compared
+    one = F.col("n") == 1
+    label = label.select("short", F.when(one, F.col("label")).otherwise(F.xxhash64("short", "n")).alias("label"), *_LANES, one.alias("known"))
     labelled = again.join(label, "short")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
 
@@ -400,22 +432,23 @@ def links(named: DataFrame, every: DataFrame, total: int, home: str) -> DataFram
         held: list[list[np.ndarray]] = []
 
         def done(c: list[np.ndarray]) -> pa.RecordBatch:
-            pairs = _across(*c)
+            key, ident, at, label, *lanes, known = c
+            pairs = _across(key, ident, at, label, np.stack(lanes, 1).view(np.uint64), known)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
         for b in batches:
-            c = [x.to_numpy() for x in b.columns]
+            c = [x.to_numpy(zero_copy_only=False) for x in b.columns]
             if not len(c[0]):
                 continue
             last = int(np.searchsorted(c[0], c[0][-1]))  # where the last key begins, which may go on
             if last or (held and held[-1][0][-1] != c[0][0]):
-                yield done([np.concatenate([*(h[i] for h in held), c[i][:last]]) for i in range(4)])
+                yield done([np.concatenate([*(h[i] for h in held), c[i][:last]]) for i in range(len(c))])
                 held = []
             held.append([x[last:] for x in c])
         if held:
-            yield done([np.concatenate([h[i] for h in held]) for i in range(4)])
+            yield done([np.concatenate(x) for x in zip(*held)])
 
-    cells = flagged(labelled, mixed, "key").where("_flag").join(mixed, "key", "left_semi").select("key", "short", "at", "label")
+    cells = flagged(labelled, mixed, "key").where("_flag").join(mixed, "key", "left_semi").select("key", "short", "at", "label", *_LANES, "known")
     rest = cells.repartition("key").sortWithinPartitions("key").mapInArrow(across, "u bigint, v bigint").distinct()
     second = stored(compared(rest.join(pairs, ["u", "v"], "left_anti")), f"{home}/second")
     return first.union(second)

@@ -367,3 +367,20 @@ def test_dual_traversal_looks_at_few_pairs():
             if x is y:
                 got, want = {(min(p), max(p)) for p in got}, {p for p in want if p[0] < p[1]}
             assert got == want and sum(count) < most * len(x) * len(y)
+
+
+def test_sketches_keep_all_pairs_within_the_edits():
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)] + ["é", "漢", "字"]
+    for _ in range(200):
+        a = rng.choices(vocabulary, k=rng.randint(10, 80))
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 10)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choices(vocabulary, k=rng.randint(0, 1))
+        p = line_dedup._Lines(pa.array([" ".join(a), "", " ".join(b)]))
+        x, y = p.sketches(np.array([0, 1]))
+        distance = line_dedup.edit_distance(a, b, len(a))
+        assert np.bitwise_count(x ^ y).sum() <= 2 * distance
+        if distance <= max(len(a), len(b)) // line_dedup.WORDS_AN_EDIT:
+            assert line_dedup._alike(x[None], y[None], np.array([max(len(a), len(b))]))[0]
