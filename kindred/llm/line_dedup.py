@@ -85,6 +85,52 @@ def edit_distance(a: Sequence, b: Sequence, most: int) -> int:
     return min(score, most + 1)
 
 
+#: The most edits whose band is one word of the machine.
+BAND = 31
+
+
+def near_pairs(a: Sequence[bytes], b: Sequence[bytes]) -> np.ndarray:
+    """Whether each two lines, of a word or more, are within the edits; pairs with the same edits are compared together."""
+    names: dict[bytes, int] = {}
+    line = {x: np.array([names.setdefault(w, len(names)) for w in words(x)], np.int32) for x in {*a, *b}}
+    short, long = [line[x] for x in a], [line[x] for x in b]
+    for i, (x, y) in enumerate(zip(short, long)):
+        if len(x) > len(y):
+            short[i], long[i] = y, x
+    n, m = (np.array([len(x) for x in side], np.int64) for side in (short, long))
+    most, out = m // WORDS_AN_EDIT, np.zeros(len(n), bool)
+    fits = m - n <= most
+    for k in np.unique(most[fits]).tolist():
+        some = np.flatnonzero(fits & (most == k))
+        if k > BAND:
+            out[some] = [edit_distance(short[i].tolist(), long[i].tolist(), k) <= k for i in some]
+            continue
+        for part in np.split(some, range(1024, len(some), 1024)):
+            out[part] = _banded([short[i] for i in part], [long[i] for i in part], n[part], m[part], k) <= k
+    return out
+
+
+def _banded(short: list[np.ndarray], long: list[np.ndarray], n: np.ndarray, m: np.ndarray, most: int) -> np.ndarray:
+    """edit_distance of many pairs, column by column of all; n, m: their lengths."""
+    width = 2 * most + 1
+    a, b = np.full((n.max(), len(n)), -1, np.int32), np.full((len(n), max(n.max(), m.max()) + width), -2, np.int32)
+    for i, (x, y) in enumerate(zip(short, long)):
+        a[: len(x), i], b[i, most : most + len(y)] = x, y
+    one, full, top = np.uint64(1), np.uint64((1 << width) - 1), np.uint64(1 << 2 * most)
+    up, down = np.full(len(n), ((1 << width) - 1 << most) & (1 << width) - 1, np.uint64), np.zeros(len(n), np.uint64)
+    score, bits = np.full(len(n), most, np.int64), np.zeros((len(n), 8), np.uint8)
+    for j in range(len(a)):
+        bits[:, : (width + 7) // 8] = np.packbits(b[:, j : j + width] == a[j][:, None], axis=1, bitorder="little")
+        x, on = bits.view("<u8")[:, 0], j < n
+        d = ((((x & up) + up) ^ up) | x | down) & full
+        hp, hn = (down | ~(d | up)) & full, d & up
+        score += on & (d & top == 0)
+        up, down = np.where(on, (hn | ~((d >> one) | hp)) & full, up), np.where(on, (d >> one) & hp, down)
+    # the band's last cell lies at row n + most; walk up to the row of the last word
+    rest = top - (one << (m - n + most).astype(np.uint64))
+    return score + np.bitwise_count(down & rest) - np.bitwise_count(up & rest).astype(np.int64)
+
+
 def words(line: bytes) -> list[bytes]:
     """Runs of bytes outside 20 and 09 to 0D; a character of three bytes or more is a word of its own."""
     return _WORD.findall(line)
@@ -403,12 +449,7 @@ def links(named: DataFrame, every: DataFrame, total: int, home: str) -> DataFram
 
     @F.arrow_udf("boolean")
     def near(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist()):
-            v, w = words(x), words(y)
-            most = max(len(v), len(w)) // WORDS_AN_EDIT
-            out.append(abs(len(v) - len(w)) <= most and edit_distance(v, w, most) <= most)
-        return pa.array(out, pa.bool_())
+        return pa.array(near_pairs(a.to_pylist(), b.to_pylist()), pa.bool_())
 
     side = lambda u: lines.select(F.col("short").alias(u), *(F.col(c).alias(f"{u}_{c}") for c in ["key", "line", "size", *_LANES]))
     most = F.expr(f"greatest(u_size, v_size) div {WORDS_AN_EDIT}")

@@ -384,3 +384,22 @@ def test_sketches_keep_all_pairs_within_the_edits():
         assert np.bitwise_count(x ^ y).sum() <= 2 * distance
         if distance <= max(len(a), len(b)) // line_dedup.WORDS_AN_EDIT:
             assert line_dedup._alike(x[None], y[None], np.array([max(len(a), len(b))]))[0]
+
+
+def test_near_pairs_agree_with_the_distance_of_each():
+    rng, a, b = random.Random(3), [], []
+    for _ in range(3000):
+        x = rng.choices("abcdefghijklmnop", k=rng.choice([1, 5, 9, 10, 25, 60, 150, 319, 400]))
+        y = list(x)
+        for _ in range(rng.randint(0, len(x) // 8 + 1)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randint(0, 2)] = rng.choices("abcdefghijklmnop", k=rng.randint(0, 2))
+        y = y or ["a"]
+        x, y = rng.choice([(x, y), (y, x)])
+        a.append(" ".join(x).encode())
+        b.append(" ".join(y).encode())
+    most = [max(len(x.split()), len(y.split())) // line_dedup.WORDS_AN_EDIT for x, y in zip(a, b)]
+    want = [line_dedup.edit_distance(x.split(), y.split(), k) <= k for x, y, k in zip(a, b, most)]
+    got = line_dedup.near_pairs(a, b).tolist()
+    assert got == want and 0.2 < sum(got) / len(got) < 0.9
+    assert line_dedup.near_pairs([], []).tolist() == []
