@@ -490,7 +490,11 @@ def links(named: DataFrame, every: DataFrame, total: int, home: str) -> DataFram
             yield done([np.concatenate(x) for x in zip(*held)])
 
     cells = flagged(labelled, mixed, "key").where("_flag").join(mixed, "key", "left_semi").select("key", "short", "at", "label", *_LANES, "known")
-    rest = cells.repartition("key").sortWithinPartitions("key").mapInArrow(across, "u bigint, v bigint").distinct()
+    rest = cells.repartition("key").sortWithinPartitions("key").mapInArrow(across, "u bigint, v bigint")
+    # pairs are few bytes but much work, so partitions aren't to be joined by their size
+    spark = named.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rest = rest.repartition(n, "u", "v").distinct()
     second = stored(compared(rest.join(pairs, ["u", "v"], "left_anti")), f"{home}/second")
     return first.union(second)
 
