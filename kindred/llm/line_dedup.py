@@ -317,10 +317,13 @@ def _alike(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= 2 * (size.astype(np.int64) // WORDS_AN_EDIT)
 
 
-def _across(key: np.ndarray, ident: np.ndarray, at: np.ndarray, label: np.ndarray, sketch: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Distinct pairs of short ids of one key but different labels that fit; known: which rows have a sketch."""
-    r = np.empty(len(key), np.dtype([("size", "<u2"), ("place", "<u2")]))
-    r["size"], r["place"], probe = (at >> 16) & _MOST, at & _MOST, at >> 32 > 0
+def _across(key: np.ndarray, ident: np.ndarray, size: np.ndarray, probe: np.ndarray, low: np.ndarray, high: np.ndarray, label: np.ndarray, sketch: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Distinct pairs of short ids of one key but different labels that may fit.
+
+    A row stands for all segments, or all windows (probe), of a line under the key; low, high: the least and the greatest of
+    their places. known: which rows have a sketch.
+    """
+    size, low, high = (x.astype(np.int64) for x in (size, low, high))
     kid, lid = np.unique(key, return_inverse=True)[1], np.unique(label, return_inverse=True)[1]
     both, width = kid * (int(lid.max(initial=0)) + 1) + lid, int(lid.max(initial=0)) + 1
     ia = np.flatnonzero(~probe)
@@ -329,12 +332,16 @@ def _across(key: np.ndarray, ident: np.ndarray, at: np.ndarray, label: np.ndarra
     where = lambda x, side: np.searchsorted(both[ia], x, side)
     own = where(both[ib], "left"), where(both[ib], "right")
     found = [np.empty((0, 2), np.int64)]
-    for low, top in ((where(kid[ib] * width, "left"), own[0]), (own[1], where((kid[ib] + 1) * width, "left"))):
-        for i, j in _spans(low, top - low):
+    for first, top in ((where(kid[ib] * width, "left"), own[0]), (own[1], where((kid[ib] + 1) * width, "left"))):
+        for i, j in _spans(first, top - first):
             i, j = ia[i], ib[j]
-            fits = (r["size"][i] <= r["size"][j]) & _fits(r[i], r[j])
+            # a place moves by the words that the longer line has more, but for half of the edits left over
+            more = size[j] - size[i]
+            rest = size[j] // WORDS_AN_EDIT - more
+            fits = (rest >= 0) & (low[j] - high[i] <= more + rest // 2) & (high[j] - low[i] >= -(rest // 2))
+            fits = (more >= 0) & (fits | (size[j] == _MOST))
             i, j = i[fits], j[fits]
-            fits = _alike(sketch[i], sketch[j], r["size"][j]) | ~(known[i] & known[j]) | (r["size"][j] == _MOST)
+            fits = _alike(sketch[i], sketch[j], size[j]) | ~(known[i] & known[j]) | (size[j] == _MOST)
             u, v = ident[i[fits]], ident[j[fits]]
             found.append(_distinct(np.stack([np.minimum(u, v), np.maximum(u, v)], 1)[u != v]))
     return _distinct(np.concatenate(found))
@@ -427,6 +434,10 @@ def _passed(bucket: int, block: int, held: list[bytes]) -> pa.RecordBatch:
 def links(named: DataFrame, every: DataFrame, total: int, home: str) -> DataFrame:
     """(u, v): keys of different lines within the edits that join all that such links join; every: the lines of named."""
     pairs, again = candidates(named, total, home)
+    # a line may repeat one anchor any number of times; all its places under a key become one range before rows are dealt by key
+    at = F.col("at")
+    size, probe, spot = F.shiftright(at, 16).bitwiseAND(_MOST).cast("int"), F.shiftright(at, 32) > 0, at.bitwiseAND(_MOST).cast("int")
+    again = again.groupBy("key", "short", size.alias("size"), probe.alias("probe")).agg(F.min(spot).alias("low"), F.max(spot).alias("high"))
     ids = pairs.select(F.col("u").alias("short")).union(pairs.select("v")).union(again.select("short")).distinct()
     ids = stored(ids, f"{home}/ids")
     # each line is cut from one text that has it
@@ -473,8 +484,8 @@ def links(named: DataFrame, every: DataFrame, total: int, home: str) -> DataFram
         held: list[list[np.ndarray]] = []
 
         def done(c: list[np.ndarray]) -> pa.RecordBatch:
-            key, ident, at, label, *lanes, known = c
-            pairs = _across(key, ident, at, label, np.stack(lanes, 1).view(np.uint64), known)
+            *row, label = c[:7]
+            pairs = _across(*row, label, np.stack(c[7:-1], 1).view(np.uint64), c[-1])
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
         for b in batches:
@@ -489,7 +500,7 @@ def links(named: DataFrame, every: DataFrame, total: int, home: str) -> DataFram
         if held:
             yield done([np.concatenate(x) for x in zip(*held)])
 
-    cells = flagged(labelled, mixed, "key").where("_flag").join(mixed, "key", "left_semi").select("key", "short", "at", "label", *_LANES, "known")
+    cells = flagged(labelled, mixed, "key").where("_flag").join(mixed, "key", "left_semi").select("key", "short", "size", "probe", "low", "high", "label", *_LANES, "known")
     rest = cells.repartition("key").sortWithinPartitions("key").mapInArrow(across, "u bigint, v bigint")
     # pairs are few bytes but much work, so partitions aren't to be joined by their size
     spark = named.sparkSession

@@ -403,3 +403,42 @@ def test_near_pairs_agree_with_the_distance_of_each():
     got = line_dedup.near_pairs(a, b).tolist()
     assert got == want and 0.2 < sum(got) / len(got) < 0.9
     assert line_dedup.near_pairs([], []).tolist() == []
+
+
+def test_pairs_between_classes():
+    """Ranges of places leave out no two lines of different classes whose segments and windows fit one by one."""
+    rng, kept = np.random.default_rng(4), 0
+    for _ in range(120):
+        n = 80
+        ident = rng.integers(0, 30, n)
+        size = rng.integers(20, 60, 30)[ident]
+        key, probe, place, label = rng.integers(0, 3, n), rng.random(n) < 0.5, rng.integers(0, 20, n), ident % 7
+        row = np.empty(n, [("size", "<u2"), ("place", "<u2")])
+        row["size"], row["place"] = size, place
+        want = set()
+        for i in np.flatnonzero(~probe):
+            for j in np.flatnonzero(probe & (key == key[i]) & (label != label[i]) & (size >= size[i])):
+                if line_dedup._fits(row[i : i + 1], row[j : j + 1])[0]:
+                    want.add((min(ident[i], ident[j]), max(ident[i], ident[j])))
+        groups = {}
+        for i in range(n):
+            groups.setdefault((key[i], ident[i], size[i], probe[i]), []).append(place[i])
+        k, who, s, p = (np.array(x) for x in zip(*groups))
+        low, high = np.array([min(x) for x in groups.values()]), np.array([max(x) for x in groups.values()])
+        got = set(map(tuple, line_dedup._across(k, who, s, p, low, high, who % 7, np.zeros((len(k), 4), np.uint64), np.ones(len(k), bool)).tolist()))
+        assert want <= got
+        kept += len(want)
+    assert kept > 500
+
+
+def test_lines_that_repeat_a_phrase(spark):
+    rng = random.Random(11)
+    base = ["so it goes"] * 60 + [f"w{i}" for i in range(20)]
+    pool = []
+    for i in range(40):
+        line = " ".join(rng.sample(base, len(base))).split() if i % 4 == 0 else pool[-1].split()
+        for _ in range(rng.randrange(30)):
+            line[rng.randrange(len(line))] = f"x{rng.randrange(1000)}"
+        pool.append(" ".join(line))
+    rows = [(i, "\n".join(rng.sample(pool, 2))) for i in range(60)]
+    assert bag(line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_lines", "n_dropped", "kept_text") == lines_expected(rows)
