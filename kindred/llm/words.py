@@ -18,8 +18,10 @@ from kindred.llm.shared import forget
 
 WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Bytes below 80 (hexadecimal) that are neither letters nor digits.
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: The low 0 to 8 bytes of an integer.
 _LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -45,7 +47,7 @@ class Hasher:
         if not len(start):
             return np.empty(0, np.uint64)
         room = np.zeros(len(data) + 8, np.uint8)
-        room[: len(data)] = _LOWER[data] if self.lower else data
+        room[: len(data)] = LOWER[data] if self.lower else data
         eight = np.ndarray((len(data) + 1,), "<u8", room, 0, (1,))
         size = end - start
         total = mix(eight[start] & _LOW[np.minimum(size, 8)] ^ mix(np.array([self.seed]))[0])
@@ -101,9 +103,11 @@ def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first): places of all words in the buffer, and per text the index of its first word (and the total)."""
-    word = ~WHITE[data]
+def split(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first): places of all words in the buffer, and per text the index of its first word (and the total).
+
+    outside: the bytes that part words."""
+    word = ~outside[data]
     at = offsets[1:-1]
     at = at[(at > 0) & (at < len(data))]
     edge = np.zeros(len(data) + 1, bool)
