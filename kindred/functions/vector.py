@@ -38,16 +38,23 @@ def upper_bound(theta: str | Column, theta_b: str | Column) -> Column:
     return F.when(t > b, F.cos(t - b)).otherwise(F.lit(1.0))
 
 
+def ring_bound(theta: str | Column, theta_a: str | Column, theta_b: str | Column) -> Column:
+    """No seed whose angle to the centroid lies in theta_a to theta_b can be nearer than theta lies to that range."""
+    t = _c(theta)
+    return F.cos(F.greatest(F.lit(0.0), t - _c(theta_b), _c(theta_a) - t))
+
+
 def fixture_planes(n_bits: int, dims: int, sample: int = 0) -> list[list[float]]:
     """Planes that any SQL engine can make as well: linear in plane and dimension, for tests only."""
     rows = range(sample * n_bits, (sample + 1) * n_bits)
     return [[((p * 7919 + j * 104729 + 12345) * _A % _M * _B % _M) / float(_M) * 2.0 - 1.0 for j in range(1, dims + 1)] for p in rows]
 
 
-def random_planes(n_bits: int, dims: int, seed: int = 0) -> list[list[float]]:
-    """Independent components, uniform in [-1, 1)."""
+def random_planes(n_bits: int, dims: int, seed: int = 0, normal: bool = False) -> list[list[float]]:
+    """Independent components, uniform in [-1, 1) or of the standard normal distribution."""
     rng = random.Random(seed)
-    return [[rng.uniform(-1.0, 1.0) for _ in range(dims)] for _ in range(n_bits)]
+    draw = (lambda: rng.gauss(0.0, 1.0)) if normal else (lambda: rng.uniform(-1.0, 1.0))
+    return [[draw() for _ in range(dims)] for _ in range(n_bits)]
 
 
 def planes_column(planes: list[list[float]]) -> Column:

@@ -21,7 +21,7 @@ class Params:
     min_bound_seeds: int = 10
     plane_seed: int = 0
     centroid: str = "mean"
-    kernel: str = "sql"
+    kernel: str = "arrow"
 
     def __post_init__(self) -> None:
         if self.k < 1 or self.n_samples < 1 or self.min_bound_seeds < 0:
@@ -35,10 +35,17 @@ class Params:
     def from_args(cls, argv: list[str]) -> tuple[Params, argparse.Namespace]:
         """Command-line settings: --pool and --seeds are paths, the rest as the fields."""
         parser = argparse.ArgumentParser(description="similarity audience expansion")
-        parser.add_argument("--pool", required=True)
+        parser.add_argument("--pool", required=True, help="delimited text, a vector to a line; an id is a line's number")
         parser.add_argument("--seeds", required=True)
         parser.add_argument("--dims", type=int, required=True)
-        parser.add_argument("--mode", choices=("brute", "lsh", "best", "bound", "compare"), default="bound")
+        parser.add_argument("--mode", choices=("brute", "balls", "lsh", "best", "bound", "compare", "kernels", "sweep"), default="bound")
+        parser.add_argument("--sep", default=",", help="what parts the cells of a line")
+        parser.add_argument("--planes", help="read the planes from this file instead of drawing them")
+        parser.add_argument("--save-planes", help="write the planes that the run uses")
+        parser.add_argument("--normal", action="store_true", help="draw planes of normally distributed components")
+        parser.add_argument("--out", help="write the ids found, best first")
+        parser.add_argument("--baseline", help="compare the ids found with those stored here")
+        parser.add_argument("--sweep", default="1,5,10,20,50", help="numbers of sampled plane sets that the sweep goes through")
         for f in fields(cls):
             parser.add_argument(f"--{f.name.replace('_', '-')}", type=type(f.default), default=f.default)
         args = parser.parse_args(argv)

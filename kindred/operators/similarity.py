@@ -1,27 +1,24 @@
 """Exact, bucketed and bounded searches for the pool rows nearest to any seed.
 
-Every search takes (id, v, norm) relations. Seeds reach the pool in blocks nested in arrays, so that a
-pool row meets a few wide rows instead of one row per pair, and the maximum is folded inside the expression.
+Every search takes (id, v, norm) relations. There are two kernels with the same answer: matrix products over a grid of
+tiles (arrow), and SQL, where seeds reach the pool in blocks nested in arrays, so that a pool row meets a few wide rows
+instead of one row per pair, and the maximum is folded inside the expression.
 With `others` both sides come from one table, and no row is compared with itself (the same id).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kindred.functions import vector as V
+from kindred.operators.bounded import bound_topk  # noqa: F401  the bounded search belongs to these
 from kindred.operators.ranking import topk
 from kindred.operators.summary import bucket_summary
+from kindred.operators.tiles import SCORES, Grid, best_cosine, best_of
 
 #: Seeds nested in one array.
 BLOCK = 256
-#: Bytes of seed vectors that the Arrow kernel ships to each executor; beyond it the join is used.
-BROADCAST_BYTES = 64 << 20
 
 
 def cosine_pairs(pool: DataFrame, seeds: DataFrame, others: bool = False) -> DataFrame:
@@ -62,17 +59,14 @@ def brute_max_sim(pool: DataFrame, seeds: DataFrame, others: bool = False) -> Da
     return _fold(pool.where("norm > 0").crossJoin(_blocks(seeds, ids=others)).withColumn("_keep", F.lit(False)), others)
 
 
-def brute_topk(pool: DataFrame, seeds: DataFrame, k: int, others: bool = False) -> DataFrame:
-    return topk(brute_max_sim(pool, seeds, others), k)
+def brute_max_sim_arrow(pool: DataFrame, seeds: DataFrame, others: bool = False, observation: Observation | None = None) -> DataFrame:
+    """As brute_max_sim, by matrix products over a grid of tiles."""
+    one = lambda df: df.withColumn("bucket", F.lit(0))
+    return lsh_max_sim_arrow(one(pool), one(seeds), False, others, observation)
 
 
-def brute_max_sim_arrow(pool: DataFrame, seeds: DataFrame, others: bool = False) -> DataFrame:
-    """As brute_max_sim, by matrix products on Arrow batches; beyond BROADCAST_BYTES of seeds the blocked product runs."""
-    n, width = seeds.where("norm > 0").agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    if n * (width or 0) * 8 > BROADCAST_BYTES:
-        return brute_max_sim(pool, seeds, others)
-    one = lambda df: df.withColumn("bucket", F.lit(0))
-    return lsh_max_sim_arrow(one(pool.where("norm > 0")), one(seeds), keep_unmatched=False, others=others)
+def brute_topk(pool: DataFrame, seeds: DataFrame, k: int, others: bool = False, kernel: str = "arrow", observation: Observation | None = None) -> DataFrame:
+    return topk(brute_max_sim_arrow(pool, seeds, others, observation) if kernel == "arrow" else brute_max_sim(pool, seeds, others), k)
 
 
 def lsh_max_sim(pool: DataFrame, seeds: DataFrame, keep_unmatched: bool = True, others: bool = False) -> DataFrame:
@@ -85,40 +79,19 @@ def lsh_max_sim(pool: DataFrame, seeds: DataFrame, keep_unmatched: bool = True,
     return _fold(met.withColumn("_keep", F.lit(keep_unmatched)), others)
 
 
-def lsh_topk(pool: DataFrame, seeds: DataFrame, k: int, keep_unmatched: bool = True, others: bool = False) -> DataFrame:
-    return topk(lsh_max_sim(pool, seeds, keep_unmatched, others), k)
+def lsh_topk(pool: DataFrame, seeds: DataFrame, k: int, keep_unmatched: bool = True, others: bool = False, kernel: str = "arrow", observation: Observation | None = None) -> DataFrame:
+    return topk(lsh_max_sim_arrow(pool, seeds, keep_unmatched, others, observation) if kernel == "arrow" else lsh_max_sim(pool, seeds, keep_unmatched, others), k)
 
 
-def lsh_max_sim_arrow(pool: DataFrame, seeds: DataFrame, keep_unmatched: bool = True, others: bool = False) -> DataFrame:
-    """As lsh_max_sim, by matrix products on Arrow batches.
+def lsh_max_sim_arrow(pool: DataFrame, seeds: DataFrame, keep_unmatched: bool = True, others: bool = False, observation: Observation | None = None) -> DataFrame:
+    """As lsh_max_sim, by matrix products over a grid of tiles: a hot bucket is cut on both sides, and no side is shipped whole.
 
-    The seeds are shipped only if their measured size is under BROADCAST_BYTES; otherwise the join runs.
+    observation gets `cosines`, how many the run computed.
     """
-    live = seeds.where("norm > 0").select("bucket", "id", "v", "norm")
-    n, width = live.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    if n * (width or 0) * 8 > BROADCAST_BYTES:
-        return lsh_max_sim(pool, seeds, keep_unmatched, others)
-    rows = live.toPandas()
-    shipped = pool.sparkSession.sparkContext.broadcast({int(b): (g["id"].to_numpy(), np.stack(g["v"].to_list()) / g["norm"].to_numpy()[:, None]) for b, g in rows.groupby("bucket")})
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by = shipped.value
-        for df in batches:
-            live_row = (df["norm"].fillna(0) > 0).to_numpy()
-            sim, seen = np.zeros(len(df)), np.zeros(len(df), bool)
-            for b, at in df[live_row].groupby("bucket").indices.items():
-                at = np.flatnonzero(live_row)[at]
-                if (found := by.get(int(b))) is not None:
-                    ids, m = found
-                    dots = np.stack(df["v"].iloc[at].to_list()) @ m.T
-                    if others:
-                        dots[df["id"].to_numpy()[at][:, None] == ids] = -np.inf
-                    sim[at] = np.maximum(0.0, dots.max(axis=1) / df["norm"].to_numpy()[at])
-                    seen[at] = (dots > -np.inf).any(axis=1)
-            out = pd.DataFrame({"id": df["id"], "sim": sim})
-            yield out if keep_unmatched else out[seen]
-
-    return pool.select("id", "bucket", "v", "norm").mapInPandas(score, "id bigint, sim double")
+    best = best_of(Grid(pool, seeds).run(best_cosine(others), SCORES), observation)
+    if keep_unmatched:
+        best = best.unionByName(pool.select("id", F.lit(0.0).alias("sim"))).groupBy("id").agg(F.max("sim").alias("sim"))
+    return best
 
 
 def candidates(pool: DataFrame, summary: DataFrame, min_bound_seeds: int) -> DataFrame:
@@ -135,30 +108,15 @@ def candidates(pool: DataFrame, summary: DataFrame, min_bound_seeds: int) -> Dat
     return out.withColumn("ub", ub).withColumn("certain", certain).drop("centroid", "c_norm")
 
 
-def _phases(pool: DataFrame, seeds: DataFrame, k: int, min_bound_seeds: int, centroid: str, others: bool = False, score=lsh_max_sim) -> tuple[DataFrame, DataFrame]:
-    """(scores of the certain rows, all candidates with `pruned`)."""
-    cand = candidates(pool, bucket_summary(seeds, centroid), min_bound_seeds)
-    phase1 = score(cand.where("certain"), seeds, keep_unmatched=False, others=others)
-    tau = topk(phase1, k).agg(F.when(F.count(F.lit(1)) < k, F.lit(0.0)).otherwise(F.min("sim")).alias("tau"))
-    judged = cand.crossJoin(F.broadcast(tau))  # one row
-    return phase1, judged.withColumn("pruned", ~F.col("certain") & (F.greatest("ub", F.lit(0.0)) + 1e-7 < F.col("tau")))
-
-
-def bound_topk(pool: DataFrame, seeds: DataFrame, k: int, min_bound_seeds: int = 10, centroid: str = "mean", others: bool = False, kernel: str = "sql") -> DataFrame:
-    """The same answer as the inner bucketed search, without scoring rows whose bound is under the k-th best.
-
-    The threshold is fixed after the certain rows; with fewer than k of those nothing is pruned. Either kernel scores.
-    """
-    score = lsh_max_sim_arrow if kernel == "arrow" else lsh_max_sim
-    phase1, judged = _phases(pool, seeds, k, min_bound_seeds, centroid, others, score)
-    phase2 = score(judged.where("NOT certain AND NOT pruned"), seeds, keep_unmatched=False, others=others)
-    return topk(phase1.unionByName(phase2), k)
-
-
 def bound_prune_stats(pool: DataFrame, seeds: DataFrame, k: int, min_bound_seeds: int = 10, centroid: str = "mean") -> DataFrame:
     """(deferred, pruned, saved_pairs, small_pairs): bounded rows, those skipped, the comparisons that spared, and the
-    comparisons made in buckets of too few seeds for a bound."""
-    _, judged = _phases(pool, seeds, k, min_bound_seeds, centroid)
+    comparisons made in buckets of too few seeds for a bound. These are of a threshold fixed after the certain rows; with
+    fewer than k of those nothing is pruned."""
+    cand = candidates(pool, bucket_summary(seeds, centroid), min_bound_seeds)
+    first = topk(lsh_max_sim_arrow(cand.where("certain"), seeds, keep_unmatched=False), k)
+    tau = first.agg(F.when(F.count(F.lit(1)) < k, F.lit(0.0)).otherwise(F.min("sim")).alias("tau"))
+    judged = cand.crossJoin(F.broadcast(tau))  # one row
+    judged = judged.withColumn("pruned", ~F.col("certain") & (F.greatest("ub", F.lit(0.0)) + 1e-7 < F.col("tau")))
     seeds_of = lambda some: F.coalesce(F.sum(F.when(some, F.col("n_seeds"))), F.lit(0)).cast("bigint")
     return judged.agg(
         F.count_if(~F.col("certain")).alias("deferred"), F.count_if("pruned").alias("pruned"),

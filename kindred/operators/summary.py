@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import vector as V
+from kindred.operators.tiles import Grid, ids, unit
+from kindred.sources.work import Work
 
 
 def bucket_centroid(seeds: DataFrame) -> DataFrame:
@@ -19,22 +23,72 @@ def bucket_centroid(seeds: DataFrame) -> DataFrame:
     return out.withColumn("c_norm", V.norm("centroid"))
 
 
-def bucket_medoid(seeds: DataFrame) -> DataFrame:
-    """(bucket, seed_id, min_cos): the seed whose least cosine to its bucket, itself included, is greatest; ties to the lowest id."""
-    live = seeds.where("norm > 0").select("bucket", "id", "v", "norm")
-    other = live.select("bucket", F.col("v").alias("ov"), F.col("norm").alias("on"))
-    worst = live.join(other, "bucket").groupBy("bucket", "id").agg(F.min(F.round(V.cosine("v", "ov", "norm", "on"), 9)).alias("c"))
-    best = F.max(F.struct("c", (-F.col("id")).alias("m"))).alias("b")
-    return worst.groupBy("bucket").agg(best).select("bucket", (-F.col("b.m")).alias("seed_id"), F.col("b.c").alias("min_cos"))
+#: Seeds of a bucket that the first round judges, and by how much each further round takes more.
+FIRST, MORE = 16, 4
+#: What a bound may pass the best by, in cosines, before it rules a seed out; above the rounding of the result.
+MARGIN = 1e-7
+
+
+def _judge(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(bucket, kind, id, cos, far): the least cosine of each row of the cell to those judged (kind 0), and of each judged one to the
+    rows, with the row that has it (kind 1)."""
+    cos = np.clip(unit(left) @ unit(right).T, -1, 1)
+    i, j, worst = ids(left), ids(right), cos.argmin(0)
+    n = len(i) + len(j)
+    bucket = np.full(n, left["bucket"][0].as_py(), np.int32)
+    kind = np.repeat(np.array([0, 1], np.int32), [len(i), len(j)])
+    return pa.table({"bucket": bucket, "kind": kind, "id": np.concatenate([i, j]), "cos": np.concatenate([cos.min(1), cos.min(0)]), "far": np.concatenate([i, i[worst]])})
+
+
+def bucket_medoid(seeds: DataFrame, counted: list[int] | None = None) -> DataFrame:
+    """(bucket, seed_id, min_cos): the seed whose least cosine to its bucket, itself included, is greatest; ties to the lowest id.
+
+    Found in rounds. A seed that has been judged, that is compared with its whole bucket, bounds the others: theirs is no
+    greater than their cosine to it, and those whose bound is under the best so far are out. A round judges in each
+    bucket the seeds of highest bound, some times more than the round before, and the farthest peers of those judged: by the
+    triangle inequality, these bound a seed near a bad one at least as tightly as the bad one's distance less the way to it.
+    Comparisons run on a grid of tiles, so a hot bucket is split; `counted` gets the cosines of each round. The table of
+    results stays in the shared folder.
+    """
+    work, n, size = Work(seeds.sparkSession, "medoid"), 0, FIRST
+    rows = work.stored(seeds.where("norm > 0").select(F.col("bucket").cast("int").alias("bucket"), "id", "v", "norm"), "rows")
+    state = rows.select("bucket", "id", F.lit(1.0).alias("bound"))
+    first = Window.partitionBy("bucket").orderBy(F.desc("bound"), F.xxhash64("id"), "id")
+    some = lambda df, size: df.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= size).select("bucket", "id")
+    batch, judged = some(state, size), None
+    while True:
+        grid = Grid(rows, rows.join(batch, ["bucket", "id"], "left_semi"))
+        if counted is not None:
+            counted.append(grid.cosines)
+        met = work.stored(grid.run(_judge, "bucket int, kind int, id bigint, cos double, far bigint"), f"met-{n}")
+        new = met.where("kind = 1").groupBy("bucket", "id").agg(F.min("cos").alias("c"), F.min_by("far", "cos").alias("far"))
+        judged = work.stored(new if judged is None else judged.unionByName(new), f"judged-{n}")
+        best = judged.groupBy("bucket").agg(F.max(F.struct(F.round("c", 9).alias("c"), (-F.col("id")).alias("m"))).alias("b"))
+        bound = met.where("kind = 0").groupBy("bucket", "id").agg(F.min("cos").alias("c"))
+        state = state.join(judged, ["bucket", "id"], "left_anti").join(bound, ["bucket", "id"]).join(best, "bucket")
+        state = state.withColumn("bound", F.least("bound", "c")).where(F.col("bound") + MARGIN >= F.col("b.c")).select("bucket", "id", "bound")
+        state = work.stored(state, f"state-{n}")
+        work.drop(f"met-{n}")
+        if n:
+            work.drop(f"judged-{n - 1}")
+            work.drop(f"state-{n - 1}")
+        if state.isEmpty():
+            break
+        n, size = n + 1, size * MORE
+        far = judged.select("bucket", F.col("far").alias("id")).join(state.select("bucket").distinct(), "bucket").distinct().join(judged, ["bucket", "id"], "left_anti")
+        batch = some(state, size).union(far).distinct()
+    for name in ("rows", f"state-{n}"):
+        work.drop(name)
+    return best.select("bucket", (-F.col("b.m")).alias("seed_id"), F.col("b.c").alias("min_cos"))
 
 
 def bucket_summary(seeds: DataFrame, centroid: str = "mean") -> DataFrame:
-    """(bucket, n_seeds, centroid, c_norm, theta_b): theta_b is the widest angle from centre to seed."""
+    """(bucket, n_seeds, centroid, c_norm, theta_a, theta_b): the least and the widest angle from centre to seed."""
     centre = bucket_centroid(seeds)
     if centroid == "medoid":
         picked = bucket_medoid(seeds).select("bucket", F.col("seed_id").alias("id"))
         own = seeds.join(picked, ["bucket", "id"]).select("bucket", F.col("v").alias("centroid"), F.col("norm").alias("c_norm"))
         centre = centre.select("bucket", "n_seeds").join(own, "bucket")
     cos = V.cosine("v", "centroid", "norm", "c_norm")
-    wide = seeds.join(centre.select("bucket", "centroid", "c_norm"), "bucket").groupBy("bucket").agg(F.max(V.angle(cos)).alias("theta_b"))
+    wide = seeds.join(centre.select("bucket", "centroid", "c_norm"), "bucket").groupBy("bucket").agg(F.min(V.angle(cos)).alias("theta_a"), F.max(V.angle(cos)).alias("theta_b"))
     return centre.join(wide, "bucket")

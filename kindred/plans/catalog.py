@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import partial
-from pathlib import PurePosixPath
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +15,9 @@ from pyspark.sql import functions as F
 
 from kindred.functions import vector as V
 from kindred.model import prepare
-from kindred.operators import evaluate, hashing, ranking, similarity, summary
+from kindred.operators import bounded, evaluate, hashing, ranking, similarity, summary, tiles
 from kindred.sources import vectors as source
+from kindred.sources.work import shared_root
 
 K, BITS, DIMS, SAMPLES = 20, 5, 64, 10
 #: Planes in which a probed bucket may differ, the fewest that give recall 0.9 on the whole table at sf0.01 and sf0.1.
@@ -52,9 +52,8 @@ def _samples(bits: int = BITS, dims: int = DIMS) -> list[list[list[float]]]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that all executors reach: under spark.checkpoint.dir, or the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/kindred-{uuid4().hex}"
+    """A new folder that all executors reach; where spark.checkpoint.dir names none, it raises on a cluster."""
+    return f"{shared_root(spark)}/kindred-{uuid4().hex}"
 
 
 def _sim(df: DataFrame) -> DataFrame:
@@ -168,10 +167,10 @@ def bound_classify(spark, d, dims=3, bits=3):
     return got.groupBy("bucket").agg(F.max("n_seeds").alias("n_seeds"), F.count_if("certain").alias("certain"), F.count_if(~F.col("certain")).alias("deferred"))
 
 
-def _bound(dims: int, bits: int, least: int, centroid: str = "mean", kernel: str = "sql"):
+def _bound(dims: int, bits: int, least: int, centroid: str = "mean"):
     def run(spark, d, others=False):
         pool, seeds = _both(spark, d, dims, bits, others)
-        return _sim(similarity.bound_topk(pool, seeds, K, least, centroid, others, kernel))
+        return _sim(similarity.bound_topk(pool, seeds, K, least, centroid, others))
 
     return run
 
@@ -225,17 +224,17 @@ def recall(spark, d, others=False):
     return got.withColumn("recall", R6("recall"))
 
 
-def _dist(spark, d, others=False):
-    pool, seeds = _both(spark, d, bits=None, others=others)
-    return similarity.cosine_pairs(pool, seeds, others).select(F.col("seed_id").alias("query_id"), "id", (1 - F.col("sim")).alias("dist"))
+def brute_topk_balls(spark, d, others=False):
+    """The exact search by a ball index over the seeds."""
+    return _sim(bounded.ball_topk(*_both(spark, d, bits=None, others=others), K, others))
 
 
 def perquery_topk(spark, d, others=False):
-    return ranking.perquery_topk(_dist(spark, d, others), 5).withColumn("dist", R6("dist"))
+    return tiles.perquery_topk(*_both(spark, d, bits=None, others=others), 5, others).withColumn("dist", R6("dist"))
 
 
 def perquery_kth(spark, d, others=False):
-    return ranking.perquery_kth(_dist(spark, d, others), 5).withColumn("kth", R6("kth"))
+    return tiles.perquery_kth(*_both(spark, d, bits=None, others=others), 5, others).withColumn("kth", R6("kth"))
 
 
 def planes_from_text(spark, d):
@@ -273,12 +272,12 @@ def recall_bound_vs_lsh(spark, d):
 
 
 def scan_text_vectors(spark, d):
-    """The whole table written as delimited text and read again."""
+    """The whole table written in the order of its ids as delimited text, several files, and read again: the lines' numbers are the ids' ranks."""
     path = shared_dir(spark)
     cells = F.array_join(F.transform("v", lambda x: x.cast("string")), ",")
-    _all(spark, d, bits=None).select(cells.alias("value")).write.text(path)
+    _all(spark, d, bits=None).repartitionByRange(5, "id").sortWithinPartitions("id").select(cells.alias("value")).write.text(path)
     got = source.read_delimited(spark, path, DIMS)
-    return got.select(F.size("v").alias("width"), R6(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    return got.select("id", F.size("v").alias("width"), R6(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
 def lsh_random_planes(spark, d):
@@ -294,14 +293,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bucket_hist, signature_cost, best_signature, best_lsh_topk, lsh_cost, lsh_cost_study, bucket_centroid,
         bucket_medoid, bucket_summary, upper_bound, bound_classify, bound_prune_stats, brute_max_sim, brute_topk, brute_topk_arrow,
         max_sim, lsh_topk, lsh_topk_arrow, recall, perquery_topk, perquery_kth, planes_from_text, planes_roundtrip,
-        topk_sink, recall_vs_baseline, scan_text_vectors, recall_bound_vs_lsh, lsh_random_planes,
+        topk_sink, recall_vs_baseline, scan_text_vectors, recall_bound_vs_lsh, lsh_random_planes, brute_topk_balls,
     )
-} | {"bound_topk": _bound(DIMS, BITS, 1), "bound_topk_3d": _bound(3, 3, 10), "bound_topk_medoid": _bound(DIMS, BITS, 1, "medoid"), "bound_topk_arrow": _bound(DIMS, BITS, 1, kernel="arrow")}
+} | {"bound_topk": _bound(DIMS, BITS, 1), "bound_topk_3d": _bound(3, 3, 10), "bound_topk_medoid": _bound(DIMS, BITS, 1, "medoid"), "bound_topk_arrow": _bound(DIMS, BITS, 1)}
 
 #: Searches that are registered over the whole table too.
 SEARCHES = (
     "brute_topk", "brute_topk_arrow", "brute_max_sim", "lsh_topk", "lsh_topk_arrow", "max_sim", "best_lsh_topk", "bound_topk", "bound_topk_3d",
     "bound_topk_medoid", "bound_topk_arrow", "perquery_topk", "perquery_kth", "cosine_pairs", "recall", "recall_vs_baseline", "topk_sink",
+    "brute_topk_balls",
 )
 QUERIES |= {f"{n}_all": partial(QUERIES[n], others=True) for n in SEARCHES}
 
@@ -400,11 +400,12 @@ ORACLE: dict[str, str] = {
         SELECT count(*) FILTER (NOT certain) AS deferred, count(*) FILTER (pruned) AS pruned, coalesce(sum(n) FILTER (pruned), 0)::BIGINT AS saved_pairs,
           coalesce(sum(n) FILTER (n < 10), 0)::BIGINT AS small_pairs FROM g""", 3, 3),
     "bound_topk_arrow": _sql(f"{_INNER} {_TOP}"),
-    "scan_text_vectors": "SELECT len(embedding)::INT AS width, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings",
+    "scan_text_vectors": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, len(embedding)::INT AS width, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings",
     "recall_bound_vs_lsh": _recall_sql(_INNER, _LEFT),
     "brute_max_sim": _sql(f"{_BRUTE} SELECT id, round(sim, 6) AS sim FROM ex"),
     "brute_topk": _sql(f"{_BRUTE} {_TOP}"),
     "brute_topk_arrow": _sql(f"{_BRUTE} {_TOP}"),
+    "brute_topk_balls": _sql(f"{_BRUTE} {_TOP}"),
     "max_sim": _sql(f"{_INNER} SELECT id, round(sim, 6) AS sim FROM ex"),
     "lsh_topk": _sql(f"{_LEFT} {_TOP}"),
     "lsh_topk_arrow": _sql(f"{_LEFT} {_TOP}"),
