@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 from operator import itemgetter
 from pathlib import Path
 from uuid import uuid4
@@ -14,8 +15,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Folders that this process has made and not removed.
-made: list[str] = []
+class Made(threading.local):
+    """Folders that this thread has made and not removed, in their order: calls within a call come after it, and calls of
+    other threads have lists of their own, so what a call made are those since it began."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __len__(self) -> int:
+        return len(self.paths)
+
+    def since(self, before: int) -> list[str]:
+        return self.paths[before:]
+
+
+made = Made()
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -27,7 +41,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="kindred-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{name}-{uuid4().hex}"
-    made.append(path)
+    made.paths.append(path)
     return path
 
 
@@ -46,13 +60,17 @@ def drop(spark: SparkSession, path: str) -> None:
 def swept(out: DataFrame, before: int) -> DataFrame:
     """out, once the folders made since there were `before` of them are gone, but for those that out itself reads."""
     read = out.inputFiles()
-    for path in made[before:]:
-        if not any(path.split("/")[-1] in x for x in read):
-            drop(out.sparkSession, path)
-            made.remove(path)
+    clear(out.sparkSession, [path for path in made.since(before) if not any(path.split("/")[-1] in x for x in read)])
     return out
 
 
+def clear(spark: SparkSession, paths: list[str]) -> None:
+    """Removes folders of this thread."""
+    for path in paths:
+        drop(spark, path)
+        made.paths.remove(path)
+
+
 def quoted(name: str) -> str:
     """A column's name as an expression, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import left_join_hot, shared_dir, stored
+from kindred.llm.shared import drop, left_join_hot, shared_dir, stored
 from kindred.llm.toxicity import Trees, fit_trees
 from kindred.llm.words import buffers
 
@@ -160,6 +160,7 @@ def url_filter(
     slim = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.monotonically_increasing_id().alias("_row"))
     numbered = stored(located(slim, "url"), f"{home}/urls")  # so that a row's number is the same wherever it is read
     rows = stored(decided(numbered, rules), f"{home}/rows")
+    drop(spark, f"{home}/urls")
     y = F.when(F.col("verdict") == "block", 1).when(F.col("verdict") == "allow", 0)
     rows = rows.withColumn("y", y)
     labelled = rows.where("y IS NOT NULL").drop("page_id", "_row", "rule", "verdict")

@@ -64,6 +64,59 @@ def test_exact_goes_on_with_its_state(spark, rows, tmp_path):
     assert bag(second, *COLS) == exact_expected(rows)
 
 
+def test_exact_lots_that_die_and_odd_paths(spark, rows, tmp_path, monkeypatch):
+    """A lot that dies, while its stream runs or before its mark, and is given again counts once; paths have any characters."""
+    third = len(rows) // 3
+    lots = [rows[:third], rows[third : 2 * third], rows[2 * third :]]
+    paths = [f"{tmp_path}/{x}" for x in ("lot 0%41", "lot#1+?", "lot [2] é")]
+    for path, some in zip(paths, lots):
+        spark.createDataFrame(some, "doc_id long, text string").repartition(3).write.parquet(path.replace("?", "q"))
+    read = lambda k: spark.read.parquet(paths[k].replace("?", "q").replace("[", "\\[").replace("]", "\\]"))
+    state = f"file://{tmp_path}/state"
+    assert bag(exact_dedup.exact_dedup(read(0), state=state), *COLS) == exact_expected(lots[0])
+
+    def die(*a, **k):
+        raise RuntimeError("driver lost")
+
+    for name, where in (("_feed", exact_dedup), ("mark", exact_dedup.Lots)):
+        with monkeypatch.context() as m:
+            m.setattr(where, name, die)
+            with pytest.raises(RuntimeError):
+                exact_dedup.exact_dedup(read(1), state=state)
+    assert bag(exact_dedup.exact_dedup(read(1), state=state), *COLS) == exact_expected(lots[0] + lots[1])
+    assert bag(exact_dedup.exact_dedup(read(1), state=state), *COLS) == exact_expected(lots[0] + lots[1])  # the same lot again
+    own = bag(exact_dedup.exact_dedup(read(2), state=state, new_only=True), "doc_id", "group_size", "text_sha256")
+    every = [(n[0], n[2], n[4]) for n in exact_expected(rows).elements()]
+    ids = {i for i, _ in lots[2]}
+    assert sum(own.values()) == len(lots[2]) and not own - Counter(x for x in every if x[0] in ids)
+    assert bag(exact_dedup.exact_dedup(read(2), state=state, new_only=True), "doc_id", "group_size", "text_sha256") == own
+    weak = lambda c: F.substring(exact_dedup.sha256(c), 1, 1)  # noqa: E731  texts that share a digest
+    other = f"file://{tmp_path}/weak"
+    for k in range(3):
+        got = exact_dedup.exact_dedup(read(k), state=other, digest=weak)
+        assert bag(got, *COLS) == exact_expected(sum(lots[: k + 1], []))
+
+
+def test_operators_at_once(spark, sf_dir):
+    """Operators of one driver leave each other's tables alone, and a call the results of earlier ones."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    import corpus_pipeline
+
+    small = sf_dir.replace("sf0.01", "sf0.001")
+    ops = ["op3_ngram_join", "op6_substring_dedup", "op7_embedding_dedup"]
+    run = lambda name: Counter(map(tuple, registry.queries()[name](spark, small).collect()))
+    with ThreadPoolExecutor(3) as pool:
+        at_once = list(pool.map(run, ops))
+    assert at_once == [run(name) for name in ops]
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    even, odd = (docs.where(F.col("doc_id") % 2 == k) for k in (0, 1))
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.cut_repeats):
+        a = stage(spark, even, small)
+        b = stage(spark, odd, small)
+        assert 0 < b.count() <= odd.count() and 0 < a.count() <= even.count()
+
+
 def test_exact_keeps_one(docs, rows, nothing):
     got = exact_dedup.keep_one(docs)
     assert got.columns == docs.columns
