@@ -10,26 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import exact_dedup, ngram_join, packing, substring_dedup, toxicity
-from kindred.llm.shared import drop, made, quoted, shared_dir, ship, stored
-
-_left: list[str] = []  # what the stage before has in the shared folder
+from kindred.llm.shared import clear, made, quoted, shared_dir, ship, stored
 
 
 def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage whose working tables go when the next one starts: by then its result has been stored."""
+    """A stage; the working tables that its result reads stay until run() has stored it, or the caller removes them."""
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
-        if _left:
-            read = docs.inputFiles()
-            for path in [p for p in _left if not any(p.split("/")[-1] in x for x in read)]:
-                drop(spark, path)
-                _left.remove(path)
-        n = len(made)
-        out = f(spark, docs, sf_dir)
-        _left.extend(made[n:])
-        return out
+        return f(spark, docs, sf_dir)
 
     return run_stage
 
@@ -81,5 +71,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; every stage is stored in the shared folder and read again."""
     docs, home = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark, "pipeline")
     for name, f in STAGES:
+        before = len(made)
         docs = stored(f(spark, docs, sf_dir), f"{home}/{name}")
+        clear(spark, made.since(before))
     return docs
