@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from kindred.functions import vector as V
 from kindred.operators.ranking import topk
 from kindred.operators.summary import bucket_summary
-from kindred.operators.tiles import SCORES, Grid, best_cosine, best_of
+from kindred.operators.tiles import COUNT_ROWS, SCORES, Grid, best_cosine, best_of
 from kindred.sources.work import Work, ship
 
 #: Bounds below the threshold by less than this are scored nevertheless: the error of arccos near 1.
@@ -77,6 +77,15 @@ def bands(hist: list[tuple[int, int, int]], k: int) -> list[tuple[int, int]]:
     return out
 
 
+def _summed(rows) -> list[tuple[int, int, int]]:
+    """Two numbers summed by a first: (band, candidates, cosines)."""
+    out: dict[int, tuple[int, int]] = {}
+    for b, n, c in rows:
+        m, d = out.get(b, (0, 0))
+        out[b] = (m + n, d + c)
+    return [(b, n, c) for b, (n, c) in out.items()]
+
+
 def _band(ub: Column) -> Column:
     """The band of a bound between 0 and 1, the highest for 1."""
     nth = F.floor(-HALVING * F.log2(F.acos(F.least(ub, F.lit(1.0))) / (math.pi / 2)))
@@ -95,18 +104,23 @@ def _top(band: int) -> float:
     return 1.0 if band >= BANDS - 2 else math.cos(math.pi / 2 * 2 ** (-(band + 1) / HALVING))
 
 
-def rounds(hist: list[tuple[int, int, int]], near: Callable[[int, int, float], DataFrame], seeds: DataFrame, best: Best, others: bool, report: Report) -> None:
-    """Scores the candidates near(lowest bin, highest bin, threshold) -> (id, v, norm, bucket) band after band into `best`."""
+Counts = list[tuple[int, int, int, int]]
+
+
+def rounds(hist: list[tuple[int, int, int]], near: Callable[[int, int, float], tuple[DataFrame, Counts | None]], seeds: DataFrame, best: Best, others: bool, report: Report) -> None:
+    """Scores the candidates near(lowest band, highest band, threshold) -> (id, v, norm, bucket), with their counts per bucket
+    where they are known, band after band into `best`. The figures are observed in the runs themselves."""
     report.candidates, report.cosines = sum(x[1] for x in hist), sum(x[2] for x in hist)
     for low, high in bands(hist, best.k):
         if _top(high) + SLACK < best.tau:
             break
-        grid = Grid(near(low, high, best.tau), seeds)
-        report.rounds, report.scored = report.rounds + 1, report.scored + grid.rows
+        rows, counts = near(low, high, best.tau)
+        taken, seen = Observation(), Observation()
+        grid = Grid(rows.observe(taken, F.count(F.lit(1)).alias("rows")), seeds, counts=counts)
+        report.rounds += 1
         if grid.cosines:
-            seen = Observation()
             best.add(tuple(r) for r in topk(best_of(grid.run(best_cosine(others), SCORES), seen), best.k).collect())
-            report.scored_cosines += seen.get["cosines"]
+            report.scored, report.scored_cosines = report.scored + taken.get["rows"], report.scored_cosines + seen.get["cosines"]
         report.taus.append(best.tau)
 
 
@@ -124,10 +138,21 @@ def bound_topk(pool: DataFrame, seeds: DataFrame, k: int, min_bound_seeds: int =
         s = bucket_summary(seeds, centroid).select("bucket", "n_seeds", "centroid", "c_norm", "theta_a", "theta_b")
         ub = V.ring_bound(V.angle(V.cosine("v", "centroid", "norm", "c_norm")), "theta_a", "theta_b")
         ub = F.when(F.col("n_seeds") < min_bound_seeds, 1.0).otherwise(F.greatest(F.lit(0.0), F.coalesce(ub, F.lit(1.0))))
-        rows = work.stored(pool.where("norm > 0").join(s, "bucket").select("id", "v", "norm", "bucket", "n_seeds", ub.alias("ub")), "rows")
-        hist = [tuple(r) for r in rows.groupBy(_band(F.col("ub")).alias("b")).agg(F.count(F.lit(1)), F.sum("n_seeds")).collect()]
+        rows = work.stored(pool.where("norm > 0").join(s, "bucket").select("id", "v", "norm", "bucket", "n_seeds", ub.alias("ub"), _band(ub).alias("band")), "rows")
+        by = rows.groupBy("band", "bucket", F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("p"), F.max("n_seeds").alias("s"))
+        cells = by.limit(COUNT_ROWS + 1).collect()
+        known = len(cells) <= COUNT_ROWS  # else the grids count for themselves
+        hist = _summed((r["band"], r["p"], r["p"] * r["s"]) for r in cells) if known else [tuple(r) for r in by.groupBy("band").agg(F.sum("p"), F.sum(F.col("p") * F.col("s"))).collect()]
         report.pairs = sum(x[1] for x in hist)
-        near = lambda low, high, tau: rows.where(_band(F.col("ub")).between(low, high) & (F.col("ub") + SLACK >= tau)).select("id", "v", "norm", "bucket")
+
+        def near(low: int, high: int, tau: float) -> tuple[DataFrame, Counts | None]:
+            some = rows.where(F.col("band").between(low, high) & (F.col("ub") + SLACK >= tau)).select("id", "v", "norm", "bucket")
+            counts: dict[tuple[int, int], tuple[int, int]] = {}
+            for r in cells if known else ():
+                if low <= r["band"] <= high:
+                    counts[r["bucket"], r["w"]] = (counts.get((r["bucket"], r["w"]), (0, 0))[0] + r["p"], r["s"])
+            return some, [(*k, *v) for k, v in counts.items()] if known else None
+
         rounds(hist, near, seeds, best, others, report)
     return _result(pool, best)
 
@@ -184,7 +209,7 @@ def ball_topk(pool: DataFrame, seeds: DataFrame, k: int, others: bool = False, b
     The seeds are cut into balls, the square root of their number (MAX_BALLS at most) unless given. The cosines of all pool
     rows to the centres, which are seeds, give the first threshold. Then a pool row meets only balls whose bound reaches the
     threshold, band after band. Where the bounds spare less than half of all cosines, the plain grid runs instead, with the
-    same answer: then the rows would travel once for each ball.
+    same answer: then the rows would travel once for each ball. All vectors have one length.
     """
     report, best = report if report is not None else Report(), Best(k)
     ship(pool.sparkSession)
@@ -218,24 +243,25 @@ def ball_topk(pool: DataFrame, seeds: DataFrame, k: int, others: bool = False, b
         tau = best.tau
 
         def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, cosines = np.zeros(BANDS, np.int64), np.zeros(BANDS, np.int64)
-            rows = 0
+            n, rows = np.zeros(BANDS * number, np.int64), 0
             for b, band, live in banded(batches, tau):
                 rows += b.num_rows
-                n += np.bincount(band[live], minlength=BANDS)
-                cosines += np.bincount(band[live], np.broadcast_to(shipped.value.size, band.shape)[live], BANDS).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BANDS + 1, dtype=np.int32)), pa.array(np.append(n, rows)), pa.array(np.append(cosines, 0))], ["b", "n", "c"])
-
-        counts = {r["b"]: (r["n"], r["c"]) for r in pool.mapInArrow(histogram, "b int, n bigint, c bigint").groupBy("b").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).collect()}
-        rows = counts.pop(BANDS, (0, 0))[0]
-        hist = [(b, n, c) for b, (n, c) in counts.items() if n]
+                n += np.bincount((band * number + np.arange(number))[live], minlength=BANDS * number)
+            some = np.flatnonzero(n)
+            out = [*(pa.array(np.append(x, -1), pa.int32()) for x in (some // number, some % number)), pa.array(np.append(n[some], rows))]
+            yield pa.RecordBatch.from_arrays(out, ["b", "ball", "n"])
+
+        cells = [tuple(r) for r in pool.mapInArrow(histogram, "b int, ball int, n bigint").groupBy("b", "ball").agg(F.sum("n").alias("n")).collect()]  # BANDS a ball at most
+        rows = sum(n for b, _, n in cells if b < 0)
+        cells = [c for c in cells if c[0] >= 0]
+        hist = _summed((b, n, n * int(index.size[ball])) for b, ball, n in cells)
         report.overhead, report.pairs = q * number + 2 * rows * number, rows * number
         if 2 * sum(c for _, _, c in hist) > rows * q:
             hist, one = [(BANDS - 1, rows, rows * q)], lambda df: df.withColumn("bucket", F.lit(0))
-            rounds(hist, lambda low, high, tau: one(pool), one(seeds), best, others, report)
+            rounds(hist, lambda low, high, tau: (one(pool), None), one(seeds), best, others, report)
             return _result(pool, best)
 
-        def near(low: int, high: int, tau: float) -> DataFrame:
+        def near(low: int, high: int, tau: float) -> tuple[DataFrame, Counts]:
             def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b, band, live in banded(batches, tau):
                     row, ball = np.nonzero(live & (band >= low) & (band <= high))
@@ -243,7 +269,9 @@ def ball_topk(pool: DataFrame, seeds: DataFrame, k: int, others: bool = False, b
                         some = b.take(pa.array(row[lo : lo + 4096]))
                         yield pa.RecordBatch.from_arrays([*some.columns, pa.array(ball[lo : lo + 4096].astype(np.int32))], ["id", "v", "norm", "bucket"])
 
-            return pool.mapInArrow(pairs, "id bigint, v array<double>, norm double, bucket int")
+            n = _summed((ball, n, 0) for b, ball, n in cells if low <= b <= high)
+            counts = [(ball, index.centre.shape[1], p, int(index.size[ball])) for ball, p, _ in n]
+            return pool.mapInArrow(pairs, "id bigint, v array<double>, norm double, bucket int"), counts
 
         if hist:
             rounds(hist, near, member, best, others, report)

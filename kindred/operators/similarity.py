@@ -16,6 +16,7 @@ from kindred.operators.bounded import bound_topk  # noqa: F401  the bounded sear
 from kindred.operators.ranking import topk
 from kindred.operators.summary import bucket_summary
 from kindred.operators.tiles import SCORES, Grid, best_cosine, best_of
+from kindred.sources.work import Work
 
 #: Seeds nested in one array.
 BLOCK = 256
@@ -112,13 +113,15 @@ def bound_prune_stats(pool: DataFrame, seeds: DataFrame, k: int, min_bound_seeds
     """(deferred, pruned, saved_pairs, small_pairs): bounded rows, those skipped, the comparisons that spared, and the
     comparisons made in buckets of too few seeds for a bound. These are of a threshold fixed after the certain rows; with
     fewer than k of those nothing is pruned."""
-    cand = candidates(pool, bucket_summary(seeds, centroid), min_bound_seeds)
-    first = topk(lsh_max_sim_arrow(cand.where("certain"), seeds, keep_unmatched=False), k)
-    tau = first.agg(F.when(F.count(F.lit(1)) < k, F.lit(0.0)).otherwise(F.min("sim")).alias("tau"))
-    judged = cand.crossJoin(F.broadcast(tau))  # one row
-    judged = judged.withColumn("pruned", ~F.col("certain") & (F.greatest("ub", F.lit(0.0)) + 1e-7 < F.col("tau")))
-    seeds_of = lambda some: F.coalesce(F.sum(F.when(some, F.col("n_seeds"))), F.lit(0)).cast("bigint")
-    return judged.agg(
-        F.count_if(~F.col("certain")).alias("deferred"), F.count_if("pruned").alias("pruned"),
-        seeds_of(F.col("pruned")).alias("saved_pairs"), seeds_of(F.col("n_seeds") < min_bound_seeds).alias("small_pairs"),
-    )
+    with Work(pool.sparkSession, "prune") as work:
+        cand = candidates(pool, bucket_summary(seeds, centroid), min_bound_seeds)
+        cand = work.stored(cand.select("id", "bucket", "v", "norm", "n_seeds", "ub", "certain"), "candidates")
+        first = topk(lsh_max_sim_arrow(cand.where("certain"), seeds, keep_unmatched=False), k).collect()  # k rows
+        tau = first[-1]["sim"] if len(first) == k else 0.0
+        judged = cand.withColumn("pruned", ~F.col("certain") & (F.greatest("ub", F.lit(0.0)) + 1e-7 < tau))
+        seeds_of = lambda some: F.coalesce(F.sum(F.when(some, F.col("n_seeds"))), F.lit(0)).cast("bigint")
+        out = judged.agg(
+            F.count_if(~F.col("certain")).alias("deferred"), F.count_if("pruned").alias("pruned"),
+            seeds_of(F.col("pruned")).alias("saved_pairs"), seeds_of(F.col("n_seeds") < min_bound_seeds).alias("small_pairs"),
+        )
+        return pool.sparkSession.createDataFrame(out.collect(), out.schema)

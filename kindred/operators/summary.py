@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -9,18 +11,54 @@ from pyspark.sql import functions as F
 
 from kindred.functions import vector as V
 from kindred.operators.tiles import Grid, ids, unit
-from kindred.sources.work import Work
+from kindred.sources.work import Work, ship
+
+
+#: Buckets whose sums a task holds at once.
+HELD = 1 << 14
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, sum, cnt), sums of vectors with the number of vectors at each place, folded: one for each bucket if they are
+    sorted by it, few otherwise."""
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def out() -> pa.RecordBatch:
+        lists = (pa.array([x[i] for x in held.values()], pa.list_(kind)) for i, kind in ((0, pa.float64()), (1, pa.int64())))
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), *lists], ["bucket", "sum", "cnt"])
+
+    for b in batches:
+        bucket, size = b.column("bucket").to_numpy(zero_copy_only=False), b.column("sum").value_lengths().to_numpy(zero_copy_only=False)
+        for w in np.unique(size).tolist():
+            at = np.flatnonzero(size == w)
+            order = at[np.argsort(bucket[at], kind="stable")]
+            names, starts = np.unique(bucket[order], return_index=True)
+            some = b.take(pa.array(order))
+            sums = [np.add.reduceat(some.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(order), w), starts, axis=0) for c in ("sum", "cnt")]
+            for k, s, n in zip(names.tolist(), *sums):
+                if k in held:
+                    old, short = held[k], max(w, len(held[k][0]))
+                    s, n = (np.pad(x, (0, short - w)) + np.pad(y, (0, short - len(y))) for x, y in zip((s, n), old))
+                held[k] = (s, n)
+        if len(held) > HELD:
+            last = held.pop(bucket[-1])  # it may go on in the next batch
+            yield out()
+            held = {bucket[-1]: last}
+    if held:
+        yield out()
 
 
 def bucket_centroid(seeds: DataFrame) -> DataFrame:
-    """(bucket, n_seeds, centroid, c_norm): element-wise mean of all seeds of the bucket.
+    """(bucket, n_seeds, centroid, c_norm): element-wise mean of all seeds of the bucket; null vectors don't count.
 
-    Averages per position are combined before the shuffle, so a hot bucket sends one row per position and task.
+    Each task sums its vectors per bucket as arrays, so a bucket sends one row from each task, however hot it is.
     """
-    at = seeds.select("bucket", F.posexplode("v").alias("pos", "x"))
-    mean = at.groupBy("bucket", "pos").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
-    out = mean.groupBy("bucket").agg(F.max("n").alias("n_seeds"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"))
-    return out.withColumn("c_norm", V.norm("centroid"))
+    ship(seeds.sparkSession)
+    whole = seeds.where("norm IS NOT NULL AND size(v) > 0").select(F.col("bucket").cast("int").alias("bucket"), F.col("v").alias("sum"), F.transform("v", lambda x: F.lit(1).cast("bigint")).alias("cnt"))
+    kind = "bucket int, sum array<double>, cnt array<bigint>"
+    sums = whole.mapInArrow(_fold, kind).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_fold, kind)
+    mean = F.zip_with("sum", "cnt", lambda s, n: s / n)
+    return sums.select("bucket", F.array_max("cnt").alias("n_seeds"), mean.alias("centroid")).withColumn("c_norm", V.norm("centroid"))
 
 
 #: Seeds of a bucket that the first round judges, and by how much each further round takes more.

@@ -26,6 +26,7 @@ COUNT_ROWS = 1 << 16
 FAN_IN = 64
 
 Kernel = Callable[[pa.Table, pa.Table], pa.Table]
+_COUNTS = "bucket bigint, _w int, _p bigint, _s bigint"
 
 
 def unit(table: pa.Table) -> np.ndarray:
@@ -43,26 +44,32 @@ class Grid:
     """Which parts and blocks two relations (id, bucket, v, norm and others) are dealt to.
 
     Rows without a positive norm meet nothing and are left out; so are buckets that only one side has. Vectors of
-    different lengths don't meet. The counts are measured when the grid is made: `cosines` that the cells hold, `rows`
-    of the pool that meet any seed, `cells`, and `parts`, the most that a bucket's pool is dealt to.
+    different lengths don't meet. The counts are measured when the grid is made, unless `counts`, (bucket, width, pool rows,
+    seeds) of each bucket, are known: `cosines` that the cells hold, `rows` of the pool that meet any seed, `cells`, and
+    `parts`, the most that a bucket's pool is dealt to.
     """
 
-    def __init__(self, pool: DataFrame, seeds: DataFrame, pool_tile: int = POOL_TILE, seed_tile: int = SEED_TILE) -> None:
+    def __init__(self, pool: DataFrame, seeds: DataFrame, pool_tile: int = POOL_TILE, seed_tile: int = SEED_TILE, counts: list[tuple[int, int, int, int]] | None = None) -> None:
         live = lambda df: df.where("norm > 0").withColumn("_w", F.size("v"))
         self.pool, self.seeds, self.spark = live(pool), live(seeds), pool.sparkSession
         ship(self.spark)
-        count = lambda df, name: df.groupBy("bucket", "_w").agg(F.count(F.lit(1)).alias(name))
-        table = count(self.pool, "_p").join(count(self.seeds, "_s"), ["bucket", "_w"])
+        if counts is None:
+            side = lambda df, p, s: df.select("bucket", "_w", F.lit(p).alias("p"), F.lit(s).alias("s"))
+            both = side(self.pool, 1, 0).union(side(self.seeds, 0, 1)).groupBy("bucket", "_w").agg(F.sum("p").alias("_p"), F.sum("s").alias("_s"))
+            table = both.where("_p > 0 AND _s > 0").select(F.col("bucket").cast("bigint").alias("bucket"), "_w", "_p", "_s")
+            counts = [tuple(r) for r in table.coalesce(1).limit(COUNT_ROWS + 1).collect()]  # a row a bucket
+        else:
+            table = self.spark.createDataFrame(counts, _COUNTS)
         tiles = lambda n, size: F.ceil(F.col(n) / size).cast("int")
-        table = table.select("bucket", "_w", "_p", "_s", tiles("_p", pool_tile).alias("_parts"), tiles("_s", seed_tile).alias("_blocks"))
-        few = table.limit(COUNT_ROWS + 1).collect()  # a row a bucket
-        if len(few) <= COUNT_ROWS:
-            self.table = F.broadcast(self.spark.createDataFrame(few, table.schema))
-            self.cosines, self.rows = sum(r["_p"] * r["_s"] for r in few), sum(r["_p"] for r in few)
-            self.cells, self.parts = sum(r["_parts"] * r["_blocks"] for r in few), max((r["_parts"] for r in few), default=0)
+        deal = lambda t: t.select(F.col("bucket").cast("int").alias("bucket"), "_w", tiles("_p", pool_tile).alias("_parts"), tiles("_s", seed_tile).alias("_blocks"))
+        if len(counts) <= COUNT_ROWS:
+            each = [(p, s, -(-p // pool_tile), -(-s // seed_tile)) for _, _, p, s in counts]
+            self.table = F.broadcast(deal(self.spark.createDataFrame(counts, _COUNTS)))
+            self.cosines, self.rows = sum(p * s for p, s, _, _ in each), sum(x[0] for x in each)
+            self.cells, self.parts = sum(a * b for _, _, a, b in each), max((x[2] for x in each), default=0)
         else:
-            self.table, zero = table, F.lit(0)
-            got = table.agg(*(F.coalesce(f, zero).cast("bigint") for f in (F.sum(F.col("_p") * F.col("_s")), F.sum("_p"), F.sum(F.col("_parts") * F.col("_blocks")), F.max("_parts"))))
+            self.table, zero = deal(table), F.lit(0)
+            got = table.join(self.table, ["bucket", "_w"]).agg(*(F.coalesce(f, zero).cast("bigint") for f in (F.sum(F.col("_p") * F.col("_s")), F.sum("_p"), F.sum(F.col("_parts") * F.col("_blocks")), F.max("_parts"))))
             self.cosines, self.rows, self.cells, self.parts = got.first()
 
     def dealt(self) -> tuple[DataFrame, DataFrame]:

@@ -7,21 +7,23 @@ all rows but the query itself. Similarities are rounded to 6 digits.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import vector as V
 from kindred.model import prepare
-from kindred.operators import bounded, evaluate, hashing, ranking, similarity, summary, tiles
+from kindred.operators import bounded, evaluate, hashing, index, ranking, similarity, summary, tiles
 from kindred.sources import vectors as source
 from kindred.sources.work import shared_root
 
 K, BITS, DIMS, SAMPLES = 20, 5, 64, 10
 #: Planes in which a probed bucket may differ, the fewest that give recall 0.9 on the whole table at sf0.01 and sf0.1.
 FLIPS = 4
+#: Hash tables of the index, planes of each, and buckets that a query looks into in each.
+TABLES, PLANES, PROBES = 24, 10, 16
 R6 = lambda c: F.round(c, 6)
 
 
@@ -91,12 +93,12 @@ def cosine_pairs(spark, d, others=False):
     return similarity.cosine_pairs(pool, seeds, others).select("id", "seed_id", R6("sim").alias("sim"))
 
 
-def zero_norm_guard(spark, d):
+def zero_norm_guard(spark, d, others=False):
     """Vectors with id % 7 = 0 are blanked first; their pairs have no similarity."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     blank = F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda x: x * F.lit(0).cast("float"))).otherwise(F.col("embedding"))
     e = prepare(e.withColumn("embedding", blank), "vec_id", "embedding")
-    got = similarity.cosine_pairs(e.where("id % 5 <> 0"), e.where("id % 5 = 0"))
+    got = similarity.cosine_pairs(e, e.where("id % 50 = 0")) if others else similarity.cosine_pairs(e.where("id % 5 <> 0"), e.where("id % 5 = 0"))
     return got.groupBy("id").agg(F.count("sim").alias("pairs"), R6(F.max("sim")).alias("best"))
 
 
@@ -132,12 +134,12 @@ def best_lsh_topk(spark, d, others=False):
     return _sim(similarity.lsh_topk(hashing.with_bucket(pool, planes), hashing.with_bucket(seeds, planes), K, others=others))
 
 
-def lsh_cost(spark, d):
-    return evaluate.lsh_cost(*_both(spark, d))
+def lsh_cost(spark, d, others=False):
+    return evaluate.lsh_cost(*_both(spark, d, others=others))
 
 
-def lsh_cost_study(spark, d):
-    got = evaluate.lsh_cost_study(*_both(spark, d, bits=None), _samples())
+def lsh_cost_study(spark, d, others=False):
+    got = evaluate.lsh_cost_study(*_both(spark, d, bits=None, others=others), _samples())
     return got.withColumn("avg_pairs", R6("avg_pairs"))
 
 
@@ -155,14 +157,14 @@ def bucket_summary(spark, d, side=_seeds):
     return got.select("bucket", "n_seeds", R6("c_norm").alias("c_norm"), R6("theta_b").alias("theta_b"))
 
 
-def upper_bound(spark, d):
-    pool, seeds = _both(spark, d)
+def upper_bound(spark, d, others=False):
+    pool, seeds = _both(spark, d, others=others)
     got = similarity.candidates(pool, summary.bucket_summary(seeds), 10)
     return got.select("id", "bucket", R6("theta").alias("theta"), R6("ub").alias("ub"))
 
 
-def bound_classify(spark, d, dims=3, bits=3):
-    pool, seeds = _both(spark, d, dims, bits)
+def bound_classify(spark, d, dims=3, bits=3, others=False):
+    pool, seeds = _both(spark, d, dims, bits, others)
     got = similarity.candidates(pool, summary.bucket_summary(seeds), 10)
     return got.groupBy("bucket").agg(F.max("n_seeds").alias("n_seeds"), F.count_if("certain").alias("certain"), F.count_if(~F.col("certain")).alias("deferred"))
 
@@ -175,8 +177,8 @@ def _bound(dims: int, bits: int, least: int, centroid: str = "mean"):
     return run
 
 
-def bound_prune_stats(spark, d, dims=3, bits=3):
-    pool, seeds = _both(spark, d, dims, bits)
+def bound_prune_stats(spark, d, dims=3, bits=3, others=False):
+    pool, seeds = _both(spark, d, dims, bits, others)
     return similarity.bound_prune_stats(pool, seeds, K)
 
 
@@ -215,6 +217,26 @@ def recall_probed(spark, d):
     return got.withColumn("recall", R6("recall"))
 
 
+def index_planes() -> list[list[list[float]]]:
+    """TABLES sets of PLANES planes, to three digits so that the SQL can state them."""
+    return [[[round(x, 3) for x in w] for w in V.random_planes(PLANES, DIMS, 100 + t, normal=True)] for t in range(TABLES)]
+
+
+def lsh_topk_index(spark, d):
+    """lsh_topk_all over several hash tables with query-directed probes."""
+    return _sim(index.index_topk(*_both(spark, d, bits=None, others=True), K, index_planes(), PROBES, True))
+
+
+def recall_index(spark, d):
+    """How much of the exact answer the index finds, and how many cosines it takes of all."""
+    pool, seeds = _both(spark, d, bits=None, others=True)
+    seen = Observation()
+    found = spark.createDataFrame(index.index_topk(pool, seeds, K, index_planes(), PROBES, True, seen).collect(), "id bigint, sim double")
+    got = evaluate.recall(similarity.brute_topk(pool, seeds, K, others=True), found)
+    pairs = pool.count() * seeds.count() - seeds.count()
+    return got.withColumn("recall", R6("recall")).withColumn("cosines", F.lit(seen.get["cosines"])).withColumn("share", R6(F.lit(seen.get["cosines"] / pairs)))
+
+
 def lsh_topk_arrow(spark, d, others=False):
     return _sim(ranking.topk(similarity.lsh_max_sim_arrow(*_both(spark, d, others=others), others=others), K))
 
@@ -264,10 +286,10 @@ def recall_vs_baseline(spark, d, others=False):
     return got.withColumn("recall", R6("recall"))
 
 
-def recall_bound_vs_lsh(spark, d):
+def recall_bound_vs_lsh(spark, d, others=False):
     """How much of the bounded answer the bucketed one has."""
-    pool, seeds = _both(spark, d)
-    got = evaluate.recall(similarity.bound_topk(pool, seeds, K, 1), similarity.lsh_topk(pool, seeds, K))
+    pool, seeds = _both(spark, d, others=others)
+    got = evaluate.recall(similarity.bound_topk(pool, seeds, K, 1, others=others), similarity.lsh_topk(pool, seeds, K, others=others))
     return got.withColumn("recall", R6("recall"))
 
 
@@ -301,19 +323,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SEARCHES = (
     "brute_topk", "brute_topk_arrow", "brute_max_sim", "lsh_topk", "lsh_topk_arrow", "max_sim", "best_lsh_topk", "bound_topk", "bound_topk_3d",
     "bound_topk_medoid", "bound_topk_arrow", "perquery_topk", "perquery_kth", "cosine_pairs", "recall", "recall_vs_baseline", "topk_sink",
-    "brute_topk_balls",
+    "brute_topk_balls", "recall_bound_vs_lsh",
 )
 QUERIES |= {f"{n}_all": partial(QUERIES[n], others=True) for n in SEARCHES}
 
 #: Reports that are registered over all rows too.
 REPORTS = ("bucket_hist", "bucket_members", "bucket_centroid", "bucket_medoid", "bucket_summary", "signature_cost", "best_signature")
 QUERIES |= {f"{n}_all": partial(QUERIES[n], side=_all) for n in REPORTS} | {"vec_dot_all": vec_dot_all}
-QUERIES |= {f.__name__: f for f in (lsh_topk_probed, recall_probed)}
+QUERIES |= {f.__name__: f for f in (lsh_topk_probed, recall_probed, lsh_topk_index, recall_index)}
 
 #: Reports on the bound over whole vectors too.
 BOUNDS = ("bound_classify", "bound_prune_stats")
 QUERIES |= {f"{n}_64d": partial(QUERIES[n], dims=DIMS, bits=BITS) for n in BOUNDS}
 
+#: Figures of a search that are registered for the query set against the whole table too, rows of the set included.
+FIGURES = ("zero_norm_guard", "upper_bound", "lsh_cost", "lsh_cost_study", "bound_classify", "bound_prune_stats", "bound_classify_64d", "bound_prune_stats_64d")
+QUERIES |= {f"{n}_all": partial(QUERIES[n], others=True) for n in FIGURES}
+
 
 # SQL -------------------------------------------------------------------------
 
@@ -436,4 +462,20 @@ ORACLE |= {f"{n}_all": _all_sql(ORACLE[n]) for n in SEARCHES}
 ORACLE |= {f"{n}_all": ORACLE[n].replace("SELECT * FROM h WHERE id % 5 <> 0", "SELECT * FROM h").replace("SELECT * FROM h WHERE id % 5 = 0", "SELECT * FROM h") for n in REPORTS}
 ORACLE["vec_dot_all"] = _all_sql(_sql(" SELECT p.id, s.id AS seed_id, round(list_dot_product(p.v, s.v), 6) AS dot FROM p, s"))
 ORACLE |= {f"{n}_64d": _sql(ORACLE[n].removeprefix(_sql("", 3, 3))) for n in BOUNDS}
+_SIDES = (("p AS (SELECT * FROM h WHERE id % 5 <> 0), s AS (SELECT * FROM h WHERE id % 5 = 0)", "p AS (SELECT * FROM h), s AS (SELECT * FROM h WHERE id % 50 = 0)"), ("p.id % 5 <> 0 AND s.id % 5 = 0", "s.id % 50 = 0"))
+ORACLE |= {f"{n}_all": reduce(lambda sql, x: sql.replace(*x), _SIDES, ORACLE[n]) for n in FIGURES}
 ORACLE |= {f"{n}_probed": ORACLE[f"{n}_all"].replace("s.bucket = p.bucket", f"bit_count(xor(s.bucket, p.bucket)) <= {FLIPS}") for n in ("lsh_topk", "recall")}
+
+
+_INDEX = f"""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+    pl AS (SELECT * FROM (VALUES {", ".join(f"({t}, {PLANES - 1 - b}, {w})" for t, ws in enumerate(index_planes()) for b, w in enumerate(ws))}) x(t, b, w)),
+    d AS (SELECT id, t, b, list_dot_product(v, w::DOUBLE[]) AS d FROM e, pl), h AS (SELECT id, t, sum(CASE WHEN d >= 0 THEN 1 << b ELSE 0 END)::BIGINT AS bucket FROM d GROUP BY id, t),
+    cost AS (SELECT id, t, mask, sum(CASE WHEN (mask >> b) & 1 = 1 THEN d * d / list_dot_product(v, v) ELSE 0 END) AS c FROM d JOIN e USING (id), range(0, {1 << PLANES}) m(mask) WHERE id % 50 = 0 GROUP BY ALL),
+    probe AS (SELECT id, t, mask FROM cost QUALIFY row_number() OVER (PARTITION BY id, t ORDER BY c, mask) <= {PROBES}),
+    met AS (SELECT DISTINCT h.id, q.id AS seed FROM probe JOIN h q USING (id, t) JOIN h ON h.t = probe.t AND h.bucket = xor(q.bucket, mask) AND h.id <> q.id),
+    ex AS (SELECT met.id, greatest(0::DOUBLE, max(list_cosine_similarity(a.v, b.v))) AS sim FROM met JOIN e a ON a.id = met.id JOIN e b ON b.id = seed GROUP BY met.id)"""
+ORACLE["lsh_topk_index"] = f"{_INDEX} {_TOP}"
+ORACLE["recall_index"] = f"""{_INDEX}, found AS ({_TOP}), truth AS (SELECT id FROM ({ORACLE["brute_topk_all"]})), n AS (SELECT count(*) AS cosines FROM met),
+    total AS (SELECT count(*) * count(*) FILTER (id % 50 = 0) - count(*) FILTER (id % 50 = 0) AS pairs FROM e)
+    SELECT count(found.id) AS matched, count(*) AS total, round(count(found.id) / count(*)::DOUBLE, 6) AS recall, any_value(cosines) AS cosines, round(any_value(cosines / pairs::DOUBLE), 6) AS share
+    FROM truth LEFT JOIN found USING (id), n, total"""

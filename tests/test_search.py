@@ -4,10 +4,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from kindred.functions import vector as V
-from kindred.operators import bounded, similarity, summary, tiles
+from kindred.operators import bounded, index, similarity, summary, tiles
+from kindred.plans import catalog
 from kindred.sources import vectors as source
 from tests.test_semantics import noise, out, rel
 
@@ -31,8 +33,7 @@ def one(df):
 ZERO, NULL = (900, [0.0] * 4), (901, None)
 
 
-@pytest.mark.parametrize("count_rows", [tiles.COUNT_ROWS, 0])
-@pytest.mark.parametrize("others", [False, True])
+@pytest.mark.parametrize("count_rows,others", [(tiles.COUNT_ROWS, False), (0, True)])
 def test_tiles_of_any_size_give_the_maxima(spark, monkeypatch, count_rows, others):
     monkeypatch.setattr(tiles, "COUNT_ROWS", count_rows)
     monkeypatch.setattr(tiles, "CHUNK", 7)
@@ -61,8 +62,7 @@ def test_hot_bucket_is_split(spark):
     assert dict(out(got)) == pytest.approx(want)
 
 
-@pytest.mark.parametrize("others", [False, True])
-@pytest.mark.parametrize("k", [1, 6, 40, 500])
+@pytest.mark.parametrize("k,others", [(1, False), (6, True), (500, False)])
 def test_per_query_ranks_and_values(spark, monkeypatch, k, others):
     monkeypatch.setattr(tiles, "FAN_IN", 2)
     monkeypatch.setattr(tiles.Grid.__init__, "__defaults__", (13, 5))
@@ -84,8 +84,10 @@ def test_per_query_ranks_and_values(spark, monkeypatch, k, others):
     assert values == pytest.approx(kth, abs=1.1e-9)
 
 
-@pytest.mark.parametrize("others", [False, True])
-@pytest.mark.parametrize("make,dims,bits,k,least,centroid", [(noise, 3, 3, 7, 1, "mean"), (noise, 3, 0, 5, 10, "medoid"), (clustered, 8, 3, 10, 1, "mean"), (clustered, 8, 2, 900, 1, "mean"), (noise, 5, 4, 1, 3, "medoid")])
+@pytest.mark.parametrize(
+    "make,dims,bits,k,least,centroid,others",
+    [(noise, 3, 3, 7, 1, "mean", False), (noise, 3, 0, 5, 10, "medoid", True), (clustered, 8, 3, 10, 1, "mean", True), (clustered, 8, 2, 900, 1, "mean", False), (noise, 5, 4, 1, 3, "medoid", False)],
+)
 def test_moving_threshold_keeps_the_answer(spark, make, dims, bits, k, least, centroid, others):
     planes, rows = V.random_planes(bits, dims, 4), make(300, dims, 5)
     pool = rel(spark, [*rows, (999, [0.0] * dims), (998, None)], planes)
@@ -109,8 +111,7 @@ def test_moving_threshold_scores_less_than_a_fixed_one(spark):
     assert report.rounds >= 1 and report.scored <= scored and report.scored_cosines < report.cosines
 
 
-@pytest.mark.parametrize("others", [False, True])
-@pytest.mark.parametrize("make,k,balls", [(noise, 9, None), (clustered, 9, None), (clustered, 700, 5), (clustered, 9, 1)])
+@pytest.mark.parametrize("make,k,balls,others", [(noise, 9, None, False), (clustered, 9, None, True), (clustered, 700, 5, True), (clustered, 9, 1, False)])
 def test_ball_index_is_exact(spark, make, k, balls, others):
     rows = make(400, 8, 7)
     pool, seeds = rel(spark, [*rows, (999, [0.0] * 8)]), rel(spark, rows[::5] if others else make(80, 8, 8))
@@ -145,7 +146,7 @@ def plain_medoid(rows, bucket):
     return out
 
 
-@pytest.mark.parametrize("make,bits", [(noise, 0), (noise, 3), (clustered, 2)])
+@pytest.mark.parametrize("make,bits", [(noise, 3), (clustered, 2)])
 def test_medoid_equals_all_pairs(spark, make, bits):
     rows = [*make(300, 6, 2), *[(700 + i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(4)]]
     seeds = rel(spark, [*rows, (999, [0.0] * 6)], V.random_planes(bits, 6, 1)).cache()
@@ -180,3 +181,34 @@ def test_lines_are_numbered_over_files_and_ranges(spark, tmp_path):
         assert [r["id"] for r in got.orderBy("id").collect()] == list(range(900))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("others", [False, True])
+def test_index_compares_candidates_only(spark, monkeypatch, others):
+    """Equal to a plain search of the same buckets, with several blocks of seeds; all probes give the exact answer."""
+    rows = clustered(300, 6, 4)
+    pool, seeds = [*rows, (999, [0.0] * 6)], rows[::7] if others else clustered(60, 6, 5, 10**6)
+    planes = [V.random_planes(5, 6, t, normal=True) for t in range(3)]
+    monkeypatch.setattr(index, "SEED_TILE", 9)
+    (i, a), (j, b) = matrix(rows), matrix(seeds)
+    cand = np.zeros((len(i), len(j)), bool)
+    for w in np.array(planes):
+        for c, d in enumerate(b @ w.T):
+            cost = sorted((sum(x * x for k, x in enumerate(d) if m >> (4 - k) & 1), m) for m in range(32))[:4]
+            own = sum(int(x >= 0) << (4 - k) for k, x in enumerate(d))
+            keys = [sum(int(x >= 0) << (4 - k) for k, x in enumerate(y)) for y in a @ w.T]
+            cand[:, c] |= np.isin(keys, [own ^ m for _, m in cost])
+    if others:
+        cand &= i[:, None] != j
+    sim = np.where(cand, a @ b.T, -9).max(1)
+    want = {int(x): max(float(s), 0.0) for x, s in zip(i, sim) if s > -9}
+    seen = Observation()
+    args = rel(spark, pool), rel(spark, seeds), 1000, planes
+    assert dict(out(index.index_topk(*args, 4, others, seen))) == pytest.approx(want)
+    assert seen.get["cosines"] == cand.sum() < 0.6 * cand.size
+    assert out(index.index_topk(*args, 32, others)) == out(similarity.brute_topk(*args[:2], 1000, others))
+
+
+def test_index_has_the_recall_of_an_index(spark, sf_dir):
+    got = catalog.QUERIES["recall_index"](spark, sf_dir).first()
+    assert got["recall"] >= 0.9 and got["share"] < 0.4

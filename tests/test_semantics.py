@@ -10,7 +10,7 @@ from kindred.functions import vector as V
 from kindred.model import Params, prepare
 from kindred.operators import evaluate, hashing, ranking, similarity, summary
 from kindred.sources import vectors as source
-from kindred.streaming.scoring import score_stream
+from kindred.streaming import scoring
 
 
 def rel(spark, rows, planes=None):
@@ -109,28 +109,57 @@ def test_parameters_are_checked():
 
 def test_command_line_runs_every_mode(spark, tmp_path, capsys):
     for name, rows in (("pool", noise(40, 4, 3)), ("seeds", noise(12, 4, 4))):
-        (tmp_path / name).write_text("\n".join(",".join(map(str, v)) for _, v in rows) + "\n")
-    args = ["--pool", str(tmp_path / "pool"), "--seeds", str(tmp_path / "seeds"), "--dims", "4", "--k", "7", "--n-bits", "2"]
-    got = {m: dict(out(run.main([*args, "--mode", m], spark))) for m in ("brute", "lsh", "best", "bound")}
-    assert all(len(g) == 7 for g in got.values())
-    assert got["brute"] == dict(out(similarity.brute_topk(rel(spark, noise(40, 4, 3)), rel(spark, noise(12, 4, 4)), 7)))
-    assert dict(out(run.main([*args, "--mode", "brute", "--kernel", "arrow"], spark))) == pytest.approx(got["brute"])
-    medoid = dict(out(run.main([*args, "--mode", "bound", "--centroid", "medoid"], spark)))
-    assert medoid == pytest.approx(got["bound"])
+        (tmp_path / name).write_text("\n".join(";".join(map(str, v)) for _, v in rows) + "\n")
+    args = ["--pool", str(tmp_path / "pool"), "--seeds", str(tmp_path / "seeds"), "--dims", "4", "--k", "7", "--n-bits", "2", "--n-samples", "3", "--sep", ";"]
+    call = lambda *more: run.main([*args, *more], spark)
+    planes = ["--planes", str(tmp_path / "planes")]
+    got = {"lsh": dict(out(call("--mode", "lsh", "--normal", "--save-planes", planes[1], "--out", str(tmp_path / "ids"))))}
+    stored = [r["w"] for r in source.read_planes(spark, planes[1], 4).orderBy("plane").collect()]
+    assert stored == V.random_planes(2, 4, 0, normal=True)
+    assert [r["id"] for r in source.read_ids(spark, str(tmp_path / "ids")).collect()] == list(got["lsh"])
+    said = capsys.readouterr()
+    assert len(said.out.splitlines()) == 7 and "pool=40 seeds=12" in said.err
+    pool, seeds = (rel(spark, noise(n, 4, s), stored) for n, s in ((40, 3), (12, 4)))
+    cost = evaluate.lsh_cost(pool, seeds).first()["pairs"]
+    assert f"cosines={cost}" in said.err  # counted in the run itself
+    assert got["lsh"] == dict(out(similarity.lsh_topk(pool, seeds, 7)))
+    for mode in ("brute", "balls", "bound"):
+        got[mode] = dict(out(call("--mode", mode, *planes, "--baseline", str(tmp_path / "ids"))))
+        said = capsys.readouterr().err
+        assert len(got[mode]) == 7 and f"matched={len(set(got[mode]) & set(got['lsh']))}" in said and "search_s=" in said
+        assert "cosines=480" in said or mode != "brute"
+    for found in (got["balls"], dict(out(similarity.brute_topk(pool, seeds, 7, kernel="sql")))):
+        assert got["brute"] == pytest.approx(found)
+    assert dict(out(call("--mode", "bound", "--centroid", "medoid", *planes))) == pytest.approx(got["bound"])
     capsys.readouterr()
-    found = {r["mode"]: r["matched"] for r in run.main([*args, "--mode", "compare"], spark).collect()}
-    assert found == {m: len(set(got[m]) & set(got["brute"])) for m in ("lsh", "best", "bound")}
+    found = {r["mode"]: r["matched"] for r in call("--mode", "compare", *planes).collect()}
+    assert found == {m: len(set(got[x]) & set(got["brute"])) for m, x in (("lsh", "lsh"), ("best", "lsh"), ("bound", "bound"))}
     assert len(capsys.readouterr().out.splitlines()) == 3
-
-
-def test_stream_scores_match_batch(spark, tmp_path):
-    planes = V.random_planes(2, 3)
-    pool, seeds = rel(spark, noise(30, 3, 8), planes), rel(spark, noise(9, 3, 9), planes)
-    pool.write.parquet(str(tmp_path / "in"))
-    q = score_stream(spark.readStream.schema(pool.schema).parquet(str(tmp_path / "in")), seeds).writeStream.format("memory").queryName("scored").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = spark.table("scored").groupBy("id").agg(F.max("sim").alias("sim"))
-    assert sorted(out(got)) == sorted(out(similarity.lsh_max_sim(pool, seeds, keep_unmatched=False)))
+    assert [r["agrees"] for r in call("--mode", "kernels", *planes).collect()] == [True] * 4
+    swept = call("--mode", "sweep", "--sweep", "1,4").collect()
+    sets = [V.random_planes(2, 4, i) for i in range(4)]
+    costs = {r["sample"]: r["cost"] for r in hashing.signature_cost(seeds, sets).collect()}
+    assert [(r["samples"], r["cost"]) for r in swept] == [(1, costs[0]), (4, min(costs.values()))]
+
+
+def test_stream_scores_match_batch(spark, tmp_path, monkeypatch):
+    """Over several arrivals, a restart and a batch that dies half-way: a row for each id, and the k best of all."""
+    planes, home = V.random_planes(2, 3), f"file://{tmp_path}"
+    pool, seeds = rel(spark, noise(60, 3, 8), planes).cache(), rel(spark, noise(900, 3, 9), planes)
+    want = similarity.lsh_max_sim(pool, seeds, keep_unmatched=False)
+    stream = lambda: spark.readStream.schema(pool.schema).parquet(f"{tmp_path}/in")
+    for k in range(3):
+        pool.where(F.col("id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if k == 2:  # the last arrival dies at first
+            with monkeypatch.context() as m:
+                m.setattr(scoring, "topk", lambda *a: 1 / 0)
+                with pytest.raises(Exception, match="ZeroDivision"):
+                    scoring.topk_stream(stream(), seeds, 7, f"{home}/top").awaitTermination()
+        scoring.score_stream(stream(), seeds, f"{home}/all").awaitTermination()
+        scoring.topk_stream(stream(), seeds, 7, f"{home}/top").awaitTermination()
+        arrived = want.where(F.col("id") % 3 <= k)
+        assert sorted(out(spark.read.parquet(f"{tmp_path}/all/scores").select("id", "sim"))) == sorted(out(arrived))
+        assert out(scoring.best_so_far(spark, f"{home}/top")) == out(ranking.topk(arrived, 7))
 
 
 def test_random_planes_decide_the_bucket(spark, sf_dir):
