@@ -39,6 +39,8 @@ GRAM = 3
 FEW = 3
 #: Bytes of entries that meet at once; larger buckets are cut into blocks, and every two blocks meet.
 BLOCK_BYTES = 32 << 20
+#: Lines under one anchor that are compared between classes in one task; of more, every two blocks meet.
+CELL_ROWS = 8192
 #: Bits of a line's sketch, in words of 64.
 SKETCH = 256
 _LANES = [f"s{k}" for k in range(SKETCH // 64)]
@@ -431,6 +433,17 @@ def _passed(bucket: int, block: int, held: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([none, none, none, pa.array([bucket]), pa.array([block], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["u", "v", "at", "bucket", "block", "rows"])
 
 
+def _celled(rows: DataFrame) -> DataFrame:
+    """rows dealt to cells, which take the place of `key`: a key of more than CELL_ROWS rows is cut into blocks, and each block of
+    segments meets each block of windows in a cell of its own. Should two cells share a number, more is compared, not less."""
+    many = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("blocks")).where("blocks > 1")
+    met = left_join_few(rows, many, "key")
+    own = F.pmod(F.xxhash64("short", "size", "probe"), F.col("blocks"))
+    met = met.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))))
+    cell = F.when(F.col("probe"), F.xxhash64("key", "other", own)).otherwise(F.xxhash64("key", own, "other"))
+    return met.withColumn("key", F.when(F.col("blocks").isNull(), F.col("key")).otherwise(cell)).select(*rows.columns)
+
+
 def links(named: DataFrame, every: DataFrame, total: int, home: str) -> DataFrame:
     """(u, v): keys of different lines within the edits that join all that such links join; every: the lines of named."""
     pairs, again = candidates(named, total, home)
@@ -500,8 +513,8 @@ def links(named: DataFrame, every: DataFrame, total: int, home: str) -> DataFram
         if held:
             yield done([np.concatenate(x) for x in zip(*held)])
 
-    cells = flagged(labelled, mixed, "key").where("_flag").join(mixed, "key", "left_semi").select("key", "short", "size", "probe", "low", "high", "label", *_LANES, "known")
-    rest = cells.repartition("key").sortWithinPartitions("key").mapInArrow(across, "u bigint, v bigint")
+    some = flagged(labelled, mixed, "key").where("_flag").join(mixed, "key", "left_semi").select("key", "short", "size", "probe", "low", "high", "label", *_LANES, "known")
+    rest = _celled(stored(some, f"{home}/again")).repartition("key").sortWithinPartitions("key").mapInArrow(across, "u bigint, v bigint")
     # pairs are few bytes but much work, so partitions aren't to be joined by their size
     spark = named.sparkSession
     n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
