@@ -29,12 +29,18 @@ def _distance(cos: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos))
 
 
-def _net(x: np.ndarray, radius: float, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(centres, owner): indices of a greedy net, and for each point the position of a centre within radius."""
+def _net(x: np.ndarray, radius: float, count: list[int], step: int = 256) -> tuple[np.ndarray, np.ndarray] | None:
+    """(centres, owner): indices of a greedy net, and for each point the position of a centre within radius.
+
+    None if the net won't halve the points: if they are few and it doesn't, or if of the first 2 * step three in four are centres.
+    count gets the cosines taken.
+    """
     least = 1 - radius * radius / 2
     centres: list[int] = []
     owner = np.empty(len(x), np.int64)
     for lo in range(0, len(x), step):
+        if lo >= 2 * step and len(centres) > 0.75 * lo:
+            return None
         some = x[lo : lo + step]
         free = np.ones(len(some), bool)
         if centres:
@@ -43,6 +49,7 @@ def _net(x: np.ndarray, radius: float, step: int = 256) -> tuple[np.ndarray, np.
             free = cos[np.arange(len(some)), best] < least
             owner[lo : lo + step] = best
         own = some @ some.T
+        count[0] += len(some) * (len(centres) + len(some))
         while free.any():
             i = int(free.argmax())
             near = free & (own[i] >= least)
@@ -50,7 +57,7 @@ def _net(x: np.ndarray, radius: float, step: int = 256) -> tuple[np.ndarray, np.
             owner[lo : lo + step][near] = len(centres)
             centres.append(lo + i)
             free &= ~near
-    return np.array(centres, np.int64), owner
+    return (np.array(centres, np.int64), owner) if len(centres) <= len(x) // 2 else None
 
 
 class CoverTree:
@@ -58,16 +65,18 @@ class CoverTree:
 
     A level stands for the points in the order `order`, so that what a node covers, and its children, are runs. A net that doesn't
     at least halve the level below it is left out, for its nodes would be looked at without being fewer; that changes no answer.
+    Where not even the widest net halves the points, there is no other level. `cosines` counts those taken to build the tree.
     """
 
     def __init__(self, unit: np.ndarray) -> None:
         n = len(unit)
-        at, node, levels = np.arange(n), np.arange(n), []  # centres, node of each point; from the finest
-        for r in RADII:
-            centres, owner = _net(unit[at], r)
-            if len(centres) <= len(at) // 2:
-                at, node = at[centres], owner[node]
+        at, node, levels, taken = np.arange(n), np.arange(n), [], [0]  # centres, node of each point; from the finest
+        for r in RADII if _net(unit[: 1 << 10], RADII[-1], taken) else ():
+            net = _net(unit[at], r, taken)
+            if net:
+                at, node = at[net[0]], net[1][node]
                 levels.append((at, node))
+        self.cosines = taken[0] + n * len(levels)
         self.order = np.lexsort([node for _, node in levels]) if levels else np.arange(n)
         self.unit = unit[self.order]
         place = np.empty(n, np.int64)
@@ -94,14 +103,15 @@ PAIRS, BLOCK_PAIRS = 1 << 17, 1 << 11
 
 
 def _products(a: CoverTree, b: CoverTree, ca: np.ndarray, cb: np.ndarray, ranges: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, cosine) of the nodes in each product of ranges a0..a1 and b0..b1, and of no others."""
+    """(i, j, cosine) of the nodes in each product of ranges a0..a1 and b0..b1, and of no others; of a range of a tree with itself,
+    those before a block's first row are left out, for they have come the other way round."""
     a0, a1, b0, b1 = ranges
     many = (a1 - a0) * (b1 - b0)
     for x in np.flatnonzero(many >= BLOCK_PAIRS).tolist():
-        j = np.arange(b0[x], b1[x])
-        step = max(1, (1 << 22) // len(j))
+        step = max(1, min(512, (1 << 22) // (b1[x] - b0[x])))
         for lo in range(a0[x], a1[x], step):
             i = np.arange(lo, min(lo + step, a1[x]))
+            j = np.arange(lo if a is b and a0[x] == b0[x] else b0[x], b1[x])
             yield np.repeat(i, len(j)), np.tile(j, len(i)), (a.unit[ca[i]] @ b.unit[cb[j]].T).ravel()
     small = np.flatnonzero((many < BLOCK_PAIRS) & (many > 0))
     ends, x = np.cumsum(many[small]), 0

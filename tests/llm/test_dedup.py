@@ -421,6 +421,32 @@ def test_dual_traversal_looks_at_few_pairs():
             if x is y:
                 got, want = {(min(p), max(p)) for p in got}, {p for p in want if p[0] < p[1]}
             assert got == want and sum(count) < most * len(x) * len(y)
+    for n in (2000, 6000):  # without any structure: nets, traversal and all
+        x = rng.normal(size=(n, 64))
+        t = embedding_dedup.CoverTree(x / np.linalg.norm(x, axis=1, keepdims=True))
+        count = []
+        assert not any(len(i) for i, _ in embedding_dedup.dual_links(t, t, 0.93, count))
+        assert t.cosines + sum(count) < 0.8 * n * n
+
+
+def test_a_class_of_many_blocks(spark, monkeypatch):
+    """A class cut into blocks that all meet, beside small ones: as by all pairs."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK_VECTORS", 40)
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(30, 8))
+    x = np.repeat(centre, 20, 0) + 0.12 * rng.normal(size=(600, 8))
+    label = np.where(rng.random(600) < 0.8, 0, rng.integers(1, 4, 600))
+    rows = [(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label))]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (unit @ unit.T >= 0.93) & (label[:, None] == label) & ~np.eye(600, dtype=bool)
+    low = np.arange(600)
+    for _ in range(600):
+        new = np.minimum(low, np.where(link, low, 600).min(1))
+        if (new == low).all():
+            break
+        low = new
+    assert got == {i: (int(link[i].sum()), int(low[i])) for i in range(600)}
 
 
 def test_sketches_keep_all_pairs_within_the_edits():
