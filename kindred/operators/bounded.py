@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from kindred.functions import vector as V
 from kindred.operators.ranking import topk
 from kindred.operators.summary import bucket_summary
-from kindred.operators.tiles import COUNT_ROWS, SCORES, Grid, best_cosine, best_of
+from kindred.operators.tiles import COUNT_ROWS, SCORES, Grid, best_cosine, best_of, observed
 from kindred.sources.work import Work, ship
 
 #: Bounds below the threshold by less than this are scored nevertheless: the error of arccos near 1.
@@ -120,7 +120,7 @@ def rounds(hist: list[tuple[int, int, int]], near: Callable[[int, int, float], t
         report.rounds += 1
         if grid.cosines:
             best.add(tuple(r) for r in topk(best_of(grid.run(best_cosine(others), SCORES), seen), best.k).collect())
-            report.scored, report.scored_cosines = report.scored + taken.get["rows"], report.scored_cosines + seen.get["cosines"]
+            report.scored, report.scored_cosines = report.scored + observed(taken, "rows"), report.scored_cosines + observed(seen, "cosines")
         report.taus.append(best.tau)
 
 

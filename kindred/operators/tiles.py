@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +132,14 @@ def best_of(scores: DataFrame, observation: Observation | None = None) -> DataFr
     return scores.groupBy("id").agg(F.max("sim").alias("sim"))
 
 
+def observed(observation: Observation, name: str) -> int:
+    """What has been observed; 0 where Spark saw while running that nothing comes out, and dropped the observed step."""
+    try:
+        return observation.get[name]
+    except Py4JJavaError:
+        return 0
+
+
 def _distances(left: pa.Table, right: pa.Table, others: bool) -> np.ndarray:
     """1 - cosine of every pool row (down) and seed (across); infinite for a row with itself."""
     dist = 1 - unit(left) @ unit(right).T

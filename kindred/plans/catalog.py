@@ -233,8 +233,8 @@ def recall_index(spark, d):
     seen = Observation()
     found = spark.createDataFrame(index.index_topk(pool, seeds, K, index_planes(), PROBES, True, seen).collect(), "id bigint, sim double")
     got = evaluate.recall(similarity.brute_topk(pool, seeds, K, others=True), found)
-    pairs = pool.count() * seeds.count() - seeds.count()
-    return got.withColumn("recall", R6("recall")).withColumn("cosines", F.lit(seen.get["cosines"])).withColumn("share", R6(F.lit(seen.get["cosines"] / pairs)))
+    cosines, pairs = tiles.observed(seen, "cosines"), pool.count() * seeds.count() - seeds.count()
+    return got.withColumn("recall", R6("recall")).withColumn("cosines", F.lit(cosines).cast("bigint")).withColumn("share", R6(F.lit(cosines / max(pairs, 1))))
 
 
 def lsh_topk_arrow(spark, d, others=False):

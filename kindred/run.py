@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from kindred.functions import vector as V
 from kindred.model import Params, prepare
 from kindred.operators import bounded, evaluate, hashing, similarity
+from kindred.operators.tiles import observed
 from kindred.sources import vectors as source
 
 MODES = ("brute", "balls", "lsh", "best", "bound")
@@ -55,7 +56,7 @@ class Expansion:
         if mode in ("balls", "bound"):
             figures |= {"cosines": report.scored_cosines + report.overhead, "candidates": report.candidates, "skipped": report.candidates - report.scored, "rounds": report.rounds}
         elif kernel == "arrow":
-            figures["cosines"] = seen.get["cosines"]
+            figures["cosines"] = observed(seen, "cosines")
         else:
             figures["kernel"] = kernel
         return self.pool.sparkSession.createDataFrame([tuple(r) for r in rows], "id bigint, sim double"), figures

@@ -135,6 +135,9 @@ def test_searches_of_nothing(spark):
         assert not bounded.ball_topk(a, b, 3).count() and not bounded.bound_topk(a, b, 3).count() and not similarity.brute_topk(a, b, 3).count()
         assert not tiles.perquery_topk(a, b, 3).count() and not tiles.perquery_kth(a, b, 3).count()
     assert summary.bucket_medoid(none).count() == 0
+    alone, report = rel(spark, noise(1, 4, 1), [[1.0, 0, 0, 0]]), bounded.Report()
+    assert not bounded.bound_topk(alone, alone, 3, 1, others=True, report=report).count() and report.scored_cosines == 0
+    assert not bounded.ball_topk(alone, alone, 3, True).count()
 
 
 def plain_medoid(rows, bucket):
