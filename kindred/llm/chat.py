@@ -74,13 +74,14 @@ def repair(roles: list[str | None]) -> tuple[int, list[tuple[str, str | None, tu
 def render(turns: list[tuple[str | None, str | None]]) -> tuple[int, list[tuple[str, str]], str]:
     """(cost, repaired turns, text) of (role, text) turns in order; null texts are empty; merged ones meet in a line feed."""
     cost, steps = repair([r for r, _ in turns])
-    out: list[tuple[str, str]] = []
+    held: list[tuple[str, list[str]]] = []
     for (what, role, before), (_, text) in zip(steps, [*turns, (None, None)]):
-        out += [(r, "") for r in before]
+        held += [(r, [""]) for r in before]
         if what == "merge":
-            out[-1] = (role, out[-1][1] + "\n" + (text or ""))
+            held[-1][1].append(text or "")
         elif what == "turn":
-            out.append((role, text or ""))
+            held.append((role, [text or ""]))
+    out = [(role, "\n".join(texts)) for role, texts in held]
     return cost, out, "".join(OPEN.format(role=r) + t + CLOSE for r, t in out)
 
 

@@ -167,6 +167,13 @@ def test_repair_is_cheapest(roles):
     assert legal([r for r, _ in turns]) and cost == cheapest(roles)
 
 
+def test_long_conversation():
+    """Twenty thousand turns of one role: all but the last are merged into one, in time that grows with their text."""
+    cost, turns, text = chat.render([("user", f"line {i}") for i in range(20_000)])
+    assert cost == 19_998 * chat.MERGE + chat.RELABEL and [r for r, _ in turns] == ["user", "assistant"]
+    assert turns[0][1].split("\n") == [f"line {i}" for i in range(19_999)] and turns[0][1] in text
+
+
 def test_chats(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, " Assistant", "yes"), (2, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 2, "user", None), (3, 0, None, "x"), (4, 0, "user", "a"), (4, 0, "user", "a"), (None, 0, "user", ""), (5, None, "assistant", "z"), (5, 0, "user", "y")]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("r", F.lit(1))
