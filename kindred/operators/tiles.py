@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from kindred.sources.work import Work, ship
 
-#: Rows of either side in a cell.
-POOL_TILE = SEED_TILE = 4096
+#: Rows of the two sides in a cell, some megabytes each: the larger they are, the fewer cells a row is sent to.
+POOL_TILE, SEED_TILE = 1 << 13, 1 << 14
 #: Cosines held at once while a cell is multiplied.
 CHUNK = 1 << 21
 #: Rows of the table of counts, one a bucket, up to which it is broadcast; with more buckets it is joined.
