@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.components import Forest, components
-from kindred.llm.shared import flagged, left_join_hot, made, quoted, shared_dir, stored, swept, text_key
+from kindred.llm.shared import drop, flagged, left_join_hot, made, quoted, shared_dir, stored, swept, text_key
 from kindred.llm.words import Hasher, buffers, mix, parts, split
 
 #: Sets of a family that meet in one task; larger families are cut into blocks, and every two blocks meet.
@@ -258,9 +258,11 @@ def _classified(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_c
     few = flagged(named, first, "t").where("_flag").select("t", "text").dropDuplicates(["t"])
     some = stored(few.join(first, "t"), f"{home}/some")
     near = stored(some.join(_possible(some, _credits(some, n, 1.0, total(some)), F.col("n"), t).select("t"), "t", "left_semi"), f"{home}/near")
+    drop(spark, f"{home}/some")
     family = components(_meetings(near, n, t, total(near)))
     families = _families(near, family)
     found = stored(_linked(families, n, t), f"{home}/links")
+    drop(spark, f"{home}/near")
     links = components(found.where("v IS NOT NULL").select("u", "v"))
     counts = found.where("v IS NULL").groupBy("u").agg(F.sum("w").alias("w"))
     low = reps.join(links, reps["key"] == links["node"], "left").select("key", "low", "copies", F.coalesce("component", "key").alias("c"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.llm import components, embedding_dedup, exact_dedup, line_dedup, ngram_join, registry, substring_dedup
+from kindred.llm.shared import FREE, stored
 from tests.llm.conftest import WHITE
 from tests.oracle import agree
 
@@ -522,3 +524,17 @@ def test_lines_that_repeat_a_phrase(spark):
         pool.append(" ".join(line))
     rows = [(i, "\n".join(rng.sample(pool, 2))) for i in range(60)]
     assert bag(line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_lines", "n_dropped", "kept_text") == lines_expected(rows)
+
+
+def test_stored_leaves_no_shuffle_files(spark, tmp_path):
+    """Otherwise every shuffle of a stage lies on disk until the driver happens to collect garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    there = lambda: {n for f in disk.getAllFiles().toString().split("/") if (n := f.split(",")[0].rstrip(")")).startswith("shuffle_")}
+    before, was = there(), spark.conf.get(FREE, "false")
+    wide = spark.range(20_000).select((F.col("id") % 997).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("t"))
+    got = stored(wide.repartition(7, "k").join(wide.groupBy("k").agg(F.max("t").alias("m")).repartition(7, "k"), "k"), str(tmp_path / "t"))
+    for _ in range(100):
+        if not there() - before:
+            break
+        time.sleep(0.1)
+    assert not there() - before and got.count() == 20_000 and spark.conf.get(FREE, "false") == was
