@@ -215,3 +215,58 @@ def test_index_compares_candidates_only(spark, monkeypatch, others):
 def test_index_has_the_recall_of_an_index(spark, sf_dir):
     got = catalog.QUERIES["recall_index"](spark, sf_dir).first()
     assert got["recall"] >= 0.9 and got["share"] < 0.4
+
+
+ODD = [(900, [0.0] * 4), (901, None), (902, [1.0, None, 0.0, 2.0]), (903, [1.0, 2.0]), (904, []), (None, [1.0, 1.0, 0.0, 0.5])]
+
+
+@pytest.mark.parametrize("others", [False, True])
+def test_every_pair_comes_out_of_tiles(spark, monkeypatch, others):
+    """As a cross join with expressions, nulls included; the pairs are made in cells, not row by row in a nested loop."""
+    monkeypatch.setattr(tiles, "PAIR_ROWS", 16)
+    monkeypatch.setattr(tiles, "PAIR_SEEDS", 7)
+    pool, seeds = rel(spark, [*noise(60, 4, 1), *ODD]), rel(spark, [*noise(60, 4, 1)[::4], *ODD, (905, [3.0, 1.0])])
+    s = seeds.select(F.col("id").alias("seed_id"), F.col("v").alias("sv"), F.col("norm").alias("sn"))
+    both = pool.crossJoin(s)
+    both = both.where("id <> seed_id") if others else both
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    for cosine, x in ((True, V.cosine("v", "sv", "norm", "sn")), (False, V.dot("v", "sv"))):
+        for digits in (None, 6):
+            got = tiles.every_pair(pool, seeds, cosine, others, digits)
+            plan = got._jdf.queryExecution().toString()
+            assert "Cartesian" not in plan and "NestedLoop" not in plan
+            rows = sorted((tuple(r) for r in got.collect()), key=key)
+            want = sorted((tuple(r) for r in both.select("id", "seed_id", x if digits is None else F.round(x, digits)).collect()), key=key)
+            assert [r[:2] for r in rows] == [r[:2] for r in want] and [r[2] for r in rows] == pytest.approx([r[2] for r in want], abs=1e-12)
+    assert tiles.every_pair(pool, seeds.where("false")).isEmpty()
+
+
+def test_rounding_is_that_of_spark(spark):
+    rng = random.Random(1)
+    values = [0.0000005, -0.0000005, 0.1234565, 2.5000005, -1e-9, 1.0, 1e300, -1e17, 123456789.0000005, 9007199254.7409915, float("inf"), 2.0**33 + 0.1, 0.0000015, 1.0000004999999999]
+    values += [round(rng.uniform(-9, 9), 7) for _ in range(2000)] + [rng.gauss(0, 1) for _ in range(2000)]
+    want = [r["y"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").select("i", F.round("x", 6).alias("y")).orderBy("i").collect()]
+    got = tiles.rounded(np.array(values), 6).tolist()
+    assert got == want and not any(str(x) == "-0.0" for x in got) and np.isnan(tiles.rounded(np.array([np.nan]), 6)[0])
+
+
+def test_figures_of_pairs_without_pairs(spark):
+    pool, seeds = rel(spark, [*noise(60, 4, 1), *ODD]), rel(spark, [*noise(20, 4, 2), *ODD])
+    got = {r["id"]: (r["pairs"], r["best"]) for r in similarity.cosine_stats(pool, seeds).collect()}
+    want = similarity.cosine_pairs(pool, seeds).groupBy("id").agg(F.count("sim").alias("pairs"), F.max("sim").alias("best"))
+    want = {r["id"]: (r["pairs"], r["best"]) for r in want.collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == n and got[i][1] == pytest.approx(b) for i, (n, b) in want.items()) and want[900] == (0, None)
+    assert similarity.cosine_stats(pool, seeds.where("false")).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["brute_max_sim", "brute_max_sim_all"])
+def test_pairs_are_multiplied_in_tiles(spark, sf_dir, name):
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" in plan and "_seeds" not in plan and "Cartesian" not in plan and plan.count("NestedLoop") <= ("guard" in name)
+
+
+def cell(rows, **columns):
+    import pyarrow as pa
+
+    i, v = zip(*rows)
+    return pa.table({"id": pa.array(i, pa.int64()), "v": pa.array(v, pa.list_(pa.float64())), "norm": np.linalg.norm(np.array(v), axis=1), **columns})
