@@ -194,7 +194,7 @@ def brute_topk_arrow(spark, d, others=False):
 
 
 def max_sim(spark, d, others=False):
-    return _sim(similarity.lsh_max_sim(*_both(spark, d, others=others), keep_unmatched=False, others=others))
+    return _sim(similarity.lsh_max_sim_arrow(*_both(spark, d, others=others), keep_unmatched=False, others=others))
 
 
 def lsh_topk(spark, d, others=False):

@@ -259,7 +259,7 @@ def test_figures_of_pairs_without_pairs(spark):
     assert similarity.cosine_stats(pool, seeds.where("false")).isEmpty()
 
 
-@pytest.mark.parametrize("name", ["brute_max_sim", "brute_max_sim_all", "cosine_pairs", "cosine_pairs_all", "zero_norm_guard", "zero_norm_guard_all", "vec_dot_all"])
+@pytest.mark.parametrize("name", ["brute_max_sim", "brute_max_sim_all", "cosine_pairs", "cosine_pairs_all", "zero_norm_guard", "zero_norm_guard_all", "vec_dot_all", "max_sim", "max_sim_all"])
 def test_pairs_are_multiplied_in_tiles(spark, sf_dir, name):
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "InArrow" in plan and "_seeds" not in plan and "Cartesian" not in plan and plan.count("NestedLoop") <= ("guard" in name)
