@@ -294,13 +294,18 @@ def perquery_topk(pool: DataFrame, seeds: DataFrame, k: int, others: bool = Fals
 #: Steps in which distances are told apart when a value of given rank is sought, and bins that a range of them is cut into.
 STEP, BINS = 1e-9, 2048
 _TOP = round(2 / STEP)
+#: Counts that a cell makes at most.
+KTH_ROWS = 1 << 20
 
 
 def counted(others: bool = False) -> Kernel:
-    """(query_id, bin, n): how many pool rows of the cell lie in each bin of a seed's range lo to hi, in steps of distance."""
+    """(query_id, bin, n): how many pool rows of the cell lie in each bin of a seed's range lo to hi, in steps of distance.
+
+    Bins after the one in which the cell alone reaches the rank sought can't hold it; what lies there is one count, under BINS.
+    """
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
-        j, out, step = ids(right), [], max(1, CHUNK // left.num_rows)
+        j, out, step = ids(right), [], max(1, CHUNK // max(left.num_rows, BINS))
         for at in range(0, len(j), step):
             some = right.slice(at, step)
             lo, hi = (some[c].to_numpy() for c in ("lo", "hi"))
@@ -308,9 +313,13 @@ def counted(others: bool = False) -> Kernel:
             value = np.where(np.isinf(value), -1, np.minimum(value, _TOP)).astype(np.int64)
             inside = (value >= lo) & (value <= hi)
             bin_ = (value - lo) // _width(lo, hi) + BINS * np.arange(len(lo))
-            n = np.bincount(bin_[inside], minlength=BINS * len(lo))
-            cell = np.flatnonzero(n)
-            out.append((j[at + cell // BINS], (cell % BINS).astype(np.int32), n[cell]))
+            n = np.bincount(bin_[inside], minlength=BINS * len(lo)).reshape(-1, BINS)
+            before = np.cumsum(n, axis=1) - n
+            early = before < some["rank"].to_numpy()[:, None]
+            rest = np.where(early, 0, n).sum(1)
+            q, b = np.nonzero(early & (n > 0))
+            more = np.flatnonzero(rest)
+            out.append((j[at + np.append(q, more)], np.append(b, np.full(len(more), BINS)).astype(np.int32), np.append(n[q, b], rest[more])))
         q, b, n = (np.concatenate(x) for x in zip(*out))
         return pa.table({"query_id": q, "bin": b, "n": n})
 
@@ -326,17 +335,18 @@ def perquery_kth(pool: DataFrame, seeds: DataFrame, k: int, others: bool = False
     """(query_id, kth): the k-th smallest distance 1 - cosine of each seed, to 9 digits, or the largest of fewer.
 
     A distributed selection, for any k: each round counts the distances of every query per bin of its range and goes on in
-    the bin that holds the rank, until a bin is one step wide, after three rounds. Only counts are shuffled, BINS a query and
-    cell at most. A range whose count isn't the one of the round before, because a product was rounded otherwise, starts
+    the bin that holds the rank, until a bin is one step wide, after three rounds. Only counts are shuffled, k + 1 or BINS
+    a query and cell at most. A range whose count isn't the one of the round before, because a product was rounded otherwise, starts
     anew. The table of results stays in the shared folder.
     """
     one = lambda df: df.withColumn("bucket", F.lit(0))
-    grid, work = Grid(one(pool), one(seeds)), Work(pool.sparkSession, "kth")
+    few = max(1, min(SEED_TILE, KTH_ROWS // min(k + 1, BINS)))  # a cell makes up to so many counts a seed
+    grid, work = Grid(one(pool), one(seeds), seed_tile=few), Work(pool.sparkSession, "kth")
     sought = grid.seeds.select(F.col("id").alias("query_id")).distinct()
     fresh = {"lo": F.lit(0).cast("bigint"), "hi": F.lit(_TOP).cast("bigint"), "rank": F.lit(k).cast("bigint"), "total": F.lit(None).cast("bigint")}
     state, rows, n = sought.withColumns(fresh), grid.seeds, 0
     while True:
-        grid.seeds = rows.join(state.where("lo < hi").select(F.col("query_id").alias("id"), "lo", "hi"), "id")
+        grid.seeds = rows.join(state.where("lo < hi").select(F.col("query_id").alias("id"), "lo", "hi", "rank"), "id")
         bins = grid.run(counted(others), "query_id bigint, bin int, n bigint").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         upto = Window.partitionBy("query_id").orderBy("bin")
         whole = Window.partitionBy("query_id")

@@ -259,7 +259,7 @@ def test_figures_of_pairs_without_pairs(spark):
     assert similarity.cosine_stats(pool, seeds.where("false")).isEmpty()
 
 
-@pytest.mark.parametrize("name", ["brute_max_sim", "brute_max_sim_all", "cosine_pairs", "cosine_pairs_all", "zero_norm_guard", "zero_norm_guard_all", "vec_dot_all", "max_sim", "max_sim_all"])
+@pytest.mark.parametrize("name", ["brute_max_sim", "brute_max_sim_all", "max_sim", "max_sim_all", "zero_norm_guard", "zero_norm_guard_all", "cosine_pairs", "cosine_pairs_all", "vec_dot_all"])
 def test_pairs_are_multiplied_in_tiles(spark, sf_dir, name):
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "InArrow" in plan and "_seeds" not in plan and "Cartesian" not in plan and plan.count("NestedLoop") <= ("guard" in name)
@@ -270,3 +270,12 @@ def cell(rows, **columns):
 
     i, v = zip(*rows)
     return pa.table({"id": pa.array(i, pa.int64()), "v": pa.array(v, pa.list_(pa.float64())), "norm": np.linalg.norm(np.array(v), axis=1), **columns})
+
+
+def test_counts_of_a_cell_follow_the_rank(spark):
+    """A cell counts up to the rank sought, and the rest as one; before, each of a seed's bins."""
+    n = len(cell(noise(3, 4, 3)))
+    left, k = cell(noise(1500, 4, 4)), 5
+    right = cell(noise(3, 4, 3), lo=np.zeros(n, int), hi=np.full(n, 2 * 10**9), rank=np.full(n, k))
+    got = tiles.counted()(left, right)
+    assert got.num_rows <= 3 * (k + 1) and got["n"].to_numpy().sum() == 4500
