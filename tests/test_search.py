@@ -279,3 +279,20 @@ def test_counts_of_a_cell_follow_the_rank(spark):
     right = cell(noise(3, 4, 3), lo=np.zeros(n, int), hi=np.full(n, 2 * 10**9), rank=np.full(n, k))
     got = tiles.counted()(left, right)
     assert got.num_rows <= 3 * (k + 1) and got["n"].to_numpy().sum() == 4500
+
+
+def test_lists_of_a_cell_are_compared_in_pieces():
+    """Memory is that of a piece, not of all candidates of a cell (170 MB here before)."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    seeds = noise(1000, 4, 1)
+    left, right = noise(3000, 4, 2, 5000), cell(seeds)
+    left = cell(left, near=pa.array([[q for q, _ in seeds]] * 3000, pa.list_(pa.int64())))
+    (_, a), (_, b) = matrix(noise(3000, 4, 2, 5000)), matrix(seeds)
+    tracemalloc.start()
+    got = index._listed(False)(left, right)
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    assert peak < 60 and got["sim"].to_pylist() == pytest.approx(np.maximum((a @ b.T).max(1), 0).tolist()) and set(got["met"].to_pylist()) == {1000}
