@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from kindred.llm.shared import drop, left_join_hot, shared_dir, stored
 
 
-#: Edges contracted together.
-EDGES = 1 << 18
+#: Edges contracted together, and in one task after edges of all tasks were once.
+EDGES, TASK_EDGES = 1 << 18, 1 << 20
 
 
 class Forest:
@@ -39,7 +39,8 @@ class Forest:
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges as stars around the least node, EDGES at once: same components, shorter paths."""
+    """Edges as stars around the least node: same components, shorter paths. Stars are contracted with the edges that follow, up to
+    EDGES together, until the stars alone are half of that."""
 
     def stars() -> pa.RecordBatch:
         u, v = (pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
@@ -60,8 +61,9 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         held.append(b)
         if sum(x.num_rows for x in held) >= EDGES:
-            yield stars()
-            held = []
+            held = [stars()]
+            if 2 * held[0].num_rows >= EDGES:
+                yield held.pop()
     if held:
         yield stars()
 
@@ -91,6 +93,10 @@ def components(edges: DataFrame) -> DataFrame:
     e = put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"), 0)
     mark = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     was, n = mark(e), 0
+    if was[0]:  # dealt by hash, the edges of one component met in few tasks; met in fewer tasks they leave little more than a tree
+        e, n = stored(e.coalesce(was[0] // TASK_EDGES + 1).mapInArrow(_contracted, f"u {kind}, v {kind}"), f"{home}/1"), 1
+        drop(spark, f"{home}/0")
+        was = mark(e)
     while was[0]:
         n += 1
         e = put(_small(_large(e, was[0])), n)

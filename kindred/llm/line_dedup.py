@@ -11,9 +11,10 @@ Many lines that are near each other meet in all pairs, but the links of a few pa
 segments is compared with the first few at first. What it met is looked at again when the classes so far are known: only
 pairs of different classes are compared then.
 
-Each candidate line has a sketch: a bit for each of SKETCH classes of words, set if the line has an odd number of words of
-that class. An edit changes two bits at most, so sketches of lines within the allowed edits differ in at most twice as many
-bits; a pair that differs in more is no link, and is left out before any text is fetched.
+Each candidate line has a sketch: a bit for each of SKETCH classes, set if the line has an odd number of words of that class,
+where the second, third and so on of equal words are words of their own. An edit changes two bits at most, and one if it changes the number of words, so sketches of lines within the allowed edits
+differ in at most twice as many bits, less the words that one has more; a pair that differs in more is no link, and is left out before any text is fetched. Where a line has so many words that
+these bits tell little, a wider sketch with four classes a word or more is compared too.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ CELL_ROWS = 8192
 #: Bits of a line's sketch, in words of 64.
 SKETCH = 256
 _LANES = [f"s{k}" for k in range(SKETCH // 64)]
+#: Words of a line from which on it has a wider sketch too, and the most bits of that.
+WIDE, WIDEST = 32, 1 << 16
 _FIRST, _SECOND = Hasher(5), Hasher(6)
 _ENTRY = np.dtype([("sig", "<u4"), ("sig2", "u1"), ("id", "<u4"), ("id2", "<u2"), ("size", "<u2"), ("place", "<u2"), ("left", "<u2"), ("right", "<u2"), ("kind", "u1")])
 #: Kinds of entries: of a segment that goes on to the left of its anchor, of one that does to the right, and of a window.
@@ -87,21 +90,55 @@ def edit_distance(a: Sequence, b: Sequence, most: int) -> int:
     return min(score, most + 1)
 
 
+def counted(line: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A hash of each word and of how many equal ones its line has before it; so a bag of words becomes a set. Sorted by line."""
+    order = np.lexsort((word, line))
+    line, word, at = line[order], word[order].astype(np.uint64), np.arange(len(order))
+    first = np.append(True, (line[1:] != line[:-1]) | (word[1:] != word[:-1]))[: len(at)]
+    nth = at - np.maximum.accumulate(np.where(first, at, 0))
+    return mix(word + mix(nth.astype(np.uint64)))
+
+
+def parity(word: np.ndarray) -> np.ndarray:
+    """The wide sketch of a line of these words, as counted() has them: as the other one, with four or more classes a word."""
+    n = min(WIDEST, 64 << ((len(word) - 1) // 16).bit_length())
+    classes = (word & np.uint64(n - 1)).astype(np.int64)
+    return np.packbits(np.bincount(classes, minlength=n) & 1, bitorder="little").view("<u8")
+
+
+def differing(sketch: Sequence[np.ndarray | None], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the wide sketches i and j differ, the longer folded to the length of the other; 0 where one is missing."""
+    size = np.array([0 if x is None else len(x) for x in sketch], np.int64)
+    least, out = np.minimum(size[i], size[j]), np.zeros(len(i), np.int64)
+    for n in np.unique(least[least > 0]).tolist():
+        some = np.flatnonzero(least == n)
+        rows, at = np.unique(np.concatenate([i[some], j[some]]), return_inverse=True)
+        table = np.stack([np.bitwise_xor.reduce(sketch[r].reshape(-1, n), axis=0) for r in rows.tolist()])
+        a, b = at[: len(some)], at[len(some) :]
+        step = max(1, (1 << 21) // n)
+        for x in range(0, len(some), step):
+            out[some[x : x + step]] = np.bitwise_count(table[a[x : x + step]] ^ table[b[x : x + step]]).sum(1, dtype=np.int64)
+    return out
+
+
 #: The most edits whose band is one word of the machine.
 BAND = 31
 
 
 def near_pairs(a: Sequence[bytes], b: Sequence[bytes]) -> np.ndarray:
-    """Whether each two lines, of a word or more, are within the edits; pairs with the same edits are compared together."""
+    """Whether each two lines, of a word or more, are within the edits; pairs with the same edits are compared together, and
+    those of many words only if their wide sketches allow it."""
     names: dict[bytes, int] = {}
     line = {x: np.array([names.setdefault(w, len(names)) for w in words(x)], np.int32) for x in {*a, *b}}
+    place = {x: k for k, x in enumerate(line)}
+    differ = differing([parity(counted(np.zeros(len(x), np.int8), x)) if len(x) >= WIDE else None for x in line.values()], *(np.array([place[x] for x in side], np.int64) for side in (a, b)))
     short, long = [line[x] for x in a], [line[x] for x in b]
     for i, (x, y) in enumerate(zip(short, long)):
         if len(x) > len(y):
             short[i], long[i] = y, x
     n, m = (np.array([len(x) for x in side], np.int64) for side in (short, long))
     most, out = m // WORDS_AN_EDIT, np.zeros(len(n), bool)
-    fits = m - n <= most
+    fits = (m - n <= most) & (differ <= 2 * most - (m - n))
     for k in np.unique(most[fits]).tolist():
         some = np.flatnonzero(fits & (most == k))
         if k > BAND:
@@ -181,18 +218,28 @@ class _Lines:
         both = np.stack([first, self.hashes(_SECOND)[1]], 1).astype("<u8")
         return pa.Array.from_buffers(pa.binary(16), len(both), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
 
+    def _counted(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words of some lines as counted() has them, the place where each line's begin, their number)."""
+        size = self.size[some]
+        first = np.cumsum(size) - size
+        word = np.repeat(self.first[some] - first, size) + np.arange(size.sum())
+        return counted(np.repeat(np.arange(len(some)), size), _FIRST.words(self.data, self.start[word], self.end[word])), first, size
+
     def sketches(self, some: np.ndarray) -> np.ndarray:
         """(line, lane): the sketches of some lines."""
         if not len(some):
             return np.empty((0, len(_LANES)), np.uint64)
-        size = self.size[some]
-        first = np.cumsum(size) - size
-        word = np.repeat(self.first[some] - first, size) + np.arange(size.sum())
-        bit = _FIRST.words(self.data, self.start[word], self.end[word]) % np.uint64(SKETCH)
+        word, first, _ = self._counted(some)
+        bit = word % np.uint64(SKETCH)
         one = np.uint64(1) << (bit & np.uint64(63))
         lanes = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == np.uint64(k), one, np.uint64(0)), first) for k in range(len(_LANES))]
         return np.stack(lanes, 1)
 
+    def wide(self, some: np.ndarray) -> list[bytes | None]:
+        """The wide sketches of some lines, None for those of few words."""
+        word, first, size = self._counted(some)
+        return [parity(word[x : x + n]).tobytes() if n >= WIDE else None for x, n in zip(first.tolist(), size.tolist())]
+
     def bytes(self, i: int) -> bytes:
         return self.data[self.start[self.first[i]] : self.end[self.last[i] - 1]].tobytes()
 
@@ -283,10 +330,11 @@ def _ids(r: np.ndarray) -> np.ndarray:
 
 
 def _meet(segments: np.ndarray, probes: np.ndarray, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct pairs of short ids, rows (key, id, at) of entries to look at again).
+    """(distinct pairs of short ids, rows (key, id, span) of entries to look at again).
 
     A segment and a window meet if anchor and words beside it agree and lengths and places allow the edits. A window that has
-    more than `few` segments in its reach is paired with the first of them, and the key's entries are handed on.
+    more than `few` segments in its reach is paired with the first of them, and the key's entries are handed on. A line may repeat one
+    anchor any number of times: all its segments, or windows, under a key are one row, with the least and the greatest of their places.
     """
     found, again, shift = [np.empty((0, 2), np.uint64)], [np.empty((0, 3), np.uint64)], np.uint64(16)
     for side, kind in (("left", LEFT), ("right", RIGHT)):
@@ -310,21 +358,35 @@ def _meet(segments: np.ndarray, probes: np.ndarray, few: int = FEW) -> tuple[np.
                 hit = np.isin(k & ~low_bits, more)
                 r = r[hit]
                 at = (r["kind"] == PROBE).astype(np.uint64) << np.uint64(32) | r["size"].astype(np.uint64) << shift | r["place"].astype(np.uint64)
-                again.append(_distinct(np.stack([k[hit] & ~low_bits, _ids(r), at], 1)))
+                again.append(_ranges(_distinct(np.stack([k[hit] & ~low_bits, _ids(r), at], 1))))
     return _distinct(np.concatenate(found)), np.concatenate(again)
 
 
-def _alike(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether sketches a and b allow the edits of lines whose longer one has `size` words."""
-    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= 2 * (size.astype(np.int64) // WORDS_AN_EDIT)
+def _ranges(rows: np.ndarray) -> np.ndarray:
+    """Sorted rows (key, id, kind, size and place) as (key, id, span): probe or not, size, least and greatest place, of 16 bits each."""
+    if not len(rows):
+        return rows
+    shift, own = np.uint64(16), rows.copy()
+    own[:, 2] >>= shift
+    first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]).any(1)))
+    low, high = (rows[at, 2] & np.uint64(_MOST) for at in (first, np.append(first[1:], len(rows)) - 1))
+    own = own[first]
+    own[:, 2] = own[:, 2] << np.uint64(32) | low << shift | high
+    return own
+
+
+def _alike(a: np.ndarray, b: np.ndarray, size: np.ndarray, more: np.ndarray | int = 0) -> np.ndarray:
+    """Whether sketches a and b allow the edits of lines whose longer one has `size` words, so many more than the other."""
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= 2 * (size.astype(np.int64) // WORDS_AN_EDIT) - more
 
 
-def _across(key: np.ndarray, ident: np.ndarray, size: np.ndarray, probe: np.ndarray, low: np.ndarray, high: np.ndarray, label: np.ndarray, sketch: np.ndarray, known: np.ndarray) -> np.ndarray:
+def _across(key: np.ndarray, ident: np.ndarray, size: np.ndarray, probe: np.ndarray, low: np.ndarray, high: np.ndarray, label: np.ndarray, sketch: np.ndarray, known: np.ndarray, wide: Sequence[bytes | None] | None = None) -> np.ndarray:
     """Distinct pairs of short ids of one key but different labels that may fit.
 
     A row stands for all segments, or all windows (probe), of a line under the key; low, high: the least and the greatest of
-    their places. known: which rows have a sketch.
+    their places. known: which rows have a sketch; wide: their wide sketches, or None.
     """
+    wide = None if wide is None else [None if x is None else np.frombuffer(x, "<u8") for x in wide]
     size, low, high = (x.astype(np.int64) for x in (size, low, high))
     kid, lid = np.unique(key, return_inverse=True)[1], np.unique(label, return_inverse=True)[1]
     both, width = kid * (int(lid.max(initial=0)) + 1) + lid, int(lid.max(initial=0)) + 1
@@ -342,9 +404,13 @@ def _across(key: np.ndarray, ident: np.ndarray, size: np.ndarray, probe: np.ndar
             rest = size[j] // WORDS_AN_EDIT - more
             fits = (rest >= 0) & (low[j] - high[i] <= more + rest // 2) & (high[j] - low[i] >= -(rest // 2))
             fits = (more >= 0) & (fits | (size[j] == _MOST))
-            i, j = i[fits], j[fits]
-            fits = _alike(sketch[i], sketch[j], size[j]) | ~(known[i] & known[j]) | (size[j] == _MOST)
-            u, v = ident[i[fits]], ident[j[fits]]
+            i, j, more = i[fits], j[fits], more[fits]
+            fits = _alike(sketch[i], sketch[j], size[j], more) | ~(known[i] & known[j]) | (size[j] == _MOST)
+            i, j, more = i[fits], j[fits], more[fits]
+            if wide is not None:
+                fits = (differing(wide, i, j) <= 2 * (size[j] // WORDS_AN_EDIT) - more) | (size[j] == _MOST)
+                i, j = i[fits], j[fits]
+            u, v = ident[i], ident[j]
             found.append(_distinct(np.stack([np.minimum(u, v), np.maximum(u, v)], 1)[u != v]))
     return _distinct(np.concatenate(found))
 
@@ -364,7 +430,7 @@ _MET = "u bigint, v bigint, at bigint, bucket bigint, block int, rows binary"
 
 
 def _met(pairs: np.ndarray, again: np.ndarray) -> pa.RecordBatch:
-    """Rows (u, v) of pairs, and rows (u, bucket, at) of entries to look at again, where bucket is the key."""
+    """Rows (u, v) of pairs, and rows (u, bucket, at) of entries to look at again, where bucket is the key and at their span."""
     n, m = len(pairs), len(again)
     ints = lambda x: pa.array(x.astype(np.uint64).view(np.int64))
     join = lambda x, y: pa.concat_arrays([x, y])
@@ -376,7 +442,7 @@ def _met(pairs: np.ndarray, again: np.ndarray) -> pa.RecordBatch:
 
 
 def candidates(docs: DataFrame, total: int, home: str) -> tuple[DataFrame, DataFrame]:
-    """((u, v): pairs of short ids of lines that may be within the edits; (key, short, at): entries to look at again).
+    """((u, v): pairs of short ids of lines that may be within the edits; (key, short, size, probe, low, high): entries to look at again).
 
     total: words of docs. Entries are dealt to buckets by signature. A bucket of more than BLOCK_BYTES is passed on in blocks
     of that size, and every two of these meet in a task of their own, so that a frequent anchor fills no worker's memory.
@@ -423,9 +489,13 @@ def candidates(docs: DataFrame, total: int, home: str) -> tuple[DataFrame, DataF
     cells = cells.select("bucket", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "rows")
     by = ["bucket", "x", "y"]
     rest = cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(cross, _MET)
-    both = met.where("rows IS NULL").select("u", "v", "at", "bucket").union(rest.select("u", "v", "at", "bucket"))
-    both = stored(both.distinct(), f"{home}/candidates")
-    return both.where("v IS NOT NULL").select("u", "v"), both.where("v IS NULL").select(F.col("bucket").alias("key"), F.col("u").alias("short"), "at")
+    rest = stored(rest.select("u", "v", "at", "bucket"), f"{home}/rest")
+    part = lambda n: F.shiftright("at", n).bitwiseAND(_MOST).cast("int")
+    spans = lambda df: df.where("v IS NULL").select(F.col("bucket").alias("key"), F.col("u").alias("short"), part(32).alias("size"), (part(48) > 0).alias("probe"), part(16).alias("low"), part(0).alias("high"))
+    # a key is met in one task; only those of a bucket in blocks come out of several
+    merged = spans(rest).groupBy("key", "short", "size", "probe").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    pairs = met.where("v IS NOT NULL").select("u", "v").union(rest.where("v IS NOT NULL").select("u", "v"))
+    return stored(pairs.distinct(), f"{home}/candidates"), spans(met.where("rows IS NULL")).union(merged)
 
 
 def _passed(bucket: int, block: int, held: list[bytes]) -> pa.RecordBatch:
@@ -434,23 +504,17 @@ def _passed(bucket: int, block: int, held: list[bytes]) -> pa.RecordBatch:
 
 
 def _celled(rows: DataFrame) -> DataFrame:
-    """rows dealt to cells, which take the place of `key`: a key of more than CELL_ROWS rows is cut into blocks, and each block of
-    segments meets each block of windows in a cell of its own. Should two cells share a number, more is compared, not less."""
-    many = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("blocks")).where("blocks > 1")
-    met = left_join_few(rows, many, "key")
+    """rows, with the number of `blocks` of their key, dealt to cells, which take the place of `key`: a key of several blocks is cut, and
+    each block of segments meets each block of windows in a cell of its own. Should two cells share a number, more is compared, not less."""
     own = F.pmod(F.xxhash64("short", "size", "probe"), F.col("blocks"))
-    met = met.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     cell = F.when(F.col("probe"), F.xxhash64("key", "other", own)).otherwise(F.xxhash64("key", own, "other"))
-    return met.withColumn("key", F.when(F.col("blocks").isNull(), F.col("key")).otherwise(cell)).select(*rows.columns)
+    return met.withColumn("key", F.when(F.col("blocks") == 1, F.col("key")).otherwise(cell)).drop("blocks", "other")
 
 
 def links(named: DataFrame, every: DataFrame, total: int, home: str) -> DataFrame:
     """(u, v): keys of different lines within the edits that join all that such links join; every: the lines of named."""
     pairs, again = candidates(named, total, home)
-    # a line may repeat one anchor any number of times; all its places under a key become one range before rows are dealt by key
-    at = F.col("at")
-    size, probe, spot = F.shiftright(at, 16).bitwiseAND(_MOST).cast("int"), F.shiftright(at, 32) > 0, at.bitwiseAND(_MOST).cast("int")
-    again = again.groupBy("key", "short", size.alias("size"), probe.alias("probe")).agg(F.min(spot).alias("low"), F.max(spot).alias("high"))
     ids = pairs.select(F.col("u").alias("short")).union(pairs.select("v")).union(again.select("short")).distinct()
     ids = stored(ids, f"{home}/ids")
     # each line is cut from one text that has it
@@ -466,39 +530,47 @@ def links(named: DataFrame, every: DataFrame, total: int, home: str) -> DataFram
             short, key, at = zip(*rows)
             lanes = p.sketches(np.array(at)).view(np.int64)
             made = [pa.array(short, pa.int64()), pa.array(key, pa.binary()), pa.array([p.bytes(i) for i in at], pa.binary()), pa.array(p.size[list(at)], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*made, *(pa.array(lanes[:, k]) for k in range(len(_LANES)))], ["short", "key", "line", "size", *_LANES])
+            lanes = [*(pa.array(lanes[:, k]) for k in range(len(_LANES))), pa.array(p.wide(np.array(at)), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*made, *lanes], ["short", "key", "line", "size", *_LANES, "wide"])
 
     texts = flagged(named, asked, "t").where("_flag").select("t", "text").dropDuplicates(["t"]).join(asked, "t")
-    lines = stored(texts.select("text", "asked").mapInArrow(cut, "short bigint, key binary, line binary, size int, " + ", ".join(f"{x} bigint" for x in _LANES)), f"{home}/lines")
+    lines = stored(texts.select("text", "asked").mapInArrow(cut, "short bigint, key binary, line binary, size int, " + ", ".join(f"{x} bigint" for x in _LANES) + ", wide binary"), f"{home}/lines")
 
     @F.arrow_udf("boolean")
     def near(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array(near_pairs(a.to_pylist(), b.to_pylist()), pa.bool_())
 
-    side = lambda u: lines.select(F.col("short").alias(u), *(F.col(c).alias(f"{u}_{c}") for c in ["key", "line", "size", *_LANES]))
+    side = lambda u, *more: lines.select(F.col("short").alias(u), *(F.col(c).alias(f"{u}_{c}") for c in ("key", *more)))
     most = F.expr(f"greatest(u_size, v_size) div {WORDS_AN_EDIT}")
+    more = F.abs(F.col("u_size") - F.col("v_size"))
     differ = sum((F.bit_count(F.col(f"u_{x}").bitwiseXOR(F.col(f"v_{x}"))) for x in _LANES), F.lit(0))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        two = pairs.join(side("u"), "u").join(side("v"), "v").where((differ <= 2 * most) & (F.abs(F.col("u_size") - F.col("v_size")) <= most))
+        # texts go only with the pairs that sketches and sizes leave
+        two = pairs.join(side("u", "size", *_LANES), "u").join(side("v", "size", *_LANES), "v").where((differ <= 2 * most - more) & (more <= most))
+        text = lambda u: lines.select(F.col("key").alias(f"{u}_key"), F.col("line").alias(f"{u}_line"))
+        two = two.select("u_key", "v_key").join(text("u"), "u_key").join(text("v"), "v_key")
         return two.where(near("u_line", "v_line")).select(F.col("u_key").alias("u"), F.col("v_key").alias("v"))
 
     first = stored(compared(pairs), f"{home}/first")
     klass = stored(components(first), f"{home}/labels")
-    label = left_join_few(lines.select("short", "key", *_LANES), klass.withColumnRenamed("node", "key"), "key")
-    label = label.groupBy("short").agg(F.min(F.xxhash64(F.coalesce("component", "key"))).alias("label"), F.count(F.lit(1)).alias("n"), *(F.min(x).alias(x) for x in _LANES))
+    label = left_join_few(lines.select("short", "key", *_LANES, "wide"), klass.withColumnRenamed("node", "key"), "key")
+    label = label.groupBy("short").agg(F.min(F.xxhash64(F.coalesce("component", "key"))).alias("label"), F.count(F.lit(1)).alias("n"), *(F.min(x).alias(x) for x in [*_LANES, "wide"]))
     # lines that share a short id belong to no class here and have no sketch, so that each is compared
     one = F.col("n") == 1
-    label = label.select("short", F.when(one, F.col("label")).otherwise(F.xxhash64("short", "n")).alias("label"), *_LANES, one.alias("known"))
-    labelled = again.join(label, "short")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    label = label.select("short", F.when(one, F.col("label")).otherwise(F.xxhash64("short", "n")).alias("label"), *_LANES, one.alias("known"), F.when(one, F.col("wide")).alias("wide"))
+    label = stored(label, f"{home}/label")
+    labelled = stored(again.join(label.select("short", "label"), "short"), f"{home}/again")
+    blocks = F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("blocks")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), blocks).where("a <> b").select("key", "blocks")
+    mixed = stored(mixed, f"{home}/mixed")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def done(c: list[np.ndarray]) -> pa.RecordBatch:
             *row, label = c[:7]
-            pairs = _across(*row, label, np.stack(c[7:-1], 1).view(np.uint64), c[-1])
+            pairs = _across(*row, label, np.stack(c[7:-2], 1).view(np.uint64), c[-2], c[-1])
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
         for b in batches:
@@ -513,13 +585,14 @@ def links(named: DataFrame, every: DataFrame, total: int, home: str) -> DataFram
         if held:
             yield done([np.concatenate(x) for x in zip(*held)])
 
-    some = flagged(labelled, mixed, "key").where("_flag").join(mixed, "key", "left_semi").select("key", "short", "size", "probe", "low", "high", "label", *_LANES, "known")
-    rest = _celled(stored(some, f"{home}/again")).repartition("key").sortWithinPartitions("key").mapInArrow(across, "u bigint, v bigint")
+    some = flagged(labelled, mixed, "key").where("_flag").drop("_flag").join(mixed, "key").join(label.drop("label"), "short")
+    cells = _celled(some).select("key", "short", "size", "probe", "low", "high", "label", *_LANES, "known", "wide")
+    rest = cells.repartition("key").sortWithinPartitions("key").mapInArrow(across, "u bigint, v bigint")
     # pairs are few bytes but much work, so partitions aren't to be joined by their size
     spark = named.sparkSession
     n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rest = rest.repartition(n, "u", "v").distinct()
-    second = stored(compared(rest.join(pairs, ["u", "v"], "left_anti")), f"{home}/second")
+    second = stored(compared(rest), f"{home}/second")
     return first.union(second)
 
 

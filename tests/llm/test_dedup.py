@@ -538,3 +538,55 @@ def test_stored_leaves_no_shuffle_files(spark, tmp_path):
             break
         time.sleep(0.1)
     assert not there() - before and got.count() == 20_000 and spark.conf.get(FREE, "false") == was
+
+
+def test_wide_sketches_keep_pairs_within_the_edits_and_few_others():
+    """Long lines of few words differ in most bits of what is allowed only if they are near; no pair within the edits is lost."""
+    rng, lost, seen = random.Random(6), 0, 0
+    lines = []
+    for n in (33, 90, 300, 700):
+        base = [rng.choice("the and of to in on".split()) if rng.random() < 0.7 else f"w{rng.randrange(500)}" for _ in range(n)]
+        for share in (0.03, 0.08, 0.11, 0.25, 0.3, 0.4):
+            s = list(base)
+            for _ in range(int(share * n)):
+                s[rng.randrange(len(s))] = rng.choice(["", "the", "of and", f"x{rng.randrange(10**6)}"])
+            lines.append(" ".join(s).split())
+        lines.append(base)
+    p = line_dedup._Lines(pa.array([" ".join(x) for x in lines]))
+    wide = p.wide(np.arange(len(lines)))
+    i, j = np.triu_indices(len(lines), 1)
+    swap = p.size[i] > p.size[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    differ = line_dedup.differing([np.frombuffer(x, "<u8") for x in wide], i, j)
+    most, more, near = p.size[j] // line_dedup.WORDS_AN_EDIT, p.size[j] - p.size[i], 0
+    for x, y, d, k, m in zip(i.tolist(), j.tolist(), differ.tolist(), most.tolist(), more.tolist()):
+        if m <= k and line_dedup.edit_distance(lines[x], lines[y], k) <= k:
+            near += 1
+            assert d <= 2 * k - m
+    assert near > 8
+    n, zero = len(lines), np.zeros(len(lines), np.int64)
+    probe, ident, void = np.arange(n) % 2 == 1, np.arange(n), np.zeros((n, 4), np.uint64)
+    args = zero, ident, p.size, probe, zero, zero, ident, void, np.ones(n, bool)
+    plain, sifted = line_dedup._across(*args), line_dedup._across(*args, wide)
+    assert len(sifted) < len(plain) / 2 and set(map(tuple, sifted.tolist())) <= set(map(tuple, plain.tolist()))
+
+
+def test_components_of_dense_edges_become_trees(spark, monkeypatch):
+    """However many tasks the edges of a dense component are dealt to, the rounds work on about one edge a node."""
+    rounds, real = [], components.stored
+
+    def stored(df, path):
+        out = real(df, path)
+        rounds.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "stored", stored)
+    edges = spark.range(300 * 300).select((F.col("id") % 300).alias("u"), F.floor(F.col("id") / 300).alias("v")).where("u < v AND (u + v) % 7 = 0")
+    with_tasks = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = components.components(edges).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", with_tasks)
+    assert rounds[1] < 300
+    assert {(r["node"], r["component"]) for r in got} == {(x, min(x % 7, -x % 7) or (0 if x % 7 == 0 else 7)) for x in range(300)}
