@@ -25,6 +25,8 @@ from kindred.llm.words import Hasher, buffers, mix, parts, split
 BLOCK_SETS = 1500
 #: Their n-grams at most, about.
 BLOCK_GRAMS = 1 << 20
+#: Distances between blocks that meet in one round: a round's shuffle holds a set twice as often at most, however many blocks there are.
+SHIFTS = 4
 #: Cells of the membership table of the probes that descend together.
 TABLE_CELLS = 1 << 26
 _FIRST, _SECOND = Hasher(3, lower=True), Hasher(4, lower=True)
@@ -261,7 +263,7 @@ def _classified(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_c
     drop(spark, f"{home}/some")
     family = components(_meetings(near, n, t, total(near)))
     families = _families(near, family)
-    found = stored(_linked(families, n, t), f"{home}/links")
+    found = _linked(families, n, t, f"{home}/links")
     drop(spark, f"{home}/near")
     links = components(found.where("v IS NOT NULL").select("u", "v"))
     counts = found.where("v IS NULL").groupBy("u").agg(F.sum("w").alias("w"))
@@ -467,8 +469,28 @@ def _families(near: DataFrame, family: DataFrame) -> DataFrame:
     return out.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
 
 
-def _linked(families: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """Edges (u, v) that span the links of each cell, and rows (u, null, w) with a set's linked rows in it."""
+def _linked(families: DataFrame, n: int, t: Threshold, home: str) -> DataFrame:
+    """Edges (u, v) that span the links of each cell, and rows (u, null, w) with a set's linked rows in it, stored in home.
+
+    Families of many blocks take several rounds, each stored before the next, so what is shuffled at once doesn't grow with the
+    square of a family. Only their sets are stored for that, with their n-grams.
+    """
+    put = families.select(F.struct("key", "family", "block", "blocks", "copies").alias("f"), _grams_udf(n)(F.col("text")).alias("grams"))
+    most = families.agg(F.max("blocks")).first()[0] or 0
+    stored(_cells(put, 0, t), f"{home}/0")
+    if most // 2 >= SHIFTS:
+        put = stored(put.where(f"f.blocks div 2 >= {SHIFTS}"), f"{home}-grams")
+        for low in range(SHIFTS, most // 2 + 1, SHIFTS):
+            stored(_cells(put.where(f"f.blocks div 2 >= {low}"), low, t), f"{home}/{low}")
+        drop(put.sparkSession, f"{home}-grams")
+    return put.sparkSession.read.schema(_LINKS).parquet(*(f"{home}/{low}" for low in range(0, max(1, most // 2 + 1), SHIFTS)))
+
+
+_LINKS = "u binary, v binary, w bigint"
+
+
+def _cells(put: DataFrame, low: int, t: Threshold) -> DataFrame:
+    """What comes out of the cells of two blocks that lie low to low + SHIFTS - 1 apart, counted around the family's ring of blocks."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -494,13 +516,14 @@ def _linked(families: DataFrame, n: int, t: Threshold) -> DataFrame:
         if len(held) > 1:
             yield done()
 
-    put = families.select(F.struct("key", "family", "block", "blocks", "copies").alias("f"), _grams_udf(n)(F.col("text")).alias("grams"))
-    other = F.explode(F.sequence(F.lit(0), F.col("f.blocks") - 1)).alias("o")
-    spread = put.select("f", "grams", other).select(
+    # from a block forward and back around the ring; half way round both ways lead to one block
+    far = F.least(F.lit(low + SHIFTS - 1), F.expr("f.blocks div 2").cast("int"))
+    ring = F.transform(F.sequence(F.lit(low), far), lambda s: F.array(*(F.pmod(F.col("f.block") + x, F.col("f.blocks")) for x in (s, -s))))
+    spread = put.select("f", "grams", F.explode(F.array_distinct(F.flatten(ring))).alias("o")).select(
         F.col("f.family").alias("family"), F.least("f.block", "o").alias("x"), F.greatest("f.block", "o").alias("y"),
         F.col("f.key").alias("key"), F.col("f.block").alias("block"), F.col("f.copies").alias("copies"), "grams",
     )
-    return spread.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(cells, "u binary, v binary, w bigint")
+    return spread.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(cells, _LINKS)
 
 
 def _grams_udf(n: int):

@@ -186,6 +186,32 @@ def test_ngram_join_in_blocks(docs, rows, monkeypatch):
     assert bag(ngram_join.ngram_join(docs, 3, 70, 100), "doc_id", "n_shingles", "component_id", "n_links") == joined(rows, 3, 70, 100)
 
 
+@pytest.mark.parametrize("shifts", [2, 4])
+def test_ngram_join_in_rounds(spark, monkeypatch, shifts):
+    """A family of many blocks is shuffled a few times over in each round, not once for every block; even and odd rings of blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(ngram_join, "SHIFTS", shifts, raising=False)
+    rng, rows = random.Random(8), []
+    for of, n in ((0, 120), (1, 37), (2, 9), (3, 2)):
+        base = [f"w{of}x{rng.randrange(500)}" for _ in range(60)]
+        for j in range(n):
+            w = list(base)
+            w[rng.randrange(len(w))] = f"own{of}x{j}"
+            rows.append((1000 * of + j, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt, kind, real = [], type(df), type(df).repartition
+
+    def repartition(self, *by):
+        if by[0] == "family":
+            dealt.append(self.count())
+        return real(self, *by)
+
+    monkeypatch.setattr(kind, "repartition", repartition)
+    got = bag(ngram_join.ngram_join(df, 3, 80, 100), "doc_id", "n_shingles", "component_id", "n_links")
+    assert got == joined(rows, 3, 80, 100)
+    assert max(dealt) <= 2 * shifts * len(rows)
+
+
 def test_ngram_join_keeps_one(docs, rows, nothing):
     got = ngram_join.keep_one(docs, 5, 80, 100)
     assert got.columns == docs.columns
