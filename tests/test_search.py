@@ -8,6 +8,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from kindred.functions import vector as V
+from kindred.model import prepare
 from kindred.operators import bounded, index, similarity, summary, tiles
 from kindred.plans import catalog
 from kindred.sources import vectors as source
@@ -265,6 +266,25 @@ def test_pairs_are_multiplied_in_tiles(spark, sf_dir, name):
     assert "InArrow" in plan and "_seeds" not in plan and "Cartesian" not in plan and plan.count("NestedLoop") <= ("guard" in name)
 
 
+def test_pairs_shuffle_no_row_twice(spark, monkeypatch):
+    """However many cells there are; before, a row was shuffled once for each tile of the other side."""
+    monkeypatch.setattr(tiles, "PAIR_ROWS", 8)
+    monkeypatch.setattr(tiles, "PAIR_SEEDS", 8)
+    rng, width = np.random.default_rng(4), 64
+    df = lambda lo, n: spark.createDataFrame([(lo + i, rng.normal(size=width).tolist()) for i in range(n)], "i long, x array<double>").coalesce(2).cache()
+    pool, seeds = (prepare(x, "i", "x") for x in (df(0, 200), df(1000, 200)))
+    store, jvm = spark._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = pool.count() - 200 + seeds.count() - 200 + shuffled()
+    assert similarity.cosine_pairs(pool, seeds).select("id", "seed_id").toArrow().num_rows == 40_000
+    assert shuffled() - before < 2 * 400 * width * 8
+
+
 def cell(rows, **columns):
     import pyarrow as pa
 
